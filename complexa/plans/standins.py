@@ -1,0 +1,59 @@
+"""Stand-in views over the driver's tables.
+
+The reference's own inputs (corpus, responses, chat sets) are not shipped,
+so each reference table is mapped onto a driver table with a fixed
+projection.  The same projections are written as SQL in
+``complexa.plans.oracles`` so DuckDB can check every query.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+TABLES = ("region nation customer supplier part orders lineitem events documents "
+          "embeddings pages benchmark labels conversations").split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem -> (row id, model, lang, tuned, y_true, y_pred, fold) in R-order ranks."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("line_no"),
+        F.col("l_returnflag").alias("model"),
+        F.col("l_linestatus").alias("lang"),
+        (F.col("l_partkey") % 2).cast("int").alias("tuned"),
+        (F.col("l_linenumber") - 1).cast("int").alias("y_true"),
+        F.when(F.col("l_quantity") >= 49, F.lit(-1))
+         .otherwise(F.col("l_quantity").cast("int") % 7).cast("int").alias("y_pred"),
+        (F.col("l_suppkey") % 4).cast("int").alias("fold"),
+    )
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> (doc_id, src, lang, problem, label) with a T-order label 0..6."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("text").alias("src"), "lang",
+                    F.col("source").alias("problem"), (F.col("n_chars") % 7).cast("int").alias("label"))
+
+
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part -> a call graph: caller = floor(p_partkey / 2), callee = p_partkey (root 1)."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.floor(F.col("p_partkey") / 2).cast("long").alias("caller"),
+                    F.col("p_partkey").alias("callee"))
+
+
+def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> a training log: run = user_id, epoch = order of ts, acc = value."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.col("user_id").alias("run"), "event_id", "ts", F.col("value").alias("acc"))
