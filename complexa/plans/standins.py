@@ -57,3 +57,48 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> a training log: run = user_id, epoch = order of ts, acc = value."""
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("user_id").alias("run"), "event_id", "ts", F.col("value").alias("acc"))
+
+
+# Stand-in data for model responses (values are ours, not the reference's).
+MODEL_IDS = ["google/gemma-2-9b-it", "meta-llama/Meta-Llama-3.1-8B-Instruct",
+             "mistralai/Mistral-Nemo-Instruct-2407", "Qwen/Qwen2-7B-Instruct"]
+MODEL_MARKERS = ["<end_of_turn>", "<|eot_id|>", "[/INST]", "<|im_end|>"]
+PHRASES = [
+    "the time complexity is o(n log n).",
+    "overall time complexity: quadratic o(n^2)",
+    "complexity depends on the input: o(n)",
+    "i do not know",
+    "complexity is linear, o(n^3)",
+    "complexity is exponential o(2^n)",
+    "complexity unknown",
+    "complexity is logarithmic",
+    "complexity is linearithmic",
+    "overall time o(1) overall time o(n^2)",
+    "Complexity cubic complexity linear",
+    "The Overall Time Complexity is O(N LOG N) because of sorting",
+]
+
+
+def _pick(values, idx):
+    return F.get(F.array(*[F.lit(v) for v in values]), idx.cast("int"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem -> raw responses: one per line item, keyed by (idx = order, line_no)."""
+    li = table(spark, sf_dir, "lineitem")
+    k = F.col("l_linenumber") % 4
+    return li.select(
+        F.col("l_orderkey").alias("idx"), F.col("l_linenumber").alias("line_no"),
+        _pick(MODEL_IDS, k).alias("model_id"),
+        F.concat(F.lit("Estimate the complexity of program "), F.col("l_partkey").cast("string"),
+                 _pick(MODEL_MARKERS, k), _pick(PHRASES, (F.col("l_partkey") + F.col("l_suppkey")) % 12)
+                 ).alias("response"))
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders -> test examples whose assistant answer names the true class."""
+    from complexa.functions.labels import R_ORDER
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("idx"),
+                    F.concat(F.lit("The time complexity is: "), _pick(R_ORDER, F.col("o_custkey") % 7),
+                             F.lit(": end")).alias("content"))
