@@ -113,22 +113,24 @@ def py_depth(src) -> Column:
     unit = first positive leading-whitespace width (default 4); a line pops
     every stack entry >= its level (the stack is strictly increasing, so the
     pop is a ``filter``), then pushes its level when it contains def, for or
-    while as a substring.  One ``aggregate`` over the lines of the document.
+    while as a substring.  Per-line facts are extracted once (``transform``),
+    then one ``aggregate`` folds them; the unit is computed once per document.
     """
     lines = F.filter(F.split(_c(src), LINE_BREAK), lambda l: l.rlike(f"[^{WS}]"))
-    widths = F.transform(lines, _lead)
-    unit = F.coalesce(F.get(F.filter(widths, lambda w: w > 0), 0), F.lit(4))
-    init = F.struct(F.array().cast("array<int>").alias("st"), F.lit(0).alias("mx"), F.lit(0).alias("mi"))
-
-    def step(acc, line):
-        lvl = F.floor(_lead(line) / unit).cast("int")
+    facts = F.transform(lines, lambda l: F.struct(
+        _lead(l).alias("w"), (l.contains("def") | l.contains("for") | l.contains("while")).alias("kw")))
+    unit = F.coalesce(F.get(F.filter(F.transform(facts, lambda x: x["w"]), lambda w: w > 0), 0), F.lit(4))
+    init = F.struct(F.array().cast("array<int>").alias("st"), F.lit(0).alias("mx"), F.lit(0).alias("mi"),
+                    unit.alias("u"))
+
+    def step(acc, x):
+        lvl = F.floor(x["w"] / acc["u"]).cast("int")
         kept = F.filter(acc["st"], lambda e: e < lvl)
-        push = line.contains("def") | line.contains("for") | line.contains("while")
-        st = F.when(push, F.concat(kept, F.array(lvl))).otherwise(kept)
+        st = F.when(x["kw"], F.concat(kept, F.array(lvl))).otherwise(kept)
         return F.struct(st.alias("st"), F.greatest(acc["mx"], lvl).alias("mx"),
-                        F.greatest(acc["mi"], F.size(st)).alias("mi"))
+                        F.greatest(acc["mi"], F.size(st)).alias("mi"), acc["u"].alias("u"))
 
-    out = F.aggregate(lines, init, step)
+    out = F.aggregate(facts, init, step)
     return F.struct(out["mx"].alias("max_depth"), out["mi"].alias("max_stack"))
 
 

@@ -102,3 +102,70 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("idx"),
                     F.concat(F.lit("The time complexity is: "), _pick(R_ORDER, F.col("o_custkey") % 7),
                              F.lit(": end")).alias("content"))
+
+
+# Stand-in source code: one program per order, one method per line item.
+# Bodies are chosen by l_quantity % 5; a method calls the next line's method when
+# l_discount < 0.05 (so some methods are dead) and itself when l_tax > 0.07.
+JAVA_BODIES = [
+    "for (int i = 0; i < n; i++) { s += i; }",
+    "for (int i = 0; i < n; i++) {\n      for (int j = 0; j < n; j++) { s += j; }\n    }",
+    "while (n > 1) { n = n / 2; s++; }",
+    "if (n > 0) { s = 1; } else { s = 2; } // branch",
+    "HashMap<Integer, Integer> h = new HashMap<>();\n    int[] a = new int[n];\n    Arrays.sort(a); /* sorted */",
+]
+PY_BODIES = [
+    "    for i in range(n):\n        s += i",
+    "    for i in range(n):\n        for j in range(n):\n            s += j",
+    "    while n > 1:\n        n = n // 2  # halve",
+    "    if n > 0:\n        s = 1\n    else:\n        s = 2",
+    "    a = sorted(list(range(n)))\n    \"\"\"sorted copy\"\"\"",
+]
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders + lineitem -> (doc_id, lang, label, src): Java for status 'F', Python otherwise.
+
+    Method i (dense, 1-based, in line-item order) has body JAVA/PY_BODIES[qty % 5];
+    it calls itself when l_tax > 0.07 and method i+1 when l_discount < 0.05; Python
+    methods get an unreachable line after the return when l_extendedprice > 50000.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders")
+    items = li.select(F.col("l_orderkey").alias("doc_id"), F.struct(
+        F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
+        F.col("l_extendedprice").alias("ep"), (F.col("l_quantity").cast("int") % 5).alias("b"),
+        (F.col("l_tax") > 0.07).alias("rec"), (F.col("l_discount") < 0.05).alias("call"),
+        (F.col("l_extendedprice") > 50000).alias("big")).alias("it"))
+    per = items.groupBy("doc_id").agg(F.array_sort(F.collect_list("it")).alias("ms"))
+
+    def java(x, i):
+        ln, nxt = (i + 1).cast("string"), (i + 2).cast("string")
+        return F.concat(
+            F.lit("  static int m"), ln, F.lit("(int n) {\n    int s = 0;\n    "), _pick(JAVA_BODIES, x["b"]), F.lit("\n"),
+            F.when(x["rec"], F.concat(F.lit("    s += m"), ln, F.lit("(n - 1);\n"))).otherwise(F.lit("")),
+            F.when(x["call"], F.concat(F.lit("    return m"), nxt, F.lit("(s);\n"))).otherwise(F.lit("    return s;\n")),
+            F.lit("  }\n"))
+
+    def py(x, i):
+        ln, nxt = (i + 1).cast("string"), (i + 2).cast("string")
+        return F.concat(
+            F.lit("def m"), ln, F.lit("(n):\n    s = 0\n"), _pick(PY_BODIES, x["b"]), F.lit("\n"),
+            F.when(x["rec"], F.concat(F.lit("    s += m"), ln, F.lit("(n - 1)\n"))).otherwise(F.lit("")),
+            F.when(x["call"], F.concat(F.lit("    return m"), nxt, F.lit("(s)\n"))).otherwise(F.lit("    return s\n")),
+            F.when(x["big"], F.lit("    s = s + 1\n")).otherwise(F.lit("")))
+
+    oo = o.select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_custkey", "o_orderpriority")
+    j = per.join(oo, "doc_id")
+    jsrc = F.concat(F.lit("import java.util.*;\n// order "), F.col("doc_id").cast("string"),
+                    F.lit("\npublic class C"), F.col("doc_id").cast("string"), F.lit(" {\n"),
+                    F.array_join(F.transform("ms", java), ""),
+                    F.lit("  public static void main(String[] args) {\n    int n = "),
+                    (F.col("o_custkey") % 100).cast("string"), F.lit(";\n    System.out.println(m1(n));\n  }\n}\n"))
+    psrc = F.concat(F.lit("# order "), F.col("doc_id").cast("string"), F.lit("\n"),
+                    F.array_join(F.transform("ms", py), "\n"),
+                    F.lit("\n\ndef main():\n    n = "), (F.col("o_custkey") % 100).cast("string"),
+                    F.lit("\n    print(m1(n))\n"))
+    lang = F.when(F.col("o_orderstatus") == "F", "java").otherwise("python")
+    return j.select("doc_id", lang.alias("lang"), F.substring("o_orderpriority", 1, 1).cast("int").alias("label"),
+                    F.when(lang == "java", jsrc).otherwise(psrc).alias("src"))
