@@ -106,17 +106,17 @@ def f1_scores(cells: DataFrame, groups: Sequence[str] | None = None,
 
 
 def class_accuracy(cells: DataFrame, groups: Sequence[str] | None = None,
-                   classes: int = 7) -> DataFrame:
+                   classes: int = 7, digits: int | None = ROUND) -> DataFrame:
     """AGG11: one-vs-rest accuracy (TP+TN)/N of classes 0..6, one column each."""
     g = _g(groups)
     t, p, n = F.col("y_true"), F.col("y_pred"), F.col("n")
     tot = F.sum(n)
-    cols = [_r(1 - F.sum(F.when((t == i) != (p == i), n).otherwise(0)) / tot).alias(f"class_acc_{i}")
+    cols = [_r(1 - F.sum(F.when((t == i) != (p == i), n).otherwise(0)) / tot, digits).alias(f"class_acc_{i}")
             for i in range(classes)]
     return cells.groupBy(*g).agg(*cols)
 
 
-def score_report(preds: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
+def score_report(preds: DataFrame, groups: Sequence[str] = ("model",), digits: int | None = ROUND) -> DataFrame:
     """AGG24: one row per group with every metric of the report (AGG6-14).
 
     One scan of the predictions; the three metric families are computed from
@@ -124,7 +124,8 @@ def score_report(preds: DataFrame, groups: Sequence[str] = ("model",)) -> DataFr
     """
     g = list(groups)
     cells = confusion_cells(preds, g)
-    out = distance_sums(cells, g).join(f1_scores(cells, g), g).join(class_accuracy(cells, g), g)
+    out = (distance_sums(cells, g, digits).join(f1_scores(cells, g, digits), g)
+           .join(class_accuracy(cells, g, digits=digits), g))
     return out
 
 
