@@ -299,7 +299,30 @@ def leaderboard_rank(board: DataFrame, metric: str, partition: Sequence[str] = (
 
 def best_epoch(log: DataFrame, key: Sequence[str], epoch: str = "epoch", metric: str = "acc",
                higher_is_better: bool = True) -> DataFrame:
-    """WIN13: earliest epoch with the strictly best metric (ties keep the first)."""
-    order = F.col(metric).desc() if higher_is_better else F.col(metric).asc()
-    w = Window.partitionBy(*key).orderBy(order, F.col(epoch).asc())
-    return (log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))
+    """WIN13: earliest epoch with the strictly best metric (ties keep the first).
+
+    A hash aggregate (``min`` over a (-metric, epoch) struct), so a long run
+    is combined map-side instead of sorted in one window partition.
+    """
+    m = -F.col(metric) if higher_is_better else F.col(metric)
+    best = log.groupBy(*key).agg(F.min(F.struct(m.alias("_m"), F.col(epoch).alias("_e"))).alias("_b"))
+    sign = -1 if higher_is_better else 1
+    return best.select(*key, F.col("_b._e").alias(epoch), (F.col("_b._m") * sign).alias(metric))
+
+
+def best_event(log: DataFrame, key: Sequence[str], order: Sequence[str], metric: str = "acc") -> DataFrame:
+    """WIN13 on a log without epoch numbers: the best row per key (earliest on ties) and its
+    epoch = number of earlier rows of the key (a join of one row per key back to the log
+    and a count), with no window over a whole key."""
+    key, order = list(key), list(order)
+    best = log.groupBy(*key).agg(F.min(F.struct((-F.col(metric)).alias("_m"), *[F.col(o) for o in order])).alias("_b"))
+    best = best.select(*key, *[F.col(f"_b.{o}").alias(f"_b_{o}") for o in order], (-F.col("_b._m")).alias(metric))
+    earlier = None
+    for i, o in enumerate(order):
+        cond = F.col(o) < F.col(f"_b_{o}")
+        for p in order[:i]:
+            cond = cond & (F.col(p) == F.col(f"_b_{p}"))
+        earlier = cond if earlier is None else earlier | cond
+    counts = (log.select(*key, *order).join(best.select(*key, *[f"_b_{o}" for o in order]), key)
+              .groupBy(*key).agg(F.count_if(earlier).cast("int").alias("epoch")))
+    return best.join(counts, key).select(*key, "epoch", metric)

@@ -237,3 +237,10 @@ def win12_pack_sequences(spark, sf):
     p = C.pack_sequences(r, "conv_id", "text", 2048, range_size=64)
     return p.select(F.col("block").cast("long").alias("block"), F.md5("text").alias("text_md5"),
                     F.length("text").alias("n_chars"))
+
+
+@query("prj20_drop_columns", f"WITH {_RENDER} SELECT conv_id, length(text) AS n_chars, md5(text) AS text_md5 FROM rendered")
+def prj20_drop_columns(spark, sf):
+    """PRJ20: after rendering, the message column is dropped (only id and text remain)."""
+    m = C.messages(S.chat(spark, sf)).withColumn("text", C.render_chat("messages")).drop("messages")
+    return m.select("conv_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))

@@ -290,8 +290,5 @@ def win15_leaderboard_rank(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY acc DESC, epoch) AS rn FROM lg)
 SELECT run, epoch, acc FROM r WHERE rn = 1""")
 def win13_best_epoch(spark, sf):
-    from pyspark.sql import Window
     log = S.epoch_log(spark, sf)
-    log = log.withColumn("epoch", (F.row_number().over(
-        Window.partitionBy("run").orderBy("ts", "event_id")) - 1).cast("int")).select("run", "epoch", "acc")
-    return M.best_epoch(log, ["run"], "epoch", "acc")
+    return M.best_event(log, ["run"], ["ts", "event_id"], "acc")
