@@ -92,8 +92,15 @@ def self_recursive(edges: DataFrame, keys: Sequence[str] = ("doc_id",), src: str
 
 def words(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Token table for data flow: (doc_id, idx, word, name, is_def). A word ending in ',' or
-    '.' defines its name, other words use it; names are lower-cased letters/digits."""
-    w = docs.select(doc, F.posexplode(F.split(F.col(text), r"\s+")).alias("idx", "word")).filter(F.col("word") != "")
+    '.' defines its name, other words use it; names are lower-cased letters/digits.
+
+    The texts are clustered by document once, before the explode; every later
+    per-document window and aggregate (partitioned by the document, or by
+    document and name) reuses that partitioning, so the data-flow pipeline has
+    a single shuffle.
+    """
+    d = docs.select(doc, text).repartition(doc)
+    w = d.select(doc, F.posexplode(F.split(F.col(text), r"\s+")).alias("idx", "word")).filter(F.col("word") != "")
     return w.select(doc, "idx", "word", F.lower(F.regexp_replace("word", r"[^\p{L}\p{N}_]", "")).alias("name"),
                     F.col("word").rlike(r"[,.]$").alias("is_def")).filter(F.col("name") != "")
 
@@ -105,14 +112,17 @@ def latest_definition(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def flow_edges(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Data-flow edges (doc_id, name, idx, kind, parent_idx): comesFrom = latest definition,
-    computedFrom = first definition of the name (two sources of parents to merge)."""
-    ld = latest_definition(tokens, doc).filter(~F.col("is_def") & F.col("def_idx").isNotNull())
-    first = tokens.filter("is_def").groupBy(doc, "name").agg(F.min("idx").alias("first_def"))
-    a = ld.select(doc, "name", "idx", F.lit("comesFrom").alias("kind"), F.col("def_idx").alias("parent_idx"))
-    b = (ld.join(first, [doc, "name"]).filter(F.col("first_def") < F.col("idx"))
-         .select(doc, "name", "idx", F.lit("comesFrom").alias("kind"), F.col("first_def").alias("parent_idx")))
-    return a.unionByName(b)
+    """Data-flow edges (doc_id, name, idx, kind, parent_idx, via): every use gets a comesFrom edge
+    to its latest definition and one to the first definition of its name (two parent sources
+    for JOIN12 to merge).  Both come from one window pass and one ``inline``, no self-join."""
+    whole = Window.partitionBy(doc, "name")
+    ld = latest_definition(tokens, doc).withColumn("first_def", F.min(F.when(F.col("is_def"), F.col("idx"))).over(whole))
+    uses = ld.filter(~F.col("is_def") & F.col("def_idx").isNotNull())
+    both = F.array(
+        F.struct(F.lit("comesFrom").alias("kind"), F.col("def_idx").alias("parent_idx"), F.lit("latest").alias("via")),
+        F.struct(F.lit("comesFrom").alias("kind"),
+                 F.when(F.col("first_def") < F.col("idx"), F.col("first_def")).alias("parent_idx"), F.lit("first").alias("via")))
+    return uses.select(doc, "name", "idx", F.inline(both)).filter(F.col("parent_idx").isNotNull())
 
 
 def merge_edges(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -132,12 +142,25 @@ def prune_edges(nodes: DataFrame, edges: DataFrame, doc: str = "doc_id") -> Data
     return nodes.join(ids, [doc, "idx"], "left_semi")
 
 
-def reindex_edges(nodes: DataFrame, edges: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """JOIN14: dense positions for kept nodes; edges whose parent is not kept are dropped."""
-    pos = nodes.select(doc, "idx").withColumn("pos", F.row_number().over(Window.partitionBy(doc).orderBy("idx")) - 1)
-    e = edges.join(pos, [doc, "idx"]).join(pos.select(doc, F.col("idx").alias("parent_idx"), F.col("pos").alias("parent_pos")),
-                                           [doc, "parent_idx"])
-    return e.select(doc, "pos", "parent_pos", "kind")
+def reindex_edges(edges: DataFrame, doc: str = "doc_id", nodes: DataFrame | None = None) -> DataFrame:
+    """JOIN14: dense positions over the nodes that edges touch; with ``nodes`` (a truncated or
+    pruned node set) edges whose endpoints are not kept are dropped first.
+
+    Each edge is split into its two endpoints, ``dense_rank`` per document numbers
+    the endpoints, and the edge is re-assembled by grouping on its own columns;
+    all three steps are keyed by the document, so they share one partitioning.
+    """
+    e = edges
+    if nodes is not None:
+        kept = nodes.select(doc, "idx")
+        e = e.join(kept, [doc, "idx"], "left_semi").join(kept.withColumnRenamed("idx", "parent_idx"),
+                                                        [doc, "parent_idx"], "left_semi")
+    cols = [c for c in e.columns if c != doc]
+    ends = e.select(doc, *cols, F.inline(F.array(F.struct(F.lit(0).alias("role"), F.col("idx").alias("node")),
+                                                 F.struct(F.lit(1).alias("role"), F.col("parent_idx").alias("node")))))
+    ranked = ends.withColumn("p", F.dense_rank().over(Window.partitionBy(doc).orderBy("node")) - 1)
+    return ranked.groupBy(doc, *cols).agg(F.max(F.when(F.col("role") == 0, F.col("p"))).alias("pos"),
+                                          F.max(F.when(F.col("role") == 1, F.col("p"))).alias("parent_pos"))
 
 
 def token_spans(tokens: DataFrame, doc: str = "doc_id", piece: int = 4) -> DataFrame:

@@ -116,17 +116,61 @@ def class_accuracy(cells: DataFrame, groups: Sequence[str] | None = None,
     return cells.groupBy(*g).agg(*cols)
 
 
+def report_from_cells(cells: DataFrame, groups: Sequence[str] | None = None, digits: int | None = ROUND,
+                      classes: int = 7) -> DataFrame:
+    """AGG6-14 from the confusion cells in one chain: cells -> per-label rows -> one row per group.
+
+    Every cell is split into a true-side and a predicted-side label row; the
+    true side also carries the cell's distance-score sums, so the per-label
+    table holds everything: N = sum(support), accuracy = sum(tp) / N, HC sums,
+    class accuracy 1 - (support + predicted - 2 tp) / N and the F1 family.  No
+    branch of the plan re-reads the cells, and nothing is joined.
+    """
+    g = _g(groups)
+    t, p, n = F.col("y_true"), F.col("y_pred"), F.col("n")
+    d = F.abs(p - t).cast("double")
+    md = F.abs(mapped_rank(p) - mapped_rank(t)).cast("double")
+    scored = p != -1
+    zero = F.lit(0.0)
+
+    def w(expr: Column) -> Column:
+        return F.when(scored, expr * n).otherwise(zero)
+
+    hc = {"hc_base": w(1 - d / 6.0), "hc_w2": w(F.greatest(1 - d / 2.0, zero)), "hc_w3": w(F.greatest(1 - d / 3.0, zero)),
+          "hc_map_base": w(1 - md / 8.0), "hc_map_w2": w(F.greatest(1 - md / 2.0, zero)),
+          "hc_map_w3": w(F.greatest(1 - md / 3.0, zero))}
+    lz = F.lit(0).cast("long")
+    true_side = F.struct(t.alias("label"), n.alias("support"), lz.alias("predicted"),
+                         F.when(t == p, n).otherwise(lz).alias("tp"), *[v.alias(k) for k, v in hc.items()])
+    pred_side = F.struct(p.alias("label"), lz.alias("support"), n.alias("predicted"), lz.alias("tp"),
+                         *[zero.alias(k) for k in hc])
+    lab = (cells.select(*g, F.inline(F.array(true_side, pred_side)))
+           .groupBy(*g, "label")
+           .agg(F.sum("support").alias("s"), F.sum("predicted").alias("pc"), F.sum("tp").alias("tp"),
+                *[F.sum(k).alias(k) for k in hc]))
+    s, pc, tp = F.col("s"), F.col("pc"), F.col("tp")
+    tot = F.sum(s)
+    f1 = F.when(s + pc > 0, 2.0 * tp / (s + pc)).otherwise(zero)
+    prec = F.when(pc > 0, tp / pc).otherwise(F.lit(1.0))
+    rec = F.when(s > 0, tp / s).otherwise(zero)
+    aggs = [tot.cast("long").alias("n_rows"), _r(F.sum(tp) / tot, digits).alias("accuracy")]
+    aggs += [_r(F.sum(k) / tot, digits).alias(k) for k in hc]
+    aggs += [_r(F.sum(f1 * s) / tot, digits).alias("f1_weighted"), _r(F.avg(f1), digits).alias("f1_macro"),
+             _r(F.sum(tp) / tot, digits).alias("f1_micro"), _r(F.sum(prec * s) / tot, digits).alias("precision_weighted"),
+             _r(F.sum(rec * s) / tot, digits).alias("recall_weighted"), F.count(F.lit(1)).cast("long").alias("n_labels")]
+    aggs += [_r(1 - F.sum(F.when(F.col("label") == i, s + pc - 2 * tp).otherwise(lz)) / tot, digits).alias(f"class_acc_{i}")
+             for i in range(classes)]
+    return lab.groupBy(*g).agg(*aggs)
+
+
 def score_report(preds: DataFrame, groups: Sequence[str] = ("model",), digits: int | None = ROUND) -> DataFrame:
     """AGG24: one row per group with every metric of the report (AGG6-14).
 
-    One scan of the predictions; the three metric families are computed from
-    the cached-free tiny cell table and joined on the group keys.
+    One scan of the predictions, one partial+final aggregate to the cells,
+    then the single-chain ``report_from_cells``.
     """
     g = list(groups)
-    cells = confusion_cells(preds, g)
-    out = (distance_sums(cells, g, digits).join(f1_scores(cells, g, digits), g)
-           .join(class_accuracy(cells, g, digits=digits), g))
-    return out
+    return report_from_cells(confusion_cells(preds, g), g, digits)
 
 
 # ----------------------------------------------------------------- single metrics
@@ -197,9 +241,8 @@ def confusion_sum_folds(preds: DataFrame, groups=None, fold: str = "fold") -> Da
 def fold_metrics(preds: DataFrame, groups=None, fold: str = "fold") -> DataFrame:
     """Per (group, fold): rows, accuracy, weighted F1, HC base, HC w=2 (ML9 metrics)."""
     g = _g(groups) + [fold]
-    cells = confusion_cells(preds, g)
-    return (distance_sums(cells, g, digits=None).select(*g, "n_rows", "accuracy", "hc_base", "hc_w2")
-            .join(f1_scores(cells, g, digits=None).select(*g, "f1_weighted"), g))
+    return report_from_cells(confusion_cells(preds, g), g, digits=None).select(
+        *g, "n_rows", "accuracy", "hc_base", "hc_w2", "f1_weighted")
 
 
 def kfold_mean_std(preds: DataFrame, groups=None, fold: str = "fold") -> DataFrame:

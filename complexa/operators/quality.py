@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from complexa.functions.features import call_edges, method_segments
+from complexa.functions.features import CALL_KEYWORDS, method_segments
 from complexa.functions.text import WS, remove_comments
 
 
@@ -78,44 +78,58 @@ def unreferenced(decls: DataFrame, refs: DataFrame, keys=("doc_id", "name")) ->
     return decls.join(refs.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def dead_methods(progs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """FLT5/FLT6 decision table: (doc_id, name) of methods that are never invoked.
+CALL = r"([A-Za-z_]\w*)\s*\("
+
+
+def _calls(line: Column) -> Column:
+    names = F.regexp_extract_all(F.regexp_replace(line, r"\bnew\s+\w+", "new"), F.lit(CALL), 1)
+    kw = F.array(*[F.lit(k) for k in CALL_KEYWORDS])
+    return F.filter(names, lambda c: ~F.array_contains(kw, c))
+
+
+def method_table(progs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per program, in one pass: its lines (with their method), declared methods, referenced
+    names and dead methods.  Segmentation windows and this aggregate are keyed by the
+    program, so they share one partitioning and no join is needed.
 
     Java: a method is live if it is 'main' or invoked anywhere (its own body
     included).  Python: a function is live if its name starts with '_', is
-    'main', or is loaded outside its own body (a recursive call alone does not count).
+    'main', or is called outside its own body (a recursive call alone does not count).
     """
     seg = method_segments(progs, doc)
-    decls = seg.filter("is_header").select(doc, "lang", F.col("method").alias("name"))
-    edges = call_edges(seg, doc)
-    py_refs = (edges.join(decls.select(doc, "lang"), doc).filter(F.col("lang") == "python")
-               .filter(F.col("caller") != F.col("callee")).select(doc, F.col("callee").alias("name")))
-    # module-level code (outside any function) also loads names
-    top = seg.filter(F.col("method").isNull()).select(
-        doc, F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z_]\w*)\s*\("), 1)).alias("name"))
-    cand = decls.filter((F.col("name") != "main") & ~((F.col("lang") == "python") & F.col("name").startswith("_")))
-    java_dead = unreferenced(cand.filter(F.col("lang") == "java"), edges.select(doc, F.col("callee").alias("name"))
-                             .unionByName(top), (doc, "name"))
-    py_dead = unreferenced(cand.filter(F.col("lang") == "python"), py_refs.unionByName(top), (doc, "name"))
-    return java_dead.unionByName(py_dead)
+    items = seg.groupBy(doc, "lang").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "line", "method", "is_header"))).alias("items"))
+    body = F.filter("items", lambda x: x["method"].isNotNull() & ~x["is_header"])
+    top = F.filter("items", lambda x: x["method"].isNull())
+    java_refs = F.flatten(F.transform(body, lambda x: _calls(x["line"])))
+    py_refs = F.flatten(F.transform(body, lambda x: F.filter(_calls(x["line"]), lambda c: c != x["method"])))
+    top_refs = F.flatten(F.transform(top, lambda x: F.regexp_extract_all(x["line"], F.lit(CALL), 1)))
+    refs = F.array_distinct(F.concat(F.when(F.col("lang") == "python", py_refs).otherwise(java_refs), top_refs))
+    decls = F.array_distinct(F.transform(F.filter("items", lambda x: x["is_header"]), lambda x: x["method"]))
+    dead = F.filter(decls, lambda d: (d != "main") & ~F.array_contains(refs, d)
+                    & ~((F.col("lang") == "python") & d.startswith("_")))
+    return items.select(doc, "lang", "items", decls.alias("decls"), dead.alias("dead"))
+
+
+def dead_methods(progs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """FLT5/FLT6 decision table: (doc_id, lang, name) of methods that are never invoked."""
+    return method_table(progs, doc).select(doc, "lang", F.explode("dead").alias("name"))
 
 
 def drop_dead_declarations(progs: DataFrame, doc: str = "doc_id", dead_code: float = 1.0, seed: int = 777) -> DataFrame:
     """FLT5 (Java) / FLT6 (Python functions): remove the lines of dead methods.
 
     ``dead_code`` is the drop probability per dead method (hash-decided, 1 = always).
-    Lines are re-assembled in order per document.
+    Returns (doc_id, lang, src, dropped) with lines re-assembled in order.
     """
-    seg = method_segments(progs, doc)
-    dead = dead_methods(progs, doc).withColumn("_dead", F.lit(True))
+    t = method_table(progs, doc)
+    dead = F.col("dead")
     if dead_code < 1.0:
         from complexa.operators.splits import hash_order
-        dead = dead.filter(hash_order(seed, doc, "name") % 1000000 < int(dead_code * 1000000))
-    kept = (seg.join(dead.select(doc, F.col("name").alias("method"), "_dead"), [doc, "method"], "left")
-            .filter(F.col("_dead").isNull()))
-    return (kept.groupBy(doc, "lang")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]),
-                              "\n").alias("src")))
+        dead = F.filter("dead", lambda d: hash_order(seed, F.col(doc), d) % 1000000 < int(dead_code * 1000000))
+    t = t.withColumn("dropped", dead)
+    kept = F.filter("items", lambda x: x["method"].isNull() | ~F.array_contains(F.col("dropped"), x["method"]))
+    return t.select(doc, "lang", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("src"), "dropped")
 
 
 def unused_names(progs: DataFrame, doc: str = "doc_id", src: str = "src") -> DataFrame:

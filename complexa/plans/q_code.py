@@ -220,16 +220,15 @@ FROM programs p LEFT JOIN nd USING (doc_id) WHERE p.lang = 'java'""")
 def flt05_drop_dead_declarations(spark, sf):
     p = _progs(spark, sf).filter(F.col("lang") == "java")
     out = Q.drop_dead_declarations(p)
-    n_dead = Q.dead_methods(p).groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("n_dead"))
-    kept = out.select("doc_id", (F.regexp_count("src", F.lit(r"(?m)^\s*static int (\w+)\s*\(")).cast("long")).alias("n_kept_methods"))
-    return kept.join(n_dead, "doc_id", "left").select("doc_id", F.coalesce("n_dead", F.lit(0)).cast("long").alias("n_dead"),
-                                                     "n_kept_methods")
+    return out.select("doc_id", F.size("dropped").cast("long").alias("n_dead"),
+                      F.regexp_count("src", F.lit(r"(?m)^\s*static int (\w+)\s*\(")).cast("long").alias("n_kept_methods"))
 
 
 @query("flt06_drop_unused_names")
 def flt06_drop_unused_names(spark, sf):
     p = _progs(spark, sf).filter(F.col("lang") == "python")
     dead = Q.dead_methods(p).select("doc_id", "name", F.lit("function").alias("kind"))
+    # functions are dropped from the text by Q.drop_dead_declarations; unused variables are reported
     return dead.unionByName(Q.unused_names(p))
 
 
@@ -499,9 +498,7 @@ e AS (SELECT fe.doc_id, a.pos, b.pos AS parent_pos FROM fe JOIN pos a ON a.doc_i
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_edges, CAST(max(pos) AS BIGINT) AS max_pos, CAST(sum(pos - parent_pos) AS BIGINT) AS sum_span
 FROM e GROUP BY doc_id""")
 def join14_reindex_edges(spark, sf):
-    t = _tokens(spark, sf)
-    fe = G.flow_edges(t)
-    e = G.reindex_edges(G.prune_edges(t, fe), fe)
+    e = G.reindex_edges(G.flow_edges(_tokens(spark, sf)))
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("n_edges"), F.max("pos").cast("long").alias("max_pos"),
                                    F.sum(F.col("pos") - F.col("parent_pos")).cast("long").alias("sum_span"))
 

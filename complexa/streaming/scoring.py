@@ -37,7 +37,7 @@ def streaming_cells(preds: DataFrame) -> DataFrame:
 
 def _report_from_cells(cells: DataFrame) -> DataFrame:
     g = ["model"]
-    return (M.distance_sums(cells, g).join(M.f1_scores(cells, g), g).join(M.class_accuracy(cells, g), g))
+    return M.report_from_cells(cells, g)
 
 
 def start_score_stream(spark: SparkSession, in_path: str, out_path: str, checkpoint: str | None = None,
