@@ -21,11 +21,17 @@ from complexa.session import ensure_checkpoint_dir
 CHECKPOINT_EVERY = 4
 
 
-def _cut(df: DataFrame, level: int) -> DataFrame:
-    if level % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1:
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df
+def _ckpt(df: DataFrame) -> DataFrame:
+    """Materialise into the shared checkpoint folder and cut the lineage (survives executor loss)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = (), src: str = "caller",
@@ -34,54 +40,60 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = (), src:
 
     ``roots`` has columns (*keys, node).  ``max_depth=None`` gives the full
     closure; ``max_depth=1`` stops at the roots' callees (the reference's
-    two-level behaviour).
+    two-level behaviour).  Each new frontier is checkpointed (its size is the
+    level's new nodes); the visited set is re-checkpointed every few levels,
+    and the result is a flat union of checkpointed levels, so plan size stays
+    constant however deep the graph is.
     """
     keys = list(keys)
     e = edges.select(*keys, F.col(src).alias("node"), F.col(dst).alias("next")).distinct() \
              .persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = roots.select(*keys, "node").distinct().withColumn("depth", F.lit(0)) \
-                    .persist(StorageLevel.MEMORY_AND_DISK)
-    visited = frontier
+    frontier = _ckpt(roots.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
+    levels = [frontier]
+    visited = frontier.select(*keys, "node")
     level = 0
     while max_depth is None or level < max_depth:
         nxt = (frontier.join(e, keys + ["node"]).select(*keys, F.col("next").alias("node")).distinct()
-               .join(visited.select(*keys, "node"), keys + ["node"], "left_anti")
+               .join(visited, keys + ["node"], "left_anti")
                .withColumn("depth", F.lit(level + 1)))
-        nxt = _cut(nxt, level).persist(StorageLevel.MEMORY_AND_DISK)
+        nxt = _ckpt(nxt)
         if nxt.isEmpty():
             break
-        visited = _cut(visited.unionByName(nxt), level)
+        levels.append(nxt)
+        visited = visited.unionByName(nxt.select(*keys, "node"))
+        if level % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1:
+            visited = _ckpt(visited)
         frontier = nxt
         level += 1
-    return visited
+    e.unpersist()
+    return _union_all(levels)
 
 
 def rollup_tree(edges: DataFrame, values: DataFrame, root: DataFrame, keys: Sequence[str] = (),
                 src: str = "caller", dst: str = "callee", value: str = "value") -> DataFrame:
     """JOIN8: bottom-up roll-up over the BFS tree from the root: sum of values and max of values
-    over each node's reachable subtree, one join per level from the deepest up."""
+    over each node's reachable subtree, one join + aggregate per level from the deepest up.
+    Every level is checkpointed and the output is a flat union of the levels."""
     keys = list(keys)
-    r = reachable(edges, root, keys, src, dst)
-    tree = (edges.select(*keys, F.col(src).alias("parent"), F.col(dst).alias("node"))
-            .join(r.select(*keys, "node", "depth"), keys + ["node"])
-            .join(r.select(*keys, F.col("node").alias("parent"), F.col("depth").alias("pdepth")), keys + ["parent"])
-            .filter(F.col("pdepth") == F.col("depth") - 1))
-    vals = r.join(values.select(*keys, "node", F.col(value).alias("v")), keys + ["node"], "left") \
-            .withColumn("v", F.coalesce("v", F.lit(0))).persist(StorageLevel.MEMORY_AND_DISK)
-    tree = tree.persist(StorageLevel.MEMORY_AND_DISK)
+    r = _ckpt(reachable(edges, root, keys, src, dst))
+    tree = _ckpt(edges.select(*keys, F.col(src).alias("parent"), F.col(dst).alias("node"))
+                 .join(r.select(*keys, "node", "depth"), keys + ["node"])
+                 .join(r.select(*keys, F.col("node").alias("parent"), F.col("depth").alias("pdepth")), keys + ["parent"])
+                 .filter(F.col("pdepth") == F.col("depth") - 1).drop("pdepth"))
+    vals = _ckpt(r.join(values.select(*keys, "node", F.col(value).alias("v")), keys + ["node"], "left")
+                 .withColumn("v", F.coalesce("v", F.lit(0))))
     max_depth = vals.agg(F.max("depth")).first()[0] or 0
-    acc = vals.filter(F.col("depth") == max_depth).select(*keys, "node", F.col("v").alias("sum_v"),
-                                                          F.col("v").alias("max_v"), "depth")
-    done = acc
+    acc = _ckpt(vals.filter(F.col("depth") == max_depth)
+                .select(*keys, "node", F.col("v").alias("sum_v"), F.col("v").alias("max_v"), "depth"))
+    levels = [acc]
     for d in range(max_depth - 1, -1, -1):
-        child = tree.filter(F.col("depth") == d + 1).join(acc, keys + ["node"]) \
-                    .groupBy(*keys, "parent").agg(F.sum("sum_v").alias("cs"), F.max("max_v").alias("cm"))
+        child = (tree.filter(F.col("depth") == d + 1).join(acc.select(*keys, "node", "sum_v", "max_v"), keys + ["node"])
+                 .groupBy(*keys, "parent").agg(F.sum("sum_v").alias("cs"), F.max("max_v").alias("cm")))
         lvl = vals.filter(F.col("depth") == d).join(child.withColumnRenamed("parent", "node"), keys + ["node"], "left")
-        acc = lvl.select(*keys, "node", (F.col("v") + F.coalesce("cs", F.lit(0))).alias("sum_v"),
-                         F.greatest(F.col("v"), F.coalesce("cm", F.col("v"))).alias("max_v"), "depth")
-        acc = _cut(acc, max_depth - d).persist(StorageLevel.MEMORY_AND_DISK)
-        done = done.unionByName(acc)
-    return done
+        acc = _ckpt(lvl.select(*keys, "node", (F.col("v") + F.coalesce("cs", F.lit(0))).alias("sum_v"),
+                               F.greatest(F.col("v"), F.coalesce("cm", F.col("v"))).alias("max_v"), "depth"))
+        levels.append(acc)
+    return _union_all(levels)
 
 
 def self_recursive(edges: DataFrame, keys: Sequence[str] = ("doc_id",), src: str = "caller", dst: str = "callee") -> DataFrame:
