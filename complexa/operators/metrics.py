@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from complexa.functions.labels import mapped_rank
+from complexa.functions.labels import mapped_rank, t_to_r
 
 ROUND = 6
 
@@ -30,10 +30,21 @@ def _g(groups: Sequence[str] | None) -> list[str]:
 
 # --------------------------------------------------------------------------- cells
 def confusion_cells(preds: DataFrame, groups: Sequence[str] | None = None,
-                    y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """(groups..., y_true, y_pred, n): one partial+final aggregate over the predictions."""
+                    y_true: str = "y_true", y_pred: str = "y_pred", order: str = "R") -> DataFrame:
+    """(groups..., y_true, y_pred, n): one partial+final aggregate over the predictions.
+
+    ``order``: 'R' = labels are complexity ranks (scoring order); 'T' = labels are
+    training ids (T-order), remapped to ranks before scoring; 'T-parity' = T-order
+    ids scored as they are (what the classical-model evaluation of the reference does).
+    """
     g = _g(groups)
-    return (preds.groupBy(*g, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred"))
+    t, p = F.col(y_true), F.col(y_pred)
+    if order == "T":
+        t = t_to_r(t)
+        p = F.when(p == -1, p).otherwise(t_to_r(p))
+    elif order not in ("R", "T-parity"):
+        raise ValueError(f"unknown label order {order!r}")
+    return (preds.groupBy(*g, t.cast("int").alias("y_true"), p.cast("int").alias("y_pred"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -163,14 +174,15 @@ def report_from_cells(cells: DataFrame, groups: Sequence[str] | None = None, dig
     return lab.groupBy(*g).agg(*aggs)
 
 
-def score_report(preds: DataFrame, groups: Sequence[str] = ("model",), digits: int | None = ROUND) -> DataFrame:
+def score_report(preds: DataFrame, groups: Sequence[str] = ("model",), digits: int | None = ROUND,
+                 order: str = "R") -> DataFrame:
     """AGG24: one row per group with every metric of the report (AGG6-14).
 
     One scan of the predictions, one partial+final aggregate to the cells,
     then the single-chain ``report_from_cells``.
     """
     g = list(groups)
-    return report_from_cells(confusion_cells(preds, g), g, digits)
+    return report_from_cells(confusion_cells(preds, g, order=order), g, digits)
 
 
 # ----------------------------------------------------------------- single metrics

@@ -25,8 +25,11 @@ BIN_BITS = 16
 
 
 def hash_order(seed, *cols) -> Column:
-    """32-bit unsigned hash of ``seed|col...`` from md5: same value in Spark and DuckDB."""
-    parts = [F.lit(str(seed))] + [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]
+    """32-bit unsigned hash of ``seed|col...`` from md5: same value in Spark and DuckDB.
+
+    ``seed`` is a literal or a Column (several seeds evaluated in one query)."""
+    s = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    parts = [s] + [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
@@ -113,6 +116,43 @@ def group_kfold(df: DataFrame, label: str = "label", group: str = "problem", siz
             .select(label, group, fold.cast("int").alias("fold")))
 
 
+def group_kfold_retry(df: DataFrame, label: str = "label", group: str = "problem", size: float = 0.8,
+                      n: int = 4, seeds: Sequence[int] = tuple(range(770, 780))) -> DataFrame:
+    """WIN2 + WIN3 with retries: the fold table of the first seed (in list order) whose
+    checked folds (all but the last) keep the class's train-row share inside
+    (0.8 * size, 1.2 * size); a class with no accepted seed keeps the first seed.
+
+    All seeds are evaluated in one query (problems x seeds rows, ranked per
+    (class, seed) with ``hash_rank``); the choice is a ``min`` per class.
+    Returns (label, problem, fold, seed, accepted).
+    """
+    seeds = list(seeds)
+    probs = df.select(label, group).distinct()
+    per_seed = probs.select(label, group, F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
+    per_seed = per_seed.withColumn("_h", hash_order(F.col("seed"), label, group))
+    r = hash_rank(per_seed, [label, "seed"], "_h", group, "_rank")
+    sizes = probs.groupBy(label).agg(F.count(F.lit(1)).alias("_np"))
+    ends = fold_thresholds(F.col("_np"), size, n)
+    sizes = sizes.select(label, *[e.alias(f"_end{i}") for i, e in enumerate(ends)])
+    fold = F.lit(n - 1)
+    for i in reversed(range(n - 1)):
+        fold = F.when(F.col("_rank") <= F.col(f"_end{i}"), F.lit(i)).otherwise(fold)
+    folds = r.join(F.broadcast(sizes), label).select(label, group, "seed", fold.cast("int").alias("fold"))
+    rows = df.groupBy(label, group).agg(F.count(F.lit(1)).alias("_rows"))
+    per_fold = (folds.join(rows, [label, group]).groupBy(label, "seed", "fold").agg(F.sum("_rows").alias("_test")))
+    w = Window.partitionBy(label, "seed")
+    share = 1 - F.col("_test") / F.sum("_test").over(w)
+    ok = (share < F.lit(size * 1.2)) & (share > F.lit(size * 0.8))
+    verdict = (per_fold.withColumn("_ok", ok | (F.col("fold") == n - 1))
+               .groupBy(label, "seed").agg(F.min(F.col("_ok").cast("int")).alias("_all")))
+    pos = F.array_position(F.array(*[F.lit(s) for s in seeds]), F.col("seed"))
+    choice = verdict.groupBy(label).agg(
+        F.min(F.when(F.col("_all") == 1, pos)).alias("_first_ok"))
+    choice = choice.select(label, F.coalesce("_first_ok", F.lit(1)).alias("_pos"), F.col("_first_ok").isNotNull().alias("accepted"))
+    chosen = choice.select(label, F.get(F.array(*[F.lit(s) for s in seeds]), F.col("_pos") - 1).alias("seed"), "accepted")
+    return folds.join(F.broadcast(chosen), [label, "seed"]).select(label, group, "fold", "seed", "accepted")
+
+
 def assign_fold(df: DataFrame, folds: DataFrame, label: str = "label", group: str = "problem") -> DataFrame:
     """JOIN2: each row gets the fold in which it is test (equi-join on (label, problem))."""
     return df.join(folds, [label, group], "left")

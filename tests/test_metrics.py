@@ -50,3 +50,15 @@ def test_kfold_weighted(spark):
 def test_best_epoch(spark):
     log = spark.createDataFrame([(1, 0, .5), (1, 1, .7), (1, 2, .7)], "run int, epoch int, acc double")
     assert M.best_epoch(log, ["run"]).first().epoch == 1
+
+
+def test_label_orders(spark):
+    # T-order ids: constant 0, linear 1, logn 2 ... -> R ranks constant 0, logn 1, linear 2
+    df = spark.createDataFrame([("m", 1, 2), ("m", 6, 6)], "model string, y_true int, y_pred int")
+    parity = M.score_report(df, ["model"], order="T-parity").first()
+    remap = M.score_report(df, ["model"], order="T").first()
+    assert parity.hc_base == round((1 - 1 / 6 + 1) / 2, 6)  # |2-1| = 1 in T-order
+    assert remap.hc_base == round((1 - 1 / 6 + 1) / 2, 6)  # linear(2) vs logn(1) in R-order: also 1
+    df2 = spark.createDataFrame([("m", 1, 5)], "model string, y_true int, y_pred int")  # linear vs nlogn
+    assert M.score_report(df2, ["model"], order="T-parity").first().hc_base == round(1 - 4 / 6, 6)
+    assert M.score_report(df2, ["model"], order="T").first().hc_base == round(1 - 1 / 6, 6)
