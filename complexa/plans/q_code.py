@@ -11,7 +11,7 @@ from complexa.operators import metrics as M
 from complexa.operators import quality as Q
 from complexa.operators.splits import mutation_count
 from complexa.plans import standins as S
-from complexa.plans.registry import CALL_EDGES, PREDICTIONS, query
+from complexa.plans.registry import CALL_EDGES, PREDICTIONS, add_oracle, query
 
 
 def _sql_str(s: str) -> str:
@@ -361,8 +361,10 @@ def fea09_split_methods(spark, sf):
 def fea10_feature_vector(spark, sf):
     p = _progs(spark, sf).filter(F.col("lang") == "java")
     c = p.select("doc_id", "label", FE.java_counts(T.remove_comments("src", "lang")).alias("c"))
+    rec = G.self_recursive(FE.call_edges(FE.method_segments(p)), ["doc_id"])
+    c = c.join(rec, "doc_id", "left").withColumn("n_recursive", F.coalesce("n_recursive", F.lit(0)))
     cols = [f"c.{f}" for f in ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashmap",
-                               "n_hashset", "nested", "nested", "n_vars", "n_methods", "n_statements"]]
+                               "n_hashset"]] + ["n_recursive"] + [f"c.{f}" for f in ["nested", "n_vars", "n_methods", "n_statements"]]
     from pyspark.ml.functions import vector_to_array
     v = c.select("doc_id", "label", FE.feature_vector(cols).alias("features"))
     return v.select("doc_id", "label", F.array_join(vector_to_array("features").cast("array<string>"), ",").alias("features"))
@@ -528,3 +530,148 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_edges, CAST(max(idx) AS BIGINT) AS
 def win11_edge_budget(spark, sf):
     e = G.edge_budget(G.flow_edges(_tokens(spark, sf)), 64)
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("n_edges"), F.max("idx").cast("long").alias("last_idx"))
+
+
+
+# ------------------------------------------------- oracles for the lexical layer
+# Method segmentation written in SQL (brace depth / indentation + last header),
+# so FEA7, FEA9, FLT6 and FEA10 are checked across engines.
+def _seg_sql(table: str = "programs", prefix: str = PROGRAMS) -> str:
+    jh = _re(FE.JAVA_HEADER)
+    ph = _re(FE.PY_HEADER)
+    ws = WSQ
+    return (prefix + """,
+sl AS (SELECT doc_id, lang, unnest(string_split(src, chr(10))) AS line,
+              generate_subscripts(string_split(src, chr(10)), 1) - 1 AS pos FROM @TABLE@),
+sd AS (SELECT *, coalesce(sum((length(line) - length(replace(line, '{', ''))) - (length(line) - length(replace(line, '}', ''))))
+         OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM sl),
+sh AS (SELECT *, CASE WHEN lang = 'java' THEN (CASE WHEN depth = 1 THEN nullif(regexp_extract(line, '@JH@', 1), '') END)
+                      ELSE nullif(regexp_extract(line, '@PH@', 1), '') END AS header FROM sd),
+sc AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur FROM sh),
+seg AS (SELECT doc_id, lang, pos, line, header IS NOT NULL AS is_header,
+          CASE WHEN (lang = 'java' AND (depth >= 2 OR header IS NOT NULL))
+                 OR (lang <> 'java' AND (header IS NOT NULL OR regexp_matches(line, '^[@WS@]') OR NOT regexp_matches(line, '[^@WS@]')))
+               THEN cur END AS method FROM sc),
+calls AS (SELECT doc_id, lang, method AS caller,
+            unnest(regexp_extract_all(regexp_replace(line, '\\bnew\\s+\\w+', 'new', 'g'), '([A-Za-z_]\\w*)\\s*\\(', 1)) AS callee
+          FROM seg WHERE method IS NOT NULL AND NOT is_header),
+edges_ AS (SELECT DISTINCT doc_id, lang, caller, callee FROM calls WHERE callee NOT IN (@KW@))"""
+            .replace("@JH@", jh).replace("@PH@", ph).replace("@WS@", ws).replace("@TABLE@", table)
+            .replace("@KW@", ", ".join(f"'{k}'" for k in FE.CALL_KEYWORDS)))
+
+
+SEG = _seg_sql()
+add_oracle("fea07_call_edges", f"WITH {SEG} SELECT doc_id, caller, callee FROM edges_")
+add_oracle("fea09_split_methods", f"""WITH {SEG}
+SELECT doc_id, lang, CAST(count(DISTINCT method) AS BIGINT) AS n_methods, CAST(count(method) AS BIGINT) AS method_lines,
+       CAST(max(CASE WHEN method = 'main' THEN pos END) AS INTEGER) AS main_pos FROM seg GROUP BY doc_id, lang""")
+
+_STORE = r"(?m)^[ \t]*([A-Za-z_]\w*)\s*=[^=]"
+add_oracle("flt06_drop_unused_names", f"""WITH {SEG},
+refs AS (SELECT doc_id, callee AS name FROM edges_ WHERE lang = 'python' AND caller <> callee
+         UNION SELECT doc_id, unnest(regexp_extract_all(line, '([A-Za-z_]\\w*)\\s*\\(', 1)) FROM seg WHERE method IS NULL AND lang = 'python'),
+decl AS (SELECT DISTINCT doc_id, method AS name FROM seg WHERE is_header AND lang = 'python'),
+dead AS (SELECT doc_id, name, 'function' AS kind FROM decl d WHERE name <> 'main' AND NOT starts_with(name, '_')
+         AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.doc_id = d.doc_id AND r.name = d.name)),
+st AS (SELECT doc_id, unnest(regexp_extract_all(src, '{_re(_STORE)}', 1)) AS name FROM programs WHERE lang = 'python'),
+wd AS (SELECT doc_id, unnest(regexp_extract_all(src, '[A-Za-z_]\\w*')) AS name FROM programs WHERE lang = 'python'),
+ns AS (SELECT doc_id, name, count(*) AS ns FROM st GROUP BY ALL),
+nw AS (SELECT doc_id, name, count(*) AS nw FROM wd GROUP BY ALL),
+unused AS (SELECT ns.doc_id, ns.name, 'variable' AS kind FROM ns JOIN nw USING (doc_id, name) WHERE nw <= ns)
+SELECT * FROM dead UNION ALL SELECT * FROM unused""")
+
+
+def _ordered_distinct(x: str) -> str:
+    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+
+
+def _rename_sql(x: str) -> str:
+    cls = _ordered_distinct(f"regexp_extract_all({x}, '\\bclass\\s+([A-Za-z_]\\w*)', 1)")
+    meth = _ordered_distinct(f"list_filter(regexp_extract_all({x}, '(?m)(?:^def\\s+|\\b(?:void|int|long|double|boolean|String|float|char)\\s+)([A-Za-z_]\\w*)\\s*\\(', 1), lambda v: v <> 'main')")
+    var = _ordered_distinct(f"regexp_extract_all({x}, '\\b(?:int|long|double|float|boolean|char|String)(?:\\[\\])*\\s+([A-Za-z_]\\w*)\\s*[=;,)]', 1)")
+    pairs = (f"list_concat(list_transform({cls}, lambda v, i: {{'n': v, 'r': 'CLASS' || CAST(i - 1 AS VARCHAR)}}), "
+             f"list_transform({meth}, lambda v, i: {{'n': v, 'r': 'METHOD' || CAST(i - 1 AS VARCHAR)}}), "
+             f"list_transform({var}, lambda v, i: {{'n': v, 'r': 'VAR' || CAST(i - 1 AS VARCHAR)}}))")
+    return f"list_reduce({pairs}, lambda acc, p: regexp_replace(acc, '\\b' || p.n || '\\b', p.r, 'g'), {x})"
+
+
+add_oracle("prj21_rename_identifiers", f"""WITH {PROGRAMS}, r AS (SELECT doc_id, lang, {_rename_sql('src')} AS out FROM programs)
+SELECT doc_id, lang, md5(out) AS out_md5, length(out) AS n_chars FROM r""")
+
+
+def _unreach_sql(x: str) -> str:
+    return _UNREACH.replace("string_split(src, chr(10))", f"string_split({x}, chr(10))")
+
+
+_NMUT = (f"CASE WHEN lang = 'java' THEN 1 + ('0x' || substr(md5('777-mut|' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 5 "
+         f"ELSE 1 + ('0x' || substr(md5('777-mut|' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10 END")
+
+
+def _blank(x: str) -> str:
+    return f"(length(regexp_replace({x}, '[{WSQ}]', '', 'g')) = 0)"
+
+
+_AUG = f"""WITH {PROGRAMS},
+a0 AS (SELECT doc_id, lang, src, {_NMUT} AS n, CASE lang WHEN 'java' THEN {JAVA_RM} WHEN 'python' THEN {PY_RM} ELSE src END AS c FROM programs),
+a1 AS (SELECT doc_id, lang, n, (n > 0 AND {_blank('c')}) AS failed, CASE WHEN n > 0 AND NOT {_blank('c')} THEN c ELSE src END AS out FROM a0),
+b0 AS (SELECT *, {_rename_sql('out')} AS c FROM a1),
+b1 AS (SELECT doc_id, lang, n, failed OR (n > 1 AND {_blank('c')}) AS failed, CASE WHEN n > 1 AND NOT {_blank('c')} THEN c ELSE out END AS out FROM b0),
+c0 AS (SELECT *, array_to_string({_unreach_sql('out')}, chr(10)) AS c FROM b1),
+aug AS (SELECT doc_id, lang, failed OR (n > 2 AND {_blank('c')}) AS failed, CASE WHEN n > 2 AND NOT {_blank('c')} THEN c ELSE out END AS out FROM c0)"""
+
+add_oracle("win06_augment_job", _AUG + " SELECT doc_id, lang, failed, md5(out) AS out_md5 FROM aug WHERE NOT (lang = 'python' AND failed)")
+add_oracle("agg22_failure_ledger", _AUG + """ SELECT lang, CAST(count(*) AS BIGINT) AS total, CAST(sum(CAST(failed AS INTEGER)) AS BIGINT) AS failed,
+  round(avg(CAST(failed AS DOUBLE)), 6) AS failed_share FROM aug GROUP BY lang""")
+
+_JCOUNTS = [r"\bif\s*\(", r"\bswitch\s*\(", None, r"\bbreak\s*;", r"\bnew\s+PriorityQueue\b", r"\.sort\s*\(",
+            r"\bnew\s+HashMap\b", r"\bnew\s+HashSet\b"]
+
+
+def _vec_sql() -> str:
+    parts = []
+    for pat in _JCOUNTS:
+        if pat is None:
+            parts.append(f"({_rc('s', r'\bfor\s*\(')} + {_rc('s', r'\bwhile\s*\(')} - {_rc('s', r'\}\s*while\s*\(')})")
+        else:
+            parts.append(_rc("s", pat))
+    parts.append("coalesce(rc.n_rec, 0)")
+    parts.append("CASE WHEN contains(s, 'for (int j') THEN 2 WHEN regexp_matches(s, '\\b(for|while)\\s*\\(') THEN 1 ELSE 0 END")
+    parts += [_rc("s", FE.JAVA_VAR), _rc("s", "(?m)" + FE.JAVA_HEADER),
+              f"({_rc('s', ';')} + {_rc('s', r'\b(?:if|for|while|switch|do|try)\b')})"]
+    return "array_to_string([" + ", ".join(f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)" for x in parts) + "], ',')"
+
+
+add_oracle("fea10_feature_vector", f"""WITH {SEG},
+rc AS (SELECT doc_id, count(DISTINCT caller) AS n_rec FROM edges_ WHERE caller = callee GROUP BY doc_id),
+j AS (SELECT doc_id, label, {JAVA_RM} AS s FROM programs WHERE lang = 'java')
+SELECT j.doc_id, j.label, {_vec_sql()} AS features FROM j LEFT JOIN rc USING (doc_id)""")
+
+
+_SEG_STRIPPED = _seg_sql("pj", PROGRAMS + f",\npj AS (SELECT doc_id, lang, label, {JAVA_RM} AS src FROM programs WHERE lang = 'java')")
+
+
+def _counts_sql(b: str) -> str:
+    loops = f"({_rc(b, r'\bfor\s*\(')} + {_rc(b, r'\bwhile\s*\(')} - {_rc(b, r'\}\s*while\s*\(')})"
+    return ", ".join([
+        f"{_rc(b, r'\bif\s*\(')} AS n_if", f"{_rc(b, r'\bswitch\s*\(')} AS n_switch", f"{loops} AS n_loop",
+        f"{_rc(b, r'\bbreak\s*;')} AS n_break", f"{_rc(b, r'\bnew\s+PriorityQueue\b')} AS n_priority",
+        f"{_rc(b, r'\.sort\s*\(')} AS n_sort", f"{_rc(b, r'\bnew\s+HashSet\b')} AS n_hashset",
+        f"{_rc(b, r'\bnew\s+HashMap\b')} AS n_hashmap",
+        f"CASE WHEN contains({b}, 'for (int j') THEN 2 WHEN regexp_matches({b}, '\\b(for|while)\\s*\\(') THEN 1 ELSE 0 END AS nested",
+        f"{_rc(b, FE.JAVA_VAR)} AS n_vars",
+        f"({_rc(b, ';')} + {_rc(b, r'\b(?:if|for|while|switch|do|try)\b')}) AS n_statements"])
+
+
+_F5 = ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashset", "n_hashmap"]
+add_oracle("fea05_java_counts_v2", f"""WITH RECURSIVE {_SEG_STRIPPED},
+bodies AS (SELECT doc_id, method, string_agg(line, chr(10) ORDER BY pos) AS body FROM seg WHERE method IS NOT NULL GROUP BY ALL),
+mc AS (SELECT doc_id, method, {_counts_sql('body')} FROM bodies),
+r(doc_id, node) AS (SELECT DISTINCT doc_id, method FROM seg WHERE is_header AND method = 'main'
+                    UNION SELECT r.doc_id, e.callee FROM r JOIN edges_ e ON e.doc_id = r.doc_id AND e.caller = r.node),
+rc AS (SELECT doc_id, count(DISTINCT caller) AS n_rec FROM edges_ WHERE caller = callee GROUP BY doc_id),
+agg AS (SELECT r.doc_id, {", ".join(f"CAST(sum({c}) AS INTEGER) AS {c}" for c in _F5)},
+               CAST(max(nested) AS INTEGER) AS nested, CAST(sum(n_vars) AS INTEGER) AS n_vars,
+               CAST(count(*) AS INTEGER) AS n_methods, CAST(sum(n_statements) AS INTEGER) AS n_statements
+        FROM r JOIN mc ON mc.doc_id = r.doc_id AND mc.method = r.node GROUP BY r.doc_id)
+SELECT agg.*, CAST(coalesce(rc.n_rec, 0) AS INTEGER) AS n_recursive FROM agg LEFT JOIN rc USING (doc_id)""")

@@ -39,3 +39,10 @@ CORPUS = """corpus AS (
 
 CALL_EDGES = """edges AS (
   SELECT CAST(floor(p_partkey / 2) AS BIGINT) AS caller, p_partkey AS callee FROM part)"""
+
+
+def add_oracle(name: str, sql: str) -> None:
+    """Attach an oracle to an already registered query."""
+    if name not in QUERIES:
+        raise KeyError(name)
+    ORACLES[name] = sql.strip()
