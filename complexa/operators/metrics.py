@@ -349,7 +349,7 @@ def leaderboard_rank(board: DataFrame, metric: str, partition: Sequence[str] = (
     """WIN15: rank by score descending; rank 1 is the bold cell."""
     w = Window.partitionBy(*partition).orderBy(F.col(metric).desc()) if partition else \
         Window.partitionBy(F.lit(0)).orderBy(F.col(metric).desc())
-    return board.withColumn(f"{metric}_rank", F.rank().over(w))
+    return board.withColumn(f"{metric}_rank", F.rank().over(w).cast("long"))
 
 
 def best_epoch(log: DataFrame, key: Sequence[str], epoch: str = "epoch", metric: str = "acc",

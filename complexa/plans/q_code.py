@@ -79,7 +79,7 @@ SELECT doc_id, lang, md5(out) AS out_md5, length(out) AS n_chars FROM r""")
 def prj04_remove_comments(spark, sf):
     p = _progs(spark, sf)
     out = T.remove_comments("src", "lang")
-    return p.select("doc_id", "lang", F.md5(out).alias("out_md5"), F.length(out).alias("n_chars"))
+    return p.select("doc_id", "lang", F.md5(out).alias("out_md5"), F.length(out).cast("long").alias("n_chars"))
 
 
 @query("prj04_remove_comments_prose", f"""WITH r AS (SELECT doc_id, CASE lang WHEN 'en' THEN regexp_replace(text, '(?ms){_re(T.JAVA_COMMENT)}', '\\1', 'g')
@@ -90,7 +90,7 @@ def prj04_remove_comments_prose(spark, sf):
     d = S.table(spark, sf, "documents")
     lang = F.when(F.col("lang") == "en", "java").when(F.col("lang") == "fr", "python").otherwise(F.col("lang"))
     out = T.remove_comments(F.col("text"), lang)
-    return d.select("doc_id", F.md5(out).alias("out_md5"), F.length(out).alias("n_chars"))
+    return d.select("doc_id", F.md5(out).alias("out_md5"), F.length(out).cast("long").alias("n_chars"))
 
 
 _C_MARK = (f"regexp_replace(src, '(?ms)({_re(T.C_COMMENT)})|({_re(T.C_STRING)})', chr(1) || '\\1' || chr(2) || '\\2', 'g')")
@@ -102,7 +102,7 @@ SELECT doc_id, md5(out) AS out_md5, length(out) AS n_chars FROM r""")
 def prj05_strip_comments_c(spark, sf):
     p = _progs(spark, sf).filter(F.col("lang") == "java")
     out = T.strip_comments_c("src")
-    return p.select("doc_id", F.md5(out).alias("out_md5"), F.length(out).alias("n_chars"))
+    return p.select("doc_id", F.md5(out).alias("out_md5"), F.length(out).cast("long").alias("n_chars"))
 
 
 @query("prj06_strip_python_comments", f"""WITH {PROGRAMS}, r AS (SELECT doc_id, {_drop_blank(PY_RM)} AS out FROM programs WHERE lang = 'python')
@@ -110,7 +110,7 @@ SELECT doc_id, md5(out) AS out_md5, length(out) AS n_chars FROM r""")
 def prj06_strip_python_comments(spark, sf):
     p = _progs(spark, sf).filter(F.col("lang") == "python")
     out = T.strip_python_comments("src")
-    return p.select("doc_id", F.md5(out).alias("out_md5"), F.length(out).alias("n_chars"))
+    return p.select("doc_id", F.md5(out).alias("out_md5"), F.length(out).cast("long").alias("n_chars"))
 
 
 @query("prj07_delete_import", f"""WITH {PROGRAMS},
@@ -119,7 +119,7 @@ SELECT doc_id, md5(out) AS out_md5, length(out) AS n_chars FROM r""")
 def prj07_delete_import(spark, sf):
     p = _progs(spark, sf)
     out = T.delete_import("src")
-    return p.select("doc_id", F.md5(out).alias("out_md5"), F.length(out).alias("n_chars"))
+    return p.select("doc_id", F.md5(out).alias("out_md5"), F.length(out).cast("long").alias("n_chars"))
 
 
 @query("prj08_preprocess", f"""WITH {PROGRAMS},
@@ -135,7 +135,7 @@ def prj08_preprocess(spark, sf):
 def prj21_rename_identifiers(spark, sf):
     p = _progs(spark, sf)
     out = Q.rename_identifiers("src")
-    return p.select("doc_id", "lang", F.md5(out).alias("out_md5"), F.length(out).alias("n_chars"))
+    return p.select("doc_id", "lang", F.md5(out).alias("out_md5"), F.length(out).cast("long").alias("n_chars"))
 
 
 # -------------------------------------------------------------- quality gates

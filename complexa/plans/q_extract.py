@@ -157,7 +157,7 @@ def prj09_expected_answer(spark, sf):
     c = S.chat(spark, sf).filter(F.col("role") == "assistant")
     la = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("content"))
     from complexa.functions.extract import expected_answer
-    return la.select("conv_id", expected_answer("content").alias("answer"), F.length("content").alias("n_chars"))
+    return la.select("conv_id", expected_answer("content").alias("answer"), F.length("content").cast("long").alias("n_chars"))
 
 
 @query("prj14_remove_assistant", """SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages,
@@ -185,7 +185,7 @@ merged AS (
 def prj15_merge_user_turns(spark, sf):
     m = C.merge_user_turns(S.chat(spark, sf))
     return m.select("conv_id", F.col("pos").cast("long").alias("pos"), "role",
-                    F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+                    F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
 _RENDER = """rendered AS (SELECT conv_id, string_agg(CASE role WHEN 'system' THEN text
@@ -198,7 +198,7 @@ _RENDER = """rendered AS (SELECT conv_id, string_agg(CASE role WHEN 'system' THE
 def prj16_render_chat(spark, sf):
     """PRJ16 + PRJ20: render the messages, then drop the message column."""
     m = C.messages(S.chat(spark, sf)).withColumn("text", C.render_chat("messages")).drop("messages")
-    return m.select("conv_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+    return m.select("conv_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query("prj17_truncate_messages", """SELECT conv_id, CAST(sum(length(left(text, 2048))) AS BIGINT) AS n_chars,
@@ -236,11 +236,11 @@ def win12_pack_sequences(spark, sf):
     r = C.messages(S.chat(spark, sf)).select("conv_id", C.render_chat("messages").alias("text"))
     p = C.pack_sequences(r, "conv_id", "text", 2048, range_size=64)
     return p.select(F.col("block").cast("long").alias("block"), F.md5("text").alias("text_md5"),
-                    F.length("text").alias("n_chars"))
+                    F.length("text").cast("long").alias("n_chars"))
 
 
 @query("prj20_drop_columns", f"WITH {_RENDER} SELECT conv_id, length(text) AS n_chars, md5(text) AS text_md5 FROM rendered")
 def prj20_drop_columns(spark, sf):
     """PRJ20: after rendering, the message column is dropped (only id and text remain)."""
     m = C.messages(S.chat(spark, sf)).withColumn("text", C.render_chat("messages")).drop("messages")
-    return m.select("conv_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return m.select("conv_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))

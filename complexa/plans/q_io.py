@@ -70,7 +70,7 @@ def src04_read_raw_responses(spark, sf):
     path = _tmp(spark, "raw")
     r.select("idx", IO.raw_response_text(F.col("text")).alias("value")).write.mode("overwrite").partitionBy("idx").text(path)
     back = IO.read_raw_responses(spark, path)
-    return back.select("idx", F.md5("response").alias("response_md5"), F.length("response").alias("n_chars"))
+    return back.select("idx", F.md5("response").alias("response_md5"), F.length("response").cast("long").alias("n_chars"))
 
 
 @query("src05_read_refined", f"WITH {REFINED} SELECT string_split(model_id, '/')[-1] AS model, complexity, CAST(count(*) AS BIGINT) AS n, "
