@@ -49,10 +49,15 @@ def assistant_segment(response, model_id) -> Column:
     return out
 
 
-def _first_contained(seg: Column, pairs) -> Column:
+def _first_contained(seg: Column, pairs, word_boundary: bool = False) -> Column:
     out = None
     for key, name in pairs:
-        out = F.when(seg.contains(key), F.lit(name)) if out is None else out.when(seg.contains(key), F.lit(name))
+        if word_boundary:
+            import re
+            hit = seg.rlike(r"(^|[^a-z0-9])" + re.escape(key) + r"($|[^a-z0-9])")
+        else:
+            hit = seg.contains(key)
+        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out.otherwise(F.lit(ERROR))
 
 
@@ -67,16 +72,18 @@ def complexity_segment(segment) -> Column:
             .otherwise(F.get(F.split(a, SPLIT_FALLBACK), 1))
 
 
-def extract_complexity(segment) -> Column:
+def extract_complexity(segment, word_boundary: bool = False) -> Column:
     """PRJ11: class name, 'ERROR' or 'NO RESPONCE' from a lower-cased assistant segment.
 
     The word list and the symbol list each give a candidate; if both give
     one, the higher complexity class wins (that is what the reference's
-    index comparison amounts to, ties included).
+    index comparison amounts to, ties included).  ``word_boundary=True`` only
+    accepts keys that are not glued to letters or digits, so 'np' inside
+    'input' no longer reads as exponential (parity mode is the default).
     """
     seg = complexity_segment(segment)
-    text = _first_contained(seg, [(w, w) for w in CLASS_WORDS])
-    sym = _first_contained(seg, CLASS_SYMBOLS)
+    text = _first_contained(seg, [(w, w) for w in CLASS_WORDS], word_boundary)
+    sym = _first_contained(seg, CLASS_SYMBOLS, word_boundary)
     return (F.when(seg.isNull(), F.lit(NO_RESPONSE))
             .when((text == ERROR) & (sym == ERROR), F.lit(ERROR))
             .when(text == ERROR, sym)

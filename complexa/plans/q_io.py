@@ -178,3 +178,13 @@ def snk03_write_predictions(spark, sf):
     IO.write_predictions(S.predictions(spark, sf), path)
     back = IO.read_predictions(spark, path)
     return back.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@query("src07_read_tag_vocabulary", """SELECT tag, CAST(row_number() OVER (ORDER BY tag) - 1 AS INTEGER) AS pos FROM (
+  SELECT DISTINCT trim(unnest(string_split(p_type, ' '))) AS tag FROM part) WHERE tag <> ''""")
+def src07_read_tag_vocabulary(spark, sf):
+    p = S.table(spark, sf, "part")
+    tags = IO.read_tags(p.select("p_type"), "p_type", " ")
+    path = _tmp(spark, "vocab")
+    IO.write_tag_vocabulary(tags, path)
+    return IO.read_tag_vocabulary(spark, path).select("tag", F.col("pos").cast("int").alias("pos"))

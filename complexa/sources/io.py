@@ -80,6 +80,21 @@ def read_tags(df: DataFrame, col: str = "tags", sep: str = ",") -> DataFrame:
              .withColumn("tag", F.trim("_t")).filter(F.col("tag") != "").drop("_t")
 
 
+def read_tag_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """SRC7 (vocabulary file): one comma-separated line -> one row per non-empty, trimmed tag,
+    with its position in the line."""
+    line = spark.read.text(path)
+    return (line.select(F.posexplode(F.split("value", ",")).alias("pos", "tag"))
+            .withColumn("tag", F.trim("tag")).filter(F.col("tag") != ""))
+
+
+def write_tag_vocabulary(tags: DataFrame, path: str, col: str = "tag") -> None:
+    """Write the distinct tags as one sorted comma-separated line (the vocabulary is bounded
+    by the number of distinct tags, not by the data)."""
+    tags.select(col).distinct().agg(F.array_join(F.sort_array(F.collect_list(col)), ",").alias("value")) \
+        .coalesce(1).write.mode("overwrite").text(path)
+
+
 REPORT_PATTERNS = {
     "accuracy": r"acc: ([0-9.]+)", "f1_weighted": r"f1 score: ([0-9.]+)",
     "hc_base": r"Scores\nacc[^\n]*\nbase: ([0-9.]+)", "hc_w2": r"Scores\nacc[^\n]*\nbase[^\n]*exp 2: ([0-9.]+)",

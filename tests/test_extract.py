@@ -52,3 +52,9 @@ def test_t_order_round_trip(spark):
     assert ids == [0, 1, 2, 3, 4, 5, 6, 6]
     back = [r[0] for r in spark.createDataFrame([(i,) for i in range(7)], "i int").select(t_name("i")).collect()]
     assert back == names[:7]
+
+
+def test_word_boundary_mode(spark):
+    df = spark.createDataFrame([("complexity depends on the input: o(n)",), ("complexity is np-hard",)], "seg string")
+    got = [r[0] for r in df.select(extract_complexity("seg", word_boundary=True)).collect()]
+    assert got == ["linear", "exponential"]
