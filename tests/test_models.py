@@ -11,6 +11,27 @@ def _vectors(n, d, seed):
     return rng.normal(size=(n, d)), rng.integers(0, 4, size=n)
 
 
+def test_knn_broadcast_equals_brute_force(spark):
+    xtr, ytr = _vectors(120, 8, 3)
+    xte, _ = _vectors(25, 8, 4)
+    tr = spark.createDataFrame(pd.DataFrame({"vec_id": range(120), "label": ytr.astype(int),
+                                             "embedding": [list(map(float, r)) for r in xtr]}))
+    te = spark.createDataFrame(pd.DataFrame({"vec_id": range(1000, 1025), "label": 0,
+                                             "embedding": [list(map(float, r)) for r in xte]}))
+    got = {r.test_id: r.y_pred for r in ML.knn_predict(tr, te, n_dims=8).collect()}
+    assert got == _brute(xtr, ytr, xte)
+
+
+def _brute(xtr, ytr, xte):
+    want = {}
+    for i, x in enumerate(xte):
+        d = ((xtr - x) ** 2).sum(1)
+        nn = sorted(range(len(xtr)), key=lambda j: (d[j], j))[:5]
+        votes = pd.Series(ytr[nn]).value_counts()
+        want[1000 + i] = int(min(votes[votes == votes.max()].index))
+    return want
+
+
 def test_knn_chunked_equals_brute_force(spark, monkeypatch):
     xtr, ytr = _vectors(120, 8, 1)
     xte, _ = _vectors(30, 8, 2)
@@ -18,7 +39,8 @@ def test_knn_chunked_equals_brute_force(spark, monkeypatch):
                                              "embedding": [list(map(float, r)) for r in xtr]}))
     te = spark.createDataFrame(pd.DataFrame({"vec_id": range(1000, 1030), "label": 0,
                                              "embedding": [list(map(float, r)) for r in xte]}))
-    monkeypatch.setattr(ML, "KNN_BROADCAST_BYTES", 120 * 8 * 8 // 3)  # forces 4 chunks
+    monkeypatch.setattr(ML, "KNN_BROADCAST_BYTES", 120 * 8 * 8 // 3)  # forces the file path, 3 rows files of 40
+    monkeypatch.setattr(ML, "KNN_MATRIX_BYTES", 8 * 40 * 7)  # and sub-batched distance blocks
     got = {r.test_id: r.y_pred for r in ML.knn_predict(tr, te, n_dims=8).collect()}
     want = {}
     for i, x in enumerate(xte):
