@@ -102,7 +102,7 @@ def model_name(model_id) -> Column:
     return F.substring_index(_c(model_id), "/", -1)
 
 
-def report_title(model_id, tuned, dataset: str = "codecomplex-simple") -> Column:
+def report_title(model_id, tuned, dataset: str = "corpus") -> Column:
     """PRJ12: '<id>[-pretrained] with <dataset>' (the report's first line)."""
     return F.concat(_c(model_id), F.when(_c(tuned) == 1, F.lit("-pretrained")).otherwise(F.lit("")),
                     F.lit(f" with {dataset}"))

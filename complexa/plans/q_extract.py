@@ -123,7 +123,7 @@ def prj11_extract_complexity(spark, sf):
 
 
 @query("prj12_model_name", f"""WITH {RESPONSES}
-SELECT model_id, string_split(model_id, '/')[-1] AS model, model_id || '-pretrained with codecomplex-simple' AS title,
+SELECT model_id, string_split(model_id, '/')[-1] AS model, model_id || '-pretrained with corpus' AS title,
        CAST(count(*) AS BIGINT) AS n FROM responses GROUP BY model_id""")
 def prj12_model_name(spark, sf):
     r = S.responses(spark, sf).groupBy("model_id").agg(F.count(F.lit(1)).cast("long").alias("n"))

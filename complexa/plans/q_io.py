@@ -118,7 +118,7 @@ def _report_df(spark, sf):
     return rep.withColumn("title", title).withColumn("report", IO.report_text(F.col("title")))
 
 
-_PRINTF_REPORT = ("title || ' with codecomplex-simple' || chr(10) || 'Scores' || chr(10) || 'acc: ' || printf('%.3f', accuracy) || "
+_PRINTF_REPORT = ("title || ' with corpus' || chr(10) || 'Scores' || chr(10) || 'acc: ' || printf('%.3f', accuracy) || "
                   "', f1 score: ' || printf('%.3f', f1_weighted) || chr(10) || 'base: ' || printf('%.3f', hc_base) || ', exp 2: ' || "
                   "printf('%.3f', hc_w2) || ', exp 3: ' || printf('%.3f', hc_w3) || chr(10) || 'Scores with [0,1,2,3,4,6,8]' || chr(10) || "
                   "'base: ' || printf('%.3f', hc_map_base) || ', exp 2: ' || printf('%.3f', hc_map_w2) || ', exp 3: ' || printf('%.3f', hc_map_w3) "

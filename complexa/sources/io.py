@@ -134,7 +134,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.get(v, 0).cast("int").alias("y_true"), F.get(v, 1).cast("int").alias("y_pred"))
 
 
-def report_text(title: Column, dataset: str = "codecomplex-simple") -> Column:
+def report_text(title: Column, dataset: str = "corpus") -> Column:
     """SNK4: the 7-line score report: 3 decimals, class line as ``%.1f &``."""
     def f3(c):
         return F.format_string("%.3f", F.col(c))
