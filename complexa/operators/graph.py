@@ -69,6 +69,33 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = (), src:
     return _union_all(levels)
 
 
+def reachable_per_graph(edges: DataFrame, roots: DataFrame, keys: Sequence[str], src: str = "caller",
+                        dst: str = "callee", max_depth: int | None = None) -> DataFrame:
+    """JOIN7 for many small graphs (one call graph per program): (*keys, node, depth).
+
+    Each graph's edge list is bounded by its program, so it is collected per
+    graph and the BFS runs as an ``aggregate`` fold, one level per step
+    (at most |edges| steps), in a single pass with no Spark-level iteration.
+    """
+    keys = list(keys)
+    es = edges.groupBy(*keys).agg(F.collect_set(F.struct(F.col(src).alias("a"), F.col(dst).alias("b"))).alias("es"))
+    rs = roots.groupBy(*keys).agg(F.collect_set("node").alias("r"))
+    g = rs.join(es, keys, "left").withColumn("es", F.coalesce("es", F.array().cast("array<struct<a:string,b:string>>")))
+    steps = F.size("es") if max_depth is None else F.least(F.size("es"), F.lit(max_depth))
+    init = F.struct(F.transform("r", lambda n: F.struct(n.alias("node"), F.lit(0).alias("depth"))).alias("seen"),
+                    F.col("r").alias("front"))
+
+    def level(acc, d):
+        nxt = F.array_except(
+            F.array_distinct(F.transform(F.filter("es", lambda e: F.array_contains(acc["front"], e["a"])), lambda e: e["b"])),
+            F.transform(acc["seen"], lambda x: x["node"]))
+        return F.struct(F.concat(acc["seen"], F.transform(nxt, lambda n: F.struct(n.alias("node"), d.alias("depth")))).alias("seen"),
+                        nxt.alias("front"))
+
+    out = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), init, level)
+    return g.select(*keys, F.inline(out["seen"]))
+
+
 def rollup_tree(edges: DataFrame, values: DataFrame, root: DataFrame, keys: Sequence[str] = (),
                 src: str = "caller", dst: str = "callee", value: str = "value") -> DataFrame:
     """JOIN8: bottom-up roll-up over the BFS tree from the root: sum of values and max of values

@@ -316,7 +316,7 @@ def fea05_java_counts_v2(spark, sf):
     seg, counts = _java_method_counts(spark, sf)
     edges = FE.call_edges(seg)
     roots = seg.filter("is_header").filter(F.col("method") == "main").select("doc_id", F.col("method").alias("node"))
-    reach = G.reachable(edges, roots, ["doc_id"])
+    reach = G.reachable_per_graph(edges, roots, ["doc_id"])
     rec = G.self_recursive(edges, ["doc_id"])
     r = reach.join(counts.withColumnRenamed("method", "node"), ["doc_id", "node"])
     fields = ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashset", "n_hashmap"]

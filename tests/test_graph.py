@@ -40,3 +40,14 @@ def test_as_of_latest_definition(spark):
     docs = spark.createDataFrame([(1, "a, b a. a a")], "doc_id int, text string")
     ld = G.latest_definition(G.words(docs)).orderBy("idx").collect()
     assert [r.def_idx for r in ld] == [None, None, 0, 2, 2]
+
+
+def test_reachable_per_graph_matches_bfs(spark):
+    e = spark.createDataFrame([(1, "main", "a"), (1, "a", "b"), (1, "b", "a"), (1, "b", "c"), (2, "main", "x"), (2, "y", "z")],
+                              "g int, caller string, callee string")
+    roots = spark.createDataFrame([(1, "main"), (2, "main")], "g int, node string")
+    small = {(r.g, r.node, r.depth) for r in G.reachable_per_graph(e, roots, ["g"]).collect()}
+    big = {(r.g, r.node, r.depth) for r in G.reachable(e, roots, ["g"]).collect()}
+    assert small == big == {(1, "main", 0), (1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "main", 0), (2, "x", 1)}
+    d1 = {(r.g, r.node) for r in G.reachable_per_graph(e, roots, ["g"], max_depth=1).collect()}
+    assert d1 == {(1, "main"), (1, "a"), (2, "main"), (2, "x")}
