@@ -60,24 +60,27 @@ def merge_user_turns(chat: DataFrame, conv: str = "conv_id", turn: str = "turn")
 
     system/user texts are concatenated (no separator) into one user message
     that is flushed before every other message, even when empty, and once at
-    the end when non-empty.  ``grp`` = number of non system/user messages
-    before the row (a running count window per conversation).
+    the end when non-empty.  One ``aggregate`` fold per conversation (the
+    turns of one chat), so the whole operator is a single shuffle by
+    conversation.
     """
-    is_user = F.col("role").isin("system", "user")
-    w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    c = chat.withColumn("grp", F.coalesce(F.sum(F.when(is_user, 0).otherwise(1)).over(w), F.lit(0)).cast("long"))
-    users = (c.filter(is_user).groupBy(conv, "grp")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(turn), F.col("text")))),
-                                           lambda x: x["text"]), "").alias("utext")))
-    others = c.filter(~is_user).select(conv, "grp", "role", "text")
-    paired = others.join(users, [conv, "grp"], "left")
-    flushed = paired.select(conv, (F.col("grp") * 2).alias("pos"), F.lit("user").alias("role"),
-                            F.coalesce("utext", F.lit("")).alias("text"))
-    kept = paired.select(conv, (F.col("grp") * 2 + 1).alias("pos"), "role", "text")
-    tail = (users.join(others.select(conv, "grp"), [conv, "grp"], "left_anti")
-            .filter(F.col("utext") != "")
-            .select(conv, (F.col("grp") * 2).alias("pos"), F.lit("user").alias("role"), F.col("utext").alias("text")))
-    return flushed.unionByName(kept).unionByName(tail)
+    msgs = messages(chat, conv, turn)
+    init = F.struct(F.array().cast("array<struct<role:string,content:string>>").alias("out"), F.lit("").alias("buf"))
+
+    def step(acc, m):
+        is_user = m["role"].isin("system", "user")
+        flushed = F.concat(acc["out"], F.array(F.struct(F.lit("user").alias("role"), acc["buf"].alias("content")),
+                                                 F.struct(m["role"].alias("role"), m["content"].alias("content"))))
+        return F.struct(F.when(is_user, acc["out"]).otherwise(flushed).alias("out"),
+                        F.when(is_user, F.concat(acc["buf"], m["content"])).otherwise(F.lit("")).alias("buf"))
+
+    def finish(acc):
+        tail = F.array(F.struct(F.lit("user").alias("role"), acc["buf"].alias("content")))
+        return F.when(acc["buf"] != "", F.concat(acc["out"], tail)).otherwise(acc["out"])
+
+    merged = msgs.select(conv, F.aggregate("messages", init, step, finish).alias("m"))
+    return merged.select(conv, F.posexplode("m").alias("pos", "msg")).select(
+        conv, F.col("pos").cast("long").alias("pos"), F.col("msg.role").alias("role"), F.col("msg.content").alias("text"))
 
 
 def truncate_pad(ids, max_len: int, pad: int) -> Column:
