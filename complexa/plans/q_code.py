@@ -312,20 +312,41 @@ def _java_method_counts(spark, sf):
 
 @query("fea05_java_counts_v2")
 def fea05_java_counts_v2(spark, sf):
-    """FEA5: counts of main plus every method reachable from it (JOIN7 + JOIN8), HashSet before HashMap."""
-    seg, counts = _java_method_counts(spark, sf)
-    edges = FE.call_edges(seg)
-    roots = seg.filter("is_header").filter(F.col("method") == "main").select("doc_id", F.col("method").alias("node"))
-    reach = G.reachable_per_graph(edges, roots, ["doc_id"])
-    rec = G.self_recursive(edges, ["doc_id"])
-    r = reach.join(counts.withColumnRenamed("method", "node"), ["doc_id", "node"])
+    """FEA5: counts of main plus every method reachable from it (JOIN7 + JOIN8), HashSet before HashMap.
+
+    One pass per program: the segmented lines are grouped by program (the
+    segmentation's partitioning is reused), and inside the row method bodies,
+    per-method counts, call edges, the BFS from main (an ``aggregate`` over
+    levels) and the roll-up sums are array expressions.
+    """
+    p = _progs(spark, sf).filter(F.col("lang") == "java").withColumn("src", T.remove_comments("src", "lang"))
+    seg = FE.method_segments(p)
+    items = seg.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "method", "is_header"))).alias("items"))
+    decls = F.array_distinct(F.transform(F.filter("items", lambda x: x["is_header"]), lambda x: x["method"]))
+    bodies = F.transform(decls, lambda m: F.struct(m.alias("name"), FE.java_counts(F.array_join(
+        F.transform(F.filter("items", lambda x: x["method"] == m), lambda x: x["line"]), "\n")).alias("c")))
+    edges = F.flatten(F.transform(F.filter("items", lambda x: x["method"].isNotNull() & ~x["is_header"]),
+                                  lambda x: F.transform(Q._calls(x["line"]), lambda c: F.struct(x["method"].alias("a"), c.alias("b")))))
+    t = items.select("doc_id", bodies.alias("bodies"), edges.alias("edges"), F.array_contains(decls, "main").alias("has_main"))
+    init = F.struct(F.array(F.lit("main")).alias("seen"), F.array(F.lit("main")).alias("front"))
+
+    def level(acc, _):
+        nxt = F.array_except(F.array_distinct(F.transform(F.filter("edges", lambda e: F.array_contains(acc["front"], e["a"])),
+                                                          lambda e: e["b"])), acc["seen"])
+        return F.struct(F.concat(acc["seen"], nxt).alias("seen"), nxt.alias("front"))
+
+    reach = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("edges"), F.lit(1))), init, level)["seen"]
+    t = t.filter("has_main").withColumn("r", F.filter("bodies", lambda b: F.array_contains(reach, b["name"])))
     fields = ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashset", "n_hashmap"]
-    agg = r.groupBy("doc_id").agg(*[F.sum(f"c.{f}").cast("int").alias(f) for f in fields],
-                                  F.max("c.nested").cast("int").alias("nested"),
-                                  F.sum("c.n_vars").cast("int").alias("n_vars"),
-                                  F.count(F.lit(1)).cast("int").alias("n_methods"),
-                                  F.sum("c.n_statements").cast("int").alias("n_statements"))
-    return agg.join(rec, "doc_id", "left").withColumn("n_recursive", F.coalesce("n_recursive", F.lit(0)).cast("int"))
+
+    def total(f):
+        return F.aggregate("r", F.lit(0), lambda acc, b: acc + b["c"][f]).cast("int").alias(f)
+
+    rec = F.size(F.array_distinct(F.transform(F.filter("edges", lambda e: e["a"] == e["b"]), lambda e: e["a"])))
+    return t.select("doc_id", *[total(f) for f in fields],
+                    F.aggregate("r", F.lit(0), lambda acc, b: F.greatest(acc, b["c"]["nested"])).cast("int").alias("nested"),
+                    total("n_vars"), F.size("r").cast("int").alias("n_methods"), total("n_statements"),
+                    rec.cast("int").alias("n_recursive"))
 
 
 @query("fea06_nested_loop_depth", f"""WITH {PROGRAMS}, j AS (SELECT doc_id, {_JSTRIP} AS s FROM programs WHERE lang = 'java')
