@@ -48,10 +48,6 @@ def confusion_cells(preds: DataFrame, groups: Sequence[str] | None = None,
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _scored(c: Column) -> Column:
-    return F.col("y_pred") != -1
-
-
 def distance_sums(cells: DataFrame, groups: Sequence[str] | None = None,
                   digits: int | None = ROUND) -> DataFrame:
     """Accuracy, HC (base, w=2, w=3) and mapped HC (/8, w=2, w=3), one row per group.

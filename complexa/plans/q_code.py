@@ -300,16 +300,6 @@ def fea04_java_counts(spark, sf):
     return p.select("doc_id", FE.java_counts(T.remove_comments("src", "lang")).alias("c")).select("doc_id", "c.*")
 
 
-def _java_method_counts(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "java")
-    p = p.withColumn("src", T.remove_comments("src", "lang"))
-    seg = FE.method_segments(p)
-    body = (seg.filter(F.col("method").isNotNull()).groupBy("doc_id", "method")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-                 .alias("body")))
-    return seg, body.select("doc_id", "method", FE.java_counts("body").alias("c"))
-
-
 @query("fea05_java_counts_v2")
 def fea05_java_counts_v2(spark, sf):
     """FEA5: counts of main plus every method reachable from it (JOIN7 + JOIN8), HashSet before HashMap.

@@ -61,3 +61,18 @@ def test_raw_response_round_trip(spark, tmp_path):
     df.select("idx", IO.raw_response_text(F.col("text")).alias("value")).write.partitionBy("idx").text(path)
     back = {r.idx: r.response for r in IO.read_raw_responses(spark, path).collect()}
     assert back == dict(enumerate(texts))
+
+
+def test_delete_error_split(spark):
+    df = spark.createDataFrame([(1, "int f() { return (1); }", "java"), (2, "int g() { return (1; }", "java"),
+                                (3, "   // only a comment", "java")], "doc_id int, src string, lang string")
+    kept, bad = Q.delete_error(df)
+    assert [r.doc_id for r in kept.collect()] == [1]
+    assert sorted(r.doc_id for r in bad.collect()) == [2, 3]
+
+
+def test_last_assistant_nested(spark):
+    from complexa.functions.chat import last_assistant, messages
+    chat = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a: x"), (1, 2, "assistant", "b: y: z")],
+                                 "conv_id long, turn long, role string, text string")
+    assert messages(chat).select(last_assistant("messages")).first()[0] == "b: y: z"
