@@ -51,7 +51,8 @@ programs AS (
            || ' {{' || {NL} || a.jms || '  public static void main(String[] args) {{' || {NL} || '    int n = '
            || CAST(o.o_custkey % 100 AS VARCHAR) || ';' || {NL} || '    System.out.println(m1(n));' || {NL} || '  }}' || {NL} || '}}' || {NL}
          ELSE '# order ' || CAST(a.doc_id AS VARCHAR) || {NL} || a.pms || {NL} || {NL} || 'def main():' || {NL} || '    n = '
-           || CAST(o.o_custkey % 100 AS VARCHAR) || {NL} || '    print(m1(n))' || {NL} END AS src
+           || CAST(o.o_custkey % 100 AS VARCHAR) || {NL} || '    print(m1(n))' || {NL} END AS src,
+         'c' || CAST(o.o_custkey AS VARCHAR) AS problem
   FROM pagg a JOIN orders o ON a.doc_id = o.o_orderkey)""".replace("{{", "{").replace("}}", "}")
 
 
@@ -686,3 +687,29 @@ agg AS (SELECT r.doc_id, {", ".join(f"CAST(sum({c}) AS INTEGER) AS {c}" for c in
                CAST(count(*) AS INTEGER) AS n_methods, CAST(sum(n_statements) AS INTEGER) AS n_statements
         FROM r JOIN mc ON mc.doc_id = r.doc_id AND mc.method = r.node GROUP BY r.doc_id)
 SELECT agg.*, CAST(coalesce(rc.n_rec, 0) AS INTEGER) AS n_recursive FROM agg LEFT JOIN rc USING (doc_id)""")
+
+
+@query("ml09_kfold_program_features")
+def ml09_kfold_program_features(spark, sf):
+    """Lifecycle C end to end on code: Java programs -> 13 lexical features (FEA10) -> group
+    k-fold over problems (WIN2) -> 4 DecisionTree fits (ML1/ML9) -> fold mean/std (AGG19),
+    scored on the training ids as they are (T-parity), like the reference's classical models."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from complexa.operators.splits import assign_fold, group_kfold
+    p = _progs(spark, sf).filter(F.col("lang") == "java")
+    c = p.select("doc_id", "label", "problem", FE.java_counts(T.remove_comments("src", "lang")).alias("c"))
+    rec = G.self_recursive(FE.call_edges(FE.method_segments(p)), ["doc_id"])
+    c = c.join(rec, "doc_id", "left").withColumn("n_recursive", F.coalesce("n_recursive", F.lit(0)))
+    cols = [f"c.{f}" for f in ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashmap",
+                               "n_hashset"]] + ["n_recursive"] + [f"c.{f}" for f in ["nested", "n_vars", "n_methods", "n_statements"]]
+    feats = c.select("doc_id", "label", "problem", FE.feature_vector(cols).alias("features"))
+    data = assign_fold(feats, group_kfold(feats, "label", "problem", 0.8, 4)).persist()
+    preds = None
+    for f in range(4):
+        train = data.filter(F.col("fold") != f).withColumn("label", F.col("label").cast("double"))
+        model = DecisionTreeClassifier(maxDepth=4, seed=777).fit(train)
+        pr = model.transform(data.filter(F.col("fold") == f)).select(
+            F.lit("DecisionTree").alias("model"), F.lit(f).alias("fold"),
+            F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+        preds = pr if preds is None else preds.unionByName(pr)
+    return M.kfold_mean_std(preds, ["model"])

@@ -124,7 +124,8 @@ PY_BODIES = [
 
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders + lineitem -> (doc_id, lang, label, src): Java for status 'F', Python otherwise.
+    """orders + lineitem -> (doc_id, lang, label, src, problem): Java for status 'F', Python otherwise;
+    the problem (for grouped folds) is the order's customer.
 
     Method i (dense, 1-based, in line-item order) has body JAVA/PY_BODIES[qty % 5];
     it calls itself when l_tax > 0.07 and method i+1 when l_discount < 0.05; Python
@@ -168,4 +169,5 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("\n    print(m1(n))\n"))
     lang = F.when(F.col("o_orderstatus") == "F", "java").otherwise("python")
     return j.select("doc_id", lang.alias("lang"), F.substring("o_orderpriority", 1, 1).cast("int").alias("label"),
-                    F.when(lang == "java", jsrc).otherwise(psrc).alias("src"))
+                    F.when(lang == "java", jsrc).otherwise(psrc).alias("src"),
+                    F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("problem"))
