@@ -703,7 +703,10 @@ def ml09_kfold_program_features(spark, sf):
     cols = [f"c.{f}" for f in ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashmap",
                                "n_hashset"]] + ["n_recursive"] + [f"c.{f}" for f in ["nested", "n_vars", "n_methods", "n_statements"]]
     feats = c.select("doc_id", "label", "problem", FE.feature_vector(cols).alias("features"))
-    data = assign_fold(feats, group_kfold(feats, "label", "problem", 0.8, 4)).persist()
+    from complexa.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    # materialised once in the shared checkpoint folder: every fold's fit reads it, lineage stays flat
+    data = assign_fold(feats, group_kfold(feats, "label", "problem", 0.8, 4)).checkpoint(eager=True)
     preds = None
     for f in range(4):
         train = data.filter(F.col("fold") != f).withColumn("label", F.col("label").cast("double"))
