@@ -29,3 +29,16 @@ def refined_predictions(refined: DataFrame) -> DataFrame:
     return refined.select(model_name("model_id").alias("model"), "idx",
                           text_to_rank(F.trim("answer")).alias("y_true"),
                           text_to_rank(F.trim("complexity")).alias("y_pred"))
+
+
+def missing_responses(examples: DataFrame, responses: DataFrame, idx: str = "idx") -> DataFrame:
+    """JOIN1, other side: examples whose response file is missing (left anti join on the index)."""
+    return examples.join(responses.select(idx).distinct(), idx, "left_anti")
+
+
+def encode_with_quarantine(refined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """PRJ2: (scorable predictions, quarantine).  A spelling outside the accepted map (the
+    reference raises on it) sends its row to the quarantine instead of failing the job."""
+    enc = refined_predictions(refined)
+    bad = F.col("y_true").isNull() | F.col("y_pred").isNull()
+    return enc.filter(~bad), refined.join(enc.filter(bad).select("idx"), "idx", "left_semi")

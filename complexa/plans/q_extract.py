@@ -244,3 +244,11 @@ def prj20_drop_columns(spark, sf):
     """PRJ20: after rendering, the message column is dropped (only id and text remain)."""
     m = C.messages(S.chat(spark, sf)).withColumn("text", C.render_chat("messages")).drop("messages")
     return m.select("conv_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("join01_missing_responses", f"""WITH {RESPONSES}, {EXAMPLES.replace("examples AS (", "ex AS (")}
+SELECT idx FROM ex WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.idx = ex.idx)""")
+def join01_missing_responses(spark, sf):
+    """JOIN1: examples without a response (a missing response file in the reference's layout)."""
+    from complexa.operators.refine import missing_responses
+    return missing_responses(S.examples(spark, sf), S.responses(spark, sf)).select("idx")

@@ -56,9 +56,10 @@ def _unescape_py(s: Column) -> Column:
 
 
 def read_raw_responses(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: one file per example holding ``[{'generated_text': '...'}]``; index from the path."""
+    """SRC4: one file per example holding ``[{'generated_text': '...'}]``; the index comes from
+    the path (``responce_0042.txt`` file names or ``idx=42`` directories)."""
     raw = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"idx=(\d+)", 1).cast("long").alias("idx"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"(?:idx=|responce_)(\d+)", 1).cast("long").alias("idx"),
         F.col("value"))
     body = F.regexp_extract("value", r"(?s)^\[\{'generated_text': (['\"])(.*)\1\}\]\s*$", 2)
     return raw.select("idx", _unescape_py(body).alias("response"))

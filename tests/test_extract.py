@@ -58,3 +58,24 @@ def test_word_boundary_mode(spark):
     df = spark.createDataFrame([("complexity depends on the input: o(n)",), ("complexity is np-hard",)], "seg string")
     got = [r[0] for r in df.select(extract_complexity("seg", word_boundary=True)).collect()]
     assert got == ["linear", "exponential"]
+
+
+def test_quarantine_and_missing(spark):
+    from complexa.operators.refine import encode_with_quarantine, missing_responses
+    refined = spark.createDataFrame([(1, "org/m", "linear", "cubic"), (2, "org/m", "O(n)", "linear")],
+                                    "idx long, model_id string, answer string, complexity string")
+    ok, bad = encode_with_quarantine(refined)
+    assert [r.idx for r in ok.collect()] == [1] and [r.idx for r in bad.collect()] == [2]
+    ex = spark.createDataFrame([(1,), (2,), (3,)], "idx long")
+    assert sorted(r.idx for r in missing_responses(ex, refined).collect()) == [3]
+
+
+def test_raw_response_file_names(spark, tmp_path):
+    from complexa.sources.io import read_raw_responses
+    # Python-literal wrappers as the inference job writes them: an escaped newline, and a
+    # double-quoted literal (used when the text holds a single quote)
+    files = {3: "[{'generated_text': 'a\\nb'}]", 12: "[{'generated_text': \"it's\"}]"}
+    for i, t in files.items():
+        (tmp_path / f"responce_{i:04d}.txt").write_text(t)
+    got = {r.idx: r.response for r in read_raw_responses(spark, str(tmp_path)).collect()}
+    assert got == {3: "a\nb", 12: "it's"}
