@@ -83,14 +83,15 @@ def py_names(src) -> Column:
     )
 
 
-def method_segments(progs: DataFrame, doc: str = "doc_id", src: str = "src", lang: str = "lang") -> DataFrame:
+def method_segments(progs: DataFrame, doc: str = "doc_id", src: str = "src", lang: str = "lang",
+                    keep: tuple = ()) -> DataFrame:
     """FEA9: long form (doc_id, pos, line, method, is_header): each line with the method it belongs to.
 
     Java: brace depth before the line (running sum per document); a header at
     depth 1 opens a method, lines deeper than 1 belong to it.  Python: a
     top-level ``def`` opens a function, indented or blank lines continue it.
     """
-    lines = progs.select(doc, lang, F.posexplode(F.split(_c(src), "\n")).alias("pos", "line"))
+    lines = progs.select(doc, lang, *keep, F.posexplode(F.split(_c(src), "\n")).alias("pos", "line"))
     w = Window.partitionBy(doc).orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     opens = F.length(F.col("line")) - F.length(F.replace(F.col("line"), F.lit("{"), F.lit("")))
@@ -103,7 +104,7 @@ def method_segments(progs: DataFrame, doc: str = "doc_id", src: str = "src", lan
     java_in = (F.col("depth") >= 2) | F.col("header").isNotNull()
     py_in = F.col("header").isNotNull() | F.col("line").rlike(f"^[{WS}]") | ~F.col("line").rlike(f"[^{WS}]")
     inside = F.when(F.col(lang) == "java", java_in).otherwise(py_in)
-    return lines.select(doc, lang, "pos", "line", F.when(inside, F.col("cur")).alias("method"),
+    return lines.select(doc, lang, *keep, "pos", "line", F.when(inside, F.col("cur")).alias("method"),
                         F.col("header").isNotNull().alias("is_header"))
 
 
@@ -120,3 +121,29 @@ def feature_vector(cols: list) -> Column:
     """FEA10: 13 numbers -> ml Vector."""
     from pyspark.ml.functions import array_to_vector
     return array_to_vector(F.array(*[_c(c).cast("double") for c in cols]))
+
+
+def java_feature_table(progs: DataFrame, doc: str = "doc_id", keep: tuple = ()) -> DataFrame:
+    """FEA4 / FEA10 in one pass per program: comment-stripped text, method segmentation, and
+    per program the v1 counts (struct ``c``) plus the number of self-recursive methods.
+    The segmentation window and the per-program aggregate share one partitioning."""
+    from complexa.functions.text import remove_comments
+    from complexa.operators.quality import _calls
+    s = progs.withColumn("src", remove_comments("src", "lang"))
+    seg = method_segments(s, doc, keep=tuple(keep))
+    items = seg.groupBy(doc, *keep).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "line", "method", "is_header"))).alias("items"))
+    text = F.array_join(F.transform("items", lambda x: x["line"]), "\n")
+    body = F.filter("items", lambda x: x["method"].isNotNull() & ~x["is_header"])
+    selfcall = F.transform(F.filter(body, lambda x: F.array_contains(_calls(x["line"]), x["method"])), lambda x: x["method"])
+    return items.select(doc, *keep, java_counts(text).alias("c"),
+                        F.size(F.array_distinct(selfcall)).cast("long").alias("n_recursive"))
+
+
+V1_ORDER = ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashmap", "n_hashset",
+            "n_recursive", "nested", "n_vars", "n_methods", "n_statements"]
+
+
+def v1_columns() -> list:
+    """The 13 v1 features in the reference's order, as columns of ``java_feature_table``."""
+    return [F.col("n_recursive") if f == "n_recursive" else F.col(f"c.{f}") for f in V1_ORDER]

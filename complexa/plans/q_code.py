@@ -287,18 +287,11 @@ def fea03_py_names(spark, sf):
 _JSTRIP = f"{JAVA_RM}"
 
 
-@query("fea04_java_counts", f"""WITH {PROGRAMS}, j AS (SELECT doc_id, {_JSTRIP} AS s FROM programs WHERE lang = 'java')
-SELECT doc_id, {_rc('s', r'\bif\s*\(')} AS n_if, {_rc('s', r'\bswitch\s*\(')} AS n_switch,
-  {_rc('s', r'\bfor\s*\(')} + {_rc('s', r'\bwhile\s*\(')} - {_rc('s', r'\}\s*while\s*\(')} AS n_loop,
-  {_rc('s', r'\bbreak\s*;')} AS n_break, {_rc('s', r'\bnew\s+PriorityQueue\b')} AS n_priority,
-  {_rc('s', r'\.sort\s*\(')} AS n_sort, {_rc('s', r'\bnew\s+HashMap\b')} AS n_hashmap, {_rc('s', r'\bnew\s+HashSet\b')} AS n_hashset,
-  CAST(CASE WHEN contains(s, 'for (int j') THEN 2 WHEN regexp_matches(s, '\\b(for|while)\\s*\\(') THEN 1 ELSE 0 END AS INTEGER) AS nested,
-  {_rc('s', FE.JAVA_VAR)} AS n_vars, {_rc('s', '(?m)' + FE.JAVA_HEADER)} AS n_methods,
-  {_rc('s', ';')} + {_rc('s', r'\b(?:if|for|while|switch|do|try)\b')} AS n_statements
-FROM j""")
+@query("fea04_java_counts")
 def fea04_java_counts(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "java")
-    return p.select("doc_id", FE.java_counts(T.remove_comments("src", "lang")).alias("c")).select("doc_id", "c.*")
+    """FEA4: the 13 v1 counts (the recursive-method count from the program's own call sites)."""
+    t = FE.java_feature_table(_progs(spark, sf).filter(F.col("lang") == "java"))
+    return t.select("doc_id", "c.*", "n_recursive")
 
 
 @query("fea05_java_counts_v2")
@@ -371,14 +364,9 @@ def fea09_split_methods(spark, sf):
 
 @query("fea10_feature_vector")
 def fea10_feature_vector(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "java")
-    c = p.select("doc_id", "label", FE.java_counts(T.remove_comments("src", "lang")).alias("c"))
-    rec = G.self_recursive(FE.call_edges(FE.method_segments(p)), ["doc_id"])
-    c = c.join(rec, "doc_id", "left").withColumn("n_recursive", F.coalesce("n_recursive", F.lit(0)))
-    cols = [f"c.{f}" for f in ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashmap",
-                               "n_hashset"]] + ["n_recursive"] + [f"c.{f}" for f in ["nested", "n_vars", "n_methods", "n_statements"]]
+    t = FE.java_feature_table(_progs(spark, sf).filter(F.col("lang") == "java"), keep=("label",))
     from pyspark.ml.functions import vector_to_array
-    v = c.select("doc_id", "label", FE.feature_vector(cols).alias("features"))
+    v = t.select("doc_id", "label", FE.feature_vector(FE.v1_columns()).alias("features"))
     return v.select("doc_id", "label", F.array_join(vector_to_array("features").cast("array<string>"), ",").alias("features"))
 
 
@@ -574,6 +562,7 @@ edges_ AS (SELECT DISTINCT doc_id, lang, caller, callee FROM calls WHERE callee
 
 
 SEG = _seg_sql()
+_SEG_STRIPPED = _seg_sql("pj", PROGRAMS + f",\npj AS (SELECT doc_id, lang, label, {JAVA_RM} AS src FROM programs WHERE lang = 'java')")
 add_oracle("fea07_call_edges", f"WITH {SEG} SELECT doc_id, caller, callee FROM edges_")
 add_oracle("fea09_split_methods", f"""WITH {SEG}
 SELECT doc_id, lang, CAST(count(DISTINCT method) AS BIGINT) AS n_methods, CAST(count(method) AS BIGINT) AS method_lines,
@@ -654,13 +643,12 @@ def _vec_sql() -> str:
     return "array_to_string([" + ", ".join(f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)" for x in parts) + "], ',')"
 
 
-add_oracle("fea10_feature_vector", f"""WITH {SEG},
+add_oracle("fea10_feature_vector", f"""WITH {_SEG_STRIPPED},
 rc AS (SELECT doc_id, count(DISTINCT caller) AS n_rec FROM edges_ WHERE caller = callee GROUP BY doc_id),
 j AS (SELECT doc_id, label, {JAVA_RM} AS s FROM programs WHERE lang = 'java')
 SELECT j.doc_id, j.label, {_vec_sql()} AS features FROM j LEFT JOIN rc USING (doc_id)""")
 
 
-_SEG_STRIPPED = _seg_sql("pj", PROGRAMS + f",\npj AS (SELECT doc_id, lang, label, {JAVA_RM} AS src FROM programs WHERE lang = 'java')")
 
 
 def _counts_sql(b: str) -> str:
@@ -696,13 +684,8 @@ def ml09_kfold_program_features(spark, sf):
     scored on the training ids as they are (T-parity), like the reference's classical models."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from complexa.operators.splits import assign_fold, group_kfold
-    p = _progs(spark, sf).filter(F.col("lang") == "java")
-    c = p.select("doc_id", "label", "problem", FE.java_counts(T.remove_comments("src", "lang")).alias("c"))
-    rec = G.self_recursive(FE.call_edges(FE.method_segments(p)), ["doc_id"])
-    c = c.join(rec, "doc_id", "left").withColumn("n_recursive", F.coalesce("n_recursive", F.lit(0)))
-    cols = [f"c.{f}" for f in ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashmap",
-                               "n_hashset"]] + ["n_recursive"] + [f"c.{f}" for f in ["nested", "n_vars", "n_methods", "n_statements"]]
-    feats = c.select("doc_id", "label", "problem", FE.feature_vector(cols).alias("features"))
+    t = FE.java_feature_table(_progs(spark, sf).filter(F.col("lang") == "java"), keep=("label", "problem"))
+    feats = t.select("doc_id", "label", "problem", FE.feature_vector(FE.v1_columns()).alias("features"))
     from complexa.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     # materialised once in the shared checkpoint folder: every fold's fit reads it, lineage stays flat
@@ -716,3 +699,17 @@ def ml09_kfold_program_features(spark, sf):
             F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
         preds = pr if preds is None else preds.unionByName(pr)
     return M.kfold_mean_std(preds, ["model"])
+
+
+add_oracle("fea04_java_counts", f"""WITH {_SEG_STRIPPED},
+rc AS (SELECT doc_id, count(DISTINCT caller) AS n_rec FROM edges_ WHERE caller = callee GROUP BY doc_id),
+j AS (SELECT doc_id, {JAVA_RM} AS s FROM programs WHERE lang = 'java')
+SELECT doc_id, {_rc('s', r'\bif\s*\(')} AS n_if, {_rc('s', r'\bswitch\s*\(')} AS n_switch,
+  {_rc('s', r'\bfor\s*\(')} + {_rc('s', r'\bwhile\s*\(')} - {_rc('s', r'\}\s*while\s*\(')} AS n_loop,
+  {_rc('s', r'\bbreak\s*;')} AS n_break, {_rc('s', r'\bnew\s+PriorityQueue\b')} AS n_priority,
+  {_rc('s', r'\.sort\s*\(')} AS n_sort, {_rc('s', r'\bnew\s+HashMap\b')} AS n_hashmap, {_rc('s', r'\bnew\s+HashSet\b')} AS n_hashset,
+  CAST(CASE WHEN contains(s, 'for (int j') THEN 2 WHEN regexp_matches(s, '\\b(for|while)\\s*\\(') THEN 1 ELSE 0 END AS INTEGER) AS nested,
+  {_rc('s', FE.JAVA_VAR)} AS n_vars, {_rc('s', '(?m)' + FE.JAVA_HEADER)} AS n_methods,
+  {_rc('s', ';')} + {_rc('s', r'\b(?:if|for|while|switch|do|try)\b')} AS n_statements,
+  CAST(coalesce(rc.n_rec, 0) AS BIGINT) AS n_recursive
+FROM j LEFT JOIN rc USING (doc_id)""")
