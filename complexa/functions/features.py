@@ -126,16 +126,18 @@ def feature_vector(cols: list) -> Column:
 def java_feature_table(progs: DataFrame, doc: str = "doc_id", keep: tuple = ()) -> DataFrame:
     """FEA4 / FEA10 in one pass per program: comment-stripped text, method segmentation, and
     per program the v1 counts (struct ``c``) plus the number of self-recursive methods.
-    The segmentation window and the per-program aggregate share one partitioning."""
+    The segmentation window and the per-program aggregate share one partitioning; the
+    self-call test is a per-line regex in the codegen projection before the collect."""
     from complexa.functions.text import remove_comments
-    from complexa.operators.quality import _calls
     s = progs.withColumn("src", remove_comments("src", "lang"))
     seg = method_segments(s, doc, keep=tuple(keep))
+    cleaned = F.regexp_replace("line", r"\bnew\s+\w+", "new")
+    own_call = F.concat(F.lit("(^|[^A-Za-z0-9_])"), F.col("method"), F.lit(r"\s*\("))
+    seg = seg.withColumn("selfcall", F.col("method").isNotNull() & ~F.col("is_header") & F.rlike(cleaned, own_call))
     items = seg.groupBy(doc, *keep).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line", "method", "is_header"))).alias("items"))
+        F.array_sort(F.collect_list(F.struct("pos", "line", "method", "selfcall"))).alias("items"))
     text = F.array_join(F.transform("items", lambda x: x["line"]), "\n")
-    body = F.filter("items", lambda x: x["method"].isNotNull() & ~x["is_header"])
-    selfcall = F.transform(F.filter(body, lambda x: F.array_contains(_calls(x["line"]), x["method"])), lambda x: x["method"])
+    selfcall = F.transform(F.filter("items", lambda x: x["selfcall"]), lambda x: x["method"])
     return items.select(doc, *keep, java_counts(text).alias("c"),
                         F.size(F.array_distinct(selfcall)).cast("long").alias("n_recursive"))
 
