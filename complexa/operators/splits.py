@@ -22,6 +22,7 @@ from complexa.functions.text import length_bucket, token_count
 
 HASH_BITS = 32
 BIN_BITS = 16
+RESAMPLE_BROADCAST_ROWS = 2_000_000
 
 
 def hash_order(seed, *cols) -> Column:
@@ -189,7 +190,9 @@ def resample_to(df: DataFrame, id_col: str, target: int, seed: int = 777) -> Dat
     """WIN4: ``target`` draws with replacement, uniform over the rows, reproducible.
 
     Rows get a dense rank by hash (distributed); draw i picks rank
-    hash(seed, i) mod N + 1; the draws are joined back on the rank.
+    hash(seed, i) mod N + 1; the draws are joined back on the rank.  The draw
+    table has exactly ``target`` rows, so up to ``RESAMPLE_BROADCAST_ROWS`` it is
+    broadcast and the ranked rows are not shuffled for the join.
     """
     ranked = hash_rank(df.withColumn("_h", hash_order(seed, id_col)).withColumn("_k", F.lit(0)),
                        ["_k"], "_h", id_col, "_rank").drop("_h")
@@ -198,7 +201,9 @@ def resample_to(df: DataFrame, id_col: str, target: int, seed: int = 777) -> Dat
     draws = (spark.range(target).withColumnRenamed("id", "draw").withColumn("_k", F.lit(0))
              .join(F.broadcast(total), "_k")  # a single row: the table size
              .withColumn("_rank", (hash_order(f"{seed}-draw", "draw") % F.col("_n") + 1).cast("long")))
-    return draws.join(ranked, ["_k", "_rank"]).drop("_k", "_n", "_rank")
+    if target <= RESAMPLE_BROADCAST_ROWS:  # the draw table has exactly `target` rows
+        draws = F.broadcast(draws)
+    return ranked.join(draws, ["_k", "_rank"]).drop("_k", "_n", "_rank")
 
 
 def mutation_count(id_col: str, lo: int, hi: int, seed: int = 777) -> Column:
