@@ -135,10 +135,8 @@ def snk04_write_score_report(spark, sf):
     return out
 
 
-@query("src08_read_score_reports", _REPORT_RAW + """ SELECT title, round(accuracy, 3) AS accuracy, round(f1_weighted, 3) AS f1_weighted,
-  round(hc_base, 3) AS hc_base, round(hc_w2, 3) AS hc_w2, round(hc_w3, 3) AS hc_w3, round(hc_map_base, 3) AS hc_map_base,
-  round(hc_map_w2, 3) AS hc_map_w2, round(hc_map_w3, 3) AS hc_map_w3,
-  round(""" + " + ".join(f"round(class_acc_{i} * 100, 1)" for i in range(7)) + """ + round(f1_micro * 100, 1) + round(f1_macro * 100, 1), 1) AS class_line_sum
+@query("src08_read_score_reports", _REPORT_RAW + """ SELECT title, CAST(printf('%.3f', accuracy) AS DOUBLE) AS accuracy, CAST(printf('%.3f', f1_weighted) AS DOUBLE) AS f1_weighted, CAST(printf('%.3f', hc_base) AS DOUBLE) AS hc_base, CAST(printf('%.3f', hc_w2) AS DOUBLE) AS hc_w2, CAST(printf('%.3f', hc_w3) AS DOUBLE) AS hc_w3, CAST(printf('%.3f', hc_map_base) AS DOUBLE) AS hc_map_base, CAST(printf('%.3f', hc_map_w2) AS DOUBLE) AS hc_map_w2, CAST(printf('%.3f', hc_map_w3) AS DOUBLE) AS hc_map_w3,
+  round(CAST(printf('%.1f', class_acc_0 * 100) AS DOUBLE) + CAST(printf('%.1f', class_acc_1 * 100) AS DOUBLE) + CAST(printf('%.1f', class_acc_2 * 100) AS DOUBLE) + CAST(printf('%.1f', class_acc_3 * 100) AS DOUBLE) + CAST(printf('%.1f', class_acc_4 * 100) AS DOUBLE) + CAST(printf('%.1f', class_acc_5 * 100) AS DOUBLE) + CAST(printf('%.1f', class_acc_6 * 100) AS DOUBLE) + CAST(printf('%.1f', f1_micro * 100) AS DOUBLE) + CAST(printf('%.1f', f1_macro * 100) AS DOUBLE), 1) AS class_line_sum
 FROM rep""")
 def src08_read_score_reports(spark, sf):
     rep = _report_df(spark, sf).withColumn("report_key", F.concat_ws("_", "model", "tuned", "lang"))
