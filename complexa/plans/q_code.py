@@ -526,9 +526,9 @@ def join15_span_pairs(spark, sf):
 
 @query("win11_edge_budget", f"""WITH {WORDS},
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, parent_idx) AS rn FROM fe)
-SELECT doc_id, CAST(count(*) AS BIGINT) AS n_edges, CAST(max(idx) AS BIGINT) AS last_idx FROM b WHERE rn <= 64 GROUP BY doc_id""")
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_edges, CAST(max(idx) AS BIGINT) AS last_idx FROM b WHERE rn <= 128 GROUP BY doc_id""")
 def win11_edge_budget(spark, sf):
-    e = G.edge_budget(G.flow_edges(_tokens(spark, sf)), 64)
+    e = G.edge_budget(G.flow_edges(_tokens(spark, sf)), 128)  # the reference's data-flow length
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("n_edges"), F.max("idx").cast("long").alias("last_idx"))
 
 

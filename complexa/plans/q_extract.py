@@ -212,12 +212,13 @@ def prj17_truncate_messages(spark, sf):
 
 
 @query("prj18_truncate_pad", """SELECT conv_id, turn, array_to_string(
-  CASE WHEN len(ids) >= 16 THEN ids[1:16] ELSE list_concat(ids, list_transform(range(16 - len(ids)), lambda x: 0)) END, ',') AS ids
+  CASE WHEN len(ids) >= 512 THEN ids[1:512] ELSE list_concat(ids, list_transform(range(512 - len(ids)), lambda x: 0)) END, ',') AS ids
 FROM (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM conversations)""")
 def prj18_truncate_pad(spark, sf):
     c = S.chat(spark, sf)
     ids = F.transform(F.split("text", " "), lambda w: F.length(w))
-    return c.select("conv_id", "turn", F.array_join(C.truncate_pad(ids, 16, 0).cast("array<string>"), ",").alias("ids"))
+    # the reference's code-length limit (512 tokens); ids here are word lengths of the message
+    return c.select("conv_id", "turn", F.array_join(C.truncate_pad(ids, 512, 0).cast("array<string>"), ",").alias("ids"))
 
 
 @query("prj19_argmax", """SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred
