@@ -94,7 +94,8 @@ def extract_complexity(segment, word_boundary: bool = False) -> Column:
 
 def expected_answer(content) -> Column:
     """PRJ9: the text between the first and second ':' of the answer message, stripped."""
-    return F.trim(F.get(F.split(_c(content), ":"), 1))
+    from complexa.functions.text import py_strip
+    return py_strip(F.get(F.split(_c(content), ":"), 1))
 
 
 def model_name(model_id) -> Column:

@@ -30,6 +30,9 @@ LENGTH_BORDERS = [(256, "256"), (512, "512"), (1024, "1024")]
 # Python str.splitlines() boundaries and string.whitespace
 LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 WS = " \t\n\r\u000b\u000c"
+# Python's str.strip() whitespace: every character for which str.isspace() holds
+PY_SPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+PY_STRIP = f"^[{PY_SPACE}]+|[{PY_SPACE}]+$"
 # Lexical token: identifier, number, or one other non-space character
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|[^A-Za-z0-9_ \t\r\n\f]"
 
@@ -38,6 +41,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def py_strip(text) -> Column:
+    """Python's ``str.strip()``: leading and trailing whitespace of every kind (not only spaces)."""
+    return F.regexp_replace(_c(text), PY_STRIP, "")
+
+
 def remove_comments(src, lang) -> Column:
     """PRJ4 / PRJ8: java and python comment removal by regex; other languages unchanged.
 

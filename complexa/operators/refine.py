@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from complexa.functions.extract import assistant_segment, expected_answer, extract_complexity, model_name
 from complexa.functions.labels import text_to_rank
+from complexa.functions.text import py_strip
 
 
 def refine_responses(responses: DataFrame, examples: DataFrame, idx: str = "idx") -> DataFrame:
@@ -27,8 +28,8 @@ def refine_responses(responses: DataFrame, examples: DataFrame, idx: str = "idx"
 def refined_predictions(refined: DataFrame) -> DataFrame:
     """Refined records -> (model, y_true, y_pred) in R-order; unknown spellings -> null."""
     return refined.select(model_name("model_id").alias("model"), "idx",
-                          text_to_rank(F.trim("answer")).alias("y_true"),
-                          text_to_rank(F.trim("complexity")).alias("y_pred"))
+                          text_to_rank(py_strip("answer")).alias("y_true"),
+                          text_to_rank(py_strip("complexity")).alias("y_pred"))
 
 
 def missing_responses(examples: DataFrame, responses: DataFrame, idx: str = "idx") -> DataFrame:

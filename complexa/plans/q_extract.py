@@ -11,6 +11,12 @@ from complexa.operators import metrics as M
 from complexa.operators.refine import refine_responses, refined_predictions
 from complexa.plans import standins as S
 from complexa.plans.registry import CORPUS, PREDICTIONS, query
+from complexa.functions.text import PY_STRIP
+
+
+def _strip(x: str) -> str:
+    """Python str.strip() in DuckDB SQL."""
+    return f"regexp_replace({x}, '{PY_STRIP}', '', 'g')"
 
 
 def _lst(values):
@@ -54,7 +60,7 @@ ext AS (SELECT *, CASE WHEN ct IS NULL THEN 'NO RESPONCE'
       < list_position(['exponential','exponential','cubic','quadratic','nlogn','linear','logn','constant'], t_sym)
    THEN t_text ELSE t_sym END AS complexity FROM tx),
 refined AS (SELECT e.idx, e.line_no, e.model_id, e.responce, e.complexity,
-                   trim(string_split(x.content, ':')[2]) AS answer, x.idx IS NOT NULL AS has_example
+                   """ + _strip("string_split(x.content, ':')[2]") + """ AS answer, x.idx IS NOT NULL AS has_example
             FROM ext e LEFT JOIN examples x ON e.idx = x.idx)"""
 
 _RANK_CASE = """CASE lower({x})
@@ -137,8 +143,8 @@ def join01_pair_responses(spark, sf):
 
 
 @query("agg24_score_responses", f"""WITH {REFINED},
-predictions AS (SELECT string_split(model_id, '/')[-1] AS model, CAST({_rank_sql('trim(answer)')} AS INTEGER) AS y_true,
-                       CAST({_rank_sql('trim(complexity)')} AS INTEGER) AS y_pred FROM refined)
+predictions AS (SELECT string_split(model_id, '/')[-1] AS model, CAST({_rank_sql(_strip('answer'))} AS INTEGER) AS y_true,
+                       CAST({_rank_sql(_strip('complexity'))} AS INTEGER) AS y_pred FROM refined)
 SELECT model, CAST(count(*) AS BIGINT) AS n_rows, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS accuracy,
   round(avg(CASE WHEN y_pred = -1 THEN 0::DOUBLE ELSE 1 - abs(y_pred - y_true) / 6::DOUBLE END), 6) AS hc_base,
   round(avg(CASE WHEN y_pred = -1 THEN 0::DOUBLE ELSE greatest(1 - abs(y_pred - y_true) / 2::DOUBLE, 0) END), 6) AS hc_w2
@@ -152,7 +158,7 @@ def agg24_score_responses(spark, sf):
 # --------------------------------------------------------------------- chat
 @query("prj09_expected_answer", """WITH la AS (
   SELECT conv_id, arg_max(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
-SELECT conv_id, trim(string_split(content, ':')[2]) AS answer, length(content) AS n_chars FROM la""")
+SELECT conv_id, """ + _strip("string_split(content, ':')[2]") + """ AS answer, length(content) AS n_chars FROM la""")
 def prj09_expected_answer(spark, sf):
     c = S.chat(spark, sf).filter(F.col("role") == "assistant")
     la = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("content"))

@@ -47,3 +47,10 @@ def test_chat_fixture(spark):
     assert m[0].messages[0].content == "a"
     text = messages(chat).select(render_chat("messages")).orderBy("conv_id" if False else render_chat("messages")).collect()
     assert any(t[0].startswith("a\n\nHuman: b") for t in text)
+
+
+def test_py_strip_matches_python(spark):
+    samples = [" a ", "\n\tcubic\r\n", " linear　", "x", "", "  ", "\x1cq\x85"]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    got = [r[0] for r in df.select(T.py_strip("s")).collect()]
+    assert got == [s.strip() for s in samples]
