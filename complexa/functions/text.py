@@ -58,8 +58,8 @@ def remove_comments(src, lang) -> Column:
 
 
 def drop_blank_lines(text) -> Column:
-    """Keep lines with a non-whitespace character, joined by ``\\n``."""
-    return F.array_join(F.filter(F.split(_c(text), "\n"), lambda l: l.rlike(f"[^{WS}]")), "\n")
+    """Keep lines with a non-whitespace character (Python's ``line.strip() != ""``), joined by ``\\n``."""
+    return F.array_join(F.filter(F.split(_c(text), "\n"), lambda l: l.rlike(f"[^{PY_SPACE}]")), "\n")
 
 
 def strip_comments_c(src) -> Column:
@@ -124,7 +124,7 @@ def py_depth(src) -> Column:
     while as a substring.  Per-line facts are extracted once (``transform``),
     then one ``aggregate`` folds them; the unit is computed once per document.
     """
-    lines = F.filter(F.split(_c(src), LINE_BREAK), lambda l: l.rlike(f"[^{WS}]"))
+    lines = F.filter(F.split(_c(src), LINE_BREAK), lambda l: l.rlike(f"[^{PY_SPACE}]"))
     facts = F.transform(lines, lambda l: F.struct(
         _lead(l).alias("w"), (l.contains("def") | l.contains("for") | l.contains("while")).alias("kw")))
     unit = F.coalesce(F.get(F.filter(F.transform(facts, lambda x: x["w"]), lambda w: w > 0), 0), F.lit(4))

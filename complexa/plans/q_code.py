@@ -70,7 +70,7 @@ PY_RM = f"regexp_replace(src, '(?ms){_re(T.PYTHON_COMMENT)}', '\\1', 'g')"
 
 
 def _drop_blank(x: str) -> str:
-    return f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: regexp_matches(l, '[^{WSQ}]')), chr(10))"
+    return f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: regexp_matches(l, '[^{T.PY_SPACE}]')), chr(10))"
 
 
 # -------------------------------------------------------------- text cleaning
@@ -261,7 +261,7 @@ _DEPTH = f"""list_reduce(lines, lambda a, l: {{'st': list_append(list_filter(a.s
 
 
 @query("fea02_py_depth", f"""WITH {PROGRAMS},
-ls AS (SELECT doc_id, list_filter(string_split(src, chr(10)), lambda l: regexp_matches(l, '[^{WSQ}]')) AS lines FROM programs WHERE lang = 'python'),
+ls AS (SELECT doc_id, list_filter(string_split(src, chr(10)), lambda l: regexp_matches(l, '[^{T.PY_SPACE}]')) AS lines FROM programs WHERE lang = 'python'),
 u AS (SELECT doc_id, lines, coalesce(list_filter(list_transform(lines, lambda l: length(regexp_extract(l, '^[{WSQ}]*'))), lambda w: w > 0)[1], 4) AS unit FROM ls),
 d AS (SELECT doc_id, {_DEPTH} AS r FROM u)
 SELECT doc_id, CAST(r.mx AS INTEGER) AS max_depth, CAST(r.mi AS INTEGER) AS max_stack FROM d""")
