@@ -42,8 +42,14 @@ def _c(col) -> Column:
 
 
 def py_strip(text) -> Column:
-    """Python's ``str.strip()``: leading and trailing whitespace of every kind (not only spaces)."""
-    return F.regexp_replace(_c(text), PY_STRIP, "")
+    """Python's ``str.strip()``: leading and trailing whitespace of every kind (not only spaces).
+    A character-set trim, no regular expression."""
+    return F.trim(_c(text), F.lit(PY_SPACE))
+
+
+def is_blank(line) -> Column:
+    """Python's ``line.strip() == ""``."""
+    return py_strip(line) == ""
 
 
 def remove_comments(src, lang) -> Column:
@@ -59,7 +65,7 @@ def remove_comments(src, lang) -> Column:
 
 def drop_blank_lines(text) -> Column:
     """Keep lines with a non-whitespace character (Python's ``line.strip() != ""``), joined by ``\\n``."""
-    return F.array_join(F.filter(F.split(_c(text), "\n"), lambda l: l.rlike(f"[^{PY_SPACE}]")), "\n")
+    return F.array_join(F.filter(F.split(_c(text), "\n"), lambda l: ~is_blank(l)), "\n")
 
 
 def strip_comments_c(src) -> Column:
@@ -124,7 +130,7 @@ def py_depth(src) -> Column:
     while as a substring.  Per-line facts are extracted once (``transform``),
     then one ``aggregate`` folds them; the unit is computed once per document.
     """
-    lines = F.filter(F.split(_c(src), LINE_BREAK), lambda l: l.rlike(f"[^{PY_SPACE}]"))
+    lines = F.filter(F.split(_c(src), LINE_BREAK), lambda l: ~is_blank(l))
     facts = F.transform(lines, lambda l: F.struct(
         _lead(l).alias("w"), (l.contains("def") | l.contains("for") | l.contains("while")).alias("kw")))
     unit = F.coalesce(F.get(F.filter(F.transform(facts, lambda x: x["w"]), lambda w: w > 0), 0), F.lit(4))

@@ -56,8 +56,8 @@ programs AS (
   FROM pagg a JOIN orders o ON a.doc_id = o.o_orderkey)""".replace("{{", "{").replace("}}", "}")
 
 
-def _progs(spark, sf):
-    return S.programs(spark, sf)
+def _progs(spark, sf, lang=None):
+    return S.programs(spark, sf, lang)
 
 
 def _re(p: str) -> str:
@@ -70,7 +70,7 @@ PY_RM = f"regexp_replace(src, '(?ms){_re(T.PYTHON_COMMENT)}', '\\1', 'g')"
 
 
 def _drop_blank(x: str) -> str:
-    return f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: regexp_matches(l, '[^{T.PY_SPACE}]')), chr(10))"
+    return f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: trim(l, '{T.PY_SPACE}') <> ''), chr(10))"
 
 
 # -------------------------------------------------------------- text cleaning
@@ -101,7 +101,7 @@ _C_OUT = _drop_blank(f"replace(regexp_replace({_C_MARK}, chr(1) || '[^' || chr(2
 @query("prj05_strip_comments_c", f"""WITH {PROGRAMS}, r AS (SELECT doc_id, {_C_OUT} AS out FROM programs WHERE lang = 'java')
 SELECT doc_id, md5(out) AS out_md5, length(out) AS n_chars FROM r""")
 def prj05_strip_comments_c(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "java")
+    p = _progs(spark, sf, "java")
     out = T.strip_comments_c("src")
     return p.select("doc_id", F.md5(out).alias("out_md5"), F.length(out).cast("long").alias("n_chars"))
 
@@ -109,7 +109,7 @@ def prj05_strip_comments_c(spark, sf):
 @query("prj06_strip_python_comments", f"""WITH {PROGRAMS}, r AS (SELECT doc_id, {_drop_blank(PY_RM)} AS out FROM programs WHERE lang = 'python')
 SELECT doc_id, md5(out) AS out_md5, length(out) AS n_chars FROM r""")
 def prj06_strip_python_comments(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "python")
+    p = _progs(spark, sf, "python")
     out = T.strip_python_comments("src")
     return p.select("doc_id", F.md5(out).alias("out_md5"), F.length(out).cast("long").alias("n_chars"))
 
@@ -163,7 +163,7 @@ def flt01_delete_error(spark, sf):
 
 @query("flt02_python_parses")
 def flt02_python_parses(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "python")
+    p = _progs(spark, sf, "python")
     return p.select("doc_id", Q.python_parses("src").alias("parses"))
 
 
@@ -192,7 +192,7 @@ _UNREACH = f"""list_reduce(string_split(src, chr(10)), lambda a, l:
 r AS (SELECT doc_id, src, array_to_string({_UNREACH}, chr(10)) AS out FROM programs WHERE lang = 'python')
 SELECT doc_id, md5(out) AS out_md5, CAST(len(string_split(src, chr(10))) - len(string_split(out, chr(10))) AS INTEGER) AS dropped FROM r""")
 def flt04_drop_unreachable_lines(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "python")
+    p = _progs(spark, sf, "python")
     out = Q.drop_unreachable_lines("src")
     return p.select("doc_id", F.md5(out).alias("out_md5"),
                     (F.size(F.split("src", "\n")) - F.size(F.split(out, "\n"))).cast("int").alias("dropped"))
@@ -205,7 +205,7 @@ decl AS (SELECT doc_id, src, unnest(regexp_extract_all(src, '(?m)^\\s*static int
 @query("join06_unreferenced", _DECL_JAVA + """
 SELECT doc_id, name FROM decl WHERE len(regexp_extract_all(src, '\\b' || name || '\\s*\\(')) = 1""")
 def join06_unreferenced(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "java")
+    p = _progs(spark, sf, "java")
     seg = FE.method_segments(p)
     decls = seg.filter("is_header").select("doc_id", F.col("method").alias("name")).filter(F.col("name") != "main")
     refs = FE.call_edges(seg).select("doc_id", F.col("callee").alias("name"))
@@ -219,7 +219,7 @@ SELECT p.doc_id, CAST(coalesce(nd.n_dead, 0) AS BIGINT) AS n_dead,
        CAST(len(regexp_extract_all(p.src, '(?m)^\\s*static int (\\w+)\\s*\\(', 1)) - coalesce(nd.n_dead, 0) AS BIGINT) AS n_kept_methods
 FROM programs p LEFT JOIN nd USING (doc_id) WHERE p.lang = 'java'""")
 def flt05_drop_dead_declarations(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "java")
+    p = _progs(spark, sf, "java")
     out = Q.drop_dead_declarations(p)
     return out.select("doc_id", F.size("dropped").cast("long").alias("n_dead"),
                       F.regexp_count("src", F.lit(r"(?m)^\s*static int (\w+)\s*\(")).cast("long").alias("n_kept_methods"))
@@ -227,7 +227,7 @@ def flt05_drop_dead_declarations(spark, sf):
 
 @query("flt06_drop_unused_names")
 def flt06_drop_unused_names(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "python")
+    p = _progs(spark, sf, "python")
     dead = Q.dead_methods(p).select("doc_id", "name", F.lit("function").alias("kind"))
     # functions are dropped from the text by Q.drop_dead_declarations; unused variables are reported
     return dead.unionByName(Q.unused_names(p))
@@ -245,7 +245,7 @@ SELECT doc_id, {_cnt('src', 'if')} AS n_if, {_cnt('src', 'while')} + {_cnt('src'
        ELSE len(regexp_split_to_array(src, '\\r\\n|[\\n\\r]')) END AS INTEGER) AS n_lines
 FROM programs WHERE lang = 'python'""")
 def fea01_py_counts(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "python")
+    p = _progs(spark, sf, "python")
     return p.select("doc_id", T.py_counts("src").alias("c")).select("doc_id", "c.*")
 
 
@@ -261,12 +261,12 @@ _DEPTH = f"""list_reduce(lines, lambda a, l: {{'st': list_append(list_filter(a.s
 
 
 @query("fea02_py_depth", f"""WITH {PROGRAMS},
-ls AS (SELECT doc_id, list_filter(string_split(src, chr(10)), lambda l: regexp_matches(l, '[^{T.PY_SPACE}]')) AS lines FROM programs WHERE lang = 'python'),
+ls AS (SELECT doc_id, list_filter(string_split(src, chr(10)), lambda l: trim(l, '{T.PY_SPACE}') <> '') AS lines FROM programs WHERE lang = 'python'),
 u AS (SELECT doc_id, lines, coalesce(list_filter(list_transform(lines, lambda l: length(regexp_extract(l, '^[{WSQ}]*'))), lambda w: w > 0)[1], 4) AS unit FROM ls),
 d AS (SELECT doc_id, {_DEPTH} AS r FROM u)
 SELECT doc_id, CAST(r.mx AS INTEGER) AS max_depth, CAST(r.mi AS INTEGER) AS max_stack FROM d""")
 def fea02_py_depth(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "python")
+    p = _progs(spark, sf, "python")
     return p.select("doc_id", T.py_depth("src").alias("d")).select("doc_id", "d.*")
 
 
@@ -280,7 +280,7 @@ SELECT doc_id, {_rc('src', r'(?m)^def\s')} AS n_funcs, {_rc('src', r'(?m)^[ \t]+
   CAST(len(list_distinct(regexp_extract_all(src, '[A-Za-z_]\\w*'))) AS INTEGER) AS n_names
 FROM programs WHERE lang = 'python'""")
 def fea03_py_names(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "python")
+    p = _progs(spark, sf, "python")
     return p.select("doc_id", FE.py_names("src").alias("c")).select("doc_id", "c.*")
 
 
@@ -290,7 +290,7 @@ _JSTRIP = f"{JAVA_RM}"
 @query("fea04_java_counts")
 def fea04_java_counts(spark, sf):
     """FEA4: the 13 v1 counts (the recursive-method count from the program's own call sites)."""
-    t = FE.java_feature_table(_progs(spark, sf).filter(F.col("lang") == "java"))
+    t = FE.java_feature_table(_progs(spark, sf, "java"))
     return t.select("doc_id", "c.*", "n_recursive")
 
 
@@ -303,7 +303,7 @@ def fea05_java_counts_v2(spark, sf):
     per-method counts, call edges, the BFS from main (an ``aggregate`` over
     levels) and the roll-up sums are array expressions.
     """
-    p = _progs(spark, sf).filter(F.col("lang") == "java").withColumn("src", T.remove_comments("src", "lang"))
+    p = _progs(spark, sf, "java").withColumn("src", T.remove_comments("src", "lang"))
     seg = FE.method_segments(p)
     items = seg.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "method", "is_header"))).alias("items"))
     decls = F.array_distinct(F.transform(F.filter("items", lambda x: x["is_header"]), lambda x: x["method"]))
@@ -337,7 +337,7 @@ def fea05_java_counts_v2(spark, sf):
 SELECT doc_id, CAST(CASE WHEN contains(s, 'for (int j') THEN 2 WHEN regexp_matches(s, '\\b(for|while)\\s*\\(') THEN 1 ELSE 0 END AS INTEGER) AS nested_v1,
   CAST(CASE WHEN contains(s, 'for (int j') THEN 3 WHEN regexp_matches(s, '\\b(for|while)\\s*\\(') THEN 2 ELSE 1 END AS INTEGER) AS nested_v2 FROM j""")
 def fea06_nested_loop_depth(spark, sf):
-    p = _progs(spark, sf).filter(F.col("lang") == "java").withColumn("s", T.remove_comments("src", "lang"))
+    p = _progs(spark, sf, "java").withColumn("s", T.remove_comments("src", "lang"))
     return p.select("doc_id", FE.nested_loop_depth("s", 0).alias("nested_v1"), FE.nested_loop_depth("s", 1).alias("nested_v2"))
 
 
@@ -364,7 +364,7 @@ def fea09_split_methods(spark, sf):
 
 @query("fea10_feature_vector")
 def fea10_feature_vector(spark, sf):
-    t = FE.java_feature_table(_progs(spark, sf).filter(F.col("lang") == "java"), keep=("label",))
+    t = FE.java_feature_table(_progs(spark, sf, "java"), keep=("label",))
     from pyspark.ml.functions import vector_to_array
     v = t.select("doc_id", "label", FE.feature_vector(FE.v1_columns()).alias("features"))
     return v.select("doc_id", "label", F.array_join(vector_to_array("features").cast("array<string>"), ",").alias("features"))
@@ -684,7 +684,7 @@ def ml09_kfold_program_features(spark, sf):
     scored on the training ids as they are (T-parity), like the reference's classical models."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from complexa.operators.splits import assign_fold, group_kfold
-    t = FE.java_feature_table(_progs(spark, sf).filter(F.col("lang") == "java"), keep=("label", "problem"))
+    t = FE.java_feature_table(_progs(spark, sf, "java"), keep=("label", "problem"))
     feats = t.select("doc_id", "label", "problem", FE.feature_vector(FE.v1_columns()).alias("features"))
     from complexa.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)

@@ -11,12 +11,12 @@ from complexa.operators import metrics as M
 from complexa.operators.refine import refine_responses, refined_predictions
 from complexa.plans import standins as S
 from complexa.plans.registry import CORPUS, PREDICTIONS, query
-from complexa.functions.text import PY_STRIP
+from complexa.functions.text import PY_SPACE
 
 
 def _strip(x: str) -> str:
-    """Python str.strip() in DuckDB SQL."""
-    return f"regexp_replace({x}, '{PY_STRIP}', '', 'g')"
+    """Python str.strip() in DuckDB SQL (trim of the whitespace character set)."""
+    return f"trim({x}, '{PY_SPACE}')"
 
 
 def _lst(values):

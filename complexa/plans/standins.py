@@ -123,7 +123,7 @@ PY_BODIES = [
 ]
 
 
-def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def programs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """orders + lineitem -> (doc_id, lang, label, src, problem): Java for status 'F', Python otherwise;
     the problem (for grouped folds) is the order's customer.
 
@@ -133,12 +133,19 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders")
+    # ``lang`` selects on the order status itself, so the predicate reaches the parquet scan
+    if lang == "java":
+        o = o.filter(F.col("o_orderstatus") == "F")
+    elif lang == "python":
+        o = o.filter((F.col("o_orderstatus") != "F") | F.col("o_orderstatus").isNull())
+    oo = o.select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_custkey", "o_orderpriority")
     items = li.select(F.col("l_orderkey").alias("doc_id"), F.struct(
         F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
         F.col("l_extendedprice").alias("ep"), (F.col("l_quantity").cast("int") % 5).alias("b"),
         (F.col("l_tax") > 0.07).alias("rec"), (F.col("l_discount") < 0.05).alias("call"),
         (F.col("l_extendedprice") > 50000).alias("big")).alias("it"))
     per = items.groupBy("doc_id").agg(F.array_sort(F.collect_list("it")).alias("ms"))
+    j = per.join(oo, "doc_id")
 
     def java(x, i):
         ln, nxt = (i + 1).cast("string"), (i + 2).cast("string")
@@ -156,8 +163,6 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(x["call"], F.concat(F.lit("    return m"), nxt, F.lit("(s)\n"))).otherwise(F.lit("    return s\n")),
             F.when(x["big"], F.lit("    s = s + 1\n")).otherwise(F.lit("")))
 
-    oo = o.select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_custkey", "o_orderpriority")
-    j = per.join(oo, "doc_id")
     jsrc = F.concat(F.lit("import java.util.*;\n// order "), F.col("doc_id").cast("string"),
                     F.lit("\npublic class C"), F.col("doc_id").cast("string"), F.lit(" {\n"),
                     F.array_join(F.transform("ms", java), ""),
