@@ -41,6 +41,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def python_regex(pattern: str) -> str:
+    """Give a pattern written for Python's ``re`` the same meaning in Java regex and RE2:
+    the class "whitespace except newline and tab" is spelled out with Python's (Unicode)
+    whitespace set, which both other dialects would otherwise read as ASCII-only."""
+    ws = "".join(ch for ch in PY_SPACE if ch not in "\n\t")
+    return pattern.replace(r"[^\S\n\t]", f"[{ws}]")
+
+
 def py_strip(text) -> Column:
     """Python's ``str.strip()``: leading and trailing whitespace of every kind (not only spaces).
     A character-set trim, no regular expression."""
@@ -59,7 +67,7 @@ def remove_comments(src, lang) -> Column:
     """
     s, lg = _c(src), _c(lang)
     java = F.regexp_replace(s, "(?dms)" + JAVA_COMMENT, "$1")
-    py = F.regexp_replace(s, "(?dms)" + PYTHON_COMMENT, "$1")
+    py = F.regexp_replace(s, "(?dms)" + python_regex(PYTHON_COMMENT), "$1")
     return F.when(lg == "java", java).when(lg == "python", py).otherwise(s)
 
 
@@ -82,7 +90,7 @@ def strip_comments_c(src) -> Column:
 
 def strip_python_comments(src) -> Column:
     """PRJ6: python comments and docstrings (PRJ4 regex) plus blank-line removal."""
-    return drop_blank_lines(F.regexp_replace(_c(src), "(?dms)" + PYTHON_COMMENT, "$1"))
+    return drop_blank_lines(F.regexp_replace(_c(src), "(?dms)" + python_regex(PYTHON_COMMENT), "$1"))
 
 
 def delete_import(src) -> Column:

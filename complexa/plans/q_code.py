@@ -66,7 +66,7 @@ def _re(p: str) -> str:
 
 WSQ = T.WS  # literal whitespace characters, valid inside a DuckDB string
 JAVA_RM = f"regexp_replace(src, '(?ms){_re(T.JAVA_COMMENT)}', '\\1', 'g')"
-PY_RM = f"regexp_replace(src, '(?ms){_re(T.PYTHON_COMMENT)}', '\\1', 'g')"
+PY_RM = f"regexp_replace(src, '(?ms){_re(T.python_regex(T.PYTHON_COMMENT))}', '\\1', 'g')"
 
 
 def _drop_blank(x: str) -> str:
@@ -84,7 +84,7 @@ def prj04_remove_comments(spark, sf):
 
 
 @query("prj04_remove_comments_prose", f"""WITH r AS (SELECT doc_id, CASE lang WHEN 'en' THEN regexp_replace(text, '(?ms){_re(T.JAVA_COMMENT)}', '\\1', 'g')
-   WHEN 'fr' THEN regexp_replace(text, '(?ms){_re(T.PYTHON_COMMENT)}', '\\1', 'g') ELSE text END AS out FROM documents)
+   WHEN 'fr' THEN regexp_replace(text, '(?ms){_re(T.python_regex(T.PYTHON_COMMENT))}', '\\1', 'g') ELSE text END AS out FROM documents)
 SELECT doc_id, md5(out) AS out_md5, length(out) AS n_chars FROM r""")
 def prj04_remove_comments_prose(spark, sf):
     """PRJ4 on the whole documents table (en read as java, fr as python, others unchanged)."""

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from complexa.functions import text as T
 from complexa.functions.chat import merge_user_turns, remove_assistant, render_chat, messages
 
@@ -54,3 +56,16 @@ def test_py_strip_matches_python(spark):
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     got = [r[0] for r in df.select(T.py_strip("s")).collect()]
     assert got == [s.strip() for s in samples]
+
+
+def test_python_pattern_semantics_match_python_re(spark):
+    import re
+    rx = re.compile(T.PYTHON_COMMENT, re.MULTILINE | re.DOTALL)
+
+    def py_sub(s):
+        return rx.sub(lambda m: "" if m.group(2) is not None else m.group(1), s)
+
+    samples = ['a = """x""" # c\n"""doc"""', "y = 1 # c\r\nz = 2", "s = '#not' # yes", "q = 1\n# only\n"]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    got = [r[0] for r in df.select(T.remove_comments("s", F.lit("python"))).collect()]
+    assert got == [py_sub(s) for s in samples]
