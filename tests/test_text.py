@@ -65,7 +65,7 @@ def test_python_pattern_semantics_match_python_re(spark):
     def py_sub(s):
         return rx.sub(lambda m: "" if m.group(2) is not None else m.group(1), s)
 
-    samples = ['a = """x""" # c\n"""doc"""', "y = 1 # c\r\nz = 2", "s = '#not' # yes", "q = 1\n# only\n"]
+    samples = ['a = """x""" # c\n"""doc"""', 'a =\u00a0"""x""" # c\n"""doc"""', "y = 1 # c\r\nz = 2", "s = '#not' # yes", "q = 1\n# only\n"]
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     got = [r[0] for r in df.select(T.remove_comments("s", F.lit("python"))).collect()]
     assert got == [py_sub(s) for s in samples]
