@@ -135,7 +135,7 @@ def words(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
 
     The texts are clustered by document once, before the explode; every later
     per-document window and aggregate (partitioned by the document, or by
-    document and name) reuses that partitioning, so the data-flow pipeline has
+    document and name) reuses that partitioning, so the data-flow operators have
     a single shuffle.
     """
     d = docs.select(doc, text).repartition(doc)
