@@ -218,3 +218,12 @@ SELECT f.label, f.problem, f.fold, f.seed, ch.accepted FROM folds f JOIN ch USIN
 @query("win03_fold_retry", _RETRY)
 def win03_fold_retry(spark, sf):
     return SP.group_kfold_retry(_corpus(spark, sf), "label", "problem", 0.8, 4, _SEEDS)
+
+
+@query("win02_group_kfold_balanced", f"""WITH {CORPUS},
+ph AS (SELECT DISTINCT label, problem FROM corpus),
+r AS (SELECT label, problem, row_number() OVER (PARTITION BY label ORDER BY {_h(770, 'label', 'problem')}, problem) AS rk FROM ph)
+SELECT label, problem, CAST((rk - 1) % 4 AS INTEGER) AS fold FROM r""")
+def win02_group_kfold_balanced(spark, sf):
+    """WIN2, balanced mode: problems dealt round-robin over the folds in hash order."""
+    return SP.group_kfold(_corpus(spark, sf), "label", "problem", 0.8, 4, 770, mode="balanced")
