@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from complexa.functions.labels import mapped_rank, t_to_r
+from complexa.functions.numbers import py_round
 
 ROUND = 6
 
@@ -270,10 +271,11 @@ def kfold_weighted(fold_acc: DataFrame, groups=None, acc: str = "acc", size: str
     rounded to 2 decimals) and the size of the *whole* test fold.
     """
     g = _g(groups)
-    return fold_acc.groupBy(*g).agg(
-        F.round(F.sum(F.col(acc) * F.col(size)) / F.sum(size), 2).alias("acc_mean"),
-        F.round(F.stddev_pop(acc), 2).alias("acc_std"),
+    r = fold_acc.groupBy(*g).agg(
+        (F.sum(F.col(acc) * F.col(size)) / F.sum(size)).alias("_m"),
+        F.stddev_pop(acc).alias("_s"),
         F.count(F.lit(1)).cast("long").alias("n_folds"))
+    return r.select(*g, py_round("_m", 2).alias("acc_mean"), py_round("_s", 2).alias("acc_std"), "n_folds")
 
 
 def slice_accuracy(preds: DataFrame, slices: Sequence[str], groups=None, fold: str = "fold") -> DataFrame:
@@ -295,7 +297,7 @@ def slice_accuracy(preds: DataFrame, slices: Sequence[str], groups=None, fold: s
     whole = agg.filter(F.col("slice") == "origin").select(*g, fold, F.col("n").alias("fold_rows"))
     return (agg.join(whole, g + [fold])
             .select(*g, "slice", fold, "fold_rows", F.col("n").cast("long").alias("n"),
-                    F.round(F.col("hit") * 100.0 / F.col("n"), 2).alias("acc")))
+                    py_round(F.col("hit") * 100.0 / F.col("n"), 2).alias("acc")))
 
 
 def iteration_average(runs: DataFrame, groups=("model",), metrics=("accuracy",)) -> DataFrame:
@@ -322,10 +324,9 @@ def dataset_stats(df: DataFrame, cls: str = "label", lang: str = "lang") -> Data
 def leaderboard(report: DataFrame, model: str = "model", by: Sequence[str] = ("tuned",)) -> DataFrame:
     """AGG25: percent with 1 decimal, per-model mean over languages."""
     keys = [model] + list(by)
-    return report.groupBy(*keys).agg(
-        F.round(F.avg("accuracy") * 100, 1).alias("acc_pct"),
-        F.round(F.avg("f1_weighted") * 100, 1).alias("f1_pct"),
-        F.round(F.avg("hc_base") * 100, 1).alias("hc_pct"))
+    r = report.groupBy(*keys).agg(*[(F.avg(m) * 100).alias(f"_{m}") for m in ("accuracy", "f1_weighted", "hc_base")])
+    return r.select(*keys, py_round("_accuracy", 1).alias("acc_pct"), py_round("_f1_weighted", 1).alias("f1_pct"),
+                    py_round("_hc_base", 1).alias("hc_pct"))
 
 
 def tuning_gap(board: DataFrame, model: str = "model", flag: str = "tuned") -> DataFrame:
@@ -336,9 +337,9 @@ def tuning_gap(board: DataFrame, model: str = "model", flag: str = "tuned") -> D
         model, *[F.col(c).alias(f"{c}_tuned") for c in ("acc_pct", "f1_pct", "hc_pct")])
     out = base.join(tuned, model)
     for c in ("acc_pct", "f1_pct", "hc_pct"):
-        out = out.withColumn(f"{c}_gap", F.round(F.col(f"{c}_tuned") - F.col(f"{c}_base"), 1))
-    return out.withColumn("f1_hc_gap_base", F.round(F.col("hc_pct_base") - F.col("f1_pct_base"), 1)) \
-              .withColumn("f1_hc_gap_tuned", F.round(F.col("hc_pct_tuned") - F.col("f1_pct_tuned"), 1))
+        out = out.withColumn(f"{c}_gap", py_round(F.col(f"{c}_tuned") - F.col(f"{c}_base"), 1))
+    return out.withColumn("f1_hc_gap_base", py_round(F.col("hc_pct_base") - F.col("f1_pct_base"), 1)) \
+              .withColumn("f1_hc_gap_tuned", py_round(F.col("hc_pct_tuned") - F.col("f1_pct_tuned"), 1))
 
 
 def leaderboard_rank(board: DataFrame, metric: str, partition: Sequence[str] = ()) -> DataFrame:

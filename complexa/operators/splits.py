@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from complexa.functions.labels import t_name
+from complexa.functions.numbers import py_round
 from complexa.functions.text import length_bucket, token_count
 
 HASH_BITS = 32
@@ -225,18 +226,19 @@ def extend_dataset(a: DataFrame, b: DataFrame) -> DataFrame:
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """AGG1: share per class rounded to 3."""
     cc = class_counts(df, label)
-    return cc.select(label, t_name(label).alias("name"), "n_class",
-                     F.round(F.col("n_class") / F.sum("n_class").over(Window.partitionBy(F.lit(0))), 3).alias("share"))
+    cc = cc.withColumn("_share", F.col("n_class") / F.sum("n_class").over(Window.partitionBy(F.lit(0))))
+    return cc.select(label, t_name(label).alias("name"), "n_class", py_round("_share", 3).alias("share"))
 
 
 def split_ratio(assigned: DataFrame, n: int) -> DataFrame:
     """AGG2: train / test rows and shares per fold."""
     m = fold_membership(assigned, n)
-    return m.groupBy("f").agg(
+    r = m.groupBy("f").agg(
         F.count_if(~F.col("is_test")).cast("long").alias("train"),
         F.count_if(F.col("is_test")).cast("long").alias("test"),
-        F.round(F.avg((~F.col("is_test")).cast("double")), 3).alias("train_share"),
-        F.round(F.avg(F.col("is_test").cast("double")), 3).alias("test_share"))
+        F.avg((~F.col("is_test")).cast("double")).alias("_tr"),
+        F.avg(F.col("is_test").cast("double")).alias("_te"))
+    return r.select("f", "train", "test", py_round("_tr", 3).alias("train_share"), py_round("_te", 3).alias("test_share"))
 
 
 def length_bucket_stats(df: DataFrame, src: str = "src") -> DataFrame:

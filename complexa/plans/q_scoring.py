@@ -207,7 +207,7 @@ sp AS (SELECT p.*, CASE WHEN tokens < 256 THEN '256' WHEN tokens < 512 THEN '512
 sl AS (SELECT model, 'origin' AS slice, fold, count(*) AS n, sum(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS hit FROM sp GROUP BY model, fold
        UNION ALL SELECT model, 'len=' || len, fold, count(*), sum(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) FROM sp GROUP BY model, len, fold
        UNION ALL SELECT model, 'cls=' || CAST(cls AS VARCHAR), fold, count(*), sum(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) FROM sp GROUP BY model, cls, fold),
-fa AS (SELECT s.model, s.slice, s.fold, w.n AS fold_rows, CAST(s.n AS BIGINT) AS n, round(s.hit * 100::DOUBLE / s.n, 2) AS acc
+fa AS (SELECT s.model, s.slice, s.fold, w.n AS fold_rows, CAST(s.n AS BIGINT) AS n, CAST(printf('%.2f', s.hit * 100::DOUBLE / s.n) AS DOUBLE) AS acc
        FROM sl s JOIN sl w ON w.slice = 'origin' AND w.model = s.model AND w.fold = s.fold)"""
 
 
@@ -218,8 +218,8 @@ def join05_slice_predictions(spark, sf):
 
 
 @query("agg20_kfold_weighted", _SLICES + """
-SELECT model, slice, round(sum(acc * fold_rows) / sum(fold_rows), 2) AS acc_mean,
-       round(stddev_pop(acc), 2) AS acc_std, CAST(count(*) AS BIGINT) AS n_folds
+SELECT model, slice, CAST(printf('%.2f', sum(acc * fold_rows) / sum(fold_rows)) AS DOUBLE) AS acc_mean,
+       CAST(printf('%.2f', stddev_pop(acc)) AS DOUBLE) AS acc_std, CAST(count(*) AS BIGINT) AS n_folds
 FROM fa GROUP BY model, slice""")
 def agg20_kfold_weighted(spark, sf):
     fa = M.slice_accuracy(_sliced_preds(spark, sf), ["len", "cls"], ["model"])
@@ -254,8 +254,9 @@ def agg24_score_report(spark, sf):
 
 
 _BOARD = _REPORT + """,
-board AS (SELECT model, tuned, round(avg(accuracy) * 100, 1) AS acc_pct, round(avg(f1_weighted) * 100, 1) AS f1_pct,
-                 round(avg(hc_base) * 100, 1) AS hc_pct FROM rep GROUP BY model, tuned)"""
+board AS (SELECT model, tuned, CAST(printf('%.1f', avg(accuracy) * 100) AS DOUBLE) AS acc_pct,
+                 CAST(printf('%.1f', avg(f1_weighted) * 100) AS DOUBLE) AS f1_pct,
+                 CAST(printf('%.1f', avg(hc_base) * 100) AS DOUBLE) AS hc_pct FROM rep GROUP BY model, tuned)"""
 
 
 def _board(spark, sf):
@@ -270,9 +271,9 @@ def agg25_leaderboard(spark, sf):
 @query("agg26_tuning_gap", _BOARD + """
 SELECT b.model, b.acc_pct AS acc_pct_base, b.f1_pct AS f1_pct_base, b.hc_pct AS hc_pct_base,
        t.acc_pct AS acc_pct_tuned, t.f1_pct AS f1_pct_tuned, t.hc_pct AS hc_pct_tuned,
-       round(t.acc_pct - b.acc_pct, 1) AS acc_pct_gap, round(t.f1_pct - b.f1_pct, 1) AS f1_pct_gap,
-       round(t.hc_pct - b.hc_pct, 1) AS hc_pct_gap,
-       round(b.hc_pct - b.f1_pct, 1) AS f1_hc_gap_base, round(t.hc_pct - t.f1_pct, 1) AS f1_hc_gap_tuned
+       CAST(printf('%.1f', t.acc_pct - b.acc_pct) AS DOUBLE) AS acc_pct_gap, CAST(printf('%.1f', t.f1_pct - b.f1_pct) AS DOUBLE) AS f1_pct_gap,
+       CAST(printf('%.1f', t.hc_pct - b.hc_pct) AS DOUBLE) AS hc_pct_gap,
+       CAST(printf('%.1f', b.hc_pct - b.f1_pct) AS DOUBLE) AS f1_hc_gap_base, CAST(printf('%.1f', t.hc_pct - t.f1_pct) AS DOUBLE) AS f1_hc_gap_tuned
 FROM board b JOIN board t ON b.model = t.model AND b.tuned = 0 AND t.tuned = 1""")
 def agg26_tuning_gap(spark, sf):
     return M.tuning_gap(_board(spark, sf), "model", "tuned")

@@ -104,7 +104,7 @@ def win03_fold_acceptance(spark, sf):
 
 @query("agg01_class_distribution", f"""WITH {CORPUS}
 SELECT label, ['constant','linear','logn','quadratic','cubic','nlogn','np'][label + 1] AS name, CAST(count(*) AS BIGINT) AS n_class,
-       round(count(*) / sum(count(*)) OVER (), 3) AS share FROM corpus GROUP BY label""")
+       CAST(printf('%.3f', count(*) / sum(count(*)) OVER ()) AS DOUBLE) AS share FROM corpus GROUP BY label""")
 def agg01_class_distribution(spark, sf):
     return SP.class_distribution(_corpus(spark, sf), "label")
 
@@ -113,8 +113,8 @@ def agg01_class_distribution(spark, sf):
 m AS (SELECT a.doc_id, f.range AS f, a.fold = f.range AS is_test FROM assigned a, range(4) f)
 SELECT CAST(f AS INTEGER) AS f, CAST(count(*) FILTER (WHERE NOT is_test) AS BIGINT) AS train,
        CAST(count(*) FILTER (WHERE is_test) AS BIGINT) AS test,
-       round(avg(CASE WHEN is_test THEN 0.0 ELSE 1.0 END::DOUBLE), 3) AS train_share,
-       round(avg(CASE WHEN is_test THEN 1.0 ELSE 0.0 END::DOUBLE), 3) AS test_share FROM m GROUP BY f""")
+       CAST(printf('%.3f', avg(CASE WHEN is_test THEN 0.0 ELSE 1.0 END::DOUBLE)) AS DOUBLE) AS train_share,
+       CAST(printf('%.3f', avg(CASE WHEN is_test THEN 1.0 ELSE 0.0 END::DOUBLE)) AS DOUBLE) AS test_share FROM m GROUP BY f""")
 def agg02_split_ratio(spark, sf):
     return SP.split_ratio(_assigned(spark, sf), 4).withColumn("f", F.col("f").cast("int"))
 

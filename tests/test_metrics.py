@@ -62,3 +62,11 @@ def test_label_orders(spark):
     df2 = spark.createDataFrame([("m", 1, 5)], "model string, y_true int, y_pred int")  # linear vs nlogn
     assert M.score_report(df2, ["model"], order="T-parity").first().hc_base == round(1 - 4 / 6, 6)
     assert M.score_report(df2, ["model"], order="T").first().hc_base == round(1 - 1 / 6, 6)
+
+
+def test_py_round_matches_python(spark):
+    from complexa.functions.numbers import py_round
+    vals = [(0.0625, 3), (0.0005, 3), (2.675, 2), (0.125, 2), (12.345, 2), (87.45, 1), (0.2125, 3)]
+    df = spark.createDataFrame([(v,) for v, _ in vals], "x double")
+    got = [df.select(py_round("x", d)).collect()[i][0] for i, (_, d) in enumerate(vals)]
+    assert got == [round(v, d) for v, d in vals]
