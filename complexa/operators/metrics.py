@@ -231,11 +231,13 @@ def confusion_wide(preds: DataFrame, groups=None, labels: Sequence[int] = tuple(
 
 
 def confusion_normalised(preds: DataFrame, groups=None) -> DataFrame:
-    """AGG17: cell / grand total, percent with 2 decimals (window over the tiny matrix)."""
+    """AGG17: cell / grand total as a percent with 2 decimals (window over the tiny matrix)."""
     g = _g(groups)
     long = confusion_long(preds, g)
     w = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
-    return long.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(w), 2))
+    # as a '.2%' format: the share times 100, rounded the way Python prints it
+    share = long.withColumn("_share", F.col("n") / F.sum("n").over(w))
+    return share.withColumn("pct", py_round(F.col("_share") * 100.0, 2)).drop("_share")
 
 
 def confusion_sum_folds(preds: DataFrame, groups=None, fold: str = "fold") -> DataFrame:

@@ -159,7 +159,7 @@ def agg16_confusion_wide(spark, sf):
 
 
 @query("agg17_confusion_normalised", _CM_LONG +
-       " SELECT model, y_true, y_pred, n, round(n * 100::DOUBLE / sum(n) OVER (PARTITION BY model), 2) AS pct FROM cm")
+       " SELECT model, y_true, y_pred, n, CAST(printf('%.2f', n::DOUBLE / sum(n) OVER (PARTITION BY model) * 100) AS DOUBLE) AS pct FROM cm")
 def agg17_confusion_normalised(spark, sf):
     return M.confusion_normalised(_preds(spark, sf), ["model"])
 
