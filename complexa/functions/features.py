@@ -124,22 +124,19 @@ def feature_vector(cols: list) -> Column:
 
 
 def java_feature_table(progs: DataFrame, doc: str = "doc_id", keep: tuple = ()) -> DataFrame:
-    """FEA4 / FEA10 in one pass per program: comment-stripped text, method segmentation, and
-    per program the v1 counts (struct ``c``) plus the number of self-recursive methods.
-    The segmentation window and the per-program aggregate share one partitioning; the
-    self-call test is a per-line regex in the codegen projection before the collect."""
+    """FEA4 / FEA10 in one pass per program: the v1 text counts (struct ``c``) are computed
+    once per program on the comment-stripped text and carried through the line explode;
+    the segmentation marks self-calls per line (a regex on the method's own name) and one
+    aggregate keyed by the program counts the self-recursive methods.  The segmentation
+    window and the aggregate share one partitioning; no text is collected."""
     from complexa.functions.text import remove_comments
-    s = progs.withColumn("src", remove_comments("src", "lang"))
-    seg = method_segments(s, doc, keep=tuple(keep))
+    s = progs.withColumn("src", remove_comments("src", "lang")).withColumn("c", java_counts("src"))
+    seg = method_segments(s, doc, keep=tuple(keep) + ("c",))
     cleaned = F.regexp_replace("line", r"\bnew\s+\w+", "new")
     own_call = F.concat(F.lit("(^|[^A-Za-z0-9_])"), F.col("method"), F.lit(r"\s*\("))
-    seg = seg.withColumn("selfcall", F.col("method").isNotNull() & ~F.col("is_header") & F.rlike(cleaned, own_call))
-    items = seg.groupBy(doc, *keep).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line", "method", "selfcall"))).alias("items"))
-    text = F.array_join(F.transform("items", lambda x: x["line"]), "\n")
-    selfcall = F.transform(F.filter("items", lambda x: x["selfcall"]), lambda x: x["method"])
-    return items.select(doc, *keep, java_counts(text).alias("c"),
-                        F.size(F.array_distinct(selfcall)).cast("long").alias("n_recursive"))
+    selfcall = F.col("method").isNotNull() & ~F.col("is_header") & F.rlike(cleaned, own_call)
+    return (seg.groupBy(doc, *keep, "c")
+            .agg(F.countDistinct(F.when(selfcall, F.col("method"))).cast("long").alias("n_recursive")))
 
 
 V1_ORDER = ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashmap", "n_hashset",
