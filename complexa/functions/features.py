@@ -18,6 +18,7 @@ CALL_KEYWORDS = ["if", "for", "while", "switch", "catch", "synchronized", "retur
                  "and", "or", "in", "def", "class", "new", "super", "this"]
 JAVA_HEADER = r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*[\w<>\[\],]+\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w., ]+)?\{"
 PY_HEADER = r"^def\s+(\w+)\s*\("
+LITERAL = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
 JAVA_VAR = r"\b(?:int|long|double|float|boolean|char|byte|short|String|[A-Z]\w*(?:<[^<>;]*>)?)(?:\[\])*\s+[a-z_]\w*\s*(?:=|;|:)"
 
 
@@ -94,8 +95,9 @@ def method_segments(progs: DataFrame, doc: str = "doc_id", src: str = "src", lan
     lines = progs.select(doc, lang, *keep, F.posexplode(F.split(_c(src), "\n")).alias("pos", "line"))
     w = Window.partitionBy(doc).orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    opens = F.length(F.col("line")) - F.length(F.replace(F.col("line"), F.lit("{"), F.lit("")))
-    closes = F.length(F.col("line")) - F.length(F.replace(F.col("line"), F.lit("}"), F.lit("")))
+    code = F.regexp_replace("line", LITERAL, '""')  # braces inside string / char literals do not nest
+    opens = F.length(code) - F.length(F.replace(code, F.lit("{"), F.lit("")))
+    closes = F.length(code) - F.length(F.replace(code, F.lit("}"), F.lit("")))
     lines = lines.withColumn("depth", F.coalesce(F.sum(opens - closes).over(before), F.lit(0)))
     jname = F.when(F.col("depth") == 1, F.nullif(F.regexp_extract("line", JAVA_HEADER, 1), F.lit("")))
     pname = F.nullif(F.regexp_extract("line", PY_HEADER, 1), F.lit(""))

@@ -543,8 +543,9 @@ def _seg_sql(table: str = "programs", prefix: str = PROGRAMS) -> str:
     return (prefix + """,
 sl AS (SELECT doc_id, lang, unnest(string_split(src, chr(10))) AS line,
               generate_subscripts(string_split(src, chr(10)), 1) - 1 AS pos FROM @TABLE@),
-sd AS (SELECT *, coalesce(sum((length(line) - length(replace(line, '{', ''))) - (length(line) - length(replace(line, '}', ''))))
-         OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM sl),
+sd AS (SELECT *, coalesce(sum((length(c) - length(replace(c, '{', ''))) - (length(c) - length(replace(c, '}', ''))))
+         OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth
+       FROM (SELECT *, regexp_replace(line, '@LIT@', '""', 'g') AS c FROM sl) x),
 sh AS (SELECT *, CASE WHEN lang = 'java' THEN (CASE WHEN depth = 1 THEN nullif(regexp_extract(line, '@JH@', 1), '') END)
                       ELSE nullif(regexp_extract(line, '@PH@', 1), '') END AS header FROM sd),
 sc AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos
@@ -558,6 +559,7 @@ calls AS (SELECT doc_id, lang, method AS caller,
           FROM seg WHERE method IS NOT NULL AND NOT is_header),
 edges_ AS (SELECT DISTINCT doc_id, lang, caller, callee FROM calls WHERE callee NOT IN (@KW@))"""
             .replace("@JH@", jh).replace("@PH@", ph).replace("@WS@", ws).replace("@TABLE@", table)
+            .replace("@LIT@", _re(FE.LITERAL))
             .replace("@KW@", ", ".join(f"'{k}'" for k in FE.CALL_KEYWORDS)))
 
 

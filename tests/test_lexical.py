@@ -76,3 +76,11 @@ def test_last_assistant_nested(spark):
     chat = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a: x"), (1, 2, "assistant", "b: y: z")],
                                  "conv_id long, turn long, role string, text string")
     assert messages(chat).select(last_assistant("messages")).first()[0] == "b: y: z"
+
+
+def test_braces_in_literals_do_not_nest(spark):
+    src = ('class B {\n  static int f(int n) {\n    String s = "{";\n    char c = \'{\';\n    return g(n);\n  }\n'
+           '  static int g(int n) {\n    return n;\n  }\n  public static void main(String[] a) {\n    f(1);\n  }\n}\n')
+    p = spark.createDataFrame([(1, "java", src)], "doc_id int, lang string, src string")
+    heads = {r.method for r in FE.method_segments(p).filter("is_header").collect()}
+    assert heads == {"f", "g", "main"}
