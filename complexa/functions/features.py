@@ -95,7 +95,9 @@ def method_segments(progs: DataFrame, doc: str = "doc_id", src: str = "src", lan
     lines = progs.select(doc, lang, *keep, F.posexplode(F.split(_c(src), "\n")).alias("pos", "line"))
     w = Window.partitionBy(doc).orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    code = F.regexp_replace("line", LITERAL, '""')  # braces inside string / char literals do not nest
+    quoted = F.col("line").contains('"') | F.col("line").contains("'")
+    # braces inside string / char literals do not nest (the regex only runs on lines with a quote)
+    code = F.when(quoted, F.regexp_replace("line", LITERAL, '""')).otherwise(F.col("line"))
     opens = F.length(code) - F.length(F.replace(code, F.lit("{"), F.lit("")))
     closes = F.length(code) - F.length(F.replace(code, F.lit("}"), F.lit("")))
     lines = lines.withColumn("depth", F.coalesce(F.sum(opens - closes).over(before), F.lit(0)))
