@@ -65,3 +65,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (functions of UDFs are imported there by name)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_complexa_shipped", False):
+        return
+    import shutil
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="complexa-zip-"))
+    sc.addPyFile(shutil.make_archive(f"{folder}/complexa", "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._complexa_shipped = True
