@@ -44,6 +44,7 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files that nothing needs any more are dropped now
     return spark.read.schema(df.schema).parquet(path)
 
 

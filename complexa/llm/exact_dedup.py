@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from complexa.llm.common import WHITE, _BYTE, inverse, powers, row_key, text_array, work_table
@@ -84,32 +84,25 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, rid, keep_id, group_size, kept, text_sha256, n_chunks."""
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("rid"), F.col("text").cast("string"))
-    found = work_table(rows.mapInArrow(_recipes, _SCHEMA), "recipes")
+    # the row number is fixed by the written table; it decides between rows that repeat each other
+    found = work_table(rows.mapInArrow(_recipes, _SCHEMA).withColumn("row_no", F.monotonically_increasing_id()), "recipes")
     chunks = found.select("rid", F.explode("evidence").alias("e"))
     proof = F.struct("e.size", "e.digest")
     unverified = (chunks.groupBy(F.col("e.id").alias("id")).agg(F.min(proof).alias("lo"), F.max(proof).alias("hi"))
                   .filter("lo != hi").select("id"))
     suspects = chunks.join(unverified, F.col("e.id") == F.col("id"), "left_semi").select("rid").distinct()
     lists = found.join(suspects.withColumn("suspect", F.lit(True)), "rid", "left").select(
-        "doc_id", "rid", "n_cp", "text_sha256", "recipe",
+        "doc_id", "rid", "row_no", "n_cp", "text_sha256", "recipe",
         F.when(F.col("suspect"), F.col("evidence.digest")).otherwise(F.expr("cast(array() as array<binary>)")).alias("full"))
     # longest original first, then the smallest doc_id (nulls last)
-    order = F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"))
+    order = F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("row_no").alias("r"))
     groups = lists.groupBy("recipe", "full").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    joined = lists.join(groups, ["recipe", "full"])
-    best = joined.withColumn("is_best", order == F.col("best")).select(
-        "doc_id", "rid", "text_sha256", F.size("recipe").alias("n_chunks"), F.col("best.d").alias("keep_id"),
-        "group_size", "is_best", F.struct("recipe", "full").alias("same"))
-    # the only ties left are rows with one doc_id, length and text: keep the first
-    tie = F.row_number().over(Window.partitionBy("same").orderBy("rid"))
-    winners = best.filter("is_best").withColumn("kept", tie == 1)
-    losers = best.filter("not is_best").withColumn("kept", F.lit(False))
-    return winners.unionByName(losers).drop("is_best", "same")
+    return lists.join(groups, ["recipe", "full"]).select(
+        "doc_id", "rid", F.col("best.d").alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.r")).alias("kept"),
+        "text_sha256", F.size("recipe").alias("n_chunks"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     kept = exact_groups(docs).filter("kept").select(F.col("rid").alias("__rid"))
-    once = Window.partitionBy("__rid").orderBy(F.lit(0))
-    out = docs.withColumn("__rid", row_key()).join(kept, "__rid", "left_semi")
-    return out.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*docs.columns)
+    return docs.withColumn("__rid", row_key()).join(kept, "__rid", "left_semi").dropDuplicates(["__rid"]).select(*docs.columns)
