@@ -14,7 +14,7 @@ and payload digests are verified while the bytes pass.
 
 Defined cases: null payload counts as empty; a null page_id is left out of
 the headers and read back as null (it sorts after every other id); of
-repeated rows with the smallest page_id of a payload one is the response; an
+repeated rows with the smallest page_id of a payload each is a response; an
 empty table gives no archives and an empty result; other columns are ignored
 (``url`` is the target URI when it is there, null and odd characters escaped).
 """
@@ -29,7 +29,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from complexa.llm.common import work_table
@@ -63,16 +63,8 @@ def plan_records(pages: DataFrame, payload: str = "html") -> DataFrame:
              .filter("n > 1").select("payload_digest", "first"))
     joined = rows.join(first, "payload_digest", "left")
     leads = F.col("first").isNull() | (order == F.col("first"))
-    done = joined.select("page_id", "url", "payload", "payload_digest", F.col("first.p").alias("first_id"),
-                         leads.alias("leads"), F.col("first").isNotNull().alias("shared"))
-    # rows that repeat the first page_id of a shared payload: the first of them is the response
-    heads = done.filter("leads and shared").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("payload_digest").orderBy("url")))
-    rest = done.filter("not (leads and shared)").withColumn("rank", F.when(F.col("leads"), 1).otherwise(2))
-    role = F.when(F.col("rank") == 1, "response").otherwise("revisit")
-    return heads.unionByName(rest).select(
-        "page_id", "url", "payload", "payload_digest", role.alias("record_type"),
-        F.when(F.col("rank") > 1, F.col("first_id")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "payload_digest", F.when(leads, "response").otherwise("revisit").alias("record_type"),
+                         F.when(~leads, F.col("first.p")).alias("refers_to"))
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
