@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complexa.llm import exact_dedup, ngram_join, packing, warc
+from complexa.llm import exact_dedup, ngram_join, packing, substring_dedup, warc
 from complexa.llm.common import table
 from complexa.session import ensure_checkpoint_dir, ship_package
 
@@ -80,6 +80,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op8_substring_dedup", oracle=r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest([{'i': i, 's': md5(array_to_string(ws[i:i + 34], ' '))} FOR i IN range(1, len(ws) - 33)], recursive := true) FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM g) WHERE c > 1),
+k AS (SELECT DISTINCT doc_id, i + j AS i FROM r, range(0, 35) t(j)),
+x AS (SELECT doc_id, unnest([{'i': i, 'v': ws[i]} FOR i IN range(1, len(ws) + 1)], recursive := true) FROM w),
+s AS (SELECT x.doc_id, string_agg(x.v, ' ' ORDER BY x.i) AS t, count(*) AS n FROM x ANTI JOIN k USING (doc_id, i) GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(s.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s.t, '')) AS kept_sha256
+FROM w LEFT JOIN s USING (doc_id)""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), texts=False).drop("rid", "kept_text")
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).select(
