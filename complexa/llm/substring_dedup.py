@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from complexa.llm.common import Words, inside, row_key, sequence_hashes, text_array, text_chunks, work_table
-from complexa.llm.tiles import TILE_SCHEMA, Packer, tile_of, tiles_for, unpack
+from complexa.llm.tiles import TILE_SCHEMA, Packer, by_owner, packed_home, tile_of, tiles_for, unpack
 
 WINDOW = 35
 CHARS_PER_TILE = 16_000_000
@@ -53,7 +53,7 @@ def _index_rows(blocks: np.ndarray, tiles: int) -> pa.RecordBatch:
 
 
 def block_hits(docs: DataFrame, block: int, tiles: int) -> DataFrame:
-    """rid, tile, keys: the runs of ``block`` words of a document that are a grid block somewhere and occur twice or more."""
+    """rid, hits: the runs of ``block`` words of a document that are a grid block somewhere and occur twice or more."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, index = Packer(tiles), []
@@ -75,7 +75,7 @@ def block_hits(docs: DataFrame, block: int, tiles: int) -> DataFrame:
             yield last
             yield _index_rows(np.concatenate(index), tiles)
 
-    def probe(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    def probe(part: pd.DataFrame) -> pd.DataFrame:
         marked = part["extra"].notna()
         index = np.unique(np.frombuffer(b"".join(part.loc[marked, "keys"]), "<u4"))
         owner, keys, _ = unpack(part[~marked])
@@ -84,24 +84,14 @@ def block_hits(docs: DataFrame, block: int, tiles: int) -> DataFrame:
         found[found] = index[at[found]] == keys[found]
         owner, at = owner[found], at[found]
         many = np.bincount(at, minlength=len(index))[at] >= 2
-        return _by_owner(int(key[0]), owner[many], index[at[many]])
+        return packed_home(owner[many], index[at[many]], tiles)
 
     sent = docs.select("rid", "text").mapInArrow(send, TILE_SCHEMA)
-    return sent.groupBy("tile").applyInPandas(probe, "rid long, tile int, keys binary")
-
-
-def _by_owner(tile: int, owner: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
-    order = np.argsort(owner, kind="stable")
-    owner, keys = owner[order], keys[order]
-    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
-    ends = np.append(first[1:], len(owner))
-    packed = [np.unique(keys[a:b]).tobytes() for a, b in zip(first, ends, strict=True)]
-    return pd.DataFrame({"rid": owner[first], "tile": np.full(len(first), tile, np.int32), "keys": packed})
+    return by_owner(sent.groupBy("tile").applyInPandas(probe, TILE_SCHEMA), "<u4", "hits")
 
 
 def _packed(batch: pa.RecordBatch, column: str, kind: str) -> list[np.ndarray | None]:
-    """Per row the joined binaries of a list column (None where it is null)."""
-    return [None if x is None else np.frombuffer(b"".join(x), kind) for x in batch.column(column).to_pylist()]
+    return [None if x is None else np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
 
 
 def _sha(words: list[bytes]) -> str:
@@ -142,7 +132,7 @@ def _window_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_repeats(suspects: DataFrame, window: int, tiles: int) -> DataFrame:
-    """rid, keys: the candidate windows (low 32 bits of one hash, 32 of another) that occur twice or more."""
+    """rid, repeats: the candidate windows (low 32 bits of one hash, 32 of another) that occur twice or more."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(tiles)
@@ -159,17 +149,17 @@ def window_repeats(suspects: DataFrame, window: int, tiles: int) -> DataFrame:
         if (last := packer.pack()) is not None:
             yield last
 
-    def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    def count(part: pd.DataFrame) -> pd.DataFrame:
         owner, low, second = unpack(part, "<u4")
         whole = low.astype("<u8") << _U(32) | second
         order = np.argsort(whole, kind="stable")
         sorted_ = whole[order]
         same = sorted_[1:] == sorted_[:-1]
         many = order[np.append(same, False) | np.append(False, same)] if len(order) else order
-        return _by_owner(int(key[0]), owner[many], whole[many])
+        return packed_home(owner[many], whole[many], tiles)
 
     sent = suspects.select("rid", "text", "starts").mapInArrow(send, TILE_SCHEMA)
-    return sent.groupBy("tile").applyInPandas(count, "rid long, tile int, keys binary")
+    return by_owner(sent.groupBy("tile").applyInPandas(count, TILE_SCHEMA), "<u8", "repeats")
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -205,14 +195,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -
     block = (window + 1) // 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("rid"))
     tiles = tiles_for(rows, CHARS_PER_TILE)
-    hits = work_table(block_hits(rows, block, tiles), "hits").groupBy("rid").agg(F.collect_list("keys").alias("hits"))
+    hits = work_table(block_hits(rows, block, tiles), "hits")
     judged = work_table(
         rows.join(hits, "rid", "left").select("doc_id", "rid", "text", "hits").mapInArrow(
             lambda it: _candidates(it, window, block),
             "doc_id long, rid long, n_words long, kept_sha256 string, text string, starts binary"), "judged")
     suspects = judged.filter("text is not null")
-    # one row stands for rows that repeat each other only if it is sent as often as they occur: send them all
-    repeats = work_table(window_repeats(suspects, window, tiles), "repeats").groupBy("rid").agg(F.collect_list("keys").alias("repeats"))
+    repeats = work_table(window_repeats(suspects, window, tiles), "repeats")
     done = suspects.select("doc_id", "rid", "n_words", "text").join(repeats, "rid", "left").select(
         "doc_id", "rid", "n_words", "text", "repeats").mapInArrow(
         lambda it: _cleaned(it, window, texts), "doc_id long, rid long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from complexa.llm.common import list_array
+from complexa.llm.common import list_array, mix
 
 TILE_SCHEMA = "tile int, owners array<long>, counts array<int>, keys binary, extra binary"
 #: Entries that a task gathers before it packs them.
@@ -53,33 +53,58 @@ class Packer:
         keys = np.concatenate([p[1] for p in self.parts])
         extra = None if self.parts[0][2] is None else np.concatenate([p[2] for p in self.parts])
         self.parts, self.size = [], 0
-        tile = tile_of(keys, self.tiles)
-        order = np.argsort(tile, kind="stable")
-        tile, owners, low = tile[order], owners[order], keys[order].astype("<u4")
-        new_tile = np.append(True, tile[1:] != tile[:-1])
-        runs = np.flatnonzero(new_tile | np.append(True, owners[1:] != owners[:-1]))
-        counts = np.diff(np.append(runs, len(tile)))
-        cuts = np.append(np.flatnonzero(new_tile), len(tile))
-        per_tile = np.diff(np.searchsorted(runs, cuts))
-        raw = memoryview(low).cast("B")
-        packed = [bytes(raw[4 * a:4 * b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        if extra is None:
-            more = [None] * len(packed)
-        else:
-            extra = extra[order]
-            more = [extra[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(tile[cuts[:-1]].astype(np.int32)), list_array(owners[runs], per_tile, pa.int64()),
-             list_array(counts.astype(np.int32), per_tile, pa.int32()), pa.array(packed, pa.binary()), pa.array(more, pa.binary())],
-            names=["tile", "owners", "counts", "keys", "extra"])
-
-
-def unpack(part: pd.DataFrame, extra: np.dtype | str | None = None):
+        return packed_rows(tile_of(keys, self.tiles), owners, keys.astype("<u4"), extra)
+
+
+def packed_rows(tile: np.ndarray, owners: np.ndarray, values: np.ndarray, extra: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per tile: owners, their counts, and the packed values (entries of an owner adjacent in the input)."""
+    order = np.argsort(tile, kind="stable")
+    tile, owners, values = tile[order], owners[order], values[order]
+    new_tile = np.append(True, tile[1:] != tile[:-1])
+    runs = np.flatnonzero(new_tile | np.append(True, owners[1:] != owners[:-1]))
+    counts = np.diff(np.append(runs, len(tile)))
+    cuts = np.append(np.flatnonzero(new_tile), len(tile))
+    per_tile = np.diff(np.searchsorted(runs, cuts))
+
+    def cut(x: np.ndarray) -> list[bytes]:
+        return [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(tile[cuts[:-1]].astype(np.int32)), list_array(owners[runs], per_tile, pa.int64()),
+         list_array(counts.astype(np.int32), per_tile, pa.int32()), pa.array(cut(values), pa.binary()),
+         pa.array([None] * (len(cuts) - 1) if extra is None else cut(extra[order]), pa.binary())],
+        names=["tile", "owners", "counts", "keys", "extra"])
+
+
+def packed_home(owners: np.ndarray, values: np.ndarray, homes: int) -> pd.DataFrame:
+    """Values on their way to their owners: packed rows dealt by owner, so there are as many rows as homes, not owners."""
+    if not len(owners):
+        return pd.DataFrame({"tile": np.zeros(0, np.int32), "owners": [], "counts": [], "keys": [], "extra": []})
+    order = np.argsort(owners, kind="stable")
+    owners = owners[order]
+    return packed_rows(tile_of(mix(owners.view(np.uint64)), homes), owners, values[order]).to_pandas()
+
+
+def by_owner(packed: DataFrame, kind: str, name: str) -> DataFrame:
+    """rid and ``name`` (binary of the distinct values) for every owner in ``packed`` rows of ``packed_home``."""
+
+    def gather(part: pd.DataFrame) -> pd.DataFrame:
+        owners, values, _ = unpack(part, kind=kind)
+        order = np.lexsort((values, owners))
+        owners, values = owners[order], values[order]
+        first = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else np.zeros(0, int)
+        ends = np.append(first[1:], len(owners))
+        return pd.DataFrame({"rid": owners[first], name: [np.unique(values[a:b]).tobytes() for a, b in zip(first, ends, strict=True)]})
+
+    return packed.groupBy("tile").applyInPandas(gather, f"rid long, {name} binary")
+
+
+def unpack(part: pd.DataFrame, extra: str | None = None, kind: str = "<u4"):
     """(owner, key, extra) of every entry of a tile's rows."""
     if not len(part):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32), None
+        return np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, extra or "u1")
     owners = np.concatenate([np.asarray(x, np.int64) for x in part["owners"]])
     counts = np.concatenate([np.asarray(x, np.int64) for x in part["counts"]])
-    keys = np.frombuffer(b"".join(part["keys"]), "<u4")
+    keys = np.frombuffer(b"".join(part["keys"]), kind)
     more = None if extra is None else np.frombuffer(b"".join(part["extra"]), extra)
     return np.repeat(owners, counts), keys, more
