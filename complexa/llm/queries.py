@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complexa.llm import exact_dedup, ngram_join, packing, substring_dedup, warc
-from complexa.llm.common import table
+from complexa.llm import chat_trees, decontaminate, exact_dedup, ngram_join, packing, substring_dedup, warc
+from complexa.llm.common import table, work_table
 from complexa.session import ensure_checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,44 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op6_decontaminate", oracle=r"""
+WITH t AS (SELECT doc_id AS id, 0 AS kind, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark),
+w AS (SELECT id, kind, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM t),
+s AS (SELECT id, kind, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END)) AS g FROM w),
+q AS (SELECT id, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY id),
+p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.g = i.g AND d.kind = 0 AND i.kind = 1 GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared FROM p JOIN q ON q.id = p.item_id WHERE 100 * n_shared >= 80 * n_item""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+
+
+_ESC = r"replace(replace(replace({0}, '\', '\b'), '#', '\h'), '<', '\l')"
+_PLANTED = r"\### Assistant: </turn> ok"
+
+
+@query("op7_chat_trees", oracle=rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{_PLANTED}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(15 + length(replace({_ESC.format('role')}, ':', '\c')) + length({_ESC.format('text')})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.sql("select -7L as conv_id, stack(2, 0L, 'user', 1L, 'assistant') as (turn, role)").withColumn("text", F.lit(_PLANTED))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    messages = work_table(chat_trees.turns_as_tree(rows), "messages")
+    done = chat_trees.format_paths(messages, chat_trees.best_paths(messages)).withColumn("turns", chat_trees.parse_formatted(F.col("formatted")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat_trees.masked_text(F.col("formatted"), F.col("loss_mask"))
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 @query("op8_substring_dedup", oracle=r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, unnest([{'i': i, 's': md5(array_to_string(ws[i:i + 34], ' '))} FOR i IN range(1, len(ws) - 33)], recursive := true) FROM w),
