@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complexa.llm import chat_trees, decontaminate, exact_dedup, ngram_join, packing, substring_dedup, warc
+from complexa.llm import chat_trees, decontaminate, exact_dedup, ngram_join, packing, secrets, substring_dedup, warc
 from complexa.llm.common import table, work_table
 from complexa.session import ensure_checkpoint_dir, ship_package
 
@@ -31,6 +31,21 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_secrets")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "grammar")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("grammar"))
+
+
 #: Lower-casing of A-Z only, as every word contract asks.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
