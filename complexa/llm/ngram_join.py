@@ -6,12 +6,15 @@ intersection of sorted arrays.
 2. Candidates.  Sizes fall into bands.  In a band the hash range is cut into k
    equal parts, with k larger than the symmetric difference that a linked pair
    may have plus a slack s; a linked pair then agrees exactly on at least
-   s + 1 parts.  Every set sends a signature of each non-empty part to tiles.
-   A pair can only be missed if all parts it agrees on are empty, so if both
-   sets have more than s empty parts; such sparse sets also send the hashes of
-   their prefix (the smallest |x| - ceil(t|x|) + 1 hashes), which a linked
-   pair shares as well.  Sets that share a signature are joined into clusters,
-   linearly (star edges, connected components): no pairs are formed here.
+   s + 1 parts.  Very frequent n-grams (shared lines and passages) are left out
+   of the parts, in every set alike, which only makes differences smaller.
+   Each set sends a signature of every non-empty part to tiles.  A set with
+   more than s + 1 - ``AGREE`` empty parts is sparse; a linked pair that has a
+   set that is not agrees on ``AGREE`` non-empty parts, and two sparse sets
+   share a hash of their prefixes (the |x| - ceil(t|x|) + 1 first members,
+   frequent ones last), which sparse sets send too.  In small buckets all pairs
+   are counted and must agree often enough; larger ones are joined by a star.
+   Connected components of these edges are clusters of candidates.
 3. Verification.  Each set of a cluster of several goes once to the unit of
    its cluster.  In a unit sets are compared with those of fitting size,
    vectorised over bitmaps of hashed bits: every bit that x has and y lacks is
@@ -46,8 +49,13 @@ from complexa.llm.tiles import TILE_SCHEMA, Packer, tiles_for, unpack
 
 #: Sets compared inside one unit.
 UNIT_SETS = 1500
+#: Ratio of band borders (at least the inverse of the similarity).
 BAND_RATIO = 1.3
 CHARS_PER_TILE = 40_000_000
+#: Non-empty parts that a pair must agree on; sizes of the buckets in which pairs are counted.
+AGREE, SMALL_BUCKET = 3, 32
+#: N-grams in this share of the sets are frequent; most of them that are told apart; n-grams counted at a time.
+FREQUENT, FREQUENT_MOST, COUNT_GRAMS = 5e-4, 1_000_000, 2_000_000
 _U = np.uint64
 
 
@@ -76,30 +84,72 @@ class Sets:
 
 
 def sets_of_texts(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, rid, set_id, n_shingles per row."""
+    """doc_id, rid, set_id, n_shingles per row, and now and then (``frequent``) the n-grams common among the last sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             for a, b, data, rows in text_chunks(text_array(batch)):
                 sets, part = Sets(data, rows, n), batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(sets.key), pa.array(sets.size)],
-                                                 names=["doc_id", "rid", "set_id", "n_shingles"])
+                held.append(sets.grams)
+                common = [None] * (b - a)
+                if sum(map(len, held)) >= COUNT_GRAMS:
+                    common[-1], held = _common(held), []
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("rid"), pa.array(sets.key), pa.array(sets.size), pa.array(common, pa.binary())],
+                    names=["doc_id", "rid", "set_id", "n_shingles", "frequent"])
+        if held:  # what is left is counted too, on a row that is no document
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1]),
+                                              pa.array([_common(held)], pa.binary())],
+                                             names=["doc_id", "rid", "set_id", "n_shingles", "frequent"])
 
-    return docs.mapInArrow(scan, "doc_id long, rid long, set_id long, n_shingles long")
+    return docs.mapInArrow(scan, "doc_id long, rid long, set_id long, n_shingles long, frequent binary")
+
+
+_COUNTED = np.dtype([("gram", "<i8"), ("n", "<i8")])
+
+
+def _common(held: list[np.ndarray]) -> bytes:
+    grams, n = np.unique(np.concatenate(held), return_counts=True)
+    often = n >= 3
+    out = np.empty(int(often.sum()), _COUNTED)
+    out["gram"], out["n"] = grams[often].view(np.int64), n[often]
+    return out.tobytes()
+
+
+def frequent_grams(sets: DataFrame) -> np.ndarray:
+    """Sorted hashes of the n-grams found in ``FREQUENT`` or more of the sets.
+
+    Counted over all texts (counts below three in a run of ``COUNT_GRAMS`` are
+    dropped), at most ``FREQUENT_MOST`` of them.  They decide where candidates
+    are looked for, never whether a link is found.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [np.frombuffer(x, _COUNTED) for x in batch.column("frequent").to_pylist()]
+            if got:
+                all_ = np.concatenate(got)
+                yield pa.RecordBatch.from_arrays([pa.array(all_["gram"]), pa.array(all_["n"])], names=["gram", "n"])
+
+    total = sets.filter("n_shingles >= 0").count()
+    counts = sets.filter("frequent is not null").select("frequent").mapInArrow(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= max(8, FREQUENT * total)).orderBy(F.desc("n"), "gram").limit(FREQUENT_MOST).select("gram").toPandas()
+    return np.sort(top["gram"].to_numpy(np.int64).view(np.uint64))
 
 
 @lru_cache(maxsize=16)
 def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first size of each band, parts k, slack s) up to the band of ``largest``, for similarity num/den."""
-    t, starts, parts, slacks, b = num / den, [], [], [], 1
+    t, ratio, starts, parts, slacks, b = num / den, max(BAND_RATIO, den / num), [], [], [], 1
     while not starts or b <= largest:
-        nxt = max(b + 1, math.ceil(b * BAND_RATIO))
+        nxt = max(b + 1, math.ceil(b * ratio))
         differ = (den - num) * 2 * (nxt - 1) // (den + num)  # of two sets of at most nxt - 1 members
-        smallest, s = max(1, math.ceil(t * b)), 0
+        smallest, s = max(1, math.ceil(t * b)), AGREE - 1
         for _ in range(20):
             k = differ + 1 + s
             empty = k * math.exp(-smallest / k)
-            want = math.ceil(empty + 4 * math.sqrt(empty)) if empty > 0.01 else 0
+            want = AGREE - 1 + (math.ceil(empty + 4 * math.sqrt(empty)) if empty > 0.01 else 0)
             if want <= s:
                 break
             s = want
@@ -110,44 +160,72 @@ def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.array([*starts, b]), np.array(parts), np.array(slacks)
 
 
-def signatures(sets: Sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) entries of all rows, entries of a row adjacent."""
+def signatures(sets: Sets, num: int, den: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, kind) entries, entries of a row adjacent; kind 0 or 1: a part (by the parity of the band), 2: a prefix member."""
     if not len(sets.grams):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     starts, parts, slacks = bands(num, den, int(math.ceil(sets.size.max() * den / num)) + 1)
     band = np.searchsorted(starts, np.maximum(sets.size, 1), "right") - 1
     some = sets.size > 0
     larger = some & (sets.size * den >= num * starts[np.minimum(band + 1, len(starts) - 1)]) & (band + 1 < len(parts))
-    rows_out, sigs_out = [], []
+    heavy = np.isin(sets.grams, frequent)
+    light, light_of = sets.grams[~heavy], sets.owner[~heavy]
+    light_size = np.bincount(light_of, minlength=len(sets.size))
+    light_at = np.append(0, np.cumsum(light_size))
+    members = np.concatenate([light, sets.grams[heavy]])  # frequent members last
+    heavy_at = len(light) + np.append(0, np.cumsum(sets.size - light_size))
+    out = []
     for use, scheme in ((some, band), (larger, band + 1)):
         chosen = np.flatnonzero(use)
         if not len(chosen):
             continue
-        size, scheme = sets.size[chosen], scheme[chosen]
-        at = ragged_range(sets.at[:-1][chosen], size)
-        row, grams = np.repeat(np.arange(len(chosen)), size), sets.grams[at]
-        k = parts[scheme].astype(np.uint64)
-        part = ((grams >> _U(32)) * k[row]) >> _U(32)
-        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
-        total = np.add.reduceat(mix(grams), new)
-        who = row[new]
-        tag = scheme[who].astype(np.uint64) * _U(0x9FB21C651E98DF25) + part[new] * _U(0xD6E8FEB86659FD93)
-        rows_out.append(chosen[who])
-        sigs_out.append(mix(total ^ mix(tag)))
-        filled = np.bincount(who, minlength=len(chosen))
-        sparse = np.flatnonzero(parts[scheme] - filled > slacks[scheme])
+        size, scheme = light_size[chosen], scheme[chosen]
+        row, grams = np.repeat(np.arange(len(chosen)), size), light[ragged_range(light_at[:-1][chosen], size)]
+        filled = np.zeros(len(chosen), np.int64)
+        if len(grams):
+            part = ((grams >> _U(32)) * parts[scheme].astype(np.uint64)[row]) >> _U(32)
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
+            total, who = np.add.reduceat(mix(grams), new), row[new]
+            tag = scheme[who].astype(np.uint64) * _U(0x9FB21C651E98DF25) + part[new] * _U(0xD6E8FEB86659FD93)
+            out.append((chosen[who], mix(total ^ mix(tag)), (scheme[who] & 1).astype(np.uint64)))
+            filled = np.bincount(who, minlength=len(chosen))
+        sparse = chosen[parts[scheme] - filled > slacks[scheme] + 1 - AGREE]
         if len(sparse):
-            count = size[sparse] - -(-size[sparse] * num // den) + 1
-            at = ragged_range(sets.at[:-1][chosen[sparse]], count)
-            rows_out.append(np.repeat(chosen[sparse], count))
-            sigs_out.append(mix(sets.grams[at] ^ _U(0x3C6EF372FE94F82B)))
-    rows, sigs = np.concatenate(rows_out), np.concatenate(sigs_out)
+            count = sets.size[sparse] - -(-sets.size[sparse] * num // den) + 1
+            first = np.minimum(count, light_size[sparse])
+            at = np.concatenate([ragged_range(light_at[:-1][sparse], first), ragged_range(heavy_at[:-1][sparse], count - first)])
+            who = np.concatenate([np.repeat(sparse, first), np.repeat(sparse, count - first)])
+            out.append((who, mix(members[at] ^ _U(0x3C6EF372FE94F82B)), np.full(len(at), 2, np.uint64)))
+    rows, sigs, kinds = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.argsort(rows, kind="stable")
-    return rows[order], sigs[order]
-
-
-def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Star edges (a, b) between the set ids that share a signature."""
+    return rows[order], sigs[order], kinds[order]
+
+
+def bucket_edges(owner: np.ndarray, key: np.ndarray, kind: np.ndarray) -> pd.DataFrame:
+    """(a, b, kind, n): agreements n of pairs a < b in small buckets, and stars (n = ``AGREE``) of large ones."""
+    order = np.lexsort((owner, key))
+    owner, key, kind = owner[order], key[order], kind[order]
+    if len(key):  # a set counts once in a bucket
+        once = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
+        owner, key, kind = owner[once], key[once], kind[once]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    size = np.diff(np.append(start, len(key)))
+    rows = [np.zeros((0, 4), np.int64)]
+    for m in np.unique(size[(size > 1) & (size <= SMALL_BUCKET)]).tolist():
+        at = start[size == m][:, None]
+        i, j = np.triu_indices(m, 1)
+        k = np.broadcast_to(kind[at], (len(at), len(i))).ravel()
+        rows.append(np.stack([owner[at + i].ravel(), owner[at + j].ravel(), k, np.where(k == 2, AGREE, 1)], 1))
+    large = np.flatnonzero(size > SMALL_BUCKET)
+    if len(large):
+        at, center = ragged_range(start[large] + 1, size[large] - 1), np.repeat(owner[start[large]], size[large] - 1)
+        rows.append(np.stack([center, owner[at], np.full(len(at), 2), np.full(len(at), AGREE)], 1))
+    found = pd.DataFrame(np.concatenate(rows), columns=["a", "b", "kind", "n"])
+    return found.groupby(["a", "b", "kind"], as_index=False, sort=False)["n"].sum()
+
+
+def candidate_edges(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+    """Edges (a, b) between set ids that may be linked, connecting all sets that are."""
     tiles = tiles_for(docs, CHARS_PER_TILE)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,27 +234,24 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for _, _, data, rows in text_chunks(text_array(batch)):
                 sets = Sets(data, rows, n)
                 _, first = np.unique(sets.key, return_index=True)  # equal sets of a run send once
-                row, sig = signatures(sets, num, den)
                 once = np.zeros(len(sets.size), bool)
                 once[first] = True
+                row, sig, kind = signatures(sets, num, den, frequent)
                 keep = once[row]
-                if packer.add(sets.key[row[keep]], sig[keep]):
+                row, sig, kind = row[keep], sig[keep], kind[keep]
+                # 14 bits more than the tile's 32, so that unrelated sets hardly ever meet; two bits for the kind
+                if packer.add(sets.key[row], sig, (sig >> _U(32) & _U(0x3FFF) | kind << _U(14)).astype("<u2")):
                     yield packer.pack()
         if (last := packer.pack()) is not None:
             yield last
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        owner, key, _ = unpack(part)
-        order = np.lexsort((owner, key))
-        owner, key = owner[order], key[order]
-        new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-        center = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else owner
-        apart = owner != center
-        pairs = np.unique(np.stack([owner[apart], center[apart]], 1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        owner, low, more = unpack(part, "<u2")
+        return bucket_edges(owner, low.astype(np.uint64) | more.astype(np.uint64) << _U(32), more.astype(np.int64) >> 14)
 
     sent = docs.select("text").mapInArrow(send, TILE_SCHEMA)
-    return sent.groupBy("tile").applyInPandas(meet, "a long, b long")
+    counted = sent.groupBy("tile").applyInPandas(meet, "a long, b long, kind long, n long")
+    return counted.groupBy("a", "b", "kind").agg(F.sum("n").alias("n")).filter(F.col("n") >= AGREE).select("a", "b").distinct()
 
 
 # ------------------------------------------------------------- verification
@@ -271,10 +346,10 @@ def gram_arrays(docs: DataFrame, n: int) -> DataFrame:
 
 def similar_sets(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(node, component) of the set ids that are linked with another set.  ``docs`` has doc_id, text, rid."""
-    clusters = work_table(connected_components(candidate_edges(docs, n, num, den)), "clusters")
+    clusters = work_table(connected_components(candidate_edges(docs, n, num, den, frequent_grams(sets))), "clusters")
     if clusters.isEmpty():
         return clusters
-    firsts = sets.groupBy("set_id").agg(F.min("rid").alias("rid"))
+    firsts = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("rid").alias("rid"))
     wanted = firsts.join(clusters.withColumnRenamed("node", "set_id"), "set_id").select("rid", F.col("component").alias("cluster"))
     texts = docs.select("rid", "text").join(wanted, "rid", "left_semi").select("text")
     grams = gram_arrays(texts, n).dropDuplicates(["set_id"])
@@ -326,7 +401,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     """doc_id, rid, n_shingles, component_id (least doc_id), component (a set id) per row: link when Jaccard >= num / den over word n-grams."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("rid"))
     sets = work_table(sets_of_texts(rows, n), "sets")
-    linked = similar_sets(rows, sets.filter("n_shingles > 0"), n, num, den)
+    linked = similar_sets(rows, sets, n, num, den)
     nodes = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = nodes.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
