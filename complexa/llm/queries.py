@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complexa.llm import chat_trees, decontaminate, exact_dedup, ngram_join, packing, secrets, substring_dedup, warc
+from complexa.llm import chat_trees, decontaminate, exact_dedup, ngram_join, ngram_lm, packing, secrets, substring_dedup, warc
 from complexa.llm.common import table, work_table
 from complexa.session import ensure_checkpoint_dir, ship_package
 
@@ -150,3 +150,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).select(
         F.col("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op10_lm_trie")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.lm_scores(spark, table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
