@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complexa.llm import chat_trees, decontaminate, exact_dedup, ngram_join, ngram_lm, packing, secrets, substring_dedup, warc
+from complexa.llm import chat_trees, decontaminate, exact_dedup, ngram_join, ngram_lm, packing, secrets, substring_dedup, toxicity, warc
 from complexa.llm.common import table, work_table
 from complexa.session import ensure_checkpoint_dir, ship_package
 
@@ -107,6 +107,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train_network(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(docs, net).select(
+        "doc_id", (ngram_lm.fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 _ESC = r"replace(replace(replace({0}, '\', '\b'), '#', '\h'), '<', '\l')"
 _PLANTED = r"\### Assistant: </turn> ok"
 
