@@ -63,14 +63,15 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     first = links.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"),
         F.when(F.col("known"), 1).otherwise(0).cast("long").alias("depth"), F.col("score").alias("total"))
-    steps = [work_table(first, "ancestors")]
-    while len(steps) < MAX_STEPS and not steps[-1].filter("up is not null").isEmpty():
-        s = steps[-1]
-        above = s.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        steps.append(work_table(s.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "ancestors"))
-    ended = steps[-1].filter("up is null")
+    steps = [work_table(first, "ancestors")]  # step k: the messages that have a 2**(k-1)-th ancestor
+    ended = steps[0].filter("up is null")
+    while len(steps) < MAX_STEPS and not (active := steps[-1].filter("up is not null")).isEmpty():
+        above = active.unionByName(ended)
+        above = above.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        steps.append(work_table(active.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"),
+            (F.col("total") + F.col("total2")).alias("total")), "ancestors"))
+        ended = ended.unionByName(steps[-1].filter("up is null"))
     leaves = ended.join(steps[0].filter("up is not null").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     rank = Window.partitionBy("tree").orderBy((F.col("total") / (F.col("depth") + 1)).desc(), "node")
     members = leaves.withColumn("path_rank", F.row_number().over(rank)).filter(F.col("path_rank") <= branches).select(
