@@ -11,7 +11,7 @@ of its most toxic window.  In training a text's logit is the mean of its
 windows' logits weighted by their softmax, so the labels of texts are enough.
 
 The model is fitted on the driver to a bounded sample of labelled rows
-(``SAMPLE`` per class with the smallest hashes, up to ``SAMPLE_WINDOWS``
+(``SAMPLE`` toxic and ``SAMPLE_CLEAN`` clean ones with the smallest hashes, up to ``SAMPLE_WINDOWS``
 windows spread evenly over a text); every text is scored over all its windows
 by tasks.
 
@@ -36,9 +36,9 @@ from complexa.llm.ngram_lm import fold
 
 WINDOW, STRIDE = 32, 20
 WORD_BUCKETS, GRAM_BUCKETS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 14, 1 << 14, 8, 12, 8
-#: Labelled rows of each class that the network is fitted to at most, windows of each.
-SAMPLE, SAMPLE_WINDOWS = 2000, 12
-EPOCHS, BATCH_TEXTS, RATE, SHARPNESS, DECAY = 8, 48, 0.01, 3.0, 1e-4
+#: Toxic and clean labelled rows that the network is fitted to at most, and windows of each.
+SAMPLE, SAMPLE_CLEAN, SAMPLE_WINDOWS = 2000, 3000, 12
+EPOCHS, BATCH_TEXTS, RATE, SHARPNESS, DECAY = 6, 48, 0.01, 3.0, 1e-4
 #: Share of a window's tokens that a training step leaves out, so that every telling token is learned by itself.
 DROPPED = 0.3
 THRESHOLD = 0.3
@@ -191,7 +191,7 @@ def _gather(tokens: Tokens, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
 
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network:
-    """Train on texts (Adam; classes weighted equally; windows of a text weighted by the softmax of their logits)."""
+    """Train on texts (Adam; windows of a text weighted by the softmax of their logits)."""
     net = Network(seed)
     if len(set(labels.tolist())) < 2:
         return net
@@ -200,7 +200,6 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     tokens = Tokens(np.frombuffer(b"".join(raw), np.uint8), rows)
     start, size, row = windows_of(tokens.rows)
     of_row = np.searchsorted(row, np.arange(len(texts) + 1))
-    balance = len(labels) / (2 * np.bincount(labels, minlength=2))
     first, second, step = {}, {}, 0
     gram_at = np.cumsum(tokens.gram_counts) - tokens.gram_counts
     rng = np.random.default_rng(seed)
@@ -224,7 +223,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             weight = np.exp(SHARPNESS * (logit - high[text]))
             weight /= np.add.reduceat(weight, np.cumsum(counts) - counts)[text]
             whole = np.add.reduceat(weight * logit, np.cumsum(counts) - counts)
-            error = (_sigmoid(whole) - labels[chosen]) * balance[labels[chosen]] / len(chosen)
+            error = (_sigmoid(whole) - labels[chosen]) / len(chosen)
             grad, d_table = net.backward((weight * error[text]).astype(np.float32), index, mask, len(features), kept)
             grad["wx"], grad["bx"] = features.T @ d_table, d_table.sum(0)
             d_in = (d_table @ net.p["wx"].T)[:len(real)]
@@ -265,12 +264,12 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.string())], names=["toxic", "text"])
 
 
-def train_network(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> Network:
+def train_network(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, clean: int = SAMPLE_CLEAN) -> Network:
     """Fit to labelled rows outside the held-out fold."""
     usable = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter(
         fold("doc_id", folds) != held_out)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = usable.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(sample))
+    ids = usable.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(clean))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("rid"))
     found = rows.join(F.broadcast(ids), "doc_id").select("toxic", "text", "rid")  # two samples of ids: a proven bound
     got = found.select("toxic", "text").mapInArrow(_spread, "toxic int, text string").orderBy("toxic", "text").collect()
