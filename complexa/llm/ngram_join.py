@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from complexa.llm.common import (Words, inside, list_array, mix, ragged_range, row_key, sequence_hashes, text_array, text_chunks,
                                  whole_hash, work_table)
 from complexa.llm.components import connected_components
-from complexa.llm.tiles import TILE_SCHEMA, Packer, tiles_for, unpack
+from complexa.llm.tiles import TILE_SCHEMA, Packer, packed_home, tiles_for, unpack
 
 #: Sets compared inside one unit.
 UNIT_SETS = 1500
@@ -247,11 +247,22 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int, frequent: np.nd
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         owner, low, more = unpack(part, "<u2")
-        return bucket_edges(owner, low.astype(np.uint64) | more.astype(np.uint64) << _U(32), more.astype(np.int64) >> 14)
+        found = bucket_edges(owner, low.astype(np.uint64) | more.astype(np.uint64) << _U(32), more.astype(np.int64) >> 14)
+        values = np.empty(len(found), _PAIR)
+        values["b"], values["kind"], values["n"] = found["b"], found["kind"], found["n"]
+        return packed_home(found["a"].to_numpy(np.int64), values, tiles)
+
+    def total(part: pd.DataFrame) -> pd.DataFrame:
+        owner, values, _ = unpack(part, kind=_PAIR)
+        found = pd.DataFrame({"a": owner, "b": values["b"], "kind": values["kind"], "n": values["n"]})
+        sums = found.groupby(["a", "b", "kind"], as_index=False, sort=False)["n"].sum()
+        return sums.loc[sums["n"] >= AGREE, ["a", "b"]].drop_duplicates()
 
     sent = docs.select("text").mapInArrow(send, TILE_SCHEMA)
-    counted = sent.groupBy("tile").applyInPandas(meet, "a long, b long, kind long, n long")
-    return counted.groupBy("a", "b", "kind").agg(F.sum("n").alias("n")).filter(F.col("n") >= AGREE).select("a", "b").distinct()
+    return sent.groupBy("tile").applyInPandas(meet, TILE_SCHEMA).groupBy("tile").applyInPandas(total, "a long, b long")
+
+
+_PAIR = np.dtype([("b", "<i8"), ("kind", "<i4"), ("n", "<i4")])
 
 
 # ------------------------------------------------------------- verification
@@ -278,7 +289,7 @@ class Forest:
 
 
 def unit_links(ids: np.ndarray, grams: list[np.ndarray], side: np.ndarray, label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect sets of a unit (a spanning forest of them).
+    """(label, least label) for the labels that links inside the unit connect.
 
     ``side``: 0 or 1; with both present only pairs across sides are compared.
     ``label``: component known so far; pairs of one component are skipped.
@@ -287,7 +298,7 @@ def unit_links(ids: np.ndarray, grams: list[np.ndarray], side: np.ndarray, label
     order = np.lexsort((ids, size))
     ids, size, side, label = ids[order], size[order], side[order], label[order]
     grams = [grams[i] for i in order]
-    maps, forest, links = bitmaps(grams), Forest(len(ids)), []
+    maps, forest = bitmaps(grams), Forest(len(ids))
     _, group = np.unique(label, return_inverse=True)
     first: dict[int, int] = {}
     for i, g in enumerate(group.tolist()):
@@ -312,13 +323,15 @@ def unit_links(ids: np.ndarray, grams: list[np.ndarray], side: np.ndarray, label
                 continue
             shared = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
             if den * shared >= num * (len(grams[i]) + len(grams[j]) - shared):
-                links.append((int(ids[i]), int(ids[j])))
                 root[root == root[j]] = root[i]
-    return links
+    found = pd.DataFrame({"root": root, "label": label}).drop_duplicates()
+    found["least"] = found.groupby("root")["label"].transform("min")
+    found = found[found["label"] != found["least"]]
+    return list(zip(found["label"].tolist(), found["least"].tolist(), strict=True))
 
 
 def verified_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside units.  ``members``: unit, set_id, label, side, grams (binary of sorted uint64)."""
+    """Stars (a: label, b: least label) of the links inside units.  ``members``: unit, set_id, label, side, grams (binary of sorted uint64)."""
 
     def check(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates(["set_id", "side"])
@@ -365,18 +378,19 @@ def similar_sets(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -
     small = placed.filter(F.col("sets_in") <= UNIT_SETS).select("set_id", "grams", "cluster", "band", F.lit(0).alias("block"))
     unit = F.concat_ws("/", "cluster", "band", "block")
     own = small.unionByName(units).select(unit.alias("unit"), "set_id", F.col("set_id").alias("label"), F.lit(0).alias("side"), "grams")
-    links = work_table(verified_links(own, num, den), "links")
-    if per_band.join(counts.filter(F.col("sets_in") > UNIT_SETS), F.col("cluster") == F.col("component"), "left_semi").isEmpty():
-        return connected_components(links)
-    return _across_units(units, links, num, den)
+    stars = work_table(verified_links(own, num, den), "links")  # a set is in one unit: these are components
+    named = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    if counts.filter(F.col("sets_in") > UNIT_SETS).isEmpty():
+        return named
+    return _across_units(units, named, num, den)
 
 
-def _across_units(units: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+def _across_units(units: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
     """Components after the units of large clusters are compared with each other."""
     units = work_table(units, "units")
     for ring in (True, False):
-        labels = connected_components(links)
-        labelled = units.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+        labelled = units.join(named.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
             "label", F.coalesce("component", "set_id"))
         cut = labelled.groupBy("cluster", "band", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         a, b = cut.alias("a"), cut.alias("b")
@@ -393,8 +407,14 @@ def _across_units(units: DataFrame, links: DataFrame, num: int, den: int) -> Dat
                               F.struct(F.col("b.band").alias("band"), F.col("b.block").alias("block"), F.lit(1).alias("side")))).alias("u"))
         pairs = pairs.select("unit", "cluster", "u.*")
         members = labelled.join(pairs, ["cluster", "band", "block"]).select("unit", "set_id", "label", "side", "grams")
-        links = work_table(links.unionByName(verified_links(members, num, den)), "links")
-    return connected_components(links)
+        links = work_table(verified_links(members, num, den), "links")
+        if links.isEmpty():
+            continue
+        merged = work_table(connected_components(links), "merged")  # of components, not of sets
+        alone = merged.select("node", F.col("node").alias("component")).join(named, "node", "left_anti")
+        moved = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+        named = work_table(named.unionByName(alone).join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "named")
+    return named
 
 
 def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -99,7 +99,7 @@ def by_owner(packed: DataFrame, kind: str, name: str) -> DataFrame:
     return packed.groupBy("tile").applyInPandas(gather, f"rid long, {name} binary")
 
 
-def unpack(part: pd.DataFrame, extra: str | None = None, kind: str = "<u4"):
+def unpack(part: pd.DataFrame, extra: str | None = None, kind: str | np.dtype = "<u4"):
     """(owner, key, extra) of every entry of a tile's rows."""
     if not len(part):
         return np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, extra or "u1")
