@@ -55,7 +55,7 @@ class Tokens:
     def __init__(self, data: np.ndarray, rows: np.ndarray):
         words = Words(data, rows, lower=True, space=_SPLIT)
         hashes, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        self.rows, self.index = words.rows, back.astype(np.int64)
+        self.hash, self.rows, self.index = hashes, words.rows, back.astype(np.int64)
         self.bucket = (hashes % _U(WORD_BUCKETS)).astype(np.int64)
         start, size = words.start[first], (words.end - words.start)[first]
         low, grams, owner = LOWER[data].astype(np.uint64), [], []
@@ -72,6 +72,25 @@ class Tokens:
         self.grams, self.gram_counts = grams[order], np.bincount(owner, minlength=len(hashes))
 
 
+def tokens_of(texts: list[str]) -> Tokens:
+    """Tokens of many texts, put together from runs of about a megabyte (bounded working memory)."""
+    parts = []
+    for _, _, data, rows in text_chunks(pa.array(texts, pa.string()), 1 << 20):
+        parts.append(Tokens(data, rows))
+    out = parts[0]
+    if len(parts) > 1:
+        hashes, first, back = np.unique(np.concatenate([p.hash for p in parts]), return_index=True, return_inverse=True)
+        shift = np.cumsum([0, *(len(p.hash) for p in parts)])
+        counts = np.concatenate([p.gram_counts for p in parts])
+        at = np.cumsum(counts) - counts
+        grams = np.concatenate([p.grams for p in parts])
+        out.index = np.concatenate([back[shift[k] + p.index] for k, p in enumerate(parts)])
+        out.rows = np.append(0, np.cumsum(np.concatenate([np.diff(p.rows) for p in parts])))
+        out.bucket = np.concatenate([p.bucket for p in parts])[first]
+        out.hash, out.grams, out.gram_counts = hashes, grams[ragged_range(at[first], counts[first])], counts[first]
+    return out
+
+
 def windows_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first token, tokens, row) of every window; a row without tokens has one empty window."""
     size = np.diff(rows)
@@ -195,9 +214,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     net = Network(seed)
     if len(set(labels.tolist())) < 2:
         return net
-    raw = [t.encode("utf-8") for t in texts]
-    rows = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
-    tokens = Tokens(np.frombuffer(b"".join(raw), np.uint8), rows)
+    tokens = tokens_of(texts)
     start, size, row = windows_of(tokens.rows)
     of_row = np.searchsorted(row, np.arange(len(texts) + 1))
     first, second, step = {}, {}, 0
@@ -272,7 +289,8 @@ def train_network(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out:
     ids = usable.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(clean))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("rid"))
     found = rows.join(F.broadcast(ids), "doc_id").select("toxic", "text", "rid")  # two samples of ids: a proven bound
-    got = found.select("toxic", "text").mapInArrow(_spread, "toxic int, text string").orderBy("toxic", "text").collect()
+    got = found.select("toxic", "text").mapInArrow(_spread, "toxic int, text string").collect()
+    got.sort(key=lambda r: (r["toxic"], r["text"]))  # the order of rows is no input of the fit
     return fit([r["text"] for r in got], np.array([r["toxic"] for r in got], np.int64))
 
 
