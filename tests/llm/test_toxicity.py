@@ -47,6 +47,18 @@ def test_gradients(name):
         net.p[name][i] = old
 
 
+def test_tokens_in_parts(monkeypatch):
+    rng = random.Random(5)
+    texts, _ = corpus(80, rng)
+    texts += ["", "ein ß"]
+    whole = T.Tokens(*tokens_of(texts))
+    chunks = T.text_chunks
+    monkeypatch.setattr(T, "text_chunks", lambda col, limit: chunks(col, 500))
+    parts = T.tokens_of(texts)
+    assert (whole.rows == parts.rows).all() and (whole.hash == parts.hash).all() and (whole.index == parts.index).all()
+    assert (whole.grams == parts.grams).all() and (whole.gram_counts == parts.gram_counts).all() and (whole.bucket == parts.bucket).all()
+
+
 def corpus(n, rng):
     plain = ["".join(rng.choice(["ba", "du", "ki", "lo", "mer"]) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
     texts, labels = [], []
