@@ -99,21 +99,45 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _range_starts(totals: DataFrame, size: int) -> DataFrame:
+    """(rg, rg_start) for (rg, rg_len): the sum of all lower ranges, level by level."""
+    widest = totals.agg(F.min("rg"), F.max("rg")).first()
+    levels, lo, hi = 0, widest[0] or 0, widest[1] or 0
+    while lo != hi:  # ranges of the next level, until there is one
+        lo, hi, levels = lo // size, hi // size, levels + 1
+        if (lo, hi) == (-1, 0):
+            break
+    level = totals.select("rg", F.col("rg_len").alias("len"))
+    stack = []
+    for _ in range(levels):
+        level = level.withColumn("up", F.floor(F.col("rg") / size))
+        stack.append(level)
+        level = level.groupBy("up").agg(F.sum("len").alias("len")).withColumnRenamed("up", "rg")
+    top = F.coalesce(F.sum(F.when(F.col("rg") < 0, F.col("len"))).over(Window.partitionBy(F.lit(0))), F.lit(0))  # at most two rows
+    starts = level.select("rg", F.when(F.col("rg") >= 0, top).otherwise(0).cast("long").alias("rg_start"))
+    for level in reversed(stack):
+        before = Window.partitionBy("up").orderBy("rg").rowsBetween(Window.unboundedPreceding, -1)
+        inner = level.withColumn("before", F.coalesce(F.sum("len").over(before), F.lit(0)))
+        upper = starts.select(F.col("rg").alias("up"), F.col("rg_start").alias("up_start"))
+        starts = inner.join(upper, "up").select("rg", (F.col("up_start") + F.col("before")).alias("rg_start"))
+    return starts
+
+
 def pack_sequences(texts: DataFrame, order: str, text: str = "text", block: int = MAX_LENGTH,
                    range_size: int = 4096) -> DataFrame:
     """WIN12: concatenate all texts in ``order`` and cut the stream into ``block``-character blocks.
 
-    Offsets come from a two-level prefix sum: totals per key range (a table
-    of #rows / range_size rows), a running sum over those, then a running sum
-    inside each range.  A text spanning blocks is cut into pieces with
+    Offsets come from a multi-level prefix sum: totals per key range, per range
+    of ranges and so on, each level with a window inside its ranges only, until
+    one range is left; no window sees more than ``range_size`` keys (sparse keys
+    make smaller ranges, ties of a key go together).  A text spanning blocks is cut into pieces with
     ``explode(sequence(...))`` (a range join without a join); each block is
     re-assembled from its pieces, which total at most ``block`` characters.
     """
     t = texts.select(F.col(order).alias("k"), F.col(text).alias("t")).withColumn("len", F.length("t"))
     t = t.withColumn("rg", F.floor(F.col("k") / range_size))
     totals = t.groupBy("rg").agg(F.sum("len").alias("rg_len"))
-    base = totals.withColumn("rg_start", F.coalesce(F.sum("rg_len").over(
-        Window.orderBy("rg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = _range_starts(totals, range_size)
     inner = Window.partitionBy("rg").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     t = (t.withColumn("in_start", F.coalesce(F.sum("len").over(inner), F.lit(0)))
           .join(base.select("rg", "rg_start"), "rg")

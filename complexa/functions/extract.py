@@ -81,7 +81,10 @@ def extract_complexity(segment, word_boundary: bool = False) -> Column:
     accepts keys that are not glued to letters or digits, so 'np' inside
     'input' no longer reads as exponential (parity mode is the default).
     """
-    seg = complexity_segment(segment)
+    return F.get(F.transform(F.array(complexity_segment(segment)), lambda seg: _class_of(seg, word_boundary)), F.lit(0))
+
+
+def _class_of(seg: Column, word_boundary: bool) -> Column:
     text = _first_contained(seg, [(w, w) for w in CLASS_WORDS], word_boundary)
     sym = _first_contained(seg, CLASS_SYMBOLS, word_boundary)
     return (F.when(seg.isNull(), F.lit(NO_RESPONSE))

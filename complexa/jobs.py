@@ -12,6 +12,8 @@ Every step is an operator of the package; the jobs only wire paths and parameter
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,23 +23,30 @@ from complexa.functions.extract import model_name
 from complexa.functions.labels import t_label
 from complexa.functions.text import remove_comments
 from complexa.operators import metrics as M
+from complexa.operators import models as ML
 from complexa.operators import quality as Q
 from complexa.operators import splits as SP
 from complexa.operators.refine import encode_with_quarantine, refine_responses
+from complexa.session import scratch_path
 from complexa.sources import io as IO
 
 
 def refine_and_score(spark: SparkSession, raw_dir: str, examples_path: str, model_id: str, refined_out: str,
-                     report_out: str, tuned: bool = False, dataset: str = "corpus") -> DataFrame:
+                     report_out: str, tuned: bool = False, dataset: str = "corpus", quarantine_out: str | None = None) -> DataFrame:
     """Entry point A.  ``examples_path``: chat JSON with ``conv_id`` (the example index) and
-    ``messages``; ``raw_dir``: one ``responce_NNNN.txt`` (or ``idx=N``) file per example."""
+    ``messages``; ``raw_dir``: one ``responce_NNNN.txt`` (or ``idx=N``) file per example.
+    Rows that cannot be scored go to ``quarantine_out`` (default: beside the refined
+    records) with their reason; the report has their number as ``n_quarantined``."""
     raw = IO.read_raw_responses(spark, raw_dir).withColumn("model_id", F.lit(model_id))
     ex = IO.read_chat(spark, examples_path).select(F.col("conv_id").cast("long").alias("idx"),
                                                    last_assistant("messages").alias("content"))
     refined = refine_responses(raw, ex)
     refined.select("answer", "complexity", "responce").write.mode("overwrite").json(refined_out)
-    preds, _quarantine = encode_with_quarantine(refined)
-    report = M.score_report(preds, ["model"], digits=None)
+    preds, quarantine = encode_with_quarantine(refined)
+    kept_out = quarantine_out or refined_out.rstrip("/") + "-quarantine"
+    quarantine.select("idx", "reason", "answer", "complexity", "responce").write.mode("overwrite").json(kept_out)
+    n_out = spark.read.schema("idx long").json(kept_out).count()
+    report = M.score_report(preds, ["model"], digits=None).withColumn("n_quarantined", F.lit(n_out).cast("long"))
     title = F.concat(F.lit(model_id), F.lit("-pretrained" if tuned else ""))
     report = report.withColumn("report", IO.report_text(title, dataset)).withColumn("report_key", model_name(F.lit(model_id)))
     IO.write_score_report(report.select("report_key", "report"), report_out)
@@ -49,10 +58,13 @@ def split_corpus(spark: SparkSession, corpus_path: str, lang: str, out_path: str
     """Entry point B: fold files (label as T-order digit string, src), one folder per (f, split).
     Returns (class distribution, split ratios)."""
     c = IO.read_corpus(spark, corpus_path)
-    c = c.select(F.monotonically_increasing_id().alias("doc_id"), t_label("complexity").alias("label"),
-                 "problem", remove_comments(F.col("src"), F.lit(lang)).alias("src"), F.lit(lang).alias("lang"))
+    c = c.select(t_label("complexity").alias("label"), "problem", remove_comments(F.col("src"), F.lit(lang)).alias("src"), F.lit(lang).alias("lang"))
     kept, _rejected = Q.delete_error(c)
-    fold_table = SP.group_kfold_retry(kept, "label", "problem", size, folds, retry_seeds).drop("seed", "accepted")
+    # read, cleaned and gated once; every later step reads the written table
+    path = scratch_path(spark, f"corpus-{uuid.uuid4().hex}")
+    kept.withColumn("doc_id", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path)
+    fold_table = SP.accepted_folds(SP.group_kfold_retry(kept, "label", "problem", size, folds, retry_seeds))
     assigned = SP.assign_fold(kept, fold_table)
     member = SP.fold_membership(assigned, folds).select(
         F.col("label").cast("string").alias("label"), "src", F.col("f").cast("int").alias("f"),
@@ -63,31 +75,20 @@ def split_corpus(spark: SparkSession, corpus_path: str, lang: str, out_path: str
 
 def classical_kfold(spark: SparkSession, folds_path: str, lang: str = "java", model: str = "DecisionTree",
                     folds: int = 4) -> DataFrame:
-    """Entry point C on the folders written by ``split_corpus`` (T-order labels, scored as they are)."""
-    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+    """Entry point C on the folders written by ``split_corpus`` (T-order labels, scored as they are), for
+    every name in ``models.MODELS``."""
     data = spark.read.schema("label STRING, src STRING").json(folds_path).filter(F.col("split") == "test") \
                 .select(F.monotonically_increasing_id().alias("doc_id"), F.col("label").cast("int").alias("label"),
                         F.col("f").cast("int").alias("fold"), "src", F.lit(lang).alias("lang"))
-    if lang == "java":
-        t = FE.java_feature_table(data, keep=("label", "fold"))
-        feats = t.select("label", "fold", FE.feature_vector(FE.v1_columns()).alias("features"))
-    else:
-        from complexa.functions.text import py_counts, py_depth
-        x = data.select("label", "fold", py_counts("src").alias("a"), py_depth("src").alias("d"), FE.py_names("src").alias("n"))
-        feats = x.select("label", "fold", FE.feature_vector(
-            ["a.n_if", "a.n_loop", "a.n_break", "a.n_sort", "a.n_list", "a.n_lines", "n.n_names", "n.n_methods",
-             "d.max_depth", "d.max_stack", "n.n_assign", "n.n_methods", "n.n_funcs"]).alias("features"))
-    from complexa.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    feats = feats.checkpoint(eager=True)
-    est = {"DecisionTree": DecisionTreeClassifier(maxDepth=4, seed=777),
-           "RandomForest": RandomForestClassifier(numTrees=100, maxDepth=5, minInstancesPerNode=2, seed=777)}[model]
+    vec = FE.java_vector() if lang == "java" else FE.python_vector()
+    feats = data.select("doc_id", "label", "fold", vec.alias("vec"))
+    path = scratch_path(spark, f"features-{uuid.uuid4().hex}")
+    feats.write.parquet(path)
+    feats = spark.read.parquet(path)
     preds = None
     for f in range(folds):
-        fitted = est.fit(feats.filter(F.col("fold") != f).withColumn("label", F.col("label").cast("double")))
-        p = fitted.transform(feats.filter(F.col("fold") == f)).select(
-            F.lit(model).alias("model"), F.lit(f).alias("fold"), F.col("label").cast("int").alias("y_true"),
-            F.col("prediction").cast("int").alias("y_pred"))
+        p = ML.fit_predict(model, feats.filter(F.col("fold") != f), feats.filter(F.col("fold") == f), 13, 8, "vec", "doc_id", "label")
+        p = p.select(F.lit(model).alias("model"), F.lit(f).alias("fold"), "y_true", "y_pred")
         preds = p if preds is None else preds.unionByName(p)
     # labels are T-order ids scored as they are, as the reference's classical evaluation does
     return M.kfold_mean_std(preds, ["model"])

@@ -47,7 +47,7 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = (), src:
     """
     keys = list(keys)
     e = edges.select(*keys, F.col(src).alias("node"), F.col(dst).alias("next")).distinct() \
-             .persist(StorageLevel.MEMORY_AND_DISK)
+             .repartition(*keys, "node").persist(StorageLevel.MEMORY_AND_DISK)
     frontier = _ckpt(roots.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
     levels = [frontier]
     visited = frontier.select(*keys, "node")
@@ -75,13 +75,14 @@ def reachable_per_graph(edges: DataFrame, roots: DataFrame, keys: Sequence[str],
 
     Each graph's edge list is bounded by its program, so it is collected per
     graph and the BFS runs as an ``aggregate`` fold, one level per step
-    (at most |edges| steps), in a single pass with no Spark-level iteration.
+    (at most one per callee, none after the last new node), in a single pass with no Spark-level iteration.
     """
     keys = list(keys)
     es = edges.groupBy(*keys).agg(F.collect_set(F.struct(F.col(src).alias("a"), F.col(dst).alias("b"))).alias("es"))
     rs = roots.groupBy(*keys).agg(F.collect_set("node").alias("r"))
     g = rs.join(es, keys, "left").withColumn("es", F.coalesce("es", F.array().cast("array<struct<a:string,b:string>>")))
-    steps = F.size("es") if max_depth is None else F.least(F.size("es"), F.lit(max_depth))
+    most = F.size(F.array_distinct(F.transform("es", lambda e: e["b"])))
+    steps = most if max_depth is None else F.least(most, F.lit(max_depth))
     init = F.struct(F.transform("r", lambda n: F.struct(n.alias("node"), F.lit(0).alias("depth"))).alias("seen"),
                     F.col("r").alias("front"))
 
@@ -89,8 +90,8 @@ def reachable_per_graph(edges: DataFrame, roots: DataFrame, keys: Sequence[str],
         nxt = F.array_except(
             F.array_distinct(F.transform(F.filter("es", lambda e: F.array_contains(acc["front"], e["a"])), lambda e: e["b"])),
             F.transform(acc["seen"], lambda x: x["node"]))
-        return F.struct(F.concat(acc["seen"], F.transform(nxt, lambda n: F.struct(n.alias("node"), d.alias("depth")))).alias("seen"),
-                        nxt.alias("front"))
+        return F.when(F.size(acc["front"]) == 0, acc).otherwise(F.struct(
+            F.concat(acc["seen"], F.transform(nxt, lambda n: F.struct(n.alias("node"), d.alias("depth")))).alias("seen"), nxt.alias("front")))
 
     out = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), init, level)
     return g.select(*keys, F.inline(out["seen"]))
@@ -133,7 +134,8 @@ def words(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     """Token table for data flow: (doc_id, idx, word, name, is_def). A word ending in ',' or
     '.' defines its name, other words use it; names are lower-cased letters/digits.
 
-    The texts are clustered by document once, before the explode; every later
+    The texts are clustered by document once, before the explode (a text is several
+    times smaller than its token rows, which would move instead); every later
     per-document window and aggregate (partitioned by the document, or by
     document and name) reuses that partitioning, so the data-flow operators have
     a single shuffle.

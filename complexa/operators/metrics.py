@@ -37,6 +37,7 @@ def confusion_cells(preds: DataFrame, groups: Sequence[str] | None = None,
     ``order``: 'R' = labels are complexity ranks (scoring order); 'T' = labels are
     training ids (T-order), remapped to ranks before scoring; 'T-parity' = T-order
     ids scored as they are (what the classical-model evaluation of the reference does).
+    Rows without a label or prediction are no cells (``encode_with_quarantine`` reports them).
     """
     g = _g(groups)
     t, p = F.col(y_true), F.col(y_pred)
@@ -45,7 +46,8 @@ def confusion_cells(preds: DataFrame, groups: Sequence[str] | None = None,
         p = F.when(p == -1, p).otherwise(t_to_r(p))
     elif order not in ("R", "T-parity"):
         raise ValueError(f"unknown label order {order!r}")
-    return (preds.groupBy(*g, t.cast("int").alias("y_true"), p.cast("int").alias("y_pred"))
+    known = preds.filter(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull())
+    return (known.groupBy(*g, t.cast("int").alias("y_true"), p.cast("int").alias("y_pred"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -223,11 +225,16 @@ def confusion_long(preds: DataFrame, groups=None) -> DataFrame:
 
 
 def confusion_wide(preds: DataFrame, groups=None, labels: Sequence[int] = tuple(range(-1, 8))) -> DataFrame:
-    """AGG16 (display form): one row per true label, one column per predicted label."""
+    """AGG16 (display form): one row per true label, one column per predicted label, and ``other``
+    for predictions outside the list."""
     g = _g(groups)
     long = confusion_long(preds, g)
-    return (long.groupBy(*g, "y_true").pivot("y_pred", list(labels)).agg(F.sum("n"))
-            .na.fill(0))
+
+    def count(hit: Column) -> Column:
+        return F.sum(F.when(hit, F.col("n")).otherwise(0)).cast("long")
+
+    return long.groupBy(*g, "y_true").agg(*[count(F.col("y_pred") == v).alias(str(v)) for v in labels],
+                                          count(~F.col("y_pred").isin(*labels)).alias("other"))
 
 
 def confusion_normalised(preds: DataFrame, groups=None) -> DataFrame:

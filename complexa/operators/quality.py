@@ -1,20 +1,15 @@
 """Quality gates and dead-code removal (FLT1-FLT6, JOIN6, PRJ21, WIN6, AGG22).
 
 Gates are boolean columns, so a filter and its quarantine table come from
-one expression; dead-declaration tests are anti-joins of a declaration table
-against a reference table keyed by (document, name).
+one expression; dead declarations are found and dropped in the program's own row.
 """
 
 from __future__ import annotations
 
-import ast
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from complexa.functions.features import CALL_KEYWORDS, method_segments
+from complexa.functions.features import LITERAL, calls_in, segment_items
 from complexa.functions.text import WS, remove_comments
 
 
@@ -40,37 +35,46 @@ def delete_error(df: DataFrame, src: str = "src", lang: str = "lang") -> tuple[D
     return g.filter("_ok").drop("_ok"), g.filter(~F.col("_ok")).drop("_ok")
 
 
-@F.pandas_udf(BooleanType())
-def python_parses(src: pd.Series) -> pd.Series:
-    """FLT2: Python's own parser on each text (Arrow batches; the one UDF in the library)."""
-    def ok(s):
-        try:
-            ast.parse(s)
-            return True
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return False
-    return src.map(lambda s: None if s is None else ok(s))
+_BRACKET = r"[()\[\]{}]"
 
 
 def drop_unreachable_lines(src) -> Column:
-    """FLT4: drop lines after return/raise/break/continue in the same block (whole run).
+    """FLT4 (Python): drop lines after return/raise/break/continue in the same block (whole run).
 
     A fold over the lines: after a terminator at indent k, lines indented
-    >= k are unreachable until a line with a smaller indent; blank lines are kept.
+    >= k are unreachable until a line with a smaller indent; blank lines are
+    kept.  A terminator lasts until its brackets are closed and no backslash
+    continues it, and lines inside an open bracket belong to their statement.
+    Texts with triple quotes are left as they are: their lines need not be code.
     """
-    lines = F.split(_c(src), "\n")
-    init = F.struct(F.lit(None).cast("int").alias("dead"), F.array().cast("array<string>").alias("out"))
-
-    def step(a, line):
-        ind = F.length(F.regexp_extract(line, f"^[{WS}]*", 0))
-        blank = ~line.rlike(f"[^{WS}]")
-        unreachable = a["dead"].isNotNull() & (ind >= a["dead"]) & ~blank
-        term = line.rlike(r"^\s*(?:return|raise|break|continue)\b")
-        dead = F.when(unreachable | blank, a["dead"]).when(term, ind).otherwise(F.lit(None).cast("int"))
-        out = F.when(unreachable, a["out"]).otherwise(F.concat(a["out"], F.array(line)))
-        return F.struct(dead.alias("dead"), out.alias("out"))
-
-    return F.array_join(F.aggregate(lines, init, step)["out"], "\n")
+    text = _c(src)
+
+    def fact(line: Column) -> Column:
+        code = F.regexp_replace(F.regexp_replace(line, LITERAL, '""'), "#.*", "")
+        marks = F.regexp_extract_all(code, F.lit(_BRACKET), 0)
+        net = F.aggregate(marks, F.lit(0), lambda n, m: n + F.when(m.isin("(", "[", "{"), 1).otherwise(-1))
+        return F.struct(line.alias("line"), F.length(F.regexp_extract(line, f"^[{WS}]*", 0)).alias("ind"),
+                        (~line.rlike(f"[^{WS}]")).alias("blank"), net.alias("net"), code.rlike(r"\\\s*$").alias("more"),
+                        line.rlike(r"^\s*(?:return|raise|break|continue)\b").alias("term"))
+
+    init = F.struct(F.lit(None).cast("int").alias("dead"), F.lit(0).alias("open"), F.lit(False).alias("more"), F.lit(False).alias("gone"),
+                    F.lit(None).cast("int").alias("end"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, x):
+        inner = (a["open"] > 0) | a["more"]  # inside the statement that an earlier line began
+        fresh_gone = a["dead"].isNotNull() & (x["ind"] >= a["dead"]) & ~x["blank"]
+        gone = F.when(inner, a["gone"]).otherwise(fresh_gone)
+        open_ = F.greatest(a["open"] + x["net"], F.lit(0))
+        end = F.when(inner, a["end"]).when(~fresh_gone & x["term"], x["ind"]).otherwise(F.lit(None).cast("int"))
+        still = (open_ > 0) | x["more"]
+        kept_dead = F.when(inner | fresh_gone | x["blank"], a["dead"]).otherwise(F.lit(None).cast("int"))
+        dead = F.when(~still & end.isNotNull(), end).otherwise(kept_dead)
+        out = F.when(gone, a["out"]).otherwise(F.concat(a["out"], F.array(x["line"])))
+        return F.struct(dead.alias("dead"), open_.alias("open"), x["more"].alias("more"), gone.alias("gone"),
+                        F.when(still, end).alias("end"), out.alias("out"))
+
+    folded = F.array_join(F.aggregate(F.transform(F.split(text, "\n"), fact), init, step)["out"], "\n")
+    return F.when(text.contains('"' + '""') | text.contains("'" + "''"), text).otherwise(folded)
 
 
 def unreferenced(decls: DataFrame, refs: DataFrame, keys=("doc_id", "name")) -> DataFrame:
@@ -78,37 +82,22 @@ def unreferenced(decls: DataFrame, refs: DataFrame, keys=("doc_id", "name")) ->
     return decls.join(refs.select(*keys).distinct(), list(keys), "left_anti")
 
 
-CALL = r"([A-Za-z_]\w*)\s*\("
-
-
-def _calls(line: Column) -> Column:
-    names = F.regexp_extract_all(F.regexp_replace(line, r"\bnew\s+\w+", "new"), F.lit(CALL), 1)
-    kw = F.array(*[F.lit(k) for k in CALL_KEYWORDS])
-    return F.filter(names, lambda c: ~F.array_contains(kw, c))
-
-
-def method_table(progs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Per program, in one pass: its lines (with their method), declared methods, referenced
-    names and dead methods.  Segmentation windows and this aggregate are keyed by the
-    program, so they share one partitioning and no join is needed.
+def method_table(progs: DataFrame, doc: str = "doc_id", keep: tuple = ()) -> DataFrame:
+    """Per program: its lines (with their method), declared methods and dead methods, all
+    worked out in the program's own row (no shuffle).
 
     Java: a method is live if it is 'main' or invoked anywhere (its own body
     included).  Python: a function is live if its name starts with '_', is
     'main', or is called outside its own body (a recursive call alone does not count).
     """
-    seg = method_segments(progs, doc)
-    items = seg.groupBy(doc, "lang").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line", "method", "is_header"))).alias("items"))
-    body = F.filter("items", lambda x: x["method"].isNotNull() & ~x["is_header"])
-    top = F.filter("items", lambda x: x["method"].isNull())
-    java_refs = F.flatten(F.transform(body, lambda x: _calls(x["line"])))
-    py_refs = F.flatten(F.transform(body, lambda x: F.filter(_calls(x["line"]), lambda c: c != x["method"])))
-    top_refs = F.flatten(F.transform(top, lambda x: F.regexp_extract_all(x["line"], F.lit(CALL), 1)))
-    refs = F.array_distinct(F.concat(F.when(F.col("lang") == "python", py_refs).otherwise(java_refs), top_refs))
+    python = F.col("lang") == "python"
+    seg = progs.select(doc, "lang", *keep, segment_items("src", "lang").alias("items"))
+    called = F.flatten(F.transform(F.filter("items", lambda x: ~x["is_header"]), lambda x: F.filter(
+        calls_in(x["line"]), lambda c: ~python | x["method"].isNull() | (c != x["method"]))))
     decls = F.array_distinct(F.transform(F.filter("items", lambda x: x["is_header"]), lambda x: x["method"]))
-    dead = F.filter(decls, lambda d: (d != "main") & ~F.array_contains(refs, d)
-                    & ~((F.col("lang") == "python") & d.startswith("_")))
-    return items.select(doc, "lang", "items", decls.alias("decls"), dead.alias("dead"))
+    seg = seg.withColumn("refs", F.array_distinct(called)).withColumn("decls", decls)
+    dead = F.filter("decls", lambda d: (d != "main") & ~F.array_contains(F.col("refs"), d) & ~(python & d.startswith("_")))
+    return seg.select(doc, "lang", *keep, "items", "decls", dead.alias("dead"))
 
 
 def dead_methods(progs: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -116,20 +105,52 @@ def dead_methods(progs: DataFrame, doc: str = "doc_id") -> DataFrame:
     return method_table(progs, doc).select(doc, "lang", F.explode("dead").alias("name"))
 
 
+CLASS_HEADER = r"\bclass\s+([A-Za-z_]\w*)"
+
+
+def class_items(src) -> Column:
+    """Per line the top-level Java class that it belongs to (null: none)."""
+    def fact(line: Column) -> Column:
+        code = F.regexp_replace(line, LITERAL, '""')
+        net = F.length(F.replace(code, F.lit("}"), F.lit(""))) - F.length(F.replace(code, F.lit("{"), F.lit("")))
+        return F.struct(net.alias("net"), F.regexp_extract(line, CLASS_HEADER, 1).alias("name"))
+
+    none = F.lit(None).cast("string")
+    init = F.struct(F.lit(0).alias("d"), none.alias("cur"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, x):
+        cur = F.when(a["d"] == 0, F.nullif(x["name"], F.lit(""))).otherwise(a["cur"])
+        return F.struct((a["d"] + x["net"]).alias("d"), cur.alias("cur"), F.concat(a["out"], F.array(cur)).alias("out"))
+
+    return F.aggregate(F.transform(F.split(_c(src), "\n"), fact), init, step)["out"]
+
+
 def drop_dead_declarations(progs: DataFrame, doc: str = "doc_id", dead_code: float = 1.0, seed: int = 777) -> DataFrame:
-    """FLT5 (Java) / FLT6 (Python functions): remove the lines of dead methods.
+    """FLT5 (Java) / FLT6 (Python functions): remove the lines of dead methods, and of top-level
+    Java classes that neither hold ``main`` nor are instantiated anywhere.
 
-    ``dead_code`` is the drop probability per dead method (hash-decided, 1 = always).
-    Returns (doc_id, lang, src, dropped) with lines re-assembled in order.
+    ``dead_code`` is the drop probability per dead declaration (hash-decided, 1 = always).
+    A line of unknown owner always stays.  Returns (doc_id, lang, src, dropped,
+    dropped_classes) with lines re-assembled in order; every step is row-local.
     """
-    t = method_table(progs, doc)
+    java = F.col("lang") == "java"
+    t = method_table(progs.withColumn("classes", F.when(java, class_items("src"))), doc, keep=("classes",))
+    made = F.flatten(F.transform("items", lambda x: F.regexp_extract_all(x["line"], F.lit(r"\bnew\s+([A-Za-z_]\w*)"), 1)))
+    home = F.transform(F.filter("items", lambda x: x["is_header"] & (x["method"] == "main")), lambda x: F.get("classes", x["pos"]))
+    t = t.withColumn("live", F.concat(made, home))
+    dead_classes = F.filter(F.array_distinct("classes"), lambda c: c.isNotNull() & ~F.coalesce(F.array_contains("live", c), F.lit(False)))
     dead = F.col("dead")
     if dead_code < 1.0:
         from complexa.operators.splits import hash_order
-        dead = F.filter("dead", lambda d: hash_order(seed, F.col(doc), d) % 1000000 < int(dead_code * 1000000))
-    t = t.withColumn("dropped", dead)
-    kept = F.filter("items", lambda x: x["method"].isNull() | ~F.array_contains(F.col("dropped"), x["method"]))
-    return t.select(doc, "lang", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("src"), "dropped")
+
+        def drawn(d):
+            return hash_order(seed, F.col(doc), d) % 1000000 < int(dead_code * 1000000)
+
+        dead, dead_classes = F.filter("dead", drawn), F.filter(dead_classes, drawn)
+    t = t.withColumn("dropped", dead).withColumn("dropped_classes", F.coalesce(dead_classes, F.array().cast("array<string>")))
+    kept = F.filter("items", lambda x: (x["method"].isNull() | ~F.array_contains("dropped", x["method"]))
+                    & ~F.coalesce(F.array_contains("dropped_classes", F.get("classes", x["pos"])), F.lit(False)))
+    return t.select(doc, "lang", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("src"), "dropped", "dropped_classes")
 
 
 def unused_names(progs: DataFrame, doc: str = "doc_id", src: str = "src") -> DataFrame:
@@ -144,12 +165,16 @@ def unused_names(progs: DataFrame, doc: str = "doc_id", src: str = "src") -> Dat
 
 
 # ---------------------------------------------------------------- PRJ21 rename
+_WORD_OR_REST = r"\w+|\W+"
+
+
 def rename_identifiers(src) -> Column:
     """PRJ21: declared variables / methods (not main) / classes -> VARk / METHODk / CLASSk.
 
-    Dense numbering per kind by first occurrence; every whole-word use is
-    replaced, one ``regexp_replace`` per distinct declared name inside an
-    ``aggregate`` over the name list.
+    Dense numbering per kind by first occurrence.  The text is split into words
+    and the rest once, each word is looked up in the dictionary of declared
+    names (class before method before variable) and the pieces are joined
+    again, so a new name is never renamed a second time.
     """
     s = _c(src)
     classes = F.array_distinct(F.regexp_extract_all(s, F.lit(r"\bclass\s+([A-Za-z_]\w*)"), 1))
@@ -158,28 +183,62 @@ def rename_identifiers(src) -> Column:
         lambda n: n != "main")
     variables = F.array_distinct(F.regexp_extract_all(
         s, F.lit(r"\b(?:int|long|double|float|boolean|char|String)(?:\[\])*\s+([A-Za-z_]\w*)\s*[=;,)]"), 1))
-    pairs = F.concat(
-        F.transform(classes, lambda n, i: F.struct(n.alias("n"), F.concat(F.lit("CLASS"), i.cast("string")).alias("r"))),
-        F.transform(methods, lambda n, i: F.struct(n.alias("n"), F.concat(F.lit("METHOD"), i.cast("string")).alias("r"))),
-        F.transform(variables, lambda n, i: F.struct(n.alias("n"), F.concat(F.lit("VAR"), i.cast("string")).alias("r"))))
-    return F.aggregate(pairs, s, lambda acc, p: F.regexp_replace(acc, F.concat(F.lit("\\b"), p["n"], F.lit("\\b")), p["r"]))
+
+    def renamed(names: Column, taken: Column, kind: str) -> Column:
+        pairs = F.transform(names, lambda n, i: F.struct(n.alias("n"), F.concat(F.lit(kind), i.cast("string")).alias("r")))
+        return F.filter(pairs, lambda p: ~F.array_contains(taken, p["n"]))
+
+    none = F.array().cast("array<string>")
+    pairs = F.concat(renamed(classes, none, "CLASS"), renamed(methods, classes, "METHOD"),
+                     renamed(variables, F.concat(classes, methods), "VAR"))
+    words = F.regexp_extract_all(s, F.lit(_WORD_OR_REST), 0)
+    # the one-element array binds the dictionary: it is made once per text, not once per word
+    return F.array_join(F.get(F.transform(F.array(F.map_from_entries(pairs)), lambda names: F.transform(
+        words, lambda w: F.coalesce(F.element_at(names, w), w))), F.lit(0)), "")
 
 
 # ---------------------------------------------------------------- WIN6 + AGG22
+def _mutators(lang: Column) -> list:
+    """Mutators in the order in which they take turns: comment strip, rename, and for Python dead lines."""
+    return [lambda t: remove_comments(t, lang), rename_identifiers,
+            lambda t: F.when(lang == "python", drop_unreachable_lines(t)).otherwise(t)]
+
+
+def mutate(src, lang, n_mut) -> Column:
+    """struct(out, failed) after ``n_mut`` mutations (every one of them; the mutators take turns).
+
+    A mutation whose result does not pass the lexical gate fails: the last text that
+    passed is kept.
+    """
+    lang = _c(lang)
+
+    def step(a, i):
+        turns = _mutators(lang)
+        cand = F.when(i % len(turns) == 1, turns[0](a["out"])).when(i % len(turns) == 2, turns[1](a["out"])).otherwise(turns[2](a["out"]))
+        tried = F.get(F.transform(F.array(cand), lambda c: F.struct(c.alias("c"), lexical_gate(c, F.lit("plain")).alias("ok"))), F.lit(0))
+        return F.get(F.transform(F.array(tried), lambda t: F.struct(
+            F.when(t["ok"], t["c"]).otherwise(a["out"]).alias("out"), (a["failed"] | ~t["ok"]).alias("failed"))), F.lit(0))
+
+    init = F.struct(_c(src).alias("out"), F.lit(False).alias("failed"))
+    return F.aggregate(F.filter(F.sequence(F.lit(1), F.greatest(n_mut, F.lit(1))), lambda i: i <= n_mut), init, step)
+
+
 def augment_job(progs: DataFrame, n_mut: Column, doc: str = "doc_id", keep_on_failure: bool = True) -> DataFrame:
-    """WIN6: apply the mutators in turn (comment strip, rename, unreachable-line drop), up to
-    ``n_mut`` of them; a mutator that empties the text fails: Java keeps the last good
-    text, Python drops the row.  Adds ``failed`` for the ledger (AGG22)."""
-    from complexa.functions.text import remove_comments as rc
-    steps = [lambda s, lg: rc(s, lg), lambda s, lg: rename_identifiers(s), lambda s, lg: drop_unreachable_lines(s)]
-    d = progs.withColumn("_n", n_mut).withColumn("failed", F.lit(False)).withColumn("out", F.col("src"))
-    for i, mut in enumerate(steps):
-        cand = mut(F.col("out"), F.col("lang"))
-        bad = F.length(F.regexp_replace(cand, f"[{WS}]", "")) == 0
-        apply = F.col("_n") > i
-        d = (d.withColumn("failed", F.col("failed") | (apply & bad))
-              .withColumn("out", F.when(apply & ~bad, cand).otherwise(F.col("out"))))
+    """WIN6: ``n_mut`` mutations per program.  A failed program keeps the last text that passed the
+    gate (Java) or is dropped (Python, with ``keep_on_failure`` off).  Adds ``failed`` for AGG22."""
+    d = progs.withColumn("_m", mutate("src", "lang", n_mut)).withColumn("out", F.col("_m.out")).withColumn("failed", F.col("_m.failed")).drop("_m")
     if not keep_on_failure:
         d = d.filter(~((F.col("lang") == "python") & F.col("failed")))
-    return d.drop("_n")
-
+    return d
+
+
+def resample_augmented(progs: DataFrame, target: int, first: tuple[int, int], more: tuple[int, int], doc: str = "doc_id",
+                       seed: int = 777) -> DataFrame:
+    """WIN6, whole job: every program once with first[0]..first[1] mutations, then draws with replacement, with
+    more[0]..more[1] mutations, up to ``target`` rows.  Adds out, failed, n_mut and draw (null for the first pass)."""
+    from complexa.operators.splits import hash_order, mutation_count, resample_to
+    base = augment_job(progs.withColumn("n_mut", mutation_count(doc, *first, seed=seed)), F.col("n_mut"), doc).withColumn("draw", F.lit(None).cast("long"))
+    missing = max(0, target - progs.count())
+    drawn = resample_to(progs.select(doc), doc, missing, seed).join(progs, doc)
+    n = (F.lit(more[0]) + hash_order(f"{seed}-mut", doc, "draw") % (more[1] - more[0] + 1)).cast("int")
+    return base.unionByName(augment_job(drawn.withColumn("n_mut", n), F.col("n_mut"), doc))

@@ -13,16 +13,17 @@ from complexa.functions.text import py_strip
 def refine_responses(responses: DataFrame, examples: DataFrame, idx: str = "idx") -> DataFrame:
     """JOIN1: response i <-> example i (left join; a response with no example is flagged).
 
-    Output = the refined record (answer, complexity, responce) plus keys.
-    The example side is projected to (idx, answer) before the join, so only
-    short strings cross the shuffle.
+    Output = the refined record (answer, complexity, responce) plus keys.  The
+    class is extracted before the join, so a plan that does not ask for the
+    response text moves (idx, complexity) and (idx, answer) only.  A model id of
+    no known family, or a response that could not be read, has a null class.
     """
     ex = examples.select(F.col(idx), expected_answer("content").alias("answer"))
-    seg = assistant_segment("response", "model_id")
-    r = responses.select(*[c for c in responses.columns if c != "response"], seg.alias("responce"))
-    return (r.join(ex, idx, "left")
-            .withColumn("complexity", extract_complexity("responce"))
-            .withColumn("has_example", F.col("answer").isNotNull()))
+    # the one-element array binds the segment: it is cut out of the response once
+    seg = F.transform(F.array(assistant_segment("response", "model_id")), lambda s: F.struct(
+        s.alias("responce"), F.when(s.isNotNull(), extract_complexity(s)).alias("complexity")))
+    r = responses.select(*[c for c in responses.columns if c != "response"], F.inline(seg))
+    return r.join(ex, idx, "left").withColumn("has_example", F.col("answer").isNotNull())
 
 
 def refined_predictions(refined: DataFrame) -> DataFrame:
@@ -38,8 +39,15 @@ def missing_responses(examples: DataFrame, responses: DataFrame, idx: str = "idx
 
 
 def encode_with_quarantine(refined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """PRJ2: (scorable predictions, quarantine).  A spelling outside the accepted map (the
-    reference raises on it) sends its row to the quarantine instead of failing the job."""
-    enc = refined_predictions(refined)
-    bad = F.col("y_true").isNull() | F.col("y_pred").isNull()
-    return enc.filter(~bad), refined.join(enc.filter(bad).select("idx"), "idx", "left_semi")
+    """PRJ2: (scorable predictions, quarantined refined rows with a ``reason``), without a join.
+
+    A row whose response could not be read or whose model family is unknown,
+    that has no example, or whose spelling is outside the accepted map (the
+    reference raises on each) goes to the quarantine and not into a score.
+    """
+    true, pred = text_to_rank(py_strip("answer")), text_to_rank(py_strip("complexity"))
+    reason = (F.when(F.col("complexity").isNull(), "no response text or unknown model family").when(F.col("answer").isNull(), "no example")
+              .when(true.isNull(), "unknown answer").when(pred.isNull(), "unknown class"))
+    marked = refined.withColumn("reason", reason)
+    scored = marked.filter("reason is null").select(model_name("model_id").alias("model"), "idx", true.alias("y_true"), pred.alias("y_pred"))
+    return scored, marked.filter("reason is not null")

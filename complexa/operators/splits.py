@@ -23,7 +23,6 @@ from complexa.functions.text import length_bucket, token_count
 
 HASH_BITS = 32
 BIN_BITS = 16
-RESAMPLE_BROADCAST_ROWS = 2_000_000
 
 
 def hash_order(seed, *cols) -> Column:
@@ -81,7 +80,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str = "label", size: flo
     """WIN1: adds ``split`` = 'test' for the first ``quota`` rows of each class in hash order."""
     q = stratified_quota(df, label, size)
     r = hash_rank(df.withColumn("_h", hash_order(seed, id_col)), [label], "_h", id_col, "_rank")
-    return (r.join(F.broadcast(q.select(label, "quota")), label)  # one row per class
+    return (r.join(q.select(label, "quota"), label)
             .withColumn("split", F.when(F.col("_rank") <= F.col("quota"), "test").otherwise("train"))
             .drop("_h", "_rank", "quota"))
 
@@ -114,7 +113,7 @@ def group_kfold(df: DataFrame, label: str = "label", group: str = "problem", siz
     fold = F.lit(n - 1)
     for i in reversed(range(n - 1)):
         fold = F.when(F.col("_rank") <= F.col(f"_end{i}"), F.lit(i)).otherwise(fold)
-    return (r.join(F.broadcast(sizes), label)  # one row per class
+    return (r.join(sizes, label)
             .select(label, group, fold.cast("int").alias("fold")))
 
 
@@ -122,7 +121,8 @@ def group_kfold_retry(df: DataFrame, label: str = "label", group: str = "problem
                       n: int = 4, seeds: Sequence[int] = tuple(range(770, 780))) -> DataFrame:
     """WIN2 + WIN3 with retries: the fold table of the first seed (in list order) whose
     checked folds (all but the last) keep the class's train-row share inside
-    (0.8 * size, 1.2 * size); a class with no accepted seed keeps the first seed.
+    (0.8 * size, 1.2 * size).  A class with no accepted seed is returned with the
+    first seed and ``accepted`` false: callers must not use its folds (see ``accepted_folds``).
 
     All seeds are evaluated in one query (problems x seeds rows, ranked per
     (class, seed) with ``hash_rank``); the choice is a ``min`` per class.
@@ -139,7 +139,7 @@ def group_kfold_retry(df: DataFrame, label: str = "label", group: str = "problem
     fold = F.lit(n - 1)
     for i in reversed(range(n - 1)):
         fold = F.when(F.col("_rank") <= F.col(f"_end{i}"), F.lit(i)).otherwise(fold)
-    folds = r.join(F.broadcast(sizes), label).select(label, group, "seed", fold.cast("int").alias("fold"))
+    folds = r.join(sizes, label).select(label, group, "seed", fold.cast("int").alias("fold"))
     rows = df.groupBy(label, group).agg(F.count(F.lit(1)).alias("_rows"))
     per_fold = (folds.join(rows, [label, group]).groupBy(label, "seed", "fold").agg(F.sum("_rows").alias("_test")))
     w = Window.partitionBy(label, "seed")
@@ -152,7 +152,15 @@ def group_kfold_retry(df: DataFrame, label: str = "label", group: str = "problem
         F.min(F.when(F.col("_all") == 1, pos)).alias("_first_ok"))
     choice = choice.select(label, F.coalesce("_first_ok", F.lit(1)).alias("_pos"), F.col("_first_ok").isNotNull().alias("accepted"))
     chosen = choice.select(label, F.get(F.array(*[F.lit(s) for s in seeds]), F.col("_pos") - 1).alias("seed"), "accepted")
-    return folds.join(F.broadcast(chosen), [label, "seed"]).select(label, group, "fold", "seed", "accepted")
+    return folds.join(chosen, [label, "seed"]).select(label, group, "fold", "seed", "accepted")
+
+
+def accepted_folds(folds: DataFrame) -> DataFrame:
+    """The fold table without its flags; raises if a class has no accepted split."""
+    left = [r[0] for r in folds.filter(~F.col("accepted")).select(folds.columns[0]).distinct().limit(20).collect()]
+    if left:
+        raise ValueError(f"no accepted split for classes {left}: give more seeds or another size")
+    return folds.drop("seed", "accepted")
 
 
 def assign_fold(df: DataFrame, folds: DataFrame, label: str = "label", group: str = "problem") -> DataFrame:
@@ -171,6 +179,11 @@ def train_complement(df: DataFrame, test: DataFrame, key: Sequence[str]) -> Data
     return df.join(test.select(*key), list(key), "left_anti")
 
 
+def train_rows(assigned: DataFrame, n: int) -> DataFrame:
+    """JOIN3 from the fold column alone: a row trains every fold but its own (no join)."""
+    return assigned.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter(~F.col("f").eqNullSafe(F.col("fold")))
+
+
 def pool_difference(pool: DataFrame, taken: DataFrame, key: Sequence[str]) -> DataFrame:
     """JOIN4: problems left in the pool after a fold has been taken."""
     return pool.join(taken.select(*key), list(key), "left_anti")
@@ -191,19 +204,16 @@ def resample_to(df: DataFrame, id_col: str, target: int, seed: int = 777) -> Dat
     """WIN4: ``target`` draws with replacement, uniform over the rows, reproducible.
 
     Rows get a dense rank by hash (distributed); draw i picks rank
-    hash(seed, i) mod N + 1; the draws are joined back on the rank.  The draw
-    table has exactly ``target`` rows, so up to ``RESAMPLE_BROADCAST_ROWS`` it is
-    broadcast and the ranked rows are not shuffled for the join.
+    hash(seed, i) mod N + 1; the draws are joined back on the rank.  Rank and draw
+    ids only; give the other columns back with a join on the id.
     """
     ranked = hash_rank(df.withColumn("_h", hash_order(seed, id_col)).withColumn("_k", F.lit(0)),
                        ["_k"], "_h", id_col, "_rank").drop("_h")
     total = ranked.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     spark = df.sparkSession
     draws = (spark.range(target).withColumnRenamed("id", "draw").withColumn("_k", F.lit(0))
-             .join(F.broadcast(total), "_k")  # a single row: the table size
+             .join(total, "_k")
              .withColumn("_rank", (hash_order(f"{seed}-draw", "draw") % F.col("_n") + 1).cast("long")))
-    if target <= RESAMPLE_BROADCAST_ROWS:  # the draw table has exactly `target` rows
-        draws = F.broadcast(draws)
     return ranked.join(draws, ["_k", "_rank"]).drop("_k", "_n", "_rank")
 
 

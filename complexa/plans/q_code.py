@@ -28,11 +28,11 @@ NL = "chr(10)"
 PROGRAMS = f"""pit AS (
   SELECT l_orderkey AS doc_id,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
-            CAST(l_quantity AS INTEGER) % 5, l_tax > 0.07, l_discount < 0.05, l_extendedprice > 50000) AS i,
-         CAST(l_quantity AS INTEGER) % 5 AS b, l_tax > 0.07 AS rec, l_discount < 0.05 AS call, l_extendedprice > 50000 AS big
+            CAST(l_quantity AS INTEGER) % 8, l_tax > 0.07, l_discount < 0.05, l_extendedprice > 50000) AS i,
+         CAST(l_quantity AS INTEGER) % 8 AS b, l_tax > 0.07 AS rec, l_discount < 0.05 AS call, l_extendedprice > 50000 AS big
   FROM lineitem),
 pmeth AS (SELECT doc_id, i,
-  '  static int m' || CAST(i AS VARCHAR) || '(int n) {{' || {NL} || '    int s = 0;' || {NL} || '    '
+  '  static int m' || CAST(i AS VARCHAR) || CASE WHEN b = 3 THEN '(int n)' || {NL} || '  {{' ELSE '(int n) {{' END || {NL} || '    int s = 0;' || {NL} || '    '
     || {_sql_list(S.JAVA_BODIES)}[b + 1] || {NL}
     || CASE WHEN rec THEN '    s += m' || CAST(i AS VARCHAR) || '(n - 1);' || {NL} ELSE '' END
     || CASE WHEN call THEN '    return m' || CAST(i + 1 AS VARCHAR) || '(s);' || {NL} ELSE '    return s;' || {NL} END
@@ -43,17 +43,25 @@ pmeth AS (SELECT doc_id, i,
     || CASE WHEN big THEN '    s = s + 1' || {NL} ELSE '' END AS pm
   FROM pit),
 pagg AS (SELECT doc_id, string_agg(jm, '' ORDER BY i) AS jms, string_agg(pm, {NL} ORDER BY i) AS pms FROM pmeth GROUP BY doc_id),
-programs AS (
+whole AS (
   SELECT a.doc_id, CASE WHEN o.o_orderstatus = 'F' THEN 'java' ELSE 'python' END AS lang,
          CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS label,
          CASE WHEN o.o_orderstatus = 'F' THEN
            'import java.util.*;' || {NL} || '// order ' || CAST(a.doc_id AS VARCHAR) || {NL} || 'public class C' || CAST(a.doc_id AS VARCHAR)
            || ' {{' || {NL} || a.jms || '  public static void main(String[] args) {{' || {NL} || '    int n = '
-           || CAST(o.o_custkey % 100 AS VARCHAR) || ';' || {NL} || '    System.out.println(m1(n));' || {NL} || '  }}' || {NL} || '}}' || {NL}
+           || CAST(o.o_custkey % 100 AS VARCHAR) || ';' || {NL} || CASE WHEN a.doc_id % 14 = 0 THEN '    new Helper();' || {NL} ELSE '' END
+           || '    System.out.println(m1(n));' || {NL} || '  }}' || {NL} || '}}' || {NL}
+           || CASE WHEN a.doc_id % 7 = 0 THEN 'class Helper {{' || {NL} || '  int v = 1;' || {NL} || '}}' || {NL} ELSE '' END
          ELSE '# order ' || CAST(a.doc_id AS VARCHAR) || {NL} || a.pms || {NL} || {NL} || 'def main():' || {NL} || '    n = '
            || CAST(o.o_custkey % 100 AS VARCHAR) || {NL} || '    print(m1(n))' || {NL} END AS src,
          'c' || CAST(o.o_custkey AS VARCHAR) AS problem
-  FROM pagg a JOIN orders o ON a.doc_id = o.o_orderkey)""".replace("{{", "{").replace("}}", "}")
+  FROM pagg a JOIN orders o ON a.doc_id = o.o_orderkey),
+programs AS (
+  SELECT doc_id, lang, label,
+         CASE WHEN doc_id % {S.EMPTY_EVERY} = 0 THEN CASE lang WHEN 'java' THEN '//' ELSE '#' END || ' nothing' || {NL}
+              WHEN doc_id % {S.BROKEN_EVERY} = 0 THEN CASE lang WHEN 'java' THEN substr(src, 1, length(src) - 2) ELSE src || 'print((' || {NL} END
+              ELSE src END AS src, problem
+  FROM whole)""".replace("{{", "{").replace("}}", "}")
 
 
 def _progs(spark, sf, lang=None):
@@ -161,12 +169,6 @@ def flt01_delete_error(spark, sf):
                                    F.count_if(~F.col("ok")).cast("long").alias("rejected"))
 
 
-@query("flt02_python_parses")
-def flt02_python_parses(spark, sf):
-    p = _progs(spark, sf, "python")
-    return p.select("doc_id", Q.python_parses("src").alias("parses"))
-
-
 @query("flt03_skip_unscored", f"""WITH {PREDICTIONS}
 SELECT model, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE y_pred = -1) AS BIGINT) AS n_unscored,
   round(avg(CASE WHEN y_pred = -1 THEN 0::DOUBLE ELSE 1 - abs(y_pred - y_true) / 6::DOUBLE END), 6) AS hc_base
@@ -178,18 +180,26 @@ def flt03_skip_unscored(spark, sf):
     return hc.join(un, "model")
 
 
-_UNREACH = f"""list_reduce(string_split(src, chr(10)), lambda a, l:
-  CASE WHEN a.dead IS NOT NULL AND length(regexp_extract(l, '^[{WSQ}]*')) >= a.dead AND regexp_matches(l, '[^{WSQ}]')
-       THEN a
-       WHEN NOT regexp_matches(l, '[^{WSQ}]') THEN {{'dead': a.dead, 'out': list_append(a.out, l)}}
-       WHEN regexp_matches(l, '^\\s*(return|raise|break|continue)\\b')
-       THEN {{'dead': length(regexp_extract(l, '^[{WSQ}]*')), 'out': list_append(a.out, l)}}
-       ELSE {{'dead': NULL::INTEGER, 'out': list_append(a.out, l)}} END,
-  {{'dead': NULL::INTEGER, 'out': []::VARCHAR[]}}).out"""
+def _unreach_sql(x: str) -> str:
+    """The unreachable-line fold over a text: facts of each line, then the state that runs over them."""
+    code = f"regexp_replace(regexp_replace(l, '{_re(FE.LITERAL)}', '\"\"', 'g'), '#.*', '')"
+    facts = f"""list_transform(string_split({x}, chr(10)), lambda l: {{'line': l, 'ind': length(regexp_extract(l, '^[{WSQ}]*')),
+      'blank': NOT regexp_matches(l, '[^{WSQ}]'), 'net': length(regexp_replace({code}, '[^(\\[{{]', '', 'g')) - length(regexp_replace({code}, '[^)\\]}}]', '', 'g')),
+      'more': regexp_matches({code}, '\\\\\\s*$'), 'term': regexp_matches(l, '^\\s*(return|raise|break|continue)\\b')}})"""
+    inner = "(a.open > 0 OR a.more)"
+    fresh = "coalesce(f.ind >= a.dead AND NOT f.blank, FALSE)"
+    gone = f"CASE WHEN {inner} THEN a.gone ELSE {fresh} END"
+    still = "(greatest(a.open + f.net, 0) > 0 OR f.more)"
+    end = f"CASE WHEN {inner} THEN a.end_ WHEN NOT {fresh} AND f.term THEN f.ind END"
+    return f"""CASE WHEN contains({x}, repeat(chr(34), 3)) OR contains({x}, repeat(chr(39), 3)) THEN {x} ELSE array_to_string(list_reduce({facts}, lambda a, f:
+      {{'dead': CASE WHEN NOT {still} AND {end} IS NOT NULL THEN {end} WHEN {inner} OR {fresh} OR f.blank THEN a.dead END,
+        'open': greatest(a.open + f.net, 0), 'more': f.more, 'gone': {gone}, 'end_': CASE WHEN {still} THEN {end} END,
+        'out': CASE WHEN {gone} THEN a.out ELSE list_append(a.out, f.line) END}},
+      {{'dead': NULL::BIGINT, 'open': 0::BIGINT, 'more': FALSE, 'gone': FALSE, 'end_': NULL::BIGINT, 'out': []::VARCHAR[]}}).out, chr(10)) END"""
 
 
 @query("flt04_drop_unreachable_lines", f"""WITH {PROGRAMS},
-r AS (SELECT doc_id, src, array_to_string({_UNREACH}, chr(10)) AS out FROM programs WHERE lang = 'python')
+r AS (SELECT doc_id, src, {_unreach_sql('src')} AS out FROM programs WHERE lang = 'python')
 SELECT doc_id, md5(out) AS out_md5, CAST(len(string_split(src, chr(10))) - len(string_split(out, chr(10))) AS INTEGER) AS dropped FROM r""")
 def flt04_drop_unreachable_lines(spark, sf):
     p = _progs(spark, sf, "python")
@@ -208,21 +218,14 @@ def join06_unreferenced(spark, sf):
     p = _progs(spark, sf, "java")
     seg = FE.method_segments(p)
     decls = seg.filter("is_header").select("doc_id", F.col("method").alias("name")).filter(F.col("name") != "main")
-    refs = FE.call_edges(seg).select("doc_id", F.col("callee").alias("name"))
+    refs = FE.call_edges(p).select("doc_id", F.col("callee").alias("name"))
     return Q.unreferenced(decls, refs)
 
 
-@query("flt05_drop_dead_declarations", _DECL_JAVA + """,
-dead AS (SELECT doc_id FROM decl WHERE len(regexp_extract_all(src, '\\b' || name || '\\s*\\(')) = 1),
-nd AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_dead FROM dead GROUP BY doc_id)
-SELECT p.doc_id, CAST(coalesce(nd.n_dead, 0) AS BIGINT) AS n_dead,
-       CAST(len(regexp_extract_all(p.src, '(?m)^\\s*static int (\\w+)\\s*\\(', 1)) - coalesce(nd.n_dead, 0) AS BIGINT) AS n_kept_methods
-FROM programs p LEFT JOIN nd USING (doc_id) WHERE p.lang = 'java'""")
+@query("flt05_drop_dead_declarations")
 def flt05_drop_dead_declarations(spark, sf):
-    p = _progs(spark, sf, "java")
-    out = Q.drop_dead_declarations(p)
-    return out.select("doc_id", F.size("dropped").cast("long").alias("n_dead"),
-                      F.regexp_count("src", F.lit(r"(?m)^\s*static int (\w+)\s*\(")).cast("long").alias("n_kept_methods"))
+    out = Q.drop_dead_declarations(_progs(spark, sf, "java"))
+    return out.select("doc_id", F.size("dropped").cast("long").alias("n_dead"), F.md5("src").alias("out_md5"), F.length("src").cast("long").alias("n_chars"))
 
 
 @query("flt06_drop_unused_names")
@@ -274,10 +277,16 @@ def _rc(s, pat):
     return f"CAST(len(regexp_extract_all({s}, '{_re(pat)}')) AS INTEGER)"
 
 
+_PY_CODE = f"regexp_replace(src, '{_re(FE.PY_WORDLESS)}', ' ', 'g')"
+_PY_ATTRS = f"CAST(len(list_distinct(regexp_extract_all({_PY_CODE}, '{_re(r'\bself\.([A-Za-z_]\w*)\s*(?:[-+*/%]?=)[^=]')}', 1))) AS INTEGER)"
+_PY_NAMES = (f"CAST(len(list_filter(list_distinct(regexp_extract_all({_PY_CODE}, '[A-Za-z_]\\w*')), lambda w: NOT list_contains("
+             f"{FE.PY_KEYWORDS!r}, w))) AS INTEGER)")
+
+
 @query("fea03_py_names", f"""WITH {PROGRAMS}
 SELECT doc_id, {_rc('src', r'(?m)^def\s')} AS n_funcs, {_rc('src', r'(?m)^[ \t]+def\s')} AS n_methods,
   {_rc('src', r'(?m)^[ \t]*[A-Za-z_]\w*\s*(?:[-+*/%]?=)[^=]')} AS n_assign,
-  CAST(len(list_distinct(regexp_extract_all(src, '[A-Za-z_]\\w*'))) AS INTEGER) AS n_names
+  {_PY_ATTRS} AS n_attrs, {_PY_NAMES} AS n_names
 FROM programs WHERE lang = 'python'""")
 def fea03_py_names(spark, sf):
     p = _progs(spark, sf, "python")
@@ -296,55 +305,86 @@ def fea04_java_counts(spark, sf):
 
 @query("fea05_java_counts_v2")
 def fea05_java_counts_v2(spark, sf):
-    """FEA5: counts of main plus every method reachable from it (JOIN7 + JOIN8), HashSet before HashMap.
+    """FEA5: counts of main with those of its callees added at every call site, level by level
+    (JOIN7 + JOIN8), HashSet before HashMap, all inside the program's row.
 
-    One pass per program: the segmented lines are grouped by program (the
-    segmentation's partitioning is reused), and inside the row method bodies,
-    per-method counts, call edges, the BFS from main (an ``aggregate`` over
-    levels) and the roll-up sums are array expressions.
+    A method's weight is the number of call paths from main on which each call
+    goes one breadth-first level deeper; every count is the weighted sum.
     """
     p = _progs(spark, sf, "java").withColumn("src", T.remove_comments("src", "lang"))
-    seg = FE.method_segments(p)
-    items = seg.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "method", "is_header"))).alias("items"))
+    t = p.select("doc_id", FE.segment_items("src", "lang").alias("items"))
     decls = F.array_distinct(F.transform(F.filter("items", lambda x: x["is_header"]), lambda x: x["method"]))
-    bodies = F.transform(decls, lambda m: F.struct(m.alias("name"), FE.java_counts(F.array_join(
-        F.transform(F.filter("items", lambda x: x["method"] == m), lambda x: x["line"]), "\n")).alias("c")))
-    edges = F.flatten(F.transform(F.filter("items", lambda x: x["method"].isNotNull() & ~x["is_header"]),
-                                  lambda x: F.transform(Q._calls(x["line"]), lambda c: F.struct(x["method"].alias("a"), c.alias("b")))))
-    t = items.select("doc_id", bodies.alias("bodies"), edges.alias("edges"), F.array_contains(decls, "main").alias("has_main"))
-    init = F.struct(F.array(F.lit("main")).alias("seen"), F.array(F.lit("main")).alias("front"))
+    t = t.withColumn("decls", decls).filter(F.array_contains("decls", "main"))
+    sites = F.flatten(F.transform(F.filter("items", lambda x: x["method"].isNotNull() & ~x["is_header"]), lambda x: F.transform(
+        F.filter(FE.calls_in(x["line"]), lambda c: F.array_contains("decls", c)), lambda c: F.struct(x["method"].alias("a"), c.alias("b")))))
+    t = t.withColumn("sites", sites)
+    one = F.array(F.struct(F.lit("main").alias("name"), F.lit(1).cast("long").alias("w")))
 
     def level(acc, _):
-        nxt = F.array_except(F.array_distinct(F.transform(F.filter("edges", lambda e: F.array_contains(acc["front"], e["a"])),
-                                                          lambda e: e["b"])), acc["seen"])
-        return F.struct(F.concat(acc["seen"], nxt).alias("seen"), nxt.alias("front"))
+        hit = F.filter("sites", lambda e: F.array_contains(F.transform(acc["front"], lambda f: f["name"]), e["a"])
+                       & ~F.array_contains(F.transform(acc["seen"], lambda f: f["name"]), e["b"]))
+
+        def weight(n):
+            return F.aggregate(acc["front"], F.lit(0).cast("long"), lambda w, f: w + f["w"] * F.size(F.filter(
+                hit, lambda e: (e["a"] == f["name"]) & (e["b"] == n))))
 
-    reach = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("edges"), F.lit(1))), init, level)["seen"]
-    t = t.filter("has_main").withColumn("r", F.filter("bodies", lambda b: F.array_contains(reach, b["name"])))
+        nxt = F.transform(F.array_distinct(F.transform(hit, lambda e: e["b"])), lambda n: F.struct(n.alias("name"), weight(n).alias("w")))
+        return F.when(F.size(acc["front"]) == 0, acc).otherwise(F.struct(F.concat(acc["seen"], nxt).alias("seen"), nxt.alias("front")))
+
+    steps = F.sequence(F.lit(1), F.greatest(F.size("decls") - 1, F.lit(1)))
+    seen = F.aggregate(steps, F.struct(one.alias("seen"), one.alias("front")), level)["seen"]
+    t = t.withColumn("seen", seen)
+    t = t.withColumn("r", F.transform("seen", lambda m: F.struct(m["w"].alias("w"), FE.java_counts(F.array_join(
+        F.transform(F.filter("items", lambda x: x["method"] == m["name"]), lambda x: x["line"]), "\n"), 2).alias("c"))))
     fields = ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashset", "n_hashmap"]
 
     def total(f):
-        return F.aggregate("r", F.lit(0), lambda acc, b: acc + b["c"][f]).cast("int").alias(f)
+        return F.aggregate("r", F.lit(0).cast("long"), lambda acc, b: acc + b["w"] * b["c"][f]).cast("int").alias(f)
 
-    rec = F.size(F.array_distinct(F.transform(F.filter("edges", lambda e: e["a"] == e["b"]), lambda e: e["a"])))
+    rec = F.size(F.array_distinct(F.transform(F.filter("sites", lambda e: e["a"] == e["b"]), lambda e: e["a"])))
     return t.select("doc_id", *[total(f) for f in fields],
                     F.aggregate("r", F.lit(0), lambda acc, b: F.greatest(acc, b["c"]["nested"])).cast("int").alias("nested"),
-                    total("n_vars"), F.size("r").cast("int").alias("n_methods"), total("n_statements"),
-                    rec.cast("int").alias("n_recursive"))
-
-
-@query("fea06_nested_loop_depth", f"""WITH {PROGRAMS}, j AS (SELECT doc_id, {_JSTRIP} AS s FROM programs WHERE lang = 'java')
-SELECT doc_id, CAST(CASE WHEN contains(s, 'for (int j') THEN 2 WHEN regexp_matches(s, '\\b(for|while)\\s*\\(') THEN 1 ELSE 0 END AS INTEGER) AS nested_v1,
-  CAST(CASE WHEN contains(s, 'for (int j') THEN 3 WHEN regexp_matches(s, '\\b(for|while)\\s*\\(') THEN 2 ELSE 1 END AS INTEGER) AS nested_v2 FROM j""")
+                    total("n_vars"), F.aggregate("r", F.lit(0).cast("long"), lambda acc, b: acc + b["w"]).cast("int").alias("n_methods"),
+                    total("n_statements"), rec.cast("int").alias("n_recursive"))
+
+
+# The loop-nesting fold in SQL: a recursive walk over the numbered tokens with the stacks as lists.
+def nesting_sql(programs: str, key: str, text: str) -> str:
+    """CTEs tk, tn, wk, nest(key, n): deepest loop nesting of every text of ``programs``."""
+    return f"""
+tk AS (SELECT {key}, regexp_extract_all({text}, '{_re(FE.LOOP_TOKENS)}') AS ts FROM {programs}),
+wk({key}, ts, i, d, p, st, ad, loops, dos, mx) AS (
+  SELECT {key}, ts, 1, 0, 0, 'plain', FALSE, []::INTEGER[], []::INTEGER[], 0 FROM tk
+  UNION ALL
+  SELECT {key}, ts, i + 1,
+    d + CASE t WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END,
+    CASE WHEN t IN ('for', 'while') THEN 0 WHEN t = '(' THEN p + 1 WHEN t = ')' THEN p - 1 ELSE p END,
+    CASE WHEN t = 'while' AND ad THEN 'tail' WHEN t IN ('for', 'while') THEN 'head' WHEN t = 'do' THEN 'do'
+         WHEN t = '(' THEN CASE WHEN st = 'body' THEN 'plain' ELSE st END
+         WHEN t = ')' THEN CASE WHEN p = 1 AND st = 'head' THEN 'body' WHEN p = 1 AND st = 'tail' THEN 'plain' WHEN st = 'body' THEN 'plain' ELSE st END
+         WHEN t = ';' AND st IN ('head', 'tail') AND p > 0 THEN st ELSE 'plain' END,
+    t = '}}' AND list_contains(dos, d - 1),
+    CASE t WHEN '{{' THEN braced WHEN '}}' THEN list_filter(opened, lambda x: CASE WHEN x >= 0 THEN x < d - 1 ELSE -1 - x < d - 1 END)
+           WHEN ';' THEN CASE WHEN st IN ('head', 'tail') AND p > 0 THEN opened ELSE list_filter(opened, lambda x: x >= 0 OR -1 - x < d) END
+           ELSE opened END,
+    CASE t WHEN '{{' THEN CASE WHEN st = 'do' THEN list_append(dos, d) ELSE dos END WHEN '}}' THEN list_filter(dos, lambda x: x < d - 1) ELSE dos END,
+    greatest(mx, len(CASE WHEN t = '{{' THEN braced ELSE opened END))
+  FROM (SELECT *, ts[i] AS t, CASE WHEN st = 'body' AND ts[i] <> '{{' THEN list_append(loops, -1 - d) ELSE loops END AS opened,
+               CASE WHEN st = 'body' THEN list_append(loops, d) ELSE loops END AS braced FROM wk WHERE i <= len(ts)) q),
+nest AS (SELECT {key}, CAST(max(mx) AS INTEGER) AS n FROM wk GROUP BY {key})"""
+
+
+@query("fea06_nested_loop_depth", f"""WITH RECURSIVE {PROGRAMS}, j AS (SELECT doc_id, {_JSTRIP} AS s FROM programs WHERE lang = 'java'),
+{nesting_sql('j', 'doc_id', 's')}
+SELECT doc_id, CAST(greatest(n - 1, 0) AS INTEGER) AS nested_v1, n AS nested_v2 FROM nest""")
 def fea06_nested_loop_depth(spark, sf):
     p = _progs(spark, sf, "java").withColumn("s", T.remove_comments("src", "lang"))
-    return p.select("doc_id", FE.nested_loop_depth("s", 0).alias("nested_v1"), FE.nested_loop_depth("s", 1).alias("nested_v2"))
+    return p.select("doc_id", FE.nested_loop_depth("s", 1).alias("nested_v1"), FE.nested_loop_depth("s", 2).alias("nested_v2"))
 
 
 @query("fea07_call_edges")
 def fea07_call_edges(spark, sf):
-    p = _progs(spark, sf)
-    return FE.call_edges(FE.method_segments(p))
+    return FE.call_edges(_progs(spark, sf))
 
 
 @query("fea08_token_count", f"""WITH {PROGRAMS}
@@ -355,11 +395,11 @@ def fea08_token_count(spark, sf):
 
 @query("fea09_split_methods")
 def fea09_split_methods(spark, sf):
-    seg = FE.method_segments(_progs(spark, sf))
-    return (seg.groupBy("doc_id", "lang").agg(
-        F.countDistinct("method").cast("long").alias("n_methods"),
-        F.count_if(F.col("method").isNotNull()).cast("long").alias("method_lines"),
-        F.max(F.when(F.col("method") == "main", F.col("pos"))).alias("main_pos")))
+    p = _progs(spark, sf).select("doc_id", "lang", FE.segment_items("src", "lang").alias("items"))
+    owned = F.filter("items", lambda x: x["method"].isNotNull())
+    main = F.filter("items", lambda x: x["method"] == "main")
+    return p.select("doc_id", "lang", F.size(F.array_distinct(F.transform(owned, lambda x: x["method"]))).cast("long").alias("n_methods"),
+                    F.size(owned).cast("long").alias("method_lines"), F.array_max(F.transform(main, lambda x: x["pos"])).alias("main_pos"))
 
 
 @query("fea10_feature_vector")
@@ -370,6 +410,19 @@ def fea10_feature_vector(spark, sf):
     return v.select("doc_id", "label", F.array_join(vector_to_array("features").cast("array<string>"), ",").alias("features"))
 
 
+@query("fea10_python_vector", f"""WITH {PROGRAMS},
+ls AS (SELECT doc_id, list_filter(string_split(src, chr(10)), lambda l: trim(l, '{T.PY_SPACE}') <> '') AS lines FROM programs WHERE lang = 'python'),
+u AS (SELECT doc_id, lines, coalesce(list_filter(list_transform(lines, lambda l: length(regexp_extract(l, '^[{WSQ}]*'))), lambda w: w > 0)[1], 4) AS unit FROM ls),
+d AS (SELECT doc_id, {_DEPTH} AS r FROM u),
+v AS (SELECT doc_id, [{_cnt('src', 'if')}, {_cnt('src', 'while')} + {_cnt('src', 'for')}, {_cnt('src', 'break')}, {_cnt('src', 'sort')},
+   {_cnt('src', 'list')} + {_cnt('src', 'split')}, len(string_split(rtrim(src, chr(10)), chr(10))), {_PY_NAMES}, {_PY_ATTRS}, r.mx, r.mi,
+   {_rc('src', r'(?m)^[ \t]*[A-Za-z_]\w*\s*(?:[-+*/%]?=)[^=]')}, {_rc('src', r'(?m)^[ \t]+def\s')}, {_rc('src', r'(?m)^def\s')}] AS f
+   FROM programs JOIN d USING (doc_id) WHERE lang = 'python')
+SELECT doc_id, array_to_string(list_transform(f, lambda x: CAST(CAST(x AS DOUBLE) AS VARCHAR)), ',') AS features FROM v""")
+def fea10_python_vector(spark, sf):
+    return _progs(spark, sf, "python").select("doc_id", F.array_join(FE.python_vector().cast("array<string>"), ",").alias("features"))
+
+
 # ------------------------------------------------------------ augmentation job
 @query("win06_augment_job")
 def win06_augment_job(spark, sf):
@@ -379,6 +432,22 @@ def win06_augment_job(spark, sf):
     return a.select("doc_id", "lang", "failed", F.md5("out").alias("out_md5"))
 
 
+@query("win06_resample", f"""WITH {PROGRAMS},
+ids AS (SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5('777|' || doc_id), 1, 8))::BIGINT, doc_id) AS rk, count(*) OVER () AS n FROM programs),
+draws AS (SELECT range AS draw, ('0x' || substr(md5('777-draw|' || range), 1, 8))::BIGINT % (SELECT any_value(n) FROM ids) + 1 AS rk
+          FROM range(20000) WHERE range < 20000 - (SELECT count(*) FROM programs)),
+drawn AS (SELECT ids.doc_id, 1 + ('0x' || substr(md5('777-mut|' || ids.doc_id || '|' || draw), 1, 8))::BIGINT % 20 AS m FROM draws JOIN ids USING (rk)),
+first AS (SELECT doc_id, 1 + ('0x' || substr(md5('777-mut|' || doc_id), 1, 8))::BIGINT % 10 AS m FROM programs)
+SELECT pass, CAST(count(*) AS BIGINT) AS n, CAST(sum(m) AS BIGINT) AS mutations, CAST(sum(doc_id) AS BIGINT) AS ids
+FROM (SELECT 'first' AS pass, * FROM first UNION ALL SELECT 'drawn', * FROM drawn) GROUP BY pass""")
+def win06_resample(spark, sf):
+    """WIN6, whole job: every program once, then draws up to 20,000 rows (counts and mutation numbers of both passes)."""
+    p = _progs(spark, sf)
+    a = Q.resample_augmented(p, 20000, (1, 10), (1, 20))
+    return a.groupBy(F.when(F.col("draw").isNull(), "first").otherwise("drawn").alias("pass")).agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.sum("n_mut").cast("long").alias("mutations"), F.sum("doc_id").cast("long").alias("ids"))
+
+
 @query("agg22_failure_ledger")
 def agg22_failure_ledger(spark, sf):
     p = _progs(spark, sf)
@@ -425,7 +494,7 @@ def join08_rollup_callee_features(spark, sf):
 SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(src, 's \\+= (m\\d+)\\(n - 1\\)', 1))) AS BIGINT) AS n_recursive
 FROM programs WHERE regexp_matches(src, 's \\+= (m\\d+)\\(n - 1\\)')""")
 def join09_self_recursive(spark, sf):
-    return G.self_recursive(FE.call_edges(FE.method_segments(_progs(spark, sf))), ["doc_id"])
+    return G.self_recursive(FE.call_edges(_progs(spark, sf)), ["doc_id"])
 
 
 WORDS = """w0 AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS word, generate_subscripts(regexp_split_to_array(text, '\\s+'), 1) - 1 AS idx FROM documents),
@@ -547,18 +616,24 @@ sd AS (SELECT *, coalesce(sum((length(c) - length(replace(c, '{', ''))) - (lengt
          OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth
        FROM (SELECT *, regexp_replace(line, '@LIT@', '""', 'g') AS c FROM sl) x),
 sh AS (SELECT *, CASE WHEN lang = 'java' THEN (CASE WHEN depth = 1 THEN nullif(regexp_extract(line, '@JH@', 1), '') END)
-                      ELSE nullif(regexp_extract(line, '@PH@', 1), '') END AS header FROM sd),
-sc AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos
-         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur FROM sh),
-seg AS (SELECT doc_id, lang, pos, line, header IS NOT NULL AS is_header,
-          CASE WHEN (lang = 'java' AND (depth >= 2 OR header IS NOT NULL))
-                 OR (lang <> 'java' AND (header IS NOT NULL OR regexp_matches(line, '^[@WS@]') OR NOT regexp_matches(line, '[^@WS@]')))
-               THEN cur END AS method FROM sc),
+                      ELSE nullif(regexp_extract(line, '@PH@', 1), '') END AS closed_header,
+              CASE WHEN lang = 'java' AND depth = 1 AND NOT contains(line, '{') THEN nullif(regexp_extract(line, '@JO@', 1), '') END AS open_header,
+              CASE WHEN lang = 'java' THEN regexp_matches(line, '^ *\\{') ELSE regexp_matches(line, '^[@WS@]') OR NOT regexp_matches(line, '[^@WS@]') END AS inside
+       FROM sd),
+-- a marker says whose lines begin here: a name, or '' for nobody's
+sm AS (SELECT *, coalesce(closed_header, open_header) AS header,
+         lag(open_header) OVER (PARTITION BY doc_id ORDER BY pos) IS NOT NULL AS after_open FROM sh),
+sn AS (SELECT *, CASE WHEN header IS NOT NULL THEN header
+                      WHEN lang = 'java' AND (depth >= 2 OR (depth = 1 AND after_open AND inside)) THEN NULL
+                      WHEN lang <> 'java' AND inside THEN NULL ELSE '' END AS marker FROM sm),
+sc AS (SELECT *, nullif(last_value(marker IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS cur FROM sn),
+seg AS (SELECT doc_id, lang, pos, line, header IS NOT NULL AS is_header, cur AS method FROM sc),
 calls AS (SELECT doc_id, lang, method AS caller,
             unnest(regexp_extract_all(regexp_replace(line, '\\bnew\\s+\\w+', 'new', 'g'), '([A-Za-z_]\\w*)\\s*\\(', 1)) AS callee
           FROM seg WHERE method IS NOT NULL AND NOT is_header),
 edges_ AS (SELECT DISTINCT doc_id, lang, caller, callee FROM calls WHERE callee NOT IN (@KW@))"""
-            .replace("@JH@", jh).replace("@PH@", ph).replace("@WS@", ws).replace("@TABLE@", table)
+            .replace("@JH@", jh).replace("@JO@", _re(FE.JAVA_OPEN_HEADER)).replace("@PH@", ph).replace("@WS@", ws).replace("@TABLE@", table)
             .replace("@LIT@", _re(FE.LITERAL))
             .replace("@KW@", ", ".join(f"'{k}'" for k in FE.CALL_KEYWORDS)))
 
@@ -570,6 +645,24 @@ add_oracle("fea09_split_methods", f"""WITH {SEG}
 SELECT doc_id, lang, CAST(count(DISTINCT method) AS BIGINT) AS n_methods, CAST(count(method) AS BIGINT) AS method_lines,
        CAST(max(CASE WHEN method = 'main' THEN pos END) AS INTEGER) AS main_pos FROM seg GROUP BY doc_id, lang""")
 
+add_oracle("flt05_drop_dead_declarations", f"""WITH {SEG},
+refs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(line, '\\bnew\\s+\\w+', 'new', 'g'), '([A-Za-z_]\\w*)\\s*\\(', 1)) AS name
+         FROM seg WHERE lang = 'java' AND NOT is_header),
+dead AS (SELECT DISTINCT doc_id, method FROM seg s WHERE lang = 'java' AND is_header AND method <> 'main'
+         AND NOT EXISTS (SELECT 1 FROM refs WHERE refs.doc_id = s.doc_id AND refs.name = s.method)),
+cl AS (SELECT doc_id, pos, line, sum((length(c) - length(replace(c, '{{', ''))) - (length(c) - length(replace(c, '}}', '')))) OVER w AS after,
+              regexp_extract(line, '{_re(Q.CLASS_HEADER)}', 1) AS name
+       FROM (SELECT *, regexp_replace(line, '{_re(FE.LITERAL)}', '""', 'g') AS c FROM sl WHERE lang = 'java') x WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+cm AS (SELECT *, CASE WHEN coalesce(lag(after) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 THEN name END AS mark FROM cl),
+cc AS (SELECT *, nullif(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS cls FROM cm),
+dc AS (SELECT DISTINCT c.doc_id, c.cls FROM cc c WHERE c.cls IS NOT NULL
+       AND NOT EXISTS (SELECT 1 FROM cc x JOIN seg USING (doc_id, pos) WHERE x.doc_id = c.doc_id AND x.cls = c.cls AND seg.is_header AND seg.method = 'main')
+       AND NOT EXISTS (SELECT 1 FROM seg x WHERE x.doc_id = c.doc_id AND regexp_matches(x.line, '\\bnew\\s+' || c.cls || '\\b'))),
+kept AS (SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.pos) AS t FROM seg s JOIN cc USING (doc_id, pos)
+         WHERE s.lang = 'java' AND NOT EXISTS (SELECT 1 FROM dead d WHERE d.doc_id = s.doc_id AND d.method = s.method)
+           AND NOT EXISTS (SELECT 1 FROM dc WHERE dc.doc_id = s.doc_id AND dc.cls = cc.cls) GROUP BY s.doc_id)
+SELECT kept.doc_id, CAST((SELECT count(*) FROM dead WHERE dead.doc_id = kept.doc_id) AS BIGINT) AS n_dead, md5(t) AS out_md5, length(t) AS n_chars FROM kept""")
+
 _STORE = r"(?m)^[ \t]*([A-Za-z_]\w*)\s*=[^=]"
 add_oracle("flt06_drop_unused_names", f"""WITH {SEG},
 refs AS (SELECT doc_id, callee AS name FROM edges_ WHERE lang = 'python' AND caller <> callee
@@ -603,25 +696,24 @@ add_oracle("prj21_rename_identifiers", f"""WITH {PROGRAMS}, r AS (SELECT doc_id,
 SELECT doc_id, lang, md5(out) AS out_md5, length(out) AS n_chars FROM r""")
 
 
-def _unreach_sql(x: str) -> str:
-    return _UNREACH.replace("string_split(src, chr(10))", f"string_split({x}, chr(10))")
-
-
 _NMUT = (f"CASE WHEN lang = 'java' THEN 1 + ('0x' || substr(md5('777-mut|' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 5 "
          f"ELSE 1 + ('0x' || substr(md5('777-mut|' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10 END")
 
 
-def _blank(x: str) -> str:
-    return f"(length(regexp_replace({x}, '[{WSQ}]', '', 'g')) = 0)"
+def _mutations_sql(steps: int) -> str:
+    """CTEs a0 .. a<steps>: one mutation each (comments, names, dead lines in turn), then aug."""
+    ctes = [f"a0 AS (SELECT doc_id, lang, {_NMUT} AS n, src AS out, FALSE AS failed FROM programs)"]
+    rm = [r.replace("(src,", "(out,") for r in (JAVA_RM, PY_RM)]
+    turn = {1: f"CASE lang WHEN 'java' THEN {rm[0]} ELSE {rm[1]} END", 2: _rename_sql("out"),
+            0: f"CASE lang WHEN 'python' THEN {_unreach_sql('out')} ELSE out END"}
+    for i in range(1, steps + 1):
+        ctes.append(f"b{i} AS MATERIALIZED (SELECT *, CASE WHEN n >= {i} THEN {turn[i % 3]} ELSE out END AS c FROM a{i - 1})")
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT doc_id, lang, n, CASE WHEN n >= {i} AND {_gate_sql('c')} THEN c ELSE out END AS out, "
+                    f"failed OR (n >= {i} AND NOT {_gate_sql('c')}) AS failed FROM b{i})")
+    return ",\n".join(ctes) + f",\naug AS (SELECT * FROM a{steps})"
 
 
-_AUG = f"""WITH {PROGRAMS},
-a0 AS (SELECT doc_id, lang, src, {_NMUT} AS n, CASE lang WHEN 'java' THEN {JAVA_RM} WHEN 'python' THEN {PY_RM} ELSE src END AS c FROM programs),
-a1 AS (SELECT doc_id, lang, n, (n > 0 AND {_blank('c')}) AS failed, CASE WHEN n > 0 AND NOT {_blank('c')} THEN c ELSE src END AS out FROM a0),
-b0 AS (SELECT *, {_rename_sql('out')} AS c FROM a1),
-b1 AS (SELECT doc_id, lang, n, failed OR (n > 1 AND {_blank('c')}) AS failed, CASE WHEN n > 1 AND NOT {_blank('c')} THEN c ELSE out END AS out FROM b0),
-c0 AS (SELECT *, array_to_string({_unreach_sql('out')}, chr(10)) AS c FROM b1),
-aug AS (SELECT doc_id, lang, failed OR (n > 2 AND {_blank('c')}) AS failed, CASE WHEN n > 2 AND NOT {_blank('c')} THEN c ELSE out END AS out FROM c0)"""
+_AUG = f"WITH {PROGRAMS},\n{_mutations_sql(10)}"
 
 add_oracle("win06_augment_job", _AUG + " SELECT doc_id, lang, failed, md5(out) AS out_md5 FROM aug WHERE NOT (lang = 'python' AND failed)")
 add_oracle("agg22_failure_ledger", _AUG + """ SELECT lang, CAST(count(*) AS BIGINT) AS total, CAST(sum(CAST(failed AS INTEGER)) AS BIGINT) AS failed,
@@ -639,16 +731,16 @@ def _vec_sql() -> str:
         else:
             parts.append(_rc("s", pat))
     parts.append("coalesce(rc.n_rec, 0)")
-    parts.append("CASE WHEN contains(s, 'for (int j') THEN 2 WHEN regexp_matches(s, '\\b(for|while)\\s*\\(') THEN 1 ELSE 0 END")
+    parts.append("greatest(nest.n - 1, 0)")
     parts += [_rc("s", FE.JAVA_VAR), _rc("s", "(?m)" + FE.JAVA_HEADER),
               f"({_rc('s', ';')} + {_rc('s', r'\b(?:if|for|while|switch|do|try)\b')})"]
     return "array_to_string([" + ", ".join(f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)" for x in parts) + "], ',')"
 
 
-add_oracle("fea10_feature_vector", f"""WITH {_SEG_STRIPPED},
+add_oracle("fea10_feature_vector", f"""WITH RECURSIVE {_SEG_STRIPPED},
 rc AS (SELECT doc_id, count(DISTINCT caller) AS n_rec FROM edges_ WHERE caller = callee GROUP BY doc_id),
-j AS (SELECT doc_id, label, {JAVA_RM} AS s FROM programs WHERE lang = 'java')
-SELECT j.doc_id, j.label, {_vec_sql()} AS features FROM j LEFT JOIN rc USING (doc_id)""")
+j AS (SELECT doc_id, label, {JAVA_RM} AS s FROM programs WHERE lang = 'java'), {nesting_sql('j', 'doc_id', 's')}
+SELECT j.doc_id, j.label, {_vec_sql()} AS features FROM j JOIN nest USING (doc_id) LEFT JOIN rc USING (doc_id)""")
 
 
 
@@ -660,22 +752,29 @@ def _counts_sql(b: str) -> str:
         f"{_rc(b, r'\bbreak\s*;')} AS n_break", f"{_rc(b, r'\bnew\s+PriorityQueue\b')} AS n_priority",
         f"{_rc(b, r'\.sort\s*\(')} AS n_sort", f"{_rc(b, r'\bnew\s+HashSet\b')} AS n_hashset",
         f"{_rc(b, r'\bnew\s+HashMap\b')} AS n_hashmap",
-        f"CASE WHEN contains({b}, 'for (int j') THEN 2 WHEN regexp_matches({b}, '\\b(for|while)\\s*\\(') THEN 1 ELSE 0 END AS nested",
         f"{_rc(b, FE.JAVA_VAR)} AS n_vars",
         f"({_rc(b, ';')} + {_rc(b, r'\b(?:if|for|while|switch|do|try)\b')}) AS n_statements"])
 
 
 _F5 = ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashset", "n_hashmap"]
 add_oracle("fea05_java_counts_v2", f"""WITH RECURSIVE {_SEG_STRIPPED},
-bodies AS (SELECT doc_id, method, string_agg(line, chr(10) ORDER BY pos) AS body FROM seg WHERE method IS NOT NULL GROUP BY ALL),
-mc AS (SELECT doc_id, method, {_counts_sql('body')} FROM bodies),
-r(doc_id, node) AS (SELECT DISTINCT doc_id, method FROM seg WHERE is_header AND method = 'main'
-                    UNION SELECT r.doc_id, e.callee FROM r JOIN edges_ e ON e.doc_id = r.doc_id AND e.caller = r.node),
-rc AS (SELECT doc_id, count(DISTINCT caller) AS n_rec FROM edges_ WHERE caller = callee GROUP BY doc_id),
-agg AS (SELECT r.doc_id, {", ".join(f"CAST(sum({c}) AS INTEGER) AS {c}" for c in _F5)},
+bodies AS (SELECT doc_id, method, doc_id || '/' || method AS k, string_agg(line, chr(10) ORDER BY pos) AS body FROM seg WHERE method IS NOT NULL GROUP BY ALL),
+{nesting_sql('bodies', 'k', 'body')},
+mc AS (SELECT doc_id, method, nest.n AS nested, {_counts_sql('body')} FROM bodies JOIN nest USING (k)),
+decl AS (SELECT DISTINCT doc_id, method AS name FROM seg WHERE is_header),
+nd AS (SELECT doc_id, count(*) AS n FROM decl GROUP BY doc_id),
+sites AS (SELECT c.doc_id, c.caller AS a, c.callee AS b FROM calls c JOIN decl ON decl.doc_id = c.doc_id AND decl.name = c.callee),
+r(doc_id, node, depth) AS (SELECT doc_id, name, 0 FROM decl WHERE name = 'main'
+   UNION SELECT r.doc_id, s.b, r.depth + 1 FROM r JOIN sites s ON s.doc_id = r.doc_id AND s.a = r.node JOIN nd ON nd.doc_id = r.doc_id WHERE r.depth < nd.n),
+dep AS (SELECT doc_id, node, min(depth) AS d FROM r GROUP BY ALL),
+paths(doc_id, node, d) AS (SELECT doc_id, name, 0 FROM decl WHERE name = 'main'
+   UNION ALL SELECT p.doc_id, s.b, p.d + 1 FROM paths p JOIN sites s ON s.doc_id = p.doc_id AND s.a = p.node
+   JOIN dep ON dep.doc_id = p.doc_id AND dep.node = s.b AND dep.d = p.d + 1),
+rc AS (SELECT doc_id, count(DISTINCT a) AS n_rec FROM sites WHERE a = b GROUP BY doc_id),
+agg AS (SELECT p.doc_id, {", ".join(f"CAST(sum({c}) AS INTEGER) AS {c}" for c in _F5)},
                CAST(max(nested) AS INTEGER) AS nested, CAST(sum(n_vars) AS INTEGER) AS n_vars,
                CAST(count(*) AS INTEGER) AS n_methods, CAST(sum(n_statements) AS INTEGER) AS n_statements
-        FROM r JOIN mc ON mc.doc_id = r.doc_id AND mc.method = r.node GROUP BY r.doc_id)
+        FROM paths p JOIN mc ON mc.doc_id = p.doc_id AND mc.method = p.node GROUP BY p.doc_id)
 SELECT agg.*, CAST(coalesce(rc.n_rec, 0) AS INTEGER) AS n_recursive FROM agg LEFT JOIN rc USING (doc_id)""")
 
 
@@ -703,15 +802,15 @@ def ml09_kfold_program_features(spark, sf):
     return M.kfold_mean_std(preds, ["model"])
 
 
-add_oracle("fea04_java_counts", f"""WITH {_SEG_STRIPPED},
+add_oracle("fea04_java_counts", f"""WITH RECURSIVE {_SEG_STRIPPED},
 rc AS (SELECT doc_id, count(DISTINCT caller) AS n_rec FROM edges_ WHERE caller = callee GROUP BY doc_id),
-j AS (SELECT doc_id, {JAVA_RM} AS s FROM programs WHERE lang = 'java')
+j AS (SELECT doc_id, {JAVA_RM} AS s FROM programs WHERE lang = 'java'), {nesting_sql('j', 'doc_id', 's')}
 SELECT doc_id, {_rc('s', r'\bif\s*\(')} AS n_if, {_rc('s', r'\bswitch\s*\(')} AS n_switch,
   {_rc('s', r'\bfor\s*\(')} + {_rc('s', r'\bwhile\s*\(')} - {_rc('s', r'\}\s*while\s*\(')} AS n_loop,
   {_rc('s', r'\bbreak\s*;')} AS n_break, {_rc('s', r'\bnew\s+PriorityQueue\b')} AS n_priority,
   {_rc('s', r'\.sort\s*\(')} AS n_sort, {_rc('s', r'\bnew\s+HashMap\b')} AS n_hashmap, {_rc('s', r'\bnew\s+HashSet\b')} AS n_hashset,
-  CAST(CASE WHEN contains(s, 'for (int j') THEN 2 WHEN regexp_matches(s, '\\b(for|while)\\s*\\(') THEN 1 ELSE 0 END AS INTEGER) AS nested,
+  CAST(greatest(nest.n - 1, 0) AS INTEGER) AS nested,
   {_rc('s', FE.JAVA_VAR)} AS n_vars, {_rc('s', '(?m)' + FE.JAVA_HEADER)} AS n_methods,
   {_rc('s', ';')} + {_rc('s', r'\b(?:if|for|while|switch|do|try)\b')} AS n_statements,
   CAST(coalesce(rc.n_rec, 0) AS BIGINT) AS n_recursive
-FROM j LEFT JOIN rc USING (doc_id)""")
+FROM j JOIN nest USING (doc_id) LEFT JOIN rc USING (doc_id)""")

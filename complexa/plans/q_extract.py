@@ -94,7 +94,7 @@ def prj01_encode_label(spark, sf):
 SELECT spelling, CAST({_rank_sql('spelling')} AS INTEGER) AS rank, CAST(count(*) AS BIGINT) AS n FROM sp GROUP BY spelling""")
 def prj02_text_to_rank(spark, sf):
     r = _refined(spark, sf)
-    sp = r.select(F.col("complexity").alias("spelling")).unionByName(r.select(F.col("answer").alias("spelling")))
+    sp = r.select(F.explode(F.array("complexity", "answer")).alias("spelling"))
     return sp.groupBy("spelling").agg(F.count(F.lit(1)).cast("long").alias("n")) \
              .withColumn("rank", text_to_rank("spelling"))
 

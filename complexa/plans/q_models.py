@@ -21,15 +21,17 @@ def _split(spark, sf):
 
 def _model_query(name):
     def run(spark, sf):
+        """Shape only: every test row with its label, and whether its prediction is a label (quality: tests/test_models.py)."""
         tr, te = _split(spark, sf)
-        return ML.fit_predict(name, tr, te, 64, 10).select("test_id", "y_true", "y_pred")
+        domain = 5 if name == "KMeans" else 10
+        return ML.fit_predict(name, tr, te, 64, 10).select("test_id", "y_true", F.col("y_pred").between(0, domain - 1).alias("in_domain"))
     return run
 
 
 for _key, _name in [("ml01_decision_tree", "DecisionTree"), ("ml02_random_forest", "RandomForest"),
                     ("ml03_svm_rbf", "SVM"), ("ml04_logistic_regression", "LogisticRegression"),
                     ("ml06_kmeans", "KMeans"), ("ml08_mlp", "MLP")]:
-    query(_key)(_model_query(_name))
+    query(_key, f"WITH {_SPLIT} SELECT vec_id AS test_id, CAST(label AS INTEGER) AS y_true, TRUE AS in_domain FROM te")(_model_query(_name))
 
 
 @query("ml05_knn", f"""WITH {_SPLIT},
@@ -65,3 +67,19 @@ def ml09_kfold_train_eval(spark, sf):
     e = S.table(spark, sf, "embeddings")
     preds = ML.kfold_train_eval(e, "DecisionTree", 4, 64, 10)
     return ML.fold_scores(preds)
+
+
+_KFOLD = ["DecisionTree", "RandomForest", "SVM", "LogisticRegression", "KNN", "KMeans", "BernoulliNB"]
+
+
+@query("ml09_kfold_all_models", f"""WITH {_SPLIT}, m AS (SELECT unnest({_KFOLD!r}) AS model)
+SELECT model, CAST(fold AS INTEGER) AS fold, CAST(label AS INTEGER) AS y_true, CAST(count(*) AS BIGINT) AS n, TRUE AS in_domain
+FROM e, m GROUP BY ALL""")
+def ml09_kfold_all_models(spark, sf):
+    """ML9 for the models that fit in seconds (MLP: ``jobs.classical_kfold``): each row is predicted once, by the fold that holds it out."""
+    e = S.table(spark, sf, "embeddings")
+    runs = [ML.kfold_train_eval(e, name, 4, 64, 10) for name in _KFOLD]
+    preds = runs[0]
+    for r in runs[1:]:
+        preds = preds.unionByName(r)
+    return preds.groupBy("model", "fold", "y_true").agg(F.count(F.lit(1)).cast("long").alias("n"), F.every(F.col("y_pred").between(0, 9)).alias("in_domain"))

@@ -152,10 +152,10 @@ def _wname(v):
 
 @query("agg16_confusion_wide", _CM_LONG + " SELECT model, y_true, " + ", ".join(
     f"CAST(sum(CASE WHEN y_pred = {v} THEN n ELSE 0 END) AS BIGINT) AS {_wname(v)}" for v in _WIDE_LABELS)
-    + " FROM cm GROUP BY model, y_true")
+    + ", CAST(sum(CASE WHEN y_pred NOT BETWEEN -1 AND 6 THEN n ELSE 0 END) AS BIGINT) AS pred_other FROM cm GROUP BY model, y_true")
 def agg16_confusion_wide(spark, sf):
     w = M.confusion_wide(_preds(spark, sf), ["model"], _WIDE_LABELS)
-    return w.select("model", "y_true", *[F.col(str(v)).cast("long").alias(_wname(v)) for v in _WIDE_LABELS])
+    return w.select("model", "y_true", *[F.col(str(v)).cast("long").alias(_wname(v)) for v in _WIDE_LABELS], F.col("other").alias("pred_other"))
 
 
 @query("agg17_confusion_normalised", _CM_LONG +

@@ -74,10 +74,7 @@ pairs AS (SELECT doc_id, f.range AS f FROM corpus, range(4) f)
 SELECT CAST(p.f AS INTEGER) AS f, CAST(count(*) AS BIGINT) AS n_train FROM pairs p
 WHERE NOT EXISTS (SELECT 1 FROM assigned a WHERE a.doc_id = p.doc_id AND a.fold = p.f) GROUP BY p.f""")
 def join03_train_complement(spark, sf):
-    a = _assigned(spark, sf)
-    pairs = _corpus(spark, sf).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("f"))
-    test = a.select("doc_id", F.col("fold").alias("f"))
-    train = SP.train_complement(pairs, test, ["doc_id", "f"])
+    train = SP.train_rows(_assigned(spark, sf), 4)
     return train.groupBy(F.col("f").cast("int").alias("f")).agg(F.count(F.lit(1)).cast("long").alias("n_train"))
 
 

@@ -105,7 +105,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Stand-in source code: one program per order, one method per line item.
-# Bodies are chosen by l_quantity % 5; a method calls the next line's method when
+# Bodies are chosen by l_quantity % 8 (the header's brace stands on its own line for body 3); a method calls the next line's method when
 # l_discount < 0.05 (so some methods are dead) and itself when l_tax > 0.07.
 JAVA_BODIES = [
     "for (int i = 0; i < n; i++) { s += i; }",
@@ -113,6 +113,9 @@ JAVA_BODIES = [
     "while (n > 1) { n = n / 2; s++; }",
     "if (n > 0) { s = 1; } else { s = 2; } // branch",
     "HashMap<Integer, Integer> h = new HashMap<>();\n    int[] a = new int[n];\n    Arrays.sort(a); /* sorted */",
+    "for (int i = 0; i < n; i++)\n      for (int k = 0; k < i; k++)\n        s += k;\n    if (s > 9) { s = 9; }",
+    "do { n--; } while (n > 0);\n    if (n == 0) s = 3;",
+    "for (int i = 0; i < n; i++) {\n      while (s < n) {\n        for (int k = 0; k < 3; k++) s += k;\n      }\n      do { while (s > 9) s--; } while (s > n);\n    }",
 ]
 PY_BODIES = [
     "    for i in range(n):\n        s += i",
@@ -120,14 +123,19 @@ PY_BODIES = [
     "    while n > 1:\n        n = n // 2  # halve",
     "    if n > 0:\n        s = 1\n    else:\n        s = 2",
     "    a = sorted(list(range(n)))\n    \"\"\"sorted copy\"\"\"",
+    "    s = max(s,\n        n)\n    t = 1",
+    "    while True:\n        break\n        s += 9",
+    "    if n > 5:\n        return max(s,\n            n)\n        s += 1\n        s = [s,\n    n]",
 ]
+#: Programs that a gate must reject: a lost brace or an open bracket, and comments only.
+BROKEN_EVERY, EMPTY_EVERY = 41, 43
 
 
 def programs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """orders + lineitem -> (doc_id, lang, label, src, problem): Java for status 'F', Python otherwise;
     the problem (for grouped folds) is the order's customer.
 
-    Method i (dense, 1-based, in line-item order) has body JAVA/PY_BODIES[qty % 5];
+    Method i (dense, 1-based, in line-item order) has body JAVA/PY_BODIES[qty % 8];
     it calls itself when l_tax > 0.07 and method i+1 when l_discount < 0.05; Python
     methods get an unreachable line after the return when l_extendedprice > 50000.
     """
@@ -141,7 +149,7 @@ def programs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataF
     oo = o.select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_custkey", "o_orderpriority")
     items = li.select(F.col("l_orderkey").alias("doc_id"), F.struct(
         F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
-        F.col("l_extendedprice").alias("ep"), (F.col("l_quantity").cast("int") % 5).alias("b"),
+        F.col("l_extendedprice").alias("ep"), (F.col("l_quantity").cast("int") % 8).alias("b"),
         (F.col("l_tax") > 0.07).alias("rec"), (F.col("l_discount") < 0.05).alias("call"),
         (F.col("l_extendedprice") > 50000).alias("big")).alias("it"))
     per = items.groupBy("doc_id").agg(F.array_sort(F.collect_list("it")).alias("ms"))
@@ -150,7 +158,8 @@ def programs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataF
     def java(x, i):
         ln, nxt = (i + 1).cast("string"), (i + 2).cast("string")
         return F.concat(
-            F.lit("  static int m"), ln, F.lit("(int n) {\n    int s = 0;\n    "), _pick(JAVA_BODIES, x["b"]), F.lit("\n"),
+            F.lit("  static int m"), ln, F.when(x["b"] == 3, F.lit("(int n)\n  {")).otherwise(F.lit("(int n) {")),
+            F.lit("\n    int s = 0;\n    "), _pick(JAVA_BODIES, x["b"]), F.lit("\n"),
             F.when(x["rec"], F.concat(F.lit("    s += m"), ln, F.lit("(n - 1);\n"))).otherwise(F.lit("")),
             F.when(x["call"], F.concat(F.lit("    return m"), nxt, F.lit("(s);\n"))).otherwise(F.lit("    return s;\n")),
             F.lit("  }\n"))
@@ -167,12 +176,17 @@ def programs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataF
                     F.lit("\npublic class C"), F.col("doc_id").cast("string"), F.lit(" {\n"),
                     F.array_join(F.transform("ms", java), ""),
                     F.lit("  public static void main(String[] args) {\n    int n = "),
-                    (F.col("o_custkey") % 100).cast("string"), F.lit(";\n    System.out.println(m1(n));\n  }\n}\n"))
+                    (F.col("o_custkey") % 100).cast("string"), F.lit(";\n"), F.when(F.col("doc_id") % 14 == 0, "    new Helper();\n").otherwise(""),
+                    F.lit("    System.out.println(m1(n));\n  }\n}\n"),
+                    F.when(F.col("doc_id") % 7 == 0, "class Helper {\n  int v = 1;\n}\n").otherwise(""))
     psrc = F.concat(F.lit("# order "), F.col("doc_id").cast("string"), F.lit("\n"),
                     F.array_join(F.transform("ms", py), "\n"),
                     F.lit("\n\ndef main():\n    n = "), (F.col("o_custkey") % 100).cast("string"),
                     F.lit("\n    print(m1(n))\n"))
     lang = F.when(F.col("o_orderstatus") == "F", "java").otherwise("python")
+    empty, broken = F.col("doc_id") % EMPTY_EVERY == 0, F.col("doc_id") % BROKEN_EVERY == 0
+    jsrc = F.when(empty, "// nothing\n").when(broken, F.substr(jsrc, F.lit(1), F.length(jsrc) - 2)).otherwise(jsrc)
+    psrc = F.when(empty, "# nothing\n").when(broken, F.concat(psrc, F.lit("print((\n"))).otherwise(psrc)
     return j.select("doc_id", lang.alias("lang"), F.substring("o_orderpriority", 1, 1).cast("int").alias("label"),
                     F.when(lang == "java", jsrc).otherwise(psrc).alias("src"),
                     F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("problem"))

@@ -3,12 +3,15 @@
 Production jobs get their session from the cluster; ``get_session`` only
 fills settings that are unset, so a cluster's ``spark.checkpoint.dir`` (a
 shared folder) is always the one used.  A private temporary checkpoint
-folder is created only when nothing is configured (local tests).
+folder is created only when nothing is configured and the master is local; it
+goes when the process ends.  On a cluster without a shared folder work stops.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,19 +32,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """Return the active session, or build a local one for tests and benches."""
     active = SparkSession.getActiveSession()
     if active is not None:
+        for k, v in _DEFAULTS.items():  # skewed joins and partition sizes are left to the adaptive planner
+            if k.startswith("spark.sql.adaptive"):
+                active.conf.set(k, v)
         ensure_checkpoint_dir(active)
+        ship_package(active)
         return active
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
     conf = dict(_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "16g")
+    conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -52,7 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
-    local = tempfile.mkdtemp(prefix="complexa-ckpt-")  # tests / local runs only: nothing was configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    local = tempfile.mkdtemp(prefix="complexa-ckpt-")  # one machine, nothing configured: tests and local runs
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     try:
         spark.conf.set("spark.checkpoint.dir", local)
     except Exception:  # noqa: BLE001  (some sessions reject core settings at runtime)
@@ -61,6 +72,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a full URI of the store that Spark would use for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -72,8 +90,6 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_complexa_shipped", False):
         return
-    import shutil
-
     root = os.path.dirname(os.path.abspath(__file__))
     folder = os.path.realpath(tempfile.mkdtemp(prefix="complexa-zip-"))
     sc.addPyFile(shutil.make_archive(f"{folder}/complexa", "zip", os.path.dirname(root), os.path.basename(root)))

@@ -48,22 +48,39 @@ def chat_long(chat: DataFrame) -> DataFrame:
         "conv_id", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
+_PY_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "'": "'", '"': '"', "\\": "\\", "a": "\x07", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
+_PY_PIECE = r"(?s)\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\.|[^\\]+"
+
+
 def _unescape_py(s: Column) -> Column:
-    # \\ -> \x00 first so an escaped backslash is not read as the start of another escape
-    s = F.replace(s, F.lit("\\\\"), F.lit("\u0000"))
-    for a, b in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\'", "'"), ('\\"', '"')):
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return F.replace(s, F.lit("\u0000"), F.lit("\\"))
+    """Python string-literal escapes, piece by piece (an unknown escape stays as it is)."""
+    simple = F.create_map(*[F.lit(x) for kv in _PY_ESCAPES.items() for x in kv])
+
+    def piece(p: Column) -> Column:
+        code = F.conv(F.substring(p, 3, 8), 16, 10).cast("long")
+        # a code point as UTF-8 bytes
+        low = lambda shift: F.shiftright(code, shift).bitwiseAND(63) + 128
+        byte = lambda c: F.lpad(F.hex(c), 2, "0")
+        utf8 = (F.when(code < 0x80, byte(code)).when(code < 0x800, F.concat(byte(F.shiftright(code, 6) + 0xC0), byte(low(0))))
+                .when(code < 0x10000, F.concat(byte(F.shiftright(code, 12) + 0xE0), byte(low(6)), byte(low(0))))
+                .otherwise(F.concat(byte(F.shiftright(code, 18) + 0xF0), byte(low(12)), byte(low(6)), byte(low(0)))))
+        return (F.when(p.rlike(r"^\\[xuU][0-9a-fA-F]"), F.decode(F.unhex(utf8), "UTF-8"))
+                .when(p.startswith("\\"), F.coalesce(F.element_at(simple, F.substring(p, 2, 1)), p)).otherwise(p))
+
+    pieces = F.array_join(F.transform(F.regexp_extract_all(s, F.lit(_PY_PIECE), 0), piece), "")
+    return F.when(s.contains("\\"), pieces).otherwise(s)
 
 
 def read_raw_responses(spark: SparkSession, path: str) -> DataFrame:
     """SRC4: one file per example holding ``[{'generated_text': '...'}]``; the index comes from
-    the path (``responce_0042.txt`` file names or ``idx=42`` directories)."""
+    the path (``responce_0042.txt`` file names or ``idx=42`` directories).  A file of another
+    form has a null response (and goes to the quarantine of ``encode_with_quarantine``)."""
     raw = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"(?:idx=|responce_)(\d+)", 1).cast("long").alias("idx"),
         F.col("value"))
-    body = F.regexp_extract("value", r"(?s)^\[\{'generated_text': (['\"])(.*)\1\}\]\s*$", 2)
-    return raw.select("idx", _unescape_py(body).alias("response"))
+    wrapper = r"(?s)^\[\{'generated_text': (['\"])(.*)\1\}\]\s*$"
+    body = F.regexp_extract("value", wrapper, 2)
+    return raw.select("idx", F.when(F.col("value").rlike(wrapper), _unescape_py(body)).alias("response"))
 
 
 def read_refined(spark: SparkSession, path: str) -> DataFrame:

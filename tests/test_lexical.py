@@ -28,7 +28,7 @@ def test_java_counts(spark):
     df = spark.createDataFrame([(JAVA,)], "s string")
     c = df.select(FE.java_counts("s").alias("c")).first().c
     assert (c.n_if, c.n_switch, c.n_loop, c.n_break, c.n_sort, c.n_hashmap, c.n_hashset) == (1, 1, 2, 2, 1, 1, 0)
-    assert c.nested == 2 and c.n_methods == 2
+    assert c.nested == 1 and c.n_methods == 2
 
 
 def test_segments_and_edges(spark):
@@ -36,7 +36,7 @@ def test_segments_and_edges(spark):
     seg = FE.method_segments(p)
     heads = {r.method for r in seg.filter("is_header").collect()}
     assert heads == {"f", "main"}
-    edges = {(r.caller, r.callee) for r in FE.call_edges(seg).collect()}
+    edges = {(r.caller, r.callee) for r in FE.call_edges(p).collect()}
     assert ("f", "f") in edges and ("main", "f") in edges and ("main", "println") in edges
     assert all(c not in ("if", "for", "while", "switch") for _, c in edges)
 

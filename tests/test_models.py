@@ -18,7 +18,7 @@ def test_knn_broadcast_equals_brute_force(spark):
                                              "embedding": [list(map(float, r)) for r in xtr]}))
     te = spark.createDataFrame(pd.DataFrame({"vec_id": range(1000, 1025), "label": 0,
                                              "embedding": [list(map(float, r)) for r in xte]}))
-    got = {r.test_id: r.y_pred for r in ML.knn_predict(tr, te, n_dims=8).collect()}
+    got = {r.test_id: r.y_pred for r in ML.knn_predict(tr, te).collect()}
     assert got == _brute(xtr, ytr, xte)
 
 
@@ -39,9 +39,8 @@ def test_knn_chunked_equals_brute_force(spark, monkeypatch):
                                              "embedding": [list(map(float, r)) for r in xtr]}))
     te = spark.createDataFrame(pd.DataFrame({"vec_id": range(1000, 1030), "label": 0,
                                              "embedding": [list(map(float, r)) for r in xte]}))
-    monkeypatch.setattr(ML, "KNN_BROADCAST_BYTES", 120 * 8 * 8 // 3)  # forces the file path, 3 rows files of 40
-    monkeypatch.setattr(ML, "KNN_MATRIX_BYTES", 8 * 40 * 7)  # and sub-batched distance blocks
-    got = {r.test_id: r.y_pred for r in ML.knn_predict(tr, te, n_dims=8).collect()}
+    monkeypatch.setattr(ML, "KNN_FILE_ROWS", 40)  # several files
+    got = {r.test_id: r.y_pred for r in ML.knn_predict(tr, te).collect()}
     want = {}
     for i, x in enumerate(xte):
         d = ((xtr - x) ** 2).sum(1)
@@ -51,6 +50,32 @@ def test_knn_chunked_equals_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_knn_ties_go_to_the_smallest_ids():
+    x, xt = np.zeros((1, 3)), np.ones((30, 3)) / 3
+    (at, dist), = ML.nearest(x, xt, np.arange(30)[::-1].copy(), 5)
+    assert sorted(np.arange(30)[::-1][at].tolist()) == [0, 1, 2, 3, 4] and len(set(dist.tolist())) == 1
+
+
+def test_models_learn_separable_classes(spark):
+    rng = np.random.default_rng(8)
+    y = np.arange(240) % 3
+    x = rng.normal(size=(240, 6)) * 0.3 + np.eye(6)[y] * 3
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(240), "label": y, "embedding": [list(map(float, r)) for r in x]}))
+    tr, te = df.filter("vec_id < 180"), df.filter("vec_id >= 180")
+    for name in ["DecisionTree", "RandomForest", "SVM", "LogisticRegression", "KNN", "MLP"]:
+        got = ML.fit_predict(name, tr, te, 6, 3).toPandas()
+        assert len(got) == 60 and (got.y_true == got.y_pred).mean() > 0.9, name
+
+
+def test_pack_sequences_sparse_and_negative_keys(spark):
+    keys = [-(10**12), -5, -1, 0, 3, 4, 70, 10**9, 10**15]
+    texts = [(k, f"<{k}>" * 3) for k in keys]
+    df = spark.createDataFrame(texts, "k long, text string")
+    stream = "".join(t for _, t in sorted(texts))
+    got = {r.block: r.text for r in pack_sequences(df, "k", "text", block=16, range_size=8).collect()}
+    assert got == {b: stream[b * 16:(b + 1) * 16] for b in range((len(stream) + 15) // 16)}
+
+
 def test_pack_sequences_matches_python(spark):
     texts = [(i, "x" * (i * 37 % 91) + str(i)) for i in range(60)]
     df = spark.createDataFrame(texts, "k long, text string")
