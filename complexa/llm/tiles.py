@@ -79,7 +79,7 @@ def packed_rows(tile: np.ndarray, owners: np.ndarray, values: np.ndarray, extra:
 def packed_home(owners: np.ndarray, values: np.ndarray, homes: int) -> pd.DataFrame:
     """Values on their way to their owners: packed rows dealt by owner, so there are as many rows as homes, not owners."""
     if not len(owners):
-        return pd.DataFrame({"tile": np.zeros(0, np.int32), "owners": [], "counts": [], "keys": [], "extra": []})
+        return pd.DataFrame({"tile": np.zeros(0, np.int32)} | {c: np.zeros(0, object) for c in ("owners", "counts", "keys", "extra")})
     order = np.argsort(owners, kind="stable")
     owners = owners[order]
     return packed_rows(tile_of(mix(owners.view(np.uint64)), homes), owners, values[order]).to_pandas()
@@ -94,7 +94,8 @@ def by_owner(packed: DataFrame, kind: str, name: str) -> DataFrame:
         owners, values = owners[order], values[order]
         first = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else np.zeros(0, int)
         ends = np.append(first[1:], len(owners))
-        return pd.DataFrame({"rid": owners[first], name: [np.unique(values[a:b]).tobytes() for a, b in zip(first, ends, strict=True)]})
+        packed_values = [np.unique(values[a:b]).tobytes() for a, b in zip(first, ends, strict=True)]
+        return pd.DataFrame({"rid": owners[first], name: pd.Series(packed_values, dtype=object)})
 
     return packed.groupBy("tile").applyInPandas(gather, f"rid long, {name} binary")
 
