@@ -51,7 +51,7 @@ from complexa.llm.tiles import TILE_SCHEMA, Packer, packed_home, tiles_for, unpa
 UNIT_SETS = 1500
 #: Ratio of band borders (at least the inverse of the similarity).
 BAND_RATIO = 1.3
-CHARS_PER_TILE = 40_000_000
+CHARS_PER_TILE = 24_000_000
 #: Non-empty parts that a pair must agree on; sizes of the buckets in which pairs are counted.
 AGREE, SMALL_BUCKET = 3, 32
 #: N-grams in this share of the sets are frequent; most of them that are told apart; n-grams counted at a time.
@@ -270,10 +270,13 @@ def bitmaps(grams: list[np.ndarray]) -> np.ndarray:
     """One row of 64-bit words per set; every member sets one hashed bit."""
     largest = max(len(g) for g in grams)
     bits = 1 << max(9, min(16, (2 * largest).bit_length()))
-    out = np.zeros((len(grams), bits), bool)
+    out, row = np.empty((len(grams), bits // 8), np.uint8), np.zeros(bits, bool)
     for i, g in enumerate(grams):
-        out[i, (g >> _U(3)) & _U(bits - 1)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+        at = ((g >> _U(3)) & _U(bits - 1)).astype(np.int64)
+        row[at] = True
+        out[i] = np.packbits(row)
+        row[at] = False
+    return out.view(np.uint64)
 
 
 class Forest:

@@ -19,7 +19,7 @@ from complexa.llm.common import list_array, mix
 
 TILE_SCHEMA = "tile int, owners array<long>, counts array<int>, keys binary, extra binary"
 #: Entries that a task gathers before it packs them.
-FLUSH_ENTRIES = 2_000_000
+FLUSH_ENTRIES = 1_500_000
 
 
 def tiles_for(docs: DataFrame, chars_per_tile: int, column: str = "text") -> int:
