@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from complexa.llm.common import Words, mix, text_array, text_chunks, work_table
 from complexa.llm.elias_fano import EliasFano, map_arrays, write_arrays
 from complexa.llm.tiles import tile_of, tiles_for
-from complexa.session import scratch_path
+from complexa.session import qualified, scratch_path
 
 #: Hash of the end token, which is counted and scored like a word; the id of the begin context is V.
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -186,7 +186,7 @@ def _flushed(batches: Iterator[pa.RecordBatch], keys_of: Callable, tile_of_keys:
 def train(spark: SparkSession, texts: DataFrame, folder: str | None = None) -> Model:
     """Count ``texts`` and write the trie."""
     folder = folder or scratch_path(spark, f"lm-{uuid.uuid4().hex}")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = qualified(spark, folder)
     shards = tiles_for(texts, CHARS_PER_SHARD)
     texts = texts.select("text")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from complexa.llm.common import work_table
-from complexa.session import scratch_path
+from complexa.session import qualified, scratch_path
 
 #: Payloads below this size are always written whole.
 REVISIT_MIN_BYTES = 100
@@ -243,5 +243,5 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def warc_round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages`` to archives and read them back (with a verified digest for every whole payload)."""
     folder = folder or scratch_path(spark, f"warc-{uuid.uuid4().hex}")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = qualified(spark, folder)
     return read_archives(write_archives(plan_records(pages), folder), folder)
