@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from complexa.functions.features import LITERAL, calls_in, segment_items
+from complexa.functions.features import LITERAL, PY_WORDLESS, calls_in, segment_items
 from complexa.functions.text import WS, remove_comments
 
 
@@ -164,6 +164,44 @@ def unused_names(progs: DataFrame, doc: str = "doc_id", src: str = "src") -> Dat
             .select(doc, "name", F.lit("variable").alias("kind")))
 
 
+STORE = r"^[ \t]*([A-Za-z_]\w*)\s*=\s*[^=\s]"
+#: A right-hand side that only reads names and literals (no call, index or lambda).
+PLAIN_RHS = r"^[ \t]*[A-Za-z_]\w*\s*=\s*[\w.+\-*/%\"' \t]+$"
+
+
+def drop_unused_assignments(src) -> Column:
+    """FLT6: drop lines that only assign a side-effect-free value to a name that is never read (Python).
+
+    A line goes only if the statement before it stands at the same indent, so no
+    block is left empty, and no bracket is open.  Texts with triple quotes are
+    left as they are.
+    """
+    text = _c(src)
+    stores = F.regexp_extract_all(text, F.lit("(?m)" + STORE), 1)
+    words = F.regexp_extract_all(F.regexp_replace(text, PY_WORDLESS, " "), F.lit(r"[A-Za-z_]\w*"), 0)
+    unused = F.filter(F.array_distinct(stores), lambda n: F.size(F.filter(words, lambda w: w == n)) <= F.size(F.filter(stores, lambda x: x == n)))
+
+    def fold(names: Column) -> Column:
+        def fact(line: Column) -> Column:
+            code = F.regexp_replace(line, PY_WORDLESS, " ")
+            net = F.length(F.regexp_replace(code, r"[^(\[{]", "")) - F.length(F.regexp_replace(code, r"[^)\]}]", ""))
+            plain = line.rlike(PLAIN_RHS) & F.array_contains(names, F.regexp_extract(line, STORE, 1))
+            return F.struct(line.alias("line"), F.length(F.regexp_extract(line, f"^[{WS}]*", 0)).alias("ind"),
+                            (~line.rlike(f"[^{WS}]")).alias("blank"), net.alias("net"), plain.alias("plain"))
+
+        init = F.struct(F.lit(None).cast("int").alias("prev"), F.lit(0).alias("open"), F.array().cast("array<string>").alias("out"))
+
+        def step(a, x):
+            gone = F.coalesce(x["plain"] & (a["open"] == 0) & (a["prev"] == x["ind"]), F.lit(False))
+            return F.struct(F.when(x["blank"], a["prev"]).otherwise(x["ind"]).alias("prev"), (a["open"] + x["net"]).alias("open"),
+                            F.when(gone, a["out"]).otherwise(F.concat(a["out"], F.array(x["line"]))).alias("out"))
+
+        return F.array_join(F.aggregate(F.transform(F.split(text, "\n"), fact), init, step)["out"], "\n")
+
+    cleaned = F.get(F.transform(F.array(unused), fold), F.lit(0))
+    return F.when(text.contains('"' + '""') | text.contains("'" + "''"), text).otherwise(cleaned)
+
+
 # ---------------------------------------------------------------- PRJ21 rename
 _WORD_OR_REST = r"\w+|\W+"
 

@@ -236,6 +236,29 @@ def flt06_drop_unused_names(spark, sf):
     return dead.unionByName(Q.unused_names(p))
 
 
+@query("flt06_drop_unused_assignments", f"""WITH {PROGRAMS},
+p AS (SELECT doc_id, src FROM programs WHERE lang = 'python'),
+st AS (SELECT doc_id, unnest(regexp_extract_all(src, '(?m){_re(Q.STORE)}', 1)) AS name FROM p),
+wd AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(src, '{_re(FE.PY_WORDLESS)}', ' ', 'g'), '[A-Za-z_]\\w*')) AS name FROM p),
+ns AS (SELECT doc_id, name, count(*) AS ns FROM st GROUP BY ALL),
+nw AS (SELECT doc_id, name, count(*) AS nw FROM wd GROUP BY ALL),
+un AS (SELECT ns.doc_id, ns.name FROM ns LEFT JOIN nw USING (doc_id, name) WHERE coalesce(nw, 0) <= ns),
+l AS (SELECT doc_id, unnest(string_split(src, chr(10))) AS line, generate_subscripts(string_split(src, chr(10)), 1) AS pos FROM p),
+f AS (SELECT *, length(regexp_extract(line, '^[{WSQ}]*')) AS ind, regexp_matches(line, '[^{WSQ}]') AS full_,
+        regexp_replace(line, '{_re(FE.PY_WORDLESS)}', ' ', 'g') AS c FROM l),
+g AS (SELECT *, last_value(CASE WHEN full_ THEN ind END IGNORE NULLS) OVER w AS prev,
+        coalesce(sum(length(regexp_replace(c, '[^(\\[{{]', '', 'g')) - length(regexp_replace(c, '[^)\\]}}]', '', 'g'))) OVER w, 0) AS open
+      FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT g.* FROM g JOIN p USING (doc_id) WHERE contains(src, repeat(chr(34), 3)) OR contains(src, repeat(chr(39), 3)) OR NOT coalesce(
+        regexp_matches(line, '{_re(Q.PLAIN_RHS)}') AND open = 0 AND prev = ind
+        AND EXISTS (SELECT 1 FROM un WHERE un.doc_id = g.doc_id AND un.name = regexp_extract(line, '{_re(Q.STORE)}', 1)), FALSE))
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS out_md5, CAST(count(*) AS INTEGER) AS n_lines FROM k GROUP BY doc_id""")
+def flt06_drop_unused_assignments(spark, sf):
+    out = Q.drop_unused_assignments("src")
+    p = _progs(spark, sf, "python").withColumn("out", out)
+    return p.select("doc_id", F.md5("out").alias("out_md5"), F.size(F.split("out", "\n")).cast("int").alias("n_lines"))
+
+
 # ----------------------------------------------------------------- features
 def _cnt(s, k):
     return f"CAST((length({s}) - length(replace({s}, '{k}', ''))) / {len(k)} AS INTEGER)"

@@ -92,5 +92,6 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     folder = os.path.realpath(tempfile.mkdtemp(prefix="complexa-zip-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.addPyFile(shutil.make_archive(f"{folder}/complexa", "zip", os.path.dirname(root), os.path.basename(root)))
     sc._complexa_shipped = True

@@ -37,6 +37,13 @@ def test_rename_never_merges_variables(spark):
     assert one(spark, Q.rename_identifiers("s"), "int a; int VAR0; a = VAR0;") == "int VAR0; int VAR1; VAR0 = VAR1;"
 
 
+@pytest.mark.parametrize("text, out", [
+    ("a = 1\nb = 2\nprint(a)", "a = 1\nprint(a)"), ("if x:\n    b = 2\nprint(1)", "if x:\n    b = 2\nprint(1)"),
+    ("y = 1\nf(\n    a = 1,\n    b = 2\n)\ny", "y = 1\nf(\n    a = 1,\n    b = 2\n)\ny"), ("q = 1\nz = g()\nq", "q = 1\nz = g()\nq")])
+def test_unused_assignments(spark, text, out):
+    assert one(spark, Q.drop_unused_assignments("s"), text) == out
+
+
 ALLMAN = """class A {
   static int dead(int n) { return n; }
   static int g(int n)
