@@ -26,20 +26,33 @@ TSV_SCHEMA = "label INT, code STRING"
 
 
 # ------------------------------------------------------------------- sources
+def _json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """JSON lines with a fixed schema; a malformed line fails the read (see ``malformed_lines``)."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def malformed_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The non-blank lines of JSON files that do not fit ``schema``, for a quarantine: (file, line)."""
+    marked = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).filter(F.trim("line") != "")
+    parsed = F.from_json("line", marked, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.filter(parsed.isNull() | parsed["_corrupt_record"].isNotNull())
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """SRC1: corpus JSONL (src, complexity, problem, from, tags); tags -> array."""
-    df = spark.read.schema(CORPUS_SCHEMA).json(path)
+    df = _json(spark, path, CORPUS_SCHEMA)
     return df.withColumn("tag_list", F.filter(F.transform(F.split("tags", ","), F.trim), lambda t: t != ""))
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """SRC2: fold JSONL (label as a digit string, src); label cast to int."""
-    return spark.read.schema(LABELLED_SCHEMA).json(path).withColumn("label", F.col("label").cast("int"))
+    return _json(spark, path, LABELLED_SCHEMA).withColumn("label", F.col("label").cast("int"))
 
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
     """SRC3: chat JSON with nested messages."""
-    return spark.read.schema(CHAT_SCHEMA).json(path)
+    return _json(spark, path, CHAT_SCHEMA)
 
 
 def chat_long(chat: DataFrame) -> DataFrame:
@@ -85,7 +98,7 @@ def read_raw_responses(spark: SparkSession, path: str) -> DataFrame:
 
 def read_refined(spark: SparkSession, path: str) -> DataFrame:
     """SRC5: refined JSONL (answer, complexity, responce)."""
-    return spark.read.schema(REFINED_SCHEMA).json(path)
+    return _json(spark, path, REFINED_SCHEMA)
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:

@@ -115,3 +115,10 @@ def test_unknown_family_is_quarantined(spark):
     ex = spark.createDataFrame([(1, "x: quadratic"), (2, "x: quadratic")], "idx long, content string")
     scored, out = encode_with_quarantine(refine_responses(r, ex))
     assert [x.idx for x in scored.collect()] == [2] and [(x.idx, x.reason) for x in out.collect()] == [(1, "no response text or unknown model family")]
+
+
+def test_malformed_json_is_not_read_as_nulls(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"label": "1", "src": "x"}\n{"label": broken\n\n')
+    assert [r.line for r in IO.malformed_lines(spark, str(tmp_path), IO.LABELLED_SCHEMA).collect()] == ['{"label": broken']
+    with pytest.raises(Exception, match="(?i)malformed"):
+        IO.read_labelled(spark, str(tmp_path)).collect()
