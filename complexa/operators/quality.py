@@ -270,13 +270,22 @@ def augment_job(progs: DataFrame, n_mut: Column, doc: str = "doc_id", keep_on_fa
     return d
 
 
-def resample_augmented(progs: DataFrame, target: int, first: tuple[int, int], more: tuple[int, int], doc: str = "doc_id",
-                       seed: int = 777) -> DataFrame:
+def resample_augmented(progs: DataFrame, target: int, first: tuple[int, int] | dict[str, tuple[int, int]],
+                       more: tuple[int, int] | dict[str, tuple[int, int]], doc: str = "doc_id", seed: int = 777,
+                       keep_on_failure: bool = True) -> DataFrame:
     """WIN6, whole job: every program once with first[0]..first[1] mutations, then draws with replacement, with
-    more[0]..more[1] mutations, up to ``target`` rows.  Adds out, failed, n_mut and draw (null for the first pass)."""
+    more[0]..more[1] mutations, up to ``target`` rows (before failures are dropped).  Ranges are for all programs
+    or per language.  Adds out, failed, n_mut and draw (null for the first pass)."""
     from complexa.operators.splits import hash_order, mutation_count, resample_to
-    base = augment_job(progs.withColumn("n_mut", mutation_count(doc, *first, seed=seed)), F.col("n_mut"), doc).withColumn("draw", F.lit(None).cast("long"))
+
+    def per_lang(ranges, count) -> Column:
+        if isinstance(ranges, tuple):
+            return count(*ranges)
+        return F.coalesce(*(F.when(F.col("lang") == lang, count(*r)) for lang, r in ranges.items()))
+
+    n = per_lang(first, lambda lo, hi: mutation_count(doc, lo, hi, seed=seed))
+    base = augment_job(progs.withColumn("n_mut", n), F.col("n_mut"), doc, keep_on_failure).withColumn("draw", F.lit(None).cast("long"))
     missing = max(0, target - progs.count())
     drawn = resample_to(progs.select(doc), doc, missing, seed).join(progs, doc)
-    n = (F.lit(more[0]) + hash_order(f"{seed}-mut", doc, "draw") % (more[1] - more[0] + 1)).cast("int")
-    return base.unionByName(augment_job(drawn.withColumn("n_mut", n), F.col("n_mut"), doc))
+    n = per_lang(more, lambda lo, hi: (F.lit(lo) + hash_order(f"{seed}-mut", doc, "draw") % (hi - lo + 1)).cast("int"))
+    return base.unionByName(augment_job(drawn.withColumn("n_mut", n), F.col("n_mut"), doc, keep_on_failure))

@@ -471,6 +471,18 @@ def win06_resample(spark, sf):
         F.count(F.lit(1)).cast("long").alias("n"), F.sum("n_mut").cast("long").alias("mutations"), F.sum("doc_id").cast("long").alias("ids"))
 
 
+#: Mutations of the first pass and of the draws (the reference's).
+FIRST_PASS, DRAWN = {"java": (1, 5), "python": (1, 10)}, {"java": (1, 5), "python": (1, 20)}
+
+
+@query("win06_resample_texts")
+def win06_resample_texts(spark, sf):
+    """WIN6, whole job with its texts: every program once, then as many draws; Python programs that fail are dropped in both passes."""
+    p = _progs(spark, sf)
+    a = Q.resample_augmented(p, 2 * p.count(), FIRST_PASS, DRAWN, keep_on_failure=False)
+    return a.select("doc_id", "draw", "lang", "n_mut", "failed", F.md5("out").alias("out_md5"))
+
+
 @query("agg22_failure_ledger")
 def agg22_failure_ledger(spark, sf):
     p = _progs(spark, sf)
@@ -723,9 +735,9 @@ _NMUT = (f"CASE WHEN lang = 'java' THEN 1 + ('0x' || substr(md5('777-mut|' || CA
          f"ELSE 1 + ('0x' || substr(md5('777-mut|' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10 END")
 
 
-def _mutations_sql(steps: int) -> str:
+def _mutations_sql(steps: int, start: str = f"SELECT doc_id, lang, {_NMUT} AS n, src AS out, FALSE AS failed FROM programs") -> str:
     """CTEs a0 .. a<steps>: one mutation each (comments, names, dead lines in turn), then aug."""
-    ctes = [f"a0 AS (SELECT doc_id, lang, {_NMUT} AS n, src AS out, FALSE AS failed FROM programs)"]
+    ctes = [f"a0 AS ({start})"]
     rm = [r.replace("(src,", "(out,") for r in (JAVA_RM, PY_RM)]
     turn = {1: f"CASE lang WHEN 'java' THEN {rm[0]} ELSE {rm[1]} END", 2: _rename_sql("out"),
             0: f"CASE lang WHEN 'python' THEN {_unreach_sql('out')} ELSE out END"}
@@ -742,6 +754,21 @@ add_oracle("win06_augment_job", _AUG + " SELECT doc_id, lang, failed, md5(out) A
 add_oracle("agg22_failure_ledger", _AUG + """ SELECT lang, CAST(count(*) AS BIGINT) AS total, CAST(sum(CAST(failed AS INTEGER)) AS BIGINT) AS failed,
   round(avg(CAST(failed AS DOUBLE)), 6) AS failed_share FROM aug GROUP BY lang""")
 
+#: Both passes; a row's key is its program and draw.
+_BOTH_PASSES = f"""SELECT {{'doc_id': doc_id, 'draw': NULL::BIGINT}} AS doc_id, lang, {_NMUT} AS n, src AS out, FALSE AS failed FROM programs
+  UNION ALL SELECT {{'doc_id': doc_id, 'draw': draw}}, lang,
+    1 + ('0x' || substr(md5('777-mut|' || doc_id || '|' || draw), 1, 8))::BIGINT % CASE WHEN lang = 'java' THEN 5 ELSE 20 END, src, FALSE
+  FROM draws JOIN ids USING (rk) JOIN programs USING (doc_id)"""
+
+add_oracle("win06_resample_texts", f"""WITH {PROGRAMS},
+ids AS (SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5('777|' || doc_id), 1, 8))::BIGINT, doc_id) AS rk FROM programs),
+total AS (SELECT count(*) AS n FROM programs),
+dr AS (SELECT unnest(range(n)) AS draw, n FROM total),
+draws AS (SELECT draw, ('0x' || substr(md5('777-draw|' || draw), 1, 8))::BIGINT % n + 1 AS rk FROM dr),
+{_mutations_sql(20, _BOTH_PASSES)}
+SELECT doc_id.doc_id AS doc_id, doc_id.draw AS draw, lang, CAST(n AS INTEGER) AS n_mut, failed, md5(out) AS out_md5
+FROM aug WHERE NOT (lang = 'python' AND failed)""")
+
 _JCOUNTS = [r"\bif\s*\(", r"\bswitch\s*\(", None, r"\bbreak\s*;", r"\bnew\s+PriorityQueue\b", r"\.sort\s*\(",
             r"\bnew\s+HashMap\b", r"\bnew\s+HashSet\b"]
 
