@@ -11,8 +11,8 @@
    after folding, into a probabilistic automaton.  A background automaton is
    learned in the same way from candidates outside base spans.
 3. All candidates are scored: log likelihood per symbol under the kind's
-   automaton, and its ratio to the background.  A candidate outside every base
-   span is added (kind ``grammar``) if some kind explains it better than the
+   automaton, and its ratio to the background.  A candidate that no base span
+   covers is added (kind ``grammar``) if some kind explains it better than the
    background does and at least as well as all but ``STRICT`` of the labelled
    credentials that were held out of learning.
 
@@ -26,7 +26,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +44,7 @@ KINDS = ("assign", "access", "hex", "grammar")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 _ASSIGN_HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")  # from the shortest labelled length, MIN_ASSIGN
 #: Labelled credentials per kind, and background tokens, that a model is learned from at most.
 SAMPLE, BACKGROUND_SAMPLE = 2000, 4000
 ALPHA, STRICT, HELD_OUT = 0.05, 0.02, 5
@@ -74,10 +76,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = s.as_py()
                 found = base_spans(text)
                 taken = sorted((x[1], x[2]) for x in found)
-                free = []
-                for m in CANDIDATE.finditer(text):
-                    if not any(b < m.end() and m.start() < e for b, e in taken):
-                        free.append(("grammar", m.start(), m.end(), m[0]))
+                starts, reach = [b for b, _ in taken], [0, *accumulate((e for _, e in taken), max)]
+                # covered: a base span begins no later and ends no earlier
+                free = [("grammar", m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)
+                        if reach[bisect_right(starts, m.start())] < m.end()]
                 keys = ("kind", "start", "end", "value")
                 base.append([dict(zip(keys, x, strict=True)) for x in found])
                 cands.append([dict(zip(keys, x, strict=True)) for x in free])
@@ -208,7 +210,8 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFram
         return [r[0] for r in values.select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(n).collect()]
 
     words = [(k, w) for k in KINDS[:3] for w in sample(known.filter(F.col("kind") == k), SAMPLE)]
-    other = sample(found.select(F.explode("candidates.value").alias("value")), BACKGROUND_SAMPLE)
+    outside = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    other = sample(found.select(F.explode(outside).alias("s")).select("s.value"), BACKGROUND_SAMPLE)
     formats, background = learn_formats(words, other)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
