@@ -48,8 +48,6 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")  # from the shortest labelled
 #: Labelled credentials per kind, and background tokens, that a model is learned from at most.
 SAMPLE, BACKGROUND_SAMPLE = 2000, 4000
 ALPHA, STRICT, HELD_OUT = 0.05, 0.02, 5
-#: Longest part of a value that is learned (longer ones are learned by their start, scored whole).
-LEARN_CHARS = 64
 _SYMBOLS = 67.0  # 66 credential characters and the end
 
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
@@ -89,27 +87,45 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ------------------------------------------------------------ grammar inference
 class Automaton:
-    """Probabilistic automaton: per state the passes, the ends, and (count, next state) per symbol."""
+    """Probabilistic automaton: per state the passes, the ends, and (count, next state) per symbol.
+
+    In a prefix tree a state that one word passes holds the rest of that word (``rest``) in place of a chain of states.
+    """
 
     def __init__(self):
-        self.seen, self.ends, self.out = [0], [0], [{}]
-
-    def add(self, word: str) -> None:
-        """Insert a word into the prefix tree."""
-        q = 0
-        self.seen[0] += 1
-        for c in word[:LEARN_CHARS]:
-            if c not in self.out[q]:
-                self.out[q][c] = [0, len(self.seen)]
-                self.seen.append(0)
-                self.ends.append(0)
-                self.out.append({})
-            edge = self.out[q][c]
+        self.seen, self.ends, self.out, self.rest = [0], [0], [{}], {}
+
+    def leaf(self, rest: str) -> int:
+        """A new state that one word passes."""
+        q = len(self.seen)
+        self.seen.append(1)
+        self.ends.append(0)
+        self.out.append({})
+        self.rest[q] = rest
+        return q
+
+    def open(self, q: int) -> None:
+        """Turn the first symbol of the rest that ``q`` holds into an edge."""
+        rest = self.rest.pop(q, None)
+        if rest:
+            self.out[q][rest[0]] = [1, self.leaf(rest[1:])]
+        elif rest is not None:
+            self.ends[q] += 1
+
+    def add(self, word: str, q: int = 0) -> None:
+        """Insert a word at ``q``."""
+        for i, c in enumerate(word):
+            self.open(q)
+            self.seen[q] += 1
+            edge = self.out[q].get(c)
+            if edge is None:
+                self.out[q][c] = [1, self.leaf(word[i + 1:])]
+                return
             edge[0] += 1
             q = edge[1]
-            self.seen[q] += 1
-        if len(word) <= LEARN_CHARS:
-            self.ends[q] += 1
+        self.open(q)
+        self.seen[q] += 1
+        self.ends[q] += 1
 
     def score(self, word: str) -> float:
         """Log likelihood per symbol (the end is one); smoothed by half a count, unknown symbols lead back to the start."""
@@ -127,10 +143,15 @@ def _agree(n1: int, f1: int, n2: int, f2: int, bound: float) -> bool:
 
 
 def _compatible(a: Automaton, red: int, blue: int, bound: float) -> bool:
-    todo, steps = [(red, blue)], 0
-    while todo and steps < 500:  # deeper states have too few passes to disagree
+    """All pairs of states are tested, but those that cannot fail: below ``bound**2`` passes, of the blue state or of
+    any below it, no difference of frequencies (at most 1) reaches the bound."""
+    todo = [(red, blue)]
+    while todo:
         p, q = todo.pop()
-        steps += 1
+        if a.seen[q] < bound * bound:
+            continue
+        a.open(p)
+        a.open(q)
         if not _agree(a.seen[p], a.ends[p], a.seen[q], a.ends[q], bound):
             return False
         for c in a.out[p].keys() | a.out[q].keys():
@@ -147,6 +168,10 @@ def _fold(a: Automaton, red: int, blue: int) -> None:
     todo = [(red, blue)]
     while todo:
         p, q = todo.pop()
+        if q in a.rest:
+            a.add(a.rest.pop(q), p)
+            continue
+        a.open(p)
         a.seen[p] += a.seen[q]
         a.ends[p] += a.ends[q]
         for c, (n, to) in a.out[q].items():
@@ -156,6 +181,7 @@ def _fold(a: Automaton, red: int, blue: int) -> None:
             else:
                 edge[0] += n
                 todo.append((edge[1], to))
+        a.out[q] = {}
 
 
 def learn(words: list[str], alpha: float = ALPHA) -> Automaton:
@@ -164,20 +190,22 @@ def learn(words: list[str], alpha: float = ALPHA) -> Automaton:
     for w in words:
         a.add(w)
     bound = math.sqrt(0.5 * math.log(2 / alpha))
-    red, blue = [0], [(0, c) for c in sorted(a.out[0])]
+    red, blue, done = [0], [(0, c) for c in sorted(a.out[0])], {0}
     while blue:
         p, c = blue.pop(0)
         q = a.out[p][c][1]
-        if q in red:
+        if q in done:
             continue
         into = next((r for r in red if _compatible(a, r, q, bound)), None)
         if into is None:
             red.append(q)
+            done.add(q)
+            a.open(q)
             blue += [(q, x) for x in sorted(a.out[q])]
         else:
             a.out[p][c][1] = into
             _fold(a, into, q)
-            blue = [(r, x) for r in red for x in sorted(a.out[r]) if a.out[r][x][1] not in red]
+            blue = [(r, x) for r in red for x in sorted(a.out[r]) if a.out[r][x][1] not in done]
     keep = {q: i for i, q in enumerate(red)}
     small = Automaton()
     small.seen, small.ends = [a.seen[q] for q in red], [a.ends[q] for q in red]
