@@ -162,5 +162,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_lm_trie")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.lm_scores(spark, table(spark, sf_dir, "documents")).select(
+    return ngram_lm.lm_scores(spark, table(spark, sf_dir, "documents"), ngram_lm.ORDER).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
