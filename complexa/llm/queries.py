@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complexa.llm import chat_trees, decontaminate, exact_dedup, ngram_join, ngram_lm, packing, secrets, substring_dedup, toxicity, warc
+from complexa.llm import chat_trees, collocations, decontaminate, exact_dedup, ngram_join, ngram_lm, packing, secrets, substring_dedup, toxicity, warc
 from complexa.llm.common import table, work_table
 from complexa.session import ensure_checkpoint_dir, ship_package
 
@@ -164,3 +164,43 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.lm_scores(spark, table(spark, sf_dir, "documents"), ngram_lm.ORDER).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+_PHRASES = r"""
+WITH p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+q AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM q GROUP BY lang),
+o AS (SELECT lang, id, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM q),
+w AS (
+  SELECT lang, w1, lead(w1, 1) OVER z AS w2, lead(w1, 2) OVER z AS w3, lead(w1, 3) OVER z AS w4
+  FROM o WINDOW z AS (PARTITION BY lang, id ORDER BY i)),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM (
+    SELECT lang, 1 AS k, w1 AS phrase FROM w UNION ALL
+    SELECT lang, 2, w1 || ' ' || w2 FROM w UNION ALL
+    SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM w UNION ALL
+    SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM w)
+  WHERE phrase IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, k, a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:k], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+cut AS (
+  SELECT p.lang, p.phrase, p.k, p.a, j, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * p.a // (x.a + y.a) AS BIGINT) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.head JOIN f y ON y.lang = p.lang AND y.phrase = p.tail),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, j) = 1),
+inner_of AS (
+  SELECT c.lang, s AS k, array_to_string(c.ws[i:i + s - 1], ' ') AS phrase, max(c.a) AS longest
+  FROM c, range(2, 4) q(s), range(1, 4) p(i) WHERE s < c.k AND i + s - 1 <= c.k GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_of o ON o.lang = b.lang AND o.k = b.k AND o.phrase = b.phrase
+  WHERE o.longest IS NULL OR 100 * CAST(o.longest AS HUGEINT) < 80 * CAST(b.a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_collocations", oracle=_PHRASES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

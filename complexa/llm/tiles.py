@@ -33,6 +33,16 @@ def tile_of(keys: np.ndarray, tiles: int) -> np.ndarray:
     return t.astype(np.uint16 if tiles < 65536 else np.int32)
 
 
+def deltas(keys: np.ndarray) -> bytes:
+    """Differences of sorted uint64 keys, byte by byte: the high ones are mostly zero and compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def sums(raw: bytes) -> np.ndarray:
+    """The keys of ``deltas``."""
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 class Packer:
     """Gathers entries and packs them.  ``extra``: fixed-width values beside each key (or None)."""
 
