@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complexa.llm import chat_trees, collocations, decontaminate, exact_dedup, ngram_join, ngram_lm, packing, secrets, substring_dedup, toxicity, warc
+from complexa.llm import chat_trees, collocations, decontaminate, exact_dedup, language, ngram_join, ngram_lm, packing, secrets, substring_dedup, toxicity, warc
 from complexa.llm.common import table, work_table
 from complexa.session import ensure_checkpoint_dir, ship_package
 
@@ -166,6 +166,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op11_language")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 _PHRASES = r"""
 WITH p AS (
   SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
