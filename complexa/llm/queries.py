@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complexa.llm import chat_trees, collocations, decontaminate, exact_dedup, language, ngram_join, ngram_lm, packing, secrets, substring_dedup, toxicity, warc
+from complexa.llm import chat_trees, collocations, decontaminate, exact_dedup, language, ngram_join, ngram_lm, packing, ranked_search, secrets, substring_dedup, toxicity, warc
 from complexa.llm.common import table, work_table
 from complexa.session import ensure_checkpoint_dir, ship_package
 
@@ -171,6 +171,26 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+@query("op12_ranked_search", oracle=rf"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d AS MATERIALIZED (SELECT id, doc_id, len(ts) AS n, ts FROM t WHERE len(ts) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+q AS MATERIALIZED (
+  SELECT item_id, term, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+f AS MATERIALIZED (
+  SELECT id, doc_id, n, term, count(*) AS tf FROM (SELECT id, doc_id, n, unnest(ts) AS term FROM d)
+  SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM f, s GROUP BY term),
+i AS (SELECT id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total))) AS impact FROM f JOIN w USING (term), s),
+x AS (SELECT item_id, id, any_value(doc_id) AS doc_id, CAST(sum(q * impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY item_id, id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _PHRASES = r"""
 WITH p AS (
   SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
