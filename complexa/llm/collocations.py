@@ -3,7 +3,7 @@
 The relation of level k has one entry (piece, position, phrase) for every
 occurrence of a k-word phrase that may still grow, sorted by position, where
 positions of different pieces are never adjacent.  It is persisted in blocks of
-about two million words of one language; a piece is never cut.  A level is made in
+some hundred thousand words of one language; a piece is never cut.  A level is made in
 three steps, as in SETM:
 
 1. group-count: each block sends its distinct phrases with their counts, packed
@@ -45,7 +45,7 @@ from complexa.llm.tiles import deltas, sums, tile_of
 PIECE_END = b".,;:!?\n\x0b\x0c\r"
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP = 4, 30, 80, 2000
 #: Words of a block, bytes of text that are split at once, and words of the corpus per counting task.
-BLOCK_WORDS, SPLIT_BYTES, TILE_WORDS = 2_000_000, 4 << 20, 5_000_000
+BLOCK_WORDS, SPLIT_BYTES, TILE_WORDS = 400_000, 2 << 20, 5_000_000
 
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
