@@ -3,8 +3,10 @@
 The relation of level k has one entry (piece, position, phrase) for every
 occurrence of a k-word phrase that may still grow, sorted by position, where
 positions of different pieces are never adjacent.  It is persisted in blocks of
-some hundred thousand words of one language; a piece is never cut.  A level is made in
-three steps, as in SETM:
+some hundred thousand words of one language, one file each in the shared folder; a
+piece is never cut.  Only a block's distinct phrases and counts are rows of a table,
+which names the files of the attempts that were kept.  A level is made in three
+steps, as in SETM:
 
 1. group-count: each block sends its distinct phrases with their counts, packed
    and dealt by phrase, to a task that adds them up;
@@ -35,11 +37,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from complexa.llm.common import Words, list_array, mix, ragged_range, release, text_array, text_chunks, work_table
+from complexa.llm.common import Words, mix, ragged_range, release, release_path, text_array, text_chunks, work_table
 from complexa.llm.tiles import deltas, sums, tile_of
+from complexa.session import qualified, scratch_path
 
 #: Pieces end at these characters (fixed by the contract); inside pieces, words are separated by space and tab.
 PIECE_END = b".,;:!?\n\x0b\x0c\r"
@@ -52,11 +56,10 @@ _BREAK = np.zeros(256, bool)
 _BREAK[list(PIECE_END)] = True
 _SPACE = _BREAK.copy()
 _SPACE[list(b" \t")] = True
-_RELATION = ("block string, lang string, level int, n_words long, places binary, ids binary, keys binary, counts binary, "
-             "parts binary, words binary, texts binary, lengths binary, prefix binary, suffix binary, "
+_RELATION = ("block string, lang string, level int, n_words long, keys binary, counts binary, "
              "found_keys array<long>, found_texts array<string>, found_totals array<long>")
-_SENT = "tile int, block string, keys binary, counts binary"
-_ANSWER = "block string, tile int, n int, frequent binary, totals binary, reports binary"
+_SENT = "tile int, block string, lang string, n_words long, keys binary, counts binary"
+_ANSWER = "block string, lang string, n_words long, tile int, n int, frequent binary, totals binary, reports binary"
 
 
 def _lang_salt(lang: str) -> np.uint64:
@@ -75,7 +78,24 @@ def _gather(blob: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndar
     return blob[ragged_range(start, lengths)]
 
 
-def _relation_row(lang: str, level: int, n_words: int, block: str, places: np.ndarray, ids: np.ndarray, parts: np.ndarray,
+def _write_block(folder: str, arrays: dict[str, bytes]) -> str:
+    """One new file below ``folder`` (a URI); its path.  Every attempt of a task has its own file."""
+    store, base = pafs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    path = f"{base}/{uuid.uuid4().hex}"
+    batch = pa.RecordBatch.from_pydict({k: pa.array([v], pa.binary()) for k, v in arrays.items()})
+    with store.open_output_stream(path, compression=None) as out, pa.ipc.new_file(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+        f.write_batch(batch)
+    return path
+
+
+def _read_block(folder: str, path: str) -> dict[str, bytes]:
+    store, _ = pafs.FileSystem.from_uri(folder)
+    with store.open_input_file(path) as f:
+        return pa.ipc.open_file(f).get_batch(0).to_pylist()[0]
+
+
+def _relation_row(folder: str, lang: str, level: int, n_words: int, places: np.ndarray, ids: np.ndarray, parts: np.ndarray,
                   words: np.ndarray, texts: np.ndarray, lengths: np.ndarray, prefix: np.ndarray, suffix: np.ndarray,
                   found: tuple = ((), (), ())) -> dict:
     """A block's relation: sorted occurrences (place, phrase), the distinct phrases as word numbers (``parts``) in the order of
@@ -85,11 +105,12 @@ def _relation_row(lang: str, level: int, n_words: int, block: str, places: np.nd
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     ids = rank[ids] if len(ids) else ids.astype(np.int32)
+    block = _write_block(folder, {
+        "places": np.diff(places, prepend=0).astype("<i4").tobytes(), "ids": ids.astype("<i4").tobytes(),
+        "parts": parts[order].astype("<i4").tobytes(), "words": words.tobytes(), "texts": texts.tobytes(),
+        "lengths": lengths.astype("<i4").tobytes(), "prefix": prefix[order].astype("<i8").tobytes(), "suffix": suffix[order].astype("<i8").tobytes()})
     return {"block": block, "lang": lang, "level": level, "n_words": n_words,
-            "places": np.diff(places, prepend=0).astype("<i4").tobytes(), "ids": ids.astype("<i4").tobytes(),
             "keys": deltas(keys[order]), "counts": np.bincount(ids, minlength=len(keys)).astype("<i4").tobytes(),
-            "parts": parts[order].astype("<i4").tobytes(), "words": words.tobytes(), "texts": texts.tobytes(),
-            "lengths": lengths.astype("<i4").tobytes(), "prefix": prefix[order].astype("<i8").tobytes(), "suffix": suffix[order].astype("<i8").tobytes(),
             "found_keys": list(found[0]), "found_texts": list(found[1]), "found_totals": list(found[2])}
 
 
@@ -117,7 +138,7 @@ class _Held:
         self.bytes += int(lengths.sum())
         self.n += len(hashes)
 
-    def row(self, lang: str) -> dict:
+    def row(self, folder: str, lang: str) -> dict:
         hashes, first = np.concatenate(self.hashes), np.concatenate(self.first)
         start, end, raw = np.concatenate(self.start), np.concatenate(self.end), np.concatenate(self.raw)
         words, spot, ids = np.unique(hashes, return_index=True, return_inverse=True)
@@ -125,39 +146,42 @@ class _Held:
         # a place is the number of the word plus that of its piece: words of two pieces are never adjacent
         places = np.arange(len(hashes), dtype=np.int64) + np.cumsum(first)
         none = np.zeros((len(words), 0), np.int64)
-        return _relation_row(lang, 1, len(hashes), uuid.uuid4().hex, places, ids, np.arange(len(words), dtype=np.int64)[:, None], words,
+        return _relation_row(folder, lang, 1, len(hashes), places, ids, np.arange(len(words), dtype=np.int64)[:, None], words,
                              _gather(raw, start[spot], lengths), lengths, none, none)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Level 1: every word of every piece."""
-    held: dict[str, _Held] = {}
-    for batch in batches:
-        langs = batch.column("lang").dictionary_encode()
-        names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
-        for a, b, raw, rows in text_chunks(text_array(batch), SPLIT_BYTES):
-            words = Words(raw, rows, lower=True, space=_SPACE)
-            if not len(words.start):
-                continue
-            row = words.row_of()
-            piece = np.cumsum(_BREAK[raw])[words.start]
-            first = np.append(True, (piece[1:] != piece[:-1]) | (row[1:] != row[:-1]))
-            lang = code[a:b][row]
-            for c in np.unique(lang):
-                mine = lang == c
-                keep = held.setdefault(names[c], _Held())
-                keep.add(words.hash[mine], first[mine], words.start[mine], words.end[mine], words.data)
-                if keep.n >= BLOCK_WORDS:
-                    yield _rows([held.pop(names[c]).row(names[c])])
-    for lang, keep in held.items():
-        yield _rows([keep.row(lang)])
+def _occurrences(folder: str):
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Level 1: every word of every piece."""
+        held: dict[str, _Held] = {}
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
+            for a, b, raw, rows in text_chunks(text_array(batch), SPLIT_BYTES):
+                words = Words(raw, rows, lower=True, space=_SPACE)
+                if not len(words.start):
+                    continue
+                row = words.row_of()
+                piece = np.cumsum(_BREAK[raw])[words.start]
+                first = np.append(True, (piece[1:] != piece[:-1]) | (row[1:] != row[:-1]))
+                lang = code[a:b][row]
+                for c in np.unique(lang):
+                    mine = lang == c
+                    keep = held.setdefault(names[c], _Held())
+                    keep.add(words.hash[mine], first[mine], words.start[mine], words.end[mine], words.data)
+                    if keep.n >= BLOCK_WORDS:
+                        yield _rows([held.pop(names[c]).row(folder, names[c])])
+        for lang, keep in held.items():
+            yield _rows([keep.row(folder, lang)])
+
+    return occurrences
 
 
 def _send(tiles: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's distinct phrases and their counts, dealt by phrase."""
         for batch in batches:
-            for block, raw, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "counts")), strict=True):
+            for block, lang, n_words, raw, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "n_words", "keys", "counts")), strict=True):
                 keys, counts = sums(raw), np.frombuffer(counts, "<i4")
                 if not len(keys):
                     continue
@@ -166,8 +190,9 @@ def _send(tiles: int):
                 spans = list(zip(cuts, np.append(cuts[1:], len(tile)), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tile[cuts].astype(np.int32)), pa.array([block] * len(spans), pa.string()),
+                     pa.array([lang] * len(spans), pa.string()), pa.array([n_words] * len(spans), pa.int64()),
                      pa.array([deltas(keys[a:b]) for a, b in spans], pa.binary()),
-                     pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())], names=["tile", "block", "keys", "counts"])
+                     pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())], names=[c.split()[0] for c in _SENT.split(", ")])
 
     return send
 
@@ -187,7 +212,7 @@ def _answers(min_count: int):
         cuts = np.append(0, np.cumsum(sizes))
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
         return pd.DataFrame({
-            "block": part["block"].to_numpy(), "tile": np.full(len(part), int(key[0]), np.int32), "n": sizes.astype(np.int32),
+            "block": part["block"].to_numpy(), "lang": part["lang"].to_numpy(), "n_words": part["n_words"].to_numpy(), "tile": np.full(len(part), int(key[0]), np.int32), "n": sizes.astype(np.int32),
             "frequent": [np.packbits(frequent[a:b]).tobytes() for a, b in spans],
             "totals": [totals[a:b][frequent[a:b]].astype("<i8").tobytes() for a, b in spans],
             "reports": [np.packbits(reports[a:b][frequent[a:b]]).tobytes() for a, b in spans]})
@@ -201,20 +226,21 @@ def _exact_sums(back: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _extend(last: int):
+def _extend(source: str, folder: str, level: int, last: int):
     names = [c.split()[0] for c in _RELATION.split(", ")]
 
-    def extend(rel: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def extend(key: tuple, answers: pd.DataFrame) -> pd.DataFrame:
         """Semi-join with the frequent phrases, report candidates, merge-join at adjacent places."""
-        r, answers = rel.iloc[0], answers.sort_values("tile")
-        level, lang = int(r["level"]), r["lang"]
+        answers = answers.sort_values("tile")
+        lang, n_words = answers["lang"].iloc[0], int(answers["n_words"].iloc[0])
+        r = _read_block(source, key[0])
         bits = [np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for m, n in zip(answers["frequent"], answers["n"], strict=True)]
-        frequent = np.concatenate([np.zeros(0, bool), *bits])
+        frequent = np.concatenate(bits)
         total = np.zeros(len(frequent), np.int64)
         total[frequent] = np.frombuffer(b"".join(answers["totals"]), "<i8")
         reports = np.zeros(len(frequent), bool)
-        reports[frequent] = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(m, np.uint8), count=int(b.sum())).astype(bool)
-                                                                  for m, b in zip(answers["reports"], bits, strict=True))])
+        reports[frequent] = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=int(b.sum())).astype(bool)
+                                            for m, b in zip(answers["reports"], bits, strict=True)])
         parts = np.frombuffer(r["parts"], "<i4").reshape(-1, level)
         words, lengths = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["lengths"], "<i4").astype(np.int64)
         texts = np.frombuffer(r["texts"], np.uint8)
@@ -234,11 +260,11 @@ def _extend(last: int):
             new_parts = np.concatenate([parts[left], parts[right][:, -1:]], axis=1).astype(np.int64)
             used, inverse = np.unique(new_parts, return_inverse=True)
             start = np.cumsum(lengths) - lengths
-            out = _relation_row(lang, level + 1, int(r["n_words"]), r["block"], places[meet], new_ids, inverse.reshape(new_parts.shape), words[used],
+            out = _relation_row(folder, lang, level + 1, n_words, places[meet], new_ids, inverse.reshape(new_parts.shape), words[used],
                                 _gather(texts, start[used], lengths[used]), lengths[used],
                                 np.concatenate([prefix[left], total[left][:, None]], axis=1), np.concatenate([suffix[right], total[right][:, None]], axis=1), found)
         else:
-            out = {c: None for c in names} | {"block": r["block"], "lang": lang, "level": level + 1, "n_words": int(r["n_words"]),
+            out = {c: None for c in names} | {"lang": lang, "level": level + 1, "n_words": n_words,
                                               "found_keys": list(found[0]), "found_texts": list(found[1]), "found_totals": list(found[2])}
         return pd.DataFrame({c: pd.Series([out[c]], dtype=object if c not in ("level", "n_words") else None) for c in names})
 
@@ -276,19 +302,19 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
                  top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of 2 to ``max_words`` words of each language (module docstring)."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    relation = work_table(texts.mapInArrow(_occurrences, _RELATION), "setm-1")
-    sizes = {r["lang"]: r["n"] for r in relation.groupBy("lang").agg(F.sum("n_words").alias("n")).collect()}
-    tiles = int(max(8, -(-sum(sizes.values()) // TILE_WORDS)))
     spark, found = docs.sparkSession, []
-    lang_words = spark.createDataFrame(list(sizes.items()), "lang string, n long")
+    base = qualified(spark, scratch_path(spark, f"setm-{uuid.uuid4().hex}"))
+    folders = [f"{base}/level-{k}" for k in range(max_words + 1)]  # a level's blocks go when the next level is written
+    relation = work_table(texts.mapInArrow(_occurrences(folders[0]), _RELATION), "setm-1")
+    lang_words = relation.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    tiles = int(max(8, -(-(relation.agg(F.sum("n_words")).first()[0] or 0) // TILE_WORDS)))
     for level in range(1, max_words + 1):
-        sent = relation.select("block", "keys", "counts").mapInArrow(_send(tiles), _SENT)
+        sent = relation.select("block", "lang", "n_words", "keys", "counts").mapInArrow(_send(tiles), _SENT)
         answers = work_table(sent.groupBy("tile").applyInPandas(_answers(min_count), _ANSWER), f"setm-answers-{level}")
-        joined = relation.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_extend(max_words), _RELATION)
-        longer = work_table(joined, f"setm-{level + 1}")
-        if level == 1:
-            release(relation)
+        step = _extend(folders[level - 1], folders[level], level, max_words)
+        longer = work_table(answers.groupBy("block").applyInPandas(step, _RELATION), f"setm-{level + 1}")
         release(answers)
+        release_path(spark, folders[level - 1])
         relation = longer
         if level > 1:
             found.append(_columns(relation, level))
@@ -304,5 +330,5 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     part = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("key"), F.lit(64))).orderBy(*best))
     some = kept.withColumn("rank", part).filter(F.col("rank") <= top)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).filter(F.col("rank") <= top)
-    return ranked.join(F.broadcast(lang_words), "lang").select(
+    return ranked.join(lang_words, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
