@@ -1,14 +1,18 @@
 """Quality gates and dead-code removal (FLT1-FLT6, JOIN6, PRJ21, WIN6, AGG22).
 
-Gates are boolean columns, so a filter and its quarantine table come from
+Rules that must tell code from literals use the lexer in Arrow batches.  Gates are boolean columns, so a filter and its quarantine table come from
 one expression; dead declarations are found and dropped in the program's own row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from complexa.functions import lexer
 from complexa.functions.features import LITERAL, PY_WORDLESS, calls_in, segment_items
 from complexa.functions.text import WS, remove_comments
 
@@ -77,6 +81,35 @@ def drop_unreachable_lines(src) -> Column:
     return F.when(text.contains('"' + '""') | text.contains("'" + "''"), text).otherwise(folded)
 
 
+def _by_program(rule: Callable[[str], str], src) -> Column:
+    """A lexer rule on every program of a batch (Arrow, where the rows are; null stays null)."""
+    return F.pandas_udf(lambda texts: pd.Series([None if t is None else rule(t) for t in texts], dtype=object), "string")(_c(src))
+
+
+def unreachable_dropped(src) -> Column:
+    """FLT4 (Python) with a lexer: docstrings, f-strings and comments are what they are, and lines inside brackets,
+    literals or after a backslash belong to their statement.  ``drop_unreachable_lines`` is the
+    JVM-side line rule, which leaves texts with triple quotes alone."""
+    return _by_program(lexer.drop_unreachable, src)
+
+
+def unused_assignments_dropped(src) -> Column:
+    """FLT6 (Python) with a lexer: unused side-effect-free assignments go; names in f-string fields count as read."""
+    return _by_program(lexer.drop_unused_assignments, src)
+
+
+def unused_functions_dropped(src) -> Column:
+    """FLT6 (Python) with a lexer: top-level functions that nothing outside them names (called, passed, stored or used as a decorator) go."""
+    return _by_program(lexer.drop_unused_functions, src)
+
+
+def identifiers_renamed(src, lang) -> Column:
+    """PRJ21 with a lexer: as ``rename_identifiers``, but literals and comments stay, and f-string fields follow their names."""
+    both = F.pandas_udf(lambda texts, langs: pd.Series([None if t is None else lexer.rename(t, lang) for t, lang in zip(texts, langs, strict=True)],
+                                                       dtype=object), "string")
+    return both(_c(src), _c(lang))
+
+
 def unreferenced(decls: DataFrame, refs: DataFrame, keys=("doc_id", "name")) -> DataFrame:
     """JOIN6: declarations with no reference (left anti join on (document, name))."""
     return decls.join(refs.select(*keys).distinct(), list(keys), "left_anti")
