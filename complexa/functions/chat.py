@@ -130,7 +130,7 @@ def pack_sequences(texts: DataFrame, order: str, text: str = "text", block: int
     Offsets come from a multi-level prefix sum: totals per key range, per range
     of ranges and so on, each level with a window inside its ranges only, until
     one range is left; no window sees more than ``range_size`` keys (sparse keys
-    make smaller ranges, ties of a key go together).  A text spanning blocks is cut into pieces with
+    make smaller ranges, ties of a key go together, in the order of their texts' hashes).  A text spanning blocks is cut into pieces with
     ``explode(sequence(...))`` (a range join without a join); each block is
     re-assembled from its pieces, which total at most ``block`` characters.
     """
@@ -138,8 +138,8 @@ def pack_sequences(texts: DataFrame, order: str, text: str = "text", block: int
     t = t.withColumn("rg", F.floor(F.col("k") / range_size))
     totals = t.groupBy("rg").agg(F.sum("len").alias("rg_len"))
     base = _range_starts(totals, range_size)
-    inner = Window.partitionBy("rg").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    t = (t.withColumn("in_start", F.coalesce(F.sum("len").over(inner), F.lit(0)))
+    inner = Window.partitionBy("rg").orderBy("k", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    t = (t.withColumn("tie", F.xxhash64("t")).withColumn("in_start", F.coalesce(F.sum("len").over(inner), F.lit(0)))
           .join(base.select("rg", "rg_start"), "rg")
           .withColumn("start", F.col("rg_start") + F.col("in_start"))
           .filter(F.col("len") > 0))
@@ -147,8 +147,8 @@ def pack_sequences(texts: DataFrame, order: str, text: str = "text", block: int
         F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("len") - 1) / block))).alias("block"))
     lo = F.greatest(F.col("start"), F.col("block") * block)
     hi = F.least(F.col("start") + F.col("len"), (F.col("block") + 1) * block)
-    pieces = pieces.select("block", "k", F.substring(F.col("t"), (lo - F.col("start") + 1).cast("int"),
+    pieces = pieces.select("block", "start", F.substring(F.col("t"), (lo - F.col("start") + 1).cast("int"),
                                                      (hi - lo).cast("int")).alias("piece"))
     return (pieces.groupBy("block")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))),
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))),
                                           lambda x: x["piece"]), "").alias("text")))

@@ -124,6 +124,43 @@ def rollup_tree(edges: DataFrame, values: DataFrame, root: DataFrame, keys: Sequ
     return _union_all(levels)
 
 
+def closure(edges: DataFrame, keys: Sequence[str] = (), src: str = "caller", dst: str = "callee") -> DataFrame:
+    """Distinct (*keys, node, below): every node of ``edges`` with itself and all that it reaches, on any graph.
+
+    Paths double in length with every round (a join of the pairs with themselves), so a
+    chain or cycle of n nodes takes about log2(n) rounds; a round's pairs are
+    checkpointed and only the rounds' counts reach the driver.  Null ends are ignored.
+    The pairs themselves are the output, as many as there are.
+    """
+    keys = list(keys)
+    e = edges.select(*keys, F.col(src).alias("node"), F.col(dst).alias("below")).dropna(subset=["node", "below"])
+    own = e.select(*keys, "node").unionByName(e.select(*keys, F.col("below").alias("node"))).withColumn("below", F.col("node"))
+    pairs = _ckpt(e.unionByName(own).distinct())
+    n = pairs.count()
+    while True:
+        left = pairs.select(*keys, "node", F.col("below").alias("mid"))
+        right = pairs.select(*keys, F.col("node").alias("mid"), "below")
+        pairs = _ckpt(left.join(right, keys + ["mid"]).select(*keys, "node", "below").distinct())
+        more = pairs.count()
+        if more == n:
+            return pairs
+        n = more
+
+
+def rollup_reachable(edges: DataFrame, values: DataFrame, keys: Sequence[str] = (), src: str = "caller",
+                     dst: str = "callee", value: str = "value") -> DataFrame:
+    """JOIN8 on any call graph: (*keys, node, sum_v, max_v) over the distinct nodes that a node reaches, itself included.
+
+    A callee shared by several callers counts once for each node above it (``rollup_tree``
+    adds it once per path), and methods that call each other have equal sums.  Nodes
+    without a value count as 0; a node with several values counts their sum.
+    """
+    keys = list(keys)
+    v = values.groupBy(*keys, F.col("node").alias("below")).agg(F.sum(value).alias("v"))
+    return closure(edges, keys, src, dst).join(v, keys + ["below"], "left").groupBy(*keys, "node").agg(
+        F.sum(F.coalesce("v", F.lit(0))).alias("sum_v"), F.max(F.coalesce("v", F.lit(0))).alias("max_v"))
+
+
 def self_recursive(edges: DataFrame, keys: Sequence[str] = ("doc_id",), src: str = "caller", dst: str = "callee") -> DataFrame:
     """JOIN9: number of methods that call themselves, per graph."""
     return (edges.filter(F.col(src) == F.col(dst)).groupBy(*keys)

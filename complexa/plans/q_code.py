@@ -525,6 +525,29 @@ def join08_rollup_callee_features(spark, sf):
     return r.select("node", F.col("sum_v").cast("long"), F.col("max_v").cast("int"))
 
 
+SHARED_EDGES = """edges AS (
+  SELECT CAST(floor(p_partkey / 2) AS BIGINT) AS caller, p_partkey AS callee FROM part
+  UNION ALL SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 2) AS BIGINT) FROM part WHERE p_partkey % 97 = 0 AND p_partkey > 512)"""
+
+
+@query("join08_rollup_shared", f"""WITH RECURSIVE {SHARED_EDGES},
+pair(node, below) AS (
+  SELECT node, node FROM (SELECT caller AS node FROM edges UNION SELECT callee FROM edges)
+  UNION SELECT p.node, e.callee FROM pair p JOIN edges e ON e.caller = p.below),
+v AS (SELECT p_partkey AS below, p_size AS v FROM part)
+SELECT node, CAST(sum(coalesce(v, 0)) AS BIGINT) AS sum_v, CAST(max(coalesce(v, 0)) AS INTEGER) AS max_v FROM pair LEFT JOIN v USING (below) GROUP BY node""")
+def join08_rollup_shared(spark, sf):
+    """JOIN8 where callees are shared (a part calls its right sibling) and some leaves call their caller back."""
+    p = S.table(spark, sf, "part")
+    key = F.col("p_partkey")
+    up = F.floor(key / 2).cast("long")
+    e = S.call_edges(spark, sf).unionByName(p.filter(key % 2 == 0).select(key.alias("caller"), (key + 1).alias("callee"))).unionByName(
+        p.filter((key % 97 == 0) & (key > 512)).select(key.alias("caller"), up.alias("callee")))
+    r = G.rollup_reachable(e, p.select(key.alias("node"), F.col("p_size").alias("value")))
+    return r.select("node", F.col("sum_v").cast("long").alias("sum_v"), F.col("max_v").cast("int").alias("max_v"))
+
+
 @query("join09_self_recursive", f"""WITH {PROGRAMS}
 SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(src, 's \\+= (m\\d+)\\(n - 1\\)', 1))) AS BIGINT) AS n_recursive
 FROM programs WHERE regexp_matches(src, 's \\+= (m\\d+)\\(n - 1\\)')""")

@@ -51,3 +51,15 @@ def test_reachable_per_graph_matches_bfs(spark):
     assert small == big == {(1, "main", 0), (1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "main", 0), (2, "x", 1)}
     d1 = {(r.g, r.node) for r in G.reachable_per_graph(e, roots, ["g"], max_depth=1).collect()}
     assert d1 == {(1, "main"), (1, "a"), (2, "main"), (2, "x")}
+
+
+def test_shared_callees_and_cycles_count_once(spark):
+    edges = [("g", "main", "a"), ("g", "main", "b"), ("g", "a", "c"), ("g", "b", "c"), ("h", "x", "y"), ("h", "y", "z"), ("h", "z", "x"), ("h", "z", "z"), ("h", "r", "x")]
+    edges += [("k", f"n{i}", f"n{i + 1}") for i in range(40)] + [("k", None, "n0"), ("k", "n40", None)]
+    values = [("g", n, v) for n, v in (("main", 1), ("a", 10), ("b", 100), ("c", 1000))] + [("h", "x", 1), ("h", "y", 2), ("h", "z", 4), ("k", "n40", 7)]
+    e = spark.createDataFrame(edges, "doc string, caller string, callee string")
+    v = spark.createDataFrame(values, "doc string, node string, value int")
+    got = {(r.doc, r.node): (r.sum_v, r.max_v) for r in G.rollup_reachable(e, v, ["doc"]).collect()}
+    assert [got["g", n] for n in ("main", "a", "b", "c")] == [(1111, 1000), (1010, 1000), (1100, 1000), (1000, 1000)]
+    assert {got["h", n] for n in "xyzr"} == {(7, 4)} and all(got["k", f"n{i}"] == (7, 7) for i in range(41))
+    assert G.rollup_reachable(e.limit(0), v, ["doc"]).count() == 0

@@ -85,6 +85,15 @@ def test_pack_sequences_matches_python(spark):
     assert got == want
 
 
+def test_pack_sequences_of_equal_keys_is_one_stream(spark):
+    texts = [(5, "bbbb"), (5, "aaaa"), (5, "cccc"), (5, ""), (5, "aaaa"), (7, "dd"), (5, "e" * 23)]
+    blocks = [r.text for r in pack_sequences(spark.createDataFrame(texts, "k long, text string"), "k", "text", block=6, range_size=4).orderBy("block").collect()]
+    stream = "".join(blocks)
+    assert [len(b) for b in blocks] == [6] * 6 + [5] and stream.endswith("dd")
+    from itertools import permutations
+    assert stream[:-2] in {"".join(p) for p in permutations([t for k, t in texts if k == 5])}
+
+
 def test_fold_retry_picks_first_accepted_seed(spark):
     rows = [(0, f"p{i}", j) for i in range(20) for j in range(1 + (i % 5))]
     df = spark.createDataFrame(rows, "label int, problem string, j int")
