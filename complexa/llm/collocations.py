@@ -37,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from complexa.llm.blocks import read_block, write_block
 from complexa.llm.common import Words, mix, ragged_range, release, release_path, text_array, text_chunks, work_table
 from complexa.llm.tiles import deltas, sums, tile_of
 from complexa.session import qualified, scratch_path
@@ -78,23 +78,6 @@ def _gather(blob: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndar
     return blob[ragged_range(start, lengths)]
 
 
-def _write_block(folder: str, arrays: dict[str, bytes]) -> str:
-    """One new file below ``folder`` (a URI); its path.  Every attempt of a task has its own file."""
-    store, base = pafs.FileSystem.from_uri(folder)
-    store.create_dir(base, recursive=True)
-    path = f"{base}/{uuid.uuid4().hex}"
-    batch = pa.RecordBatch.from_pydict({k: pa.array([v], pa.binary()) for k, v in arrays.items()})
-    with store.open_output_stream(path, compression=None) as out, pa.ipc.new_file(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
-        f.write_batch(batch)
-    return path
-
-
-def _read_block(folder: str, path: str) -> dict[str, bytes]:
-    store, _ = pafs.FileSystem.from_uri(folder)
-    with store.open_input_file(path) as f:
-        return pa.ipc.open_file(f).get_batch(0).to_pylist()[0]
-
-
 def _relation_row(folder: str, lang: str, level: int, n_words: int, places: np.ndarray, ids: np.ndarray, parts: np.ndarray,
                   words: np.ndarray, texts: np.ndarray, lengths: np.ndarray, prefix: np.ndarray, suffix: np.ndarray,
                   found: tuple = ((), (), ())) -> dict:
@@ -105,10 +88,9 @@ def _relation_row(folder: str, lang: str, level: int, n_words: int, places: np.n
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     ids = rank[ids] if len(ids) else ids.astype(np.int32)
-    block = _write_block(folder, {
-        "places": np.diff(places, prepend=0).astype("<i4").tobytes(), "ids": ids.astype("<i4").tobytes(),
-        "parts": parts[order].astype("<i4").tobytes(), "words": words.tobytes(), "texts": texts.tobytes(),
-        "lengths": lengths.astype("<i4").tobytes(), "prefix": prefix[order].astype("<i8").tobytes(), "suffix": suffix[order].astype("<i8").tobytes()})
+    block = write_block(folder, {
+        "places": np.diff(places, prepend=0).astype("<i4"), "ids": ids.astype("<i4"), "parts": parts[order].astype("<i4"), "words": words, "texts": texts,
+        "lengths": lengths.astype("<i4"), "prefix": prefix[order].astype("<i8"), "suffix": suffix[order].astype("<i8")})
     return {"block": block, "lang": lang, "level": level, "n_words": n_words,
             "keys": deltas(keys[order]), "counts": np.bincount(ids, minlength=len(keys)).astype("<i4").tobytes(),
             "found_keys": list(found[0]), "found_texts": list(found[1]), "found_totals": list(found[2])}
@@ -233,7 +215,7 @@ def _extend(source: str, folder: str, level: int, last: int):
         """Semi-join with the frequent phrases, report candidates, merge-join at adjacent places."""
         answers = answers.sort_values("tile")
         lang, n_words = answers["lang"].iloc[0], int(answers["n_words"].iloc[0])
-        r = _read_block(source, key[0])
+        r = read_block(source, key[0])
         bits = [np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for m, n in zip(answers["frequent"], answers["n"], strict=True)]
         frequent = np.concatenate(bits)
         total = np.zeros(len(frequent), np.int64)

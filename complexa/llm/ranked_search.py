@@ -1,7 +1,7 @@
 """Ranked lexical search with MaxScore over term pairs.
 
-Documents are cut into segments of about four megabytes of text, each with its
-own inverted index: postings with final impacts for the terms that the batch
+Documents are cut into segments of about two megabytes of text, each with its
+own inverted index, a file in the shared folder: postings with final impacts for the terms that the batch
 of queries uses, the highest impact of each term, and for pairs of terms the
 precomputed intersection list with the joint impact of each shared document and
 the highest joint impact.  The terms of a query are paired by falling weight, so
@@ -32,6 +32,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,17 +41,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from complexa.llm.common import Words, release, text_array, text_chunks, work_table
+from complexa.llm.blocks import read_block, write_block
+from complexa.llm.common import Words, release_path, text_array, text_chunks, work_table
+from complexa.session import qualified, scratch_path
 
 TOP = 20
-SEGMENT_BYTES, BLOCK_CHARS = 4 << 20, 4_000_000
+SEGMENT_BYTES, BLOCK_CHARS = 2 << 20, 4_000_000
+#: Segments that a task opens, one after the other.
+TASK_SEGMENTS = 16
 
 _NO_ID = -2**63
 _SPACE = np.ones(256, bool)
 for _a, _b in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
     _SPACE[_a:_b + 1] = False
-_SEGMENT = "docs long, total long, ids binary, lengths binary, terms array<int>, df array<int>, post binary, tf binary"
-_INDEX = "ids binary, terms binary, starts binary, post binary, impacts binary, pairs binary, pair_starts binary, pair_post binary, pair_impacts binary"
+_SEGMENT = "docs long, total long, terms array<int>, df array<int>, path string"
 
 
 def terms_of(col: pa.Array, limit: int = SEGMENT_BYTES) -> Iterator[tuple[int, int, Words]]:
@@ -59,10 +63,6 @@ def terms_of(col: pa.Array, limit: int = SEGMENT_BYTES) -> Iterator[tuple[int, i
         yield a, b, Words(raw, rows, lower=True, space=_SPACE)
 
 
-def _arrays(values: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()], pa.binary()) for k, v in values.items()})
-
-
 # ------------------------------------------------------------------ queries
 class Queries:
     """A block of queries: their distinct terms, and for each query its pairs of terms with repeats."""
@@ -91,7 +91,7 @@ class Queries:
 
 
 # ------------------------------------------------------------------ index
-def _segments(terms: np.ndarray):
+def _segments(folder: str, terms: np.ndarray):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents with terms, their lengths, and the postings (document, occurrences) of ``terms``."""
         for batch in batches:
@@ -107,23 +107,23 @@ def _segments(terms: np.ndarray):
                 code, tf = np.unique(at[hit] * len(here) + local[words.row_of()[hit]], return_counts=True)
                 term, post = code // len(here), code % len(here)
                 first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+                path = write_block(folder, {"ids": ids[a:b][here].astype("<i8"), "lengths": n[here].astype("<i8"), "post": post.astype("<i4"), "tf": tf.astype("<i4")})
+                df = np.diff(np.append(first, len(term)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(here)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([ids[a:b][here].astype("<i8").tobytes()], pa.binary()),
-                     pa.array([n[here].astype("<i8").tobytes()], pa.binary()), pa.array([term[first].astype(np.int32)], pa.list_(pa.int32())),
-                     pa.array([np.diff(np.append(first, len(term))).astype(np.int32)], pa.list_(pa.int32())),
-                     pa.array([post.astype("<i4").tobytes()], pa.binary()), pa.array([tf.astype("<i4").tobytes()], pa.binary())],
-                    names=[c.split()[0] for c in _SEGMENT.split(", ")])
+                    [pa.array([len(here)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([term[first].astype(np.int32)], pa.list_(pa.int32())),
+                     pa.array([df.astype(np.int32)], pa.list_(pa.int32())), pa.array([path], pa.string())], names=[c.split()[0] for c in _SEGMENT.split(", ")])
 
     return build
 
 
-def _impacts(queries: Queries, n_docs: int, total: int):
+def _impacts(source: str, folder: str, queries: Queries, n_docs: int, total: int):
     pairs = queries.pairs
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Impacts of all postings; intersection lists and joint impacts of the pairs."""
         for batch in batches:
             for r in batch.to_pylist():
+                r |= read_block(source, r["path"])
                 terms, df = np.array(r["terms"], np.int64), np.array(r["df"], np.int64)
                 starts = np.append(0, np.cumsum(df))
                 post, tf = np.frombuffer(r["post"], "<i4"), np.frombuffer(r["tf"], "<i4").astype(np.int64)
@@ -149,9 +149,11 @@ def _impacts(queries: Queries, n_docs: int, total: int):
                         sizes.append(len(meet))
                         shared.append(docs[meet])
                         joint.append(own[meet] + impact[starts[y]:starts[y + 1]][meet])
-                yield _arrays({"ids": np.frombuffer(r["ids"], "<i8"), "terms": terms, "starts": starts, "post": post, "impacts": impact,
-                               "pairs": np.array(got, np.int64), "pair_starts": np.append(0, np.cumsum(sizes)).astype(np.int64),
-                               "pair_post": np.concatenate([np.zeros(0, "<i4"), *shared]), "pair_impacts": np.concatenate([np.zeros(0, np.int64), *joint])})
+                path = write_block(folder, {
+                    "ids": np.frombuffer(r["ids"], "<i8"), "terms": terms, "starts": starts, "post": post, "impacts": impact,
+                    "pairs": np.array(got, np.int64), "pair_starts": np.append(0, np.cumsum(sizes)).astype(np.int64),
+                    "pair_post": np.concatenate([np.zeros(0, "<i4"), *shared]), "pair_impacts": np.concatenate([np.zeros(0, np.int64), *joint])})
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string())})
 
     return index
 
@@ -242,12 +244,12 @@ def search(segment: Segment, unit: tuple, top: int, floor: int) -> tuple[np.ndar
     return docs, own
 
 
-def _searcher(queries: Queries, top: int):
+def _searcher(folder: str, queries: Queries, top: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                segment = Segment(row, len(queries.terms), len(queries.pairs))
+            for path in batch.column("path").to_pylist():
+                segment = Segment(read_block(folder, path), len(queries.terms), len(queries.pairs))
                 for q, unit in enumerate(queries.units):
                     ids, scores = best.get(q, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
                     docs, found = search(segment, unit, top, int(scores[-1]) if len(scores) == top else 1)
@@ -263,16 +265,19 @@ def _searcher(queries: Queries, top: int):
 
 
 def _rank_block(docs: DataFrame, items: list, top: int) -> DataFrame | None:
-    queries = Queries([r["text"] for r in items])
-    segments = work_table(docs.mapInArrow(_segments(queries.terms), _SEGMENT), "search-segments")
-    size = segments.agg(F.sum("docs").alias("n"), F.sum("total").alias("total")).first()
+    spark, queries = docs.sparkSession, Queries([r["text"] for r in items])
+    base = qualified(spark, scratch_path(spark, f"search-{uuid.uuid4().hex}"))
+    segments = work_table(docs.mapInArrow(_segments(f"{base}/postings", queries.terms), _SEGMENT), "search-segments")
+    size = segments.agg(F.sum("docs").alias("n"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("segments")).first()
     if not size["n"]:
         return None
     df = segments.select(F.explode(F.arrays_zip("terms", "df")).alias("e")).groupBy("e.terms").agg(F.sum("e.df").alias("df"))
     queries.weigh(size["n"], {r["terms"]: r["df"] for r in df.collect()})  # one row per term of the block at most
-    index = work_table(segments.mapInArrow(_impacts(queries, size["n"], size["total"]), _INDEX), "search-index")
-    release(segments)
-    found = index.mapInArrow(_searcher(queries, top), "query long, doc_id long, score long")
+    tasks = -(-size["segments"] // TASK_SEGMENTS)
+    weighted = _impacts(f"{base}/postings", f"{base}/index", queries, size["n"], size["total"])
+    index = work_table(segments.select("terms", "df", "path").repartition(tasks, "path").mapInArrow(weighted, "path string"), "search-index")
+    release_path(spark, f"{base}/postings")
+    found = index.repartition(tasks, "path").mapInArrow(_searcher(f"{base}/index", queries, top), "query long, doc_id long, score long")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     names = docs.sparkSession.createDataFrame([(i, r["item_id"]) for i, r in enumerate(items)], "query long, item_id long")
