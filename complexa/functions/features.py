@@ -8,6 +8,7 @@ windows partitioned by document, so its size is bounded by one program.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -237,3 +238,23 @@ def python_vector(src: str = "src") -> Column:
     cols = [c["n_if"], c["n_loop"], c["n_break"], c["n_sort"], c["n_list"], c["n_lines"], n["n_names"], n["n_attrs"],
             d["max_depth"], d["max_stack"], n["n_assign"], n["n_methods"], n["n_funcs"]]
     return F.array(*[x.cast("double") for x in cols])
+
+
+def rolled_up_counts(src) -> Column:
+    """FEA5 for any call graph (Arrow, where the rows are): struct of the counts of ``main`` with its callees', null without
+    a ``main``; see ``javascan.rollup``."""
+    from complexa.functions import javascan
+    names = [*javascan.COUNTS, "nested", "n_recursive"]
+
+    def rule(texts: pd.Series) -> pd.DataFrame:
+        found = [None if t is None else javascan.rollup(t) for t in texts]
+        return pd.DataFrame({n: pd.array([None if f is None else f[n] for f in found], "Int64") for n in names})
+
+    return F.pandas_udf(rule, ", ".join(f"{n} long" for n in names))(_c(src))
+
+
+def declared_methods(src) -> Column:
+    """FEA9 with nested classes (Arrow, where the rows are): array of (path, method, arity, first_line, last_line)."""
+    from complexa.functions import javascan
+    kind = "array<struct<path:string,method:string,arity:int,first_line:int,last_line:int>>"
+    return F.pandas_udf(lambda texts: pd.Series([None if t is None else javascan.method_table(t) for t in texts], dtype=object), kind)(_c(src))

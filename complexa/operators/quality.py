@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from complexa.functions import lexer
+from complexa.functions import javascan, lexer
 from complexa.functions.features import LITERAL, PY_WORDLESS, calls_in, segment_items
 from complexa.functions.text import WS, remove_comments
 
@@ -110,6 +110,16 @@ def identifiers_renamed(src, lang) -> Column:
     return both(_c(src), _c(lang))
 
 
+def dead_declarations_dropped(src) -> Column:
+    """FLT5 (Java) for nested classes and overloads: struct(src, dropped, dropped_classes); see ``javascan.drop_dead``.
+    ``drop_dead_declarations`` is the JVM-side rule by lines, for methods of one class level."""
+    def rule(texts: pd.Series) -> pd.DataFrame:
+        done = [(None, None, None) if t is None else javascan.drop_dead(t) for t in texts]
+        return pd.DataFrame(done, columns=["src", "dropped", "dropped_classes"], dtype=object)
+
+    return F.pandas_udf(rule, "src string, dropped array<string>, dropped_classes array<string>")(_c(src))
+
+
 def unreferenced(decls: DataFrame, refs: DataFrame, keys=("doc_id", "name")) -> DataFrame:
     """JOIN6: declarations with no reference (left anti join on (document, name))."""
     return decls.join(refs.select(*keys).distinct(), list(keys), "left_anti")
