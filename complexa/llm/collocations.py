@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,7 @@ from complexa.session import qualified, scratch_path
 PIECE_END = b".,;:!?\n\x0b\x0c\r"
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP = 4, 30, 80, 2000
 #: Words of a block, bytes of text that are split at once, and words of the corpus per counting task.
-BLOCK_WORDS, SPLIT_BYTES, TILE_WORDS = 400_000, 2 << 20, 5_000_000
+BLOCK_WORDS, SPLIT_BYTES, TILE_WORDS = 600_000, 2 << 20, 5_000_000
 
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
@@ -78,19 +79,41 @@ def _gather(blob: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndar
     return blob[ragged_range(start, lengths)]
 
 
-def _relation_row(folder: str, lang: str, level: int, n_words: int, places: np.ndarray, ids: np.ndarray, parts: np.ndarray,
-                  words: np.ndarray, texts: np.ndarray, lengths: np.ndarray, prefix: np.ndarray, suffix: np.ndarray,
-                  found: tuple = ((), (), ())) -> dict:
-    """A block's relation: sorted occurrences (place, phrase), the distinct phrases as word numbers (``parts``) in the order of
-    their keys, with their counts and the totals of their first and last parts, and the words in use."""
-    keys = _phrase_keys(words[parts], lang)
+@dataclass
+class Known:
+    """Frequent phrases of a block: their words (numbers in the block's word list), totals, and the totals of their first and last parts."""
+
+    parts: np.ndarray
+    totals: np.ndarray
+    prefix: np.ndarray
+    suffix: np.ndarray
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> Known:
+        """Phrases one word longer: each from the one that begins it and the one that ends it (totals to come)."""
+        return Known(np.concatenate([self.parts[left], self.parts[right][:, -1:]], axis=1), np.zeros(len(left), np.int64),
+                     np.concatenate([self.prefix[left], self.totals[left][:, None]], axis=1),
+                     np.concatenate([self.suffix[right], self.totals[right][:, None]], axis=1))
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"parts": self.parts.astype("<i4"), "totals": self.totals.astype("<i8"), "prefix": self.prefix.astype("<i8"), "suffix": self.suffix.astype("<i8")}
+
+    @staticmethod
+    def read(r: dict[str, bytes], level: int) -> Known:
+        totals = np.frombuffer(r["totals"], "<i8")
+        return Known(np.frombuffer(r["parts"], "<i4").reshape(len(totals), level), totals,
+                     *(np.frombuffer(r[c], "<i8").reshape(len(totals), level - 1) for c in ("prefix", "suffix")))
+
+
+def _relation_row(folder: str, lang: str, level: int, n_words: int, places: np.ndarray, ids: np.ndarray, keys: np.ndarray,
+                  arrays: dict[str, np.ndarray], found: tuple = ((), (), ())) -> dict:
+    """Write a block's relation: sorted occurrences (place, phrase); phrases are renumbered in the order of their keys, ``arrays``
+    with the phrases' own columns left and right as well."""
     order = np.argsort(keys)
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     ids = rank[ids] if len(ids) else ids.astype(np.int32)
-    block = write_block(folder, {
-        "places": np.diff(places, prepend=0).astype("<i4"), "ids": ids.astype("<i4"), "parts": parts[order].astype("<i4"), "words": words, "texts": texts,
-        "lengths": lengths.astype("<i4"), "prefix": prefix[order].astype("<i8"), "suffix": suffix[order].astype("<i8")})
+    own = {c: arrays[c][order].astype("<i4") for c in ("left", "right") if c in arrays}
+    block = write_block(folder, arrays | own | {"places": np.diff(places, prepend=0).astype("<i4"), "ids": ids.astype("<i4")})
     return {"block": block, "lang": lang, "level": level, "n_words": n_words,
             "keys": deltas(keys[order]), "counts": np.bincount(ids, minlength=len(keys)).astype("<i4").tobytes(),
             "found_keys": list(found[0]), "found_texts": list(found[1]), "found_totals": list(found[2])}
@@ -127,9 +150,12 @@ class _Held:
         lengths = (end - start)[spot]
         # a place is the number of the word plus that of its piece: words of two pieces are never adjacent
         places = np.arange(len(hashes), dtype=np.int64) + np.cumsum(first)
-        none = np.zeros((len(words), 0), np.int64)
-        return _relation_row(folder, lang, 1, len(hashes), places, ids, np.arange(len(words), dtype=np.int64)[:, None], words,
-                             _gather(raw, start[spot], lengths), lengths, none, none)
+        order = np.argsort(_phrase_keys(words[:, None], lang))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, start, lengths = words[order], start[spot][order], lengths[order]
+        return _relation_row(folder, lang, 1, len(hashes), places, rank[ids], _phrase_keys(words[:, None], lang),
+                             {"words": words, "texts": _gather(raw, start, lengths), "lengths": lengths.astype("<i4")})
 
 
 def _occurrences(folder: str):
@@ -223,28 +249,32 @@ def _extend(source: str, folder: str, level: int, last: int):
         reports = np.zeros(len(frequent), bool)
         reports[frequent] = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=int(b.sum())).astype(bool)
                                             for m, b in zip(answers["reports"], bits, strict=True)])
-        parts = np.frombuffer(r["parts"], "<i4").reshape(-1, level)
+        some = np.flatnonzero(frequent)
         words, lengths = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["lengths"], "<i4").astype(np.int64)
         texts = np.frombuffer(r["texts"], np.uint8)
-        prefix, suffix = (np.frombuffer(r[c], "<i8").reshape(len(parts), level - 1) for c in ("prefix", "suffix"))
+        if level == 1:
+            known = Known(some[:, None], total[some], *(np.zeros((len(some), 0), np.int64) for _ in range(2)))
+        else:
+            known = Known.read(r, level - 1).joined(*(np.frombuffer(r[c], "<i4")[some] for c in ("left", "right")))
+            known.totals = total[some]
         found: tuple = ((), (), ())
         if level > 1:
-            found = _candidates(lang, parts, words, texts, lengths, prefix, suffix, total, np.flatnonzero(reports))
+            found = _candidates(lang, known, words, texts, lengths, np.flatnonzero(reports[some]))
         out = None
         if level < last:
             places, ids = np.cumsum(np.frombuffer(r["places"], "<i4"), dtype=np.int64), np.frombuffer(r["ids"], "<i4")
             stays = frequent[ids]
-            places, ids = places[stays], ids[stays]
+            places, ids = places[stays], (np.cumsum(frequent) - 1)[ids[stays]]
             meet = np.flatnonzero(places[1:] == places[:-1] + 1)
-            left, right = ids[meet].astype(np.int64), ids[meet + 1].astype(np.int64)
-            pairs, new_ids = np.unique(left * len(frequent) + right, return_inverse=True)
-            left, right = pairs // max(len(frequent), 1), pairs % max(len(frequent), 1)
-            new_parts = np.concatenate([parts[left], parts[right][:, -1:]], axis=1).astype(np.int64)
-            used, inverse = np.unique(new_parts, return_inverse=True)
+            pairs, new_ids = np.unique(ids[meet] * len(some) + ids[meet + 1], return_inverse=True)
+            left, right = pairs // max(len(some), 1), pairs % max(len(some), 1)
+            used, inverse = np.unique(known.parts, return_inverse=True)
             start = np.cumsum(lengths) - lengths
-            out = _relation_row(folder, lang, level + 1, n_words, places[meet], new_ids, inverse.reshape(new_parts.shape), words[used],
-                                _gather(texts, start[used], lengths[used]), lengths[used],
-                                np.concatenate([prefix[left], total[left][:, None]], axis=1), np.concatenate([suffix[right], total[right][:, None]], axis=1), found)
+            keys = _phrase_keys(words[np.concatenate([known.parts[left], known.parts[right][:, -1:]], axis=1)], lang)
+            known.parts = inverse.reshape(known.parts.shape)
+            arrays = known.arrays() | {"left": left, "right": right, "words": words[used], "texts": _gather(texts, start[used], lengths[used]),
+                                       "lengths": lengths[used].astype("<i4")}
+            out = _relation_row(folder, lang, level + 1, n_words, places[meet], new_ids, keys, arrays, found)
         else:
             out = {c: None for c in names} | {"lang": lang, "level": level + 1, "n_words": n_words,
                                               "found_keys": list(found[0]), "found_texts": list(found[1]), "found_totals": list(found[2])}
@@ -253,17 +283,16 @@ def _extend(source: str, folder: str, level: int, last: int):
     return extend
 
 
-def _candidates(lang: str, parts: np.ndarray, words: np.ndarray, texts: np.ndarray, lengths: np.ndarray,
-                prefix: np.ndarray, suffix: np.ndarray, total: np.ndarray, at: np.ndarray) -> tuple[list, list, list]:
+def _candidates(lang: str, known: Known, words: np.ndarray, texts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[list, list, list]:
     """Keys, texts and totals (flat; see ``_columns``) of the phrases ``at``."""
-    level, blob, start = parts.shape[1], texts.tobytes(), np.cumsum(lengths) - lengths
-    hashes = words[parts[at]]
+    level, blob, start = known.parts.shape[1], texts.tobytes(), np.cumsum(lengths) - lengths
+    hashes = words[known.parts[at]]
     spans = [(s, n) for n in range(2, level) for s in range(level - n + 1)] + [(0, level)]
     keys = np.stack([_phrase_keys(hashes[:, s:s + n], lang).view(np.int64) for s, n in spans], axis=1)
     # cut after j words: the first j are a prefix, the other level - j a suffix
-    numbers = np.concatenate([total[at][:, None], prefix[at], suffix[at][:, ::-1]], axis=1)
+    numbers = np.concatenate([known.totals[at][:, None], known.prefix[at], known.suffix[at][:, ::-1]], axis=1)
     ends = start + lengths
-    said = [b" ".join(blob[start[w]:ends[w]] for w in row).decode("utf-8", "replace") for row in parts[at]]
+    said = [b" ".join(blob[start[w]:ends[w]] for w in row).decode("utf-8", "replace") for row in known.parts[at]]
     return keys.ravel().tolist(), said, numbers.ravel().tolist()
 
 
