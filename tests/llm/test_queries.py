@@ -8,7 +8,8 @@ import corpus_pipeline
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_ngram_jaccard", "op3_warc", "op4_exact_dedup", "op6_decontaminate", "op7_chat_trees", "op8_substring_dedup"])
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard", "op3_warc", "op4_exact_dedup", "op6_decontaminate", "op7_chat_trees", "op8_substring_dedup",
+                                  "op12_ranked_search", "op13_collocations"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in "documents pages benchmark labels conversations".split():
@@ -25,6 +26,7 @@ COLUMNS = {
     "op1_secrets": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
     "op5_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op9_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+    "op11_language": {"doc_id", "held_out", "lang_pred", "score"},
     "op10_lm_trie": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 
@@ -52,4 +54,4 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_is_registered():
     assert "pipeline" in E.queries() and set(E.oracle_sql()) <= set(E.queries())
-    assert {n.split("_")[0] for n in E.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in E.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
