@@ -25,8 +25,9 @@ def write_block(folder: str, arrays: dict[str, np.ndarray]) -> str:
     return path
 
 
-def read_block(folder: str, path: str) -> dict[str, bytes]:
-    """The arrays' bytes."""
+def read_block(folder: str, path: str, names: tuple[str, ...] = ()) -> dict[str, bytes]:
+    """The arrays' bytes (only those of ``names``, if given)."""
     store, _ = pafs.FileSystem.from_uri(folder)
     with store.open_input_file(path) as f:
-        return pa.ipc.open_file(f).get_batch(0).to_pylist()[0]
+        fields = [pa.ipc.open_file(f).schema.get_field_index(n) for n in names]
+        return pa.ipc.open_file(f, options=pa.ipc.IpcReadOptions(included_fields=fields or None)).get_batch(0).to_pylist()[0]

@@ -4,9 +4,8 @@ The relation of level k has one entry (piece, position, phrase) for every
 occurrence of a k-word phrase that may still grow, sorted by position, where
 positions of different pieces are never adjacent.  It is persisted in blocks of
 some hundred thousand words of one language, one file each in the shared folder; a
-piece is never cut.  Only a block's distinct phrases and counts are rows of a table,
-which names the files of the attempts that were kept.  A level is made in three
-steps, as in SETM:
+piece is never cut.  A table names the files of the attempts that were kept.  A level
+is made in three steps, as in SETM:
 
 1. group-count: each block sends its distinct phrases with their counts, packed
    and dealt by phrase, to a task that adds them up;
@@ -51,14 +50,18 @@ PIECE_END = b".,;:!?\n\x0b\x0c\r"
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP = 4, 30, 80, 2000
 #: Words of a block, bytes of text that are split at once, and words of the corpus per counting task.
 BLOCK_WORDS, SPLIT_BYTES, TILE_WORDS = 600_000, 2 << 20, 5_000_000
+#: Blocks that a task opens, one after the other.
+TASK_BLOCKS = 8
 
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
 _BREAK[list(PIECE_END)] = True
 _SPACE = _BREAK.copy()
 _SPACE[list(b" \t")] = True
-_RELATION = ("block string, lang string, level int, n_words long, keys binary, counts binary, "
+_RELATION = ("block string, lang string, level int, n_words long, "
              "found_keys array<long>, found_texts array<string>, found_totals array<long>")
+_ARRAYS = [("places", "ids", "words", "texts", "lengths"),
+           ("places", "ids", "words", "texts", "lengths", "left", "right", "parts", "totals", "prefix", "suffix")]
 _SENT = "tile int, block string, lang string, n_words long, keys binary, counts binary"
 _ANSWER = "block string, lang string, n_words long, tile int, n int, frequent binary, totals binary, reports binary"
 
@@ -113,9 +116,9 @@ def _relation_row(folder: str, lang: str, level: int, n_words: int, places: np.n
     rank[order] = np.arange(len(order), dtype=np.int32)
     ids = rank[ids] if len(ids) else ids.astype(np.int32)
     own = {c: arrays[c][order].astype("<i4") for c in ("left", "right") if c in arrays}
-    block = write_block(folder, arrays | own | {"places": np.diff(places, prepend=0).astype("<i4"), "ids": ids.astype("<i4")})
+    block = write_block(folder, arrays | own | {"places": np.diff(places, prepend=0).astype("<i4"), "ids": ids.astype("<i4"),
+                                                "keys": keys[order], "counts": np.bincount(ids, minlength=len(keys)).astype("<i4")})
     return {"block": block, "lang": lang, "level": level, "n_words": n_words,
-            "keys": deltas(keys[order]), "counts": np.bincount(ids, minlength=len(keys)).astype("<i4").tobytes(),
             "found_keys": list(found[0]), "found_texts": list(found[1]), "found_totals": list(found[2])}
 
 
@@ -185,12 +188,13 @@ def _occurrences(folder: str):
     return occurrences
 
 
-def _send(tiles: int):
+def _send(folder: str, tiles: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's distinct phrases and their counts, dealt by phrase."""
         for batch in batches:
-            for block, lang, n_words, raw, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "n_words", "keys", "counts")), strict=True):
-                keys, counts = sums(raw), np.frombuffer(counts, "<i4")
+            for block, lang, n_words in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "n_words")), strict=True):
+                r = read_block(folder, block, ("keys", "counts"))
+                keys, counts = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], "<i4")
                 if not len(keys):
                     continue
                 tile = tile_of(keys, tiles)
@@ -241,7 +245,7 @@ def _extend(source: str, folder: str, level: int, last: int):
         """Semi-join with the frequent phrases, report candidates, merge-join at adjacent places."""
         answers = answers.sort_values("tile")
         lang, n_words = answers["lang"].iloc[0], int(answers["n_words"].iloc[0])
-        r = read_block(source, key[0])
+        r = read_block(source, key[0], _ARRAYS[min(level, 2) - 1])
         bits = [np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for m, n in zip(answers["frequent"], answers["n"], strict=True)]
         frequent = np.concatenate(bits)
         total = np.zeros(len(frequent), np.int64)
@@ -320,10 +324,12 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     lang_words = relation.groupBy("lang").agg(F.sum("n_words").alias("n"))
     tiles = int(max(8, -(-(relation.agg(F.sum("n_words")).first()[0] or 0) // TILE_WORDS)))
     for level in range(1, max_words + 1):
-        sent = relation.select("block", "lang", "n_words", "keys", "counts").mapInArrow(_send(tiles), _SENT)
+        blocks = relation.select("block", "lang", "n_words").filter("block is not null")
+        tasks = max(1, -(-blocks.count() // TASK_BLOCKS))
+        sent = blocks.repartition(tasks, "block").mapInArrow(_send(folders[level - 1], tiles), _SENT)
         answers = work_table(sent.groupBy("tile").applyInPandas(_answers(min_count), _ANSWER), f"setm-answers-{level}")
         step = _extend(folders[level - 1], folders[level], level, max_words)
-        longer = work_table(answers.groupBy("block").applyInPandas(step, _RELATION), f"setm-{level + 1}")
+        longer = work_table(answers.repartition(tasks, "block").groupBy("block").applyInPandas(step, _RELATION), f"setm-{level + 1}")
         release(answers)
         release_path(spark, folders[level - 1])
         relation = longer
