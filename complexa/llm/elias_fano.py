@@ -18,21 +18,38 @@ _U = np.uint64
 _ONE = _U(1)
 
 
+def _spread(byte: int) -> np.uint64:
+    return _U(byte * 0x0101010101010101)
+
+
+#: Position of the set bit number r (column) in a byte (row).
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.uint8).ravel()
+
+
+def select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Position of the set bit number ``rank`` (from 0, below the popcount) in each 64-bit word: the byte by its running bit counts, then a table."""
+    x = words - ((words >> _ONE) & _spread(0x55))
+    x = (x & _spread(0x33)) + ((x >> _U(2)) & _spread(0x33))
+    sums = ((x + (x >> _U(4))) & _spread(0x0F)) * _spread(1)  # byte i: set bits of bytes 0 .. i
+    full = ((rank * _spread(1) | _spread(0x80)) - sums) & _spread(0x80)  # bytes that end before the bit
+    place = np.bitwise_count(full).astype(np.uint64) << _U(3)
+    left = rank - ((sums << _U(8)) >> place & _U(0xFF))
+    byte = (words >> place) & _U(0xFF)
+    return place.astype(np.int64) + _IN_BYTE[(byte << _U(3) | left).astype(np.int64)]
+
+
 def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray, zeros: bool) -> np.ndarray:
     """Position of the set (or clear) bit number ``rank`` (from 0)."""
     w = np.searchsorted(before, rank, "right") - 1
     bits = words[w]
-    if zeros:
-        bits = ~bits
-    left = (rank - before[w]).astype(np.int64)
-    at = np.zeros(len(rank), np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(bits & _U((1 << step) - 1)).astype(np.int64)
-        up = left >= low
-        left -= np.where(up, low, 0)
-        at += np.where(up, step, 0)
-        bits = np.where(up, bits >> _U(step), bits)
-    return w * 64 + at
+    return w * 64 + select_in_word(~bits if zeros else bits, (rank - before[w]).astype(np.uint64))
+
+
+def _ones_from(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Set bits in a row from position ``at``; -1 if the run goes on into the next word."""
+    clear = ~words[at >> 6] >> (at & 63).astype(np.uint64)
+    run = np.bitwise_count((clear - _ONE) & ~clear).astype(np.int64)
+    return np.where(clear > 0, run, -1)
 
 
 class EliasFano:
@@ -83,19 +100,28 @@ class EliasFano:
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position of the first value >= x, is it x) for uint64 ``x`` below the universe."""
         top = (x >> _U(self.bits)).astype(np.int64)
-        end = _select(self.high, self.zeros, top, True) - top
-        start = np.where(top > 0, _select(self.high, self.zeros, np.maximum(top - 1, 0), True) - (top - 1), 0)
+        # values of a bucket are the set bits between two clear ones
+        first = np.where(top > 0, _select(self.high, self.zeros, np.maximum(top - 1, 0), True) + 1, 0)
+        start, run = first - top, _ones_from(self.high, first)
+        end = start + run
+        if len(long := np.flatnonzero(run < 0)):
+            end[long] = _select(self.high, self.zeros, top[long], True) - top[long]
         part = x & _U((1 << self.bits) - 1)
-        lo, hi = start, end.copy()
-        open_ = np.flatnonzero(lo < hi)
+        found = np.zeros(len(x), bool)
+        size, lo, hi = end - start, start, end.copy()
+        one = np.flatnonzero(size == 1)  # most buckets hold one value
+        low = self._low(lo[one])
+        found[one] = low == part[one]
+        lo[one] += low < part[one]
+        many = np.flatnonzero(size > 1)
+        open_ = many
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._low(mid) < part[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
             open_ = open_[lo[open_] < hi[open_]]
-        hit = np.flatnonzero(lo < end)
-        found = np.zeros(len(x), bool)
+        hit = many[lo[many] < end[many]]
         found[hit] = self._low(lo[hit]) == part[hit]
         return lo, found
 
