@@ -49,7 +49,7 @@ from complexa.session import qualified, scratch_path
 PIECE_END = b".,;:!?\n\x0b\x0c\r"
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP = 4, 30, 80, 2000
 #: Words of a block, bytes of text that are split at once, and words of the corpus per counting task.
-BLOCK_WORDS, SPLIT_BYTES, TILE_WORDS = 600_000, 2 << 20, 5_000_000
+BLOCK_WORDS, SPLIT_BYTES, TILE_WORDS = 800_000, 2 << 20, 5_000_000
 #: Blocks that a task opens, one after the other.
 TASK_BLOCKS = 8
 
@@ -107,21 +107,29 @@ class Known:
                      *(np.frombuffer(r[c], "<i8").reshape(len(totals), level - 1) for c in ("prefix", "suffix")))
 
 
-def _relation_row(folder: str, lang: str, level: int, n_words: int, places: np.ndarray, ids: np.ndarray, keys: np.ndarray,
-                  arrays: dict[str, np.ndarray], found: tuple = ((), (), ())) -> dict:
-    """Write a block's relation: sorted occurrences (place, phrase); phrases are renumbered in the order of their keys, ``arrays``
-    with the phrases' own columns left and right as well."""
-    order = np.argsort(keys)
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    ids = rank[ids] if len(ids) else ids.astype(np.int32)
-    own = {c: arrays[c][order].astype("<i4") for c in ("left", "right") if c in arrays}
-    block = write_block(folder, arrays | own | {"places": np.diff(places, prepend=0).astype("<i4"), "ids": ids.astype("<i4"),
-                                                "keys": keys[order], "counts": np.bincount(ids, minlength=len(keys)).astype("<i4")})
+def _relation_row(folder: str, lang: str, level: int, n_words: int, places: np.ndarray, ids: np.ndarray, arrays: dict[str, np.ndarray],
+                  found: tuple = ((), (), ())) -> dict:
+    """Write a block's relation: sorted occurrences (place, phrase), and what tells its distinct phrases (``arrays``)."""
+    block = write_block(folder, arrays | {"places": np.diff(places, prepend=0).astype("<i4"), "ids": ids.astype("<i4")})
     return {"block": block, "lang": lang, "level": level, "n_words": n_words,
             "found_keys": list(found[0]), "found_texts": list(found[1]), "found_totals": list(found[2])}
 
 
+def _ends(r: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct phrase the frequent ones, one word shorter, that begin and end it."""
+    return np.cumsum(np.frombuffer(r["left"], "<i4"), dtype=np.int64), np.frombuffer(r["right"], "<i4").astype(np.int64)
+
+
+def _distinct_keys(r: dict[str, bytes], level: int, lang: str) -> np.ndarray:
+    """Keys of a block's distinct phrases (not stored: they follow from the words)."""
+    words = np.frombuffer(r["words"], np.uint64)
+    if level == 1:
+        return _phrase_keys(words[:, None], lang)
+    left, right = _ends(r)
+    parts = np.frombuffer(r["parts"], "<i4").reshape(-1, level - 1)
+    return _phrase_keys(words[np.concatenate([parts[left], parts[right][:, -1:]], axis=1)], lang)
+
+
 def _rows(rows: list[dict]) -> pa.RecordBatch:
     kinds = {"block": pa.string(), "lang": pa.string(), "level": pa.int32(), "n_words": pa.int64(), "found_keys": pa.list_(pa.int64()),
              "found_texts": pa.list_(pa.string()), "found_totals": pa.list_(pa.int64())}
@@ -153,12 +161,7 @@ class _Held:
         lengths = (end - start)[spot]
         # a place is the number of the word plus that of its piece: words of two pieces are never adjacent
         places = np.arange(len(hashes), dtype=np.int64) + np.cumsum(first)
-        order = np.argsort(_phrase_keys(words[:, None], lang))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        words, start, lengths = words[order], start[spot][order], lengths[order]
-        return _relation_row(folder, lang, 1, len(hashes), places, rank[ids], _phrase_keys(words[:, None], lang),
-                             {"words": words, "texts": _gather(raw, start, lengths), "lengths": lengths.astype("<i4")})
+        return _relation_row(folder, lang, 1, len(hashes), places, ids, {"words": words, "texts": _gather(raw, start[spot], lengths), "lengths": lengths.astype("<i4")})
 
 
 def _occurrences(folder: str):
@@ -188,13 +191,15 @@ def _occurrences(folder: str):
     return occurrences
 
 
-def _send(folder: str, tiles: int):
+def _send(folder: str, tiles: int, level: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's distinct phrases and their counts, dealt by phrase."""
         for batch in batches:
             for block, lang, n_words in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "n_words")), strict=True):
-                r = read_block(folder, block, ("keys", "counts"))
-                keys, counts = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], "<i4")
+                r = read_block(folder, block, ("ids", "words") if level == 1 else ("ids", "words", "left", "right", "parts"))
+                keys = _distinct_keys(r, level, lang)
+                order = np.argsort(keys)
+                keys, counts = keys[order], np.bincount(np.frombuffer(r["ids"], "<i4"), minlength=len(keys))[order].astype("<i4")
                 if not len(keys):
                     continue
                 tile = tile_of(keys, tiles)
@@ -247,19 +252,21 @@ def _extend(source: str, folder: str, level: int, last: int):
         lang, n_words = answers["lang"].iloc[0], int(answers["n_words"].iloc[0])
         r = read_block(source, key[0], _ARRAYS[min(level, 2) - 1])
         bits = [np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for m, n in zip(answers["frequent"], answers["n"], strict=True)]
-        frequent = np.concatenate(bits)
-        total = np.zeros(len(frequent), np.int64)
-        total[frequent] = np.frombuffer(b"".join(answers["totals"]), "<i8")
-        reports = np.zeros(len(frequent), bool)
-        reports[frequent] = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=int(b.sum())).astype(bool)
-                                            for m, b in zip(answers["reports"], bits, strict=True)])
+        hit = np.concatenate(bits)
+        order = np.argsort(_distinct_keys(r, level, lang))  # the order in which the phrases were sent
+        frequent, total, reports = np.zeros(len(order), bool), np.zeros(len(order), np.int64), np.zeros(len(order), bool)
+        frequent[order] = hit
+        total[order[hit]] = np.frombuffer(b"".join(answers["totals"]), "<i8")
+        reports[order[hit]] = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=int(b.sum())).astype(bool)
+                                              for m, b in zip(answers["reports"], bits, strict=True)])
         some = np.flatnonzero(frequent)
         words, lengths = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["lengths"], "<i4").astype(np.int64)
         texts = np.frombuffer(r["texts"], np.uint8)
         if level == 1:
             known = Known(some[:, None], total[some], *(np.zeros((len(some), 0), np.int64) for _ in range(2)))
         else:
-            known = Known.read(r, level - 1).joined(*(np.frombuffer(r[c], "<i4")[some] for c in ("left", "right")))
+            left, right = _ends(r)
+            known = Known.read(r, level - 1).joined(left[some], right[some])
             known.totals = total[some]
         found: tuple = ((), (), ())
         if level > 1:
@@ -274,11 +281,10 @@ def _extend(source: str, folder: str, level: int, last: int):
             left, right = pairs // max(len(some), 1), pairs % max(len(some), 1)
             used, inverse = np.unique(known.parts, return_inverse=True)
             start = np.cumsum(lengths) - lengths
-            keys = _phrase_keys(words[np.concatenate([known.parts[left], known.parts[right][:, -1:]], axis=1)], lang)
             known.parts = inverse.reshape(known.parts.shape)
-            arrays = known.arrays() | {"left": left, "right": right, "words": words[used], "texts": _gather(texts, start[used], lengths[used]),
+            arrays = known.arrays() | {"left": np.diff(left, prepend=0).astype("<i4"), "right": right.astype("<i4"), "words": words[used], "texts": _gather(texts, start[used], lengths[used]),
                                        "lengths": lengths[used].astype("<i4")}
-            out = _relation_row(folder, lang, level + 1, n_words, places[meet], new_ids, keys, arrays, found)
+            out = _relation_row(folder, lang, level + 1, n_words, places[meet], new_ids, arrays, found)
         else:
             out = {c: None for c in names} | {"lang": lang, "level": level + 1, "n_words": n_words,
                                               "found_keys": list(found[0]), "found_texts": list(found[1]), "found_totals": list(found[2])}
@@ -326,7 +332,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     for level in range(1, max_words + 1):
         blocks = relation.select("block", "lang", "n_words").filter("block is not null")
         tasks = max(1, -(-blocks.count() // TASK_BLOCKS))
-        sent = blocks.repartition(tasks, "block").mapInArrow(_send(folders[level - 1], tiles), _SENT)
+        sent = blocks.repartition(tasks, "block").mapInArrow(_send(folders[level - 1], tiles, level), _SENT)
         answers = work_table(sent.groupBy("tile").applyInPandas(_answers(min_count), _ANSWER), f"setm-answers-{level}")
         step = _extend(folders[level - 1], folders[level], level, max_words)
         longer = work_table(answers.repartition(tasks, "block").groupBy("block").applyInPandas(step, _RELATION), f"setm-{level + 1}")
