@@ -203,6 +203,19 @@ def flow_edges(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
     return uses.select(doc, "name", "idx", F.inline(both)).filter(F.col("parent_idx").isNotNull())
 
 
+def flow_edges_of_programs(progs: DataFrame, doc: str = "doc_id", src: str = "src") -> DataFrame:
+    """JOIN10, JOIN12 and JOIN13 on Java programs: (doc_id, name, idx, kind, parents), the definitions that reach each variable
+    token through branches and loops, merged and sorted; see ``functions.dataflow``.  Arrow batches where the rows are: no
+    shuffle.  A null text has no edges."""
+    import pandas as pd
+
+    from complexa.functions.dataflow import flow_edges as of_text
+
+    kind = "array<struct<name:string,idx:int,kind:string,parents:array<int>>>"
+    edges = F.pandas_udf(lambda texts: pd.Series([[] if t is None else of_text(t) for t in texts], dtype=object), kind)
+    return progs.select(doc, edges(F.col(src)).alias("e")).select(doc, F.inline("e"))
+
+
 def merge_edges(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
     """JOIN12: same (name, idx, kind) -> sorted union of parents."""
     return edges.groupBy(doc, "name", "idx", "kind").agg(F.sort_array(F.collect_set("parent_idx")).alias("parents"))
