@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from complexa.llm.common import work_table
+from complexa.llm.common import release, work_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small-star: join every smaller neighbour, and the node itself, to the smallest
         met = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(met.select("a", F.col("m").alias("b")))
-        e = work_table(small.filter("a <> b").distinct(), "edges")
+        e, last = work_table(small.filter("a <> b").distinct(), "edges"), e
+        release(last)
         # done when every node has one edge and no center has an edge to a smaller one: stars only
         ends = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).unionByName(e.select(F.col("b").alias("a")).distinct().withColumn("n", F.lit(1).cast("long")))
         if ends.groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1").isEmpty():

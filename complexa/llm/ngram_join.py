@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from complexa.llm.common import (Words, inside, list_array, mix, ragged_range, row_key, sequence_hashes, text_array, text_chunks,
+from complexa.llm.common import (Words, inside, list_array, mix, ragged_range, release, row_key, sequence_hashes, text_array, text_chunks,
                                  whole_hash, work_table)
 from complexa.llm.components import connected_components
 from complexa.llm.tiles import TILE_SCHEMA, Packer, packed_home, tiles_for, unpack
@@ -333,16 +333,24 @@ def unit_links(ids: np.ndarray, grams: list[np.ndarray], side: np.ndarray, label
     return list(zip(found["label"].tolist(), found["least"].tolist(), strict=True))
 
 
-def verified_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Stars (a: label, b: least label) of the links inside units.  ``members``: unit, set_id, label, side, grams (binary of sorted uint64)."""
+def verified_links(members: DataFrame, num: int, den: int, labels: DataFrame | None = None) -> DataFrame:
+    """Stars (a: label, b: least label) of the links inside units.  ``members``: unit, set_id, side, grams (binary of sorted uint64);
+    ``labels``: of_unit, of_set, label of the sets whose label is not their own id.  Only the former are large, and are shuffled once."""
 
-    def check(part: pd.DataFrame) -> pd.DataFrame:
+    def check(part: pd.DataFrame, named: pd.DataFrame | None = None) -> pd.DataFrame:
         part = part.drop_duplicates(["set_id", "side"])
+        if not len(part):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        ids = part["set_id"].to_numpy()
+        known = {} if named is None else dict(zip(named["of_set"].tolist(), named["label"].tolist(), strict=True))
+        label = np.array([known.get(i, i) for i in ids.tolist()], np.int64)
         grams = [np.frombuffer(g, "<u8") for g in part["grams"]]
-        links = unit_links(part["set_id"].to_numpy(), grams, part["side"].to_numpy(), part["label"].to_numpy(), num, den)
+        links = unit_links(ids, grams, part["side"].to_numpy(), label, num, den)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return members.groupBy("unit").applyInPandas(check, "a long, b long")
+    if labels is None:
+        return members.groupBy("unit").applyInPandas(lambda part: check(part), "a long, b long")
+    return members.groupBy("unit").cogroup(labels.groupBy("of_unit")).applyInPandas(lambda part, named: check(part, named), "a long, b long")
 
 
 def gram_arrays(docs: DataFrame, n: int) -> DataFrame:
@@ -380,20 +388,23 @@ def similar_sets(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -
         "set_id", "grams", "cluster", "band", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"))
     small = placed.filter(F.col("sets_in") <= UNIT_SETS).select("set_id", "grams", "cluster", "band", F.lit(0).alias("block"))
     unit = F.concat_ws("/", "cluster", "band", "block")
-    own = small.unionByName(units).select(unit.alias("unit"), "set_id", F.col("set_id").alias("label"), F.lit(0).alias("side"), "grams")
+    own = small.unionByName(units).select(unit.alias("unit"), "set_id", F.lit(0).alias("side"), "grams")
     stars = work_table(verified_links(own, num, den), "links")  # a set is in one unit: these are components
     named = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     if counts.filter(F.col("sets_in") > UNIT_SETS).isEmpty():
+        release(placed)
         return named
+    units = work_table(units, "units")
+    release(placed)
     return _across_units(units, named, num, den)
 
 
 def _across_units(units: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
     """Components after the units of large clusters are compared with each other."""
-    units = work_table(units, "units")
+    ids = units.select("set_id", "cluster", "band", "block")
     for ring in (True, False):
-        labelled = units.join(named.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+        labelled = ids.join(named.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
             "label", F.coalesce("component", "set_id"))
         cut = labelled.groupBy("cluster", "band", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         a, b = cut.alias("a"), cut.alias("b")
@@ -408,9 +419,11 @@ def _across_units(units: DataFrame, named: DataFrame, num: int, den: int) -> Dat
             F.col("a.cluster").alias("cluster"), F.concat_ws("/", "a.cluster", "a.band", "a.block", "b.band", "b.block").alias("unit"),
             F.explode(F.array(F.struct(F.col("a.band").alias("band"), F.col("a.block").alias("block"), F.lit(0).alias("side")),
                               F.struct(F.col("b.band").alias("band"), F.col("b.block").alias("block"), F.lit(1).alias("side")))).alias("u"))
-        pairs = pairs.select("unit", "cluster", "u.*")
-        members = labelled.join(pairs, ["cluster", "band", "block"]).select("unit", "set_id", "label", "side", "grams")
-        links = work_table(verified_links(members, num, den), "links")
+        pairs = work_table(pairs.select("unit", "cluster", "u.*"), "pairs")  # a few per block: its size is known when the sets are joined
+        members = units.join(pairs, ["cluster", "band", "block"]).select("unit", "set_id", "side", "grams")
+        renamed = labelled.filter(F.col("label") != F.col("set_id")).join(pairs, ["cluster", "band", "block"]).select(
+            F.col("unit").alias("of_unit"), F.col("set_id").alias("of_set"), F.col("label").alias("label"))
+        links = work_table(verified_links(members, num, den, renamed), "links")
         if links.isEmpty():
             continue
         merged = work_table(connected_components(links), "merged")  # of components, not of sets
