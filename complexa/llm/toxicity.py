@@ -11,8 +11,8 @@ of its most toxic window.  In training a text's logit is the mean of its
 windows' logits weighted by their softmax, so the labels of texts are enough.
 
 The model is fitted on the driver to a bounded sample of labelled rows
-(``SAMPLE`` toxic and ``SAMPLE_CLEAN`` clean ones with the smallest hashes, up to ``SAMPLE_WINDOWS``
-windows spread evenly over a text); every text is scored over all its windows
+(``SAMPLE`` toxic and ``SAMPLE_CLEAN`` clean ones with the smallest hashes, one row of each id
+with its whole text); every text is scored over all its windows
 by tasks.
 
 Defined cases: null text counts as empty; a text without tokens is one empty
@@ -36,9 +36,11 @@ from complexa.llm.ngram_lm import fold
 
 WINDOW, STRIDE = 32, 20
 WORD_BUCKETS, GRAM_BUCKETS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 14, 1 << 14, 8, 12, 8
-#: Toxic and clean labelled rows that the network is fitted to at most, and windows of each.
-SAMPLE, SAMPLE_CLEAN, SAMPLE_WINDOWS = 2000, 3000, 12
-EPOCHS, BATCH_TEXTS, RATE, SHARPNESS, DECAY = 6, 48, 0.01, 3.0, 1e-4
+#: Toxic and clean labelled rows that the network is fitted to at most, with all their windows.
+SAMPLE, SAMPLE_CLEAN = 1000, 1500
+#: Windows of a training step that are in memory at once, and the share of a text's strongest window below which a window has no part in the step.
+TRAIN_WINDOWS, WEAK = 4096, 1e-3
+EPOCHS, BATCH_TEXTS, RATE, SHARPNESS, DECAY = 5, 32, 0.01, 3.0, 1e-4
 #: Share of a window's tokens that a training step leaves out, so that every telling token is learned by itself.
 DROPPED = 0.3
 THRESHOLD = 0.3
@@ -235,13 +237,22 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             real = used[used < len(tokens.bucket)]
             grams = tokens.grams[ragged_range(gram_at[real], tokens.gram_counts[real])]
             features = net.inputs(tokens.bucket[real], grams, tokens.gram_counts[real])
-            logit, kept = net.forward(features @ net.p["wx"] + net.p["bx"], index, mask, keep=True)
+            table = features @ net.p["wx"] + net.p["bx"]
+            blocks = range(0, len(w), TRAIN_WINDOWS)
+            logit = np.concatenate([net.forward(table, index[:, b:b + TRAIN_WINDOWS], mask[:, b:b + TRAIN_WINDOWS]) for b in blocks])
             high = np.maximum.reduceat(logit, np.cumsum(counts) - counts)
             weight = np.exp(SHARPNESS * (logit - high[text]))
+            strong = np.flatnonzero(weight >= WEAK)
             weight /= np.add.reduceat(weight, np.cumsum(counts) - counts)[text]
             whole = np.add.reduceat(weight * logit, np.cumsum(counts) - counts)
             error = (_sigmoid(whole) - labels[chosen]) / len(chosen)
-            grad, d_table = net.backward((weight * error[text]).astype(np.float32), index, mask, len(features), kept)
+            grad, d_table = {}, np.zeros((len(features), 6 * HIDDEN), np.float32)
+            for b in range(0, len(strong), TRAIN_WINDOWS):
+                some = strong[b:b + TRAIN_WINDOWS]
+                _, kept = net.forward(table, index[:, some], mask[:, some], keep=True)
+                part, d_part = net.backward((weight[some] * error[text[some]]).astype(np.float32), index[:, some], mask[:, some], len(features), kept)
+                grad = {k: grad.get(k, 0) + g for k, g in part.items()}
+                d_table += d_part
             grad["wx"], grad["bx"] = features.T @ d_table, d_table.sum(0)
             d_in = (d_table @ net.p["wx"].T)[:len(real)]
             grad["word"], grad["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
@@ -265,22 +276,6 @@ def text_scores(net: Network, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return _sigmoid(np.maximum.reduceat(logits, np.searchsorted(row, np.arange(len(rows) - 1)))).astype(np.float64)
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the sample, cut to the tokens of evenly spread windows."""
-    for batch in batches:
-        out = []
-        for text in text_array(batch):
-            raw = text.as_py().encode("utf-8")
-            words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), space=_SPLIT)
-            start, size, _ = windows_of(words.rows)
-            if len(start) > SAMPLE_WINDOWS:
-                pick = np.linspace(0, len(start) - 1, SAMPLE_WINDOWS).astype(int)
-                out.append(" ".join(raw[words.start[s]:words.end[s + n - 1]].decode("utf-8", "ignore") for s, n in zip(start[pick], size[pick], strict=True)))
-            else:
-                out.append(raw.decode("utf-8"))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.string())], names=["toxic", "text"])
-
-
 def train_network(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, clean: int = SAMPLE_CLEAN) -> Network:
     """Fit to labelled rows outside the held-out fold."""
     usable = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter(
@@ -288,8 +283,8 @@ def train_network(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = usable.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(clean))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("rid"))
-    found = rows.join(F.broadcast(ids), "doc_id").select("toxic", "text", "rid")  # two samples of ids: a proven bound
-    got = found.select("toxic", "text").mapInArrow(_spread, "toxic int, text string").collect()
+    found = rows.join(F.broadcast(ids), "doc_id")  # two samples of ids: a proven bound; of the rows of an id one, whole
+    got = found.groupBy("doc_id").agg(F.min_by(F.struct("toxic", F.coalesce("text", F.lit("")).alias("text")), "rid").alias("one")).select("one.*").collect()
     got.sort(key=lambda r: (r["toxic"], r["text"]))  # the order of rows is no input of the fit
     return fit([r["text"] for r in got], np.array([r["toxic"] for r in got], np.int64))
 
