@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 import pandas as pd
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from complexa.sources.tsv import read_delimited
+
 CORPUS_SCHEMA = StructType([StructField("src", StringType()), StructField("complexity", StringType()),
                             StructField("problem", StringType()), StructField("from", StringType()),
                             StructField("tags", StringType())])
@@ -102,7 +104,12 @@ def read_refined(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC6: ``label<TAB>code`` (quoted fields may span lines)."""
+    """SRC6: ``label<TAB>code`` (quoted fields may span lines); a file is read by as many tasks as it has blocks, see ``sources.tsv``."""
+    return read_delimited(spark, path, TSV_SCHEMA)
+
+
+def read_tsv_whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """SRC6 by Spark's own reader: one task per file, whatever its size."""
     return spark.read.csv(path, sep="\t", schema=TSV_SCHEMA, multiLine=True, escape='"')
 
 
