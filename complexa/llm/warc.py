@@ -155,9 +155,12 @@ class _Members:
                 return True
         return False
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
-        while (at := self.ready.find(mark)) < 0:
-            if len(self.ready) > limit or not self.more():
+    def until(self, mark: bytes) -> bytes:
+        """All up to the mark, however long a header is; it must stand in the member."""
+        seen = 0
+        while (at := self.ready.find(mark, seen)) < 0:
+            seen = max(0, len(self.ready) - len(mark) + 1)
+            if not self.more():
                 raise WarcError("a header has no end")
         got, self.ready = self.ready[:at], self.ready[at + len(mark):]
         return got

@@ -59,3 +59,9 @@ def test_archives_roll(spark, tmp_path, monkeypatch):
     manifest = W.write_archives(records, folder)
     assert manifest.count() >= 1 and manifest.selectExpr("sum(n_records)").first()[0] == 6
     assert W.read_archives(manifest, folder).count() == 6
+
+
+def test_a_header_of_any_length_is_read_back(spark):
+    urls = {1: "http://x/" + "é" * 500_000, 2: "http://y/" + "q" * 3_000_000, 3: None}
+    got = {r.page_id: r for r in W.warc_round_trip(spark, pages(spark, [(i, u, "<p>" + "t" * 200) for i, u in urls.items()])).collect()}
+    assert set(got) == {1, 2, 3} and [got[i].record_type for i in (1, 2, 3)] == ["response", "revisit", "revisit"]
