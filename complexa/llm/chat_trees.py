@@ -17,8 +17,8 @@ Defined cases: null text and null role count as empty; a null tree is a tree
 of its own; a message whose parent is missing is a root; ties of score go to
 the smaller node; rows of one turn are ordered by role, then text, and
 repeated rows are turns of their own; an empty table gives an empty result;
-other columns are ignored.  Parent links must not form cycles (rows of a
-cycle belong to no root and are left out).
+other columns are ignored.  Messages whose parents form a cycle, or lead into
+one, have no root and are on no path; ``rootless`` returns them.
 """
 
 from __future__ import annotations
@@ -56,22 +56,34 @@ def turns_as_tree(conversations: DataFrame) -> DataFrame:
         "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text", "conv_id")
 
 
-def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """tree, path (its leaf), path_rank, node, depth for the ``branches`` best root-to-leaf paths of each tree."""
+def _ancestors(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Step k: the messages that have a 2**(k-1)-th ancestor; and the messages that reach a root, with depth and total score."""
     links = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     first = links.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"),
         F.when(F.col("known"), 1).otherwise(0).cast("long").alias("depth"), F.col("score").alias("total"))
-    steps = [work_table(first, "ancestors")]  # step k: the messages that have a 2**(k-1)-th ancestor
+    steps = [work_table(first, "ancestors")]
     ended = steps[0].filter("up is null")
-    while len(steps) < MAX_STEPS and not (active := steps[-1].filter("up is not null")).isEmpty():
+    enough = min(MAX_STEPS, steps[0].count().bit_length() + 1)  # no path is longer than all messages: what is left then is a cycle
+    while len(steps) < enough and not (active := steps[-1].filter("up is not null")).isEmpty():
         above = active.unionByName(ended)
         above = above.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
         steps.append(work_table(active.join(above, ["tree", "up"]).select(
             "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"),
             (F.col("total") + F.col("total2")).alias("total")), "ancestors"))
         ended = ended.unionByName(steps[-1].filter("up is null"))
+    return steps, ended
+
+
+def rootless(messages: DataFrame) -> DataFrame:
+    """Defects: tree, node of the messages that no path holds, as their parents form a cycle or lead into one."""
+    return messages.select("tree", "node").join(_ancestors(messages)[1].select("tree", "node"), ["tree", "node"], "left_anti")
+
+
+def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
+    """tree, path (its leaf), path_rank, node, depth for the ``branches`` best root-to-leaf paths of each tree; see ``rootless`` for cycles."""
+    steps, ended = _ancestors(messages)
     leaves = ended.join(steps[0].filter("up is not null").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     rank = Window.partitionBy("tree").orderBy((F.col("total") / (F.col("depth") + 1)).desc(), "node")
     members = leaves.withColumn("path_rank", F.row_number().over(rank)).filter(F.col("path_rank") <= branches).select(

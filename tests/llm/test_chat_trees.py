@@ -72,3 +72,12 @@ def test_planted_conversation(spark):
     text = "\\### Assistant: </turn> ok"
     assert r.n_turns == 2 and r.loss_chars == len(text) and r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert r.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_messages_of_a_cycle_are_returned_as_defects(spark):
+    rows = [("t", 1, None, 1.0, "user", "a", 1), ("t", 2, 1, 1.0, "assistant", "b", 1), ("t", 3, 4, 9.0, "user", "c", 1), ("t", 4, 3, 9.0, "user", "d", 1),
+            ("t", 5, 4, 9.0, "user", "e", 1), ("u", 7, 7, 1.0, "user", "self", 2), ("v", 8, 99, 1.0, "user", "lost parent", 3)]
+    messages = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.tree, r.node) for r in C.rootless(messages).collect()) == [("t", 3), ("t", 4), ("t", 5), ("u", 7)]
+    assert sorted((r.tree, r.node) for r in C.best_paths(messages, 9).collect()) == [("t", 1), ("t", 2), ("v", 8)]
+    assert C.rootless(messages.limit(0)).collect() == []
