@@ -34,6 +34,30 @@ for _key, _name in [("ml01_decision_tree", "DecisionTree"), ("ml02_random_forest
     query(_key, f"WITH {_SPLIT} SELECT vec_id AS test_id, CAST(label AS INTEGER) AS y_true, TRUE AS in_domain FROM te")(_model_query(_name))
 
 
+LLOYD_STEPS = 4
+
+
+def _lloyd_sql(k: int, steps: int) -> str:
+    """The steps unrolled: c0 are the first centers, a<i> the nearest center of every vector, c<i + 1> the means."""
+    parts = [f"""e AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS i, v AS c FROM (SELECT * FROM e ORDER BY vec_id LIMIT {k}))"""]
+    for n in range(steps + 1):
+        d = "list_sum(list_transform(range(1, len(v) + 1), lambda j: (v[j] - c[j]) * (v[j] - c[j])))"
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT vec_id, label, v, i FROM e, c{n} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY {d}, i) = 1)""")
+        if n < steps:
+            parts.append(f"""m{n} AS (SELECT i, list(m ORDER BY j) AS c FROM (
+  SELECT i, j, round(avg(x), 6) AS m FROM (SELECT i, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{n}) GROUP BY i, j) GROUP BY i),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.i, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} ON m{n}.i = c{n}.i)""")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT vec_id, CAST(label AS INTEGER) AS label, i AS cluster FROM a{steps}"
+
+
+@query("ml06_kmeans_lloyd", _lloyd_sql(5, LLOYD_STEPS))
+def ml06_kmeans_lloyd(spark, sf):
+    """ML6 by value: the cluster of every vector after a fixed number of steps from defined centers."""
+    done, _ = ML.lloyd_kmeans(S.table(spark, sf, "embeddings"), 5, LLOYD_STEPS)
+    return done.select("vec_id", F.col("label").cast("int").alias("label"), "cluster")
+
+
 @query("ml05_knn", f"""WITH {_SPLIT},
 d AS (SELECT te.vec_id AS test_id, te.label AS y_true, tr.vec_id AS train_id, tr.label AS nb_label,
              list_distance(CAST(te.embedding AS DOUBLE[]), CAST(tr.embedding AS DOUBLE[])) AS dist FROM te JOIN tr ON true),

@@ -100,3 +100,22 @@ def test_fold_retry_picks_first_accepted_seed(spark):
     r = SP.group_kfold_retry(df, "label", "problem", 0.8, 4, seeds=[1, 2, 3])
     seeds = {x.seed for x in r.collect()}
     assert len(seeds) == 1 and r.count() == 20
+
+
+def test_lloyd_steps_equal_plain_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(150, 4)) + np.repeat(np.eye(3, 4) * 6, 50, axis=0), 3)
+    rows = [(int(i), [float(a) for a in v], "x") for i, v in enumerate(x)] + [(200, None, "x"), (None, [0.0] * 4, "x"), (3, [float(a) for a in x[3]], "again")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cluster string")
+    done, centers = ML.lloyd_kmeans(df.drop("cluster"), 4, 20)
+    data = np.vstack([x, x[3]])
+    c = x[:4].copy()
+    c = np.vstack([x[0], x[1], x[2], x[3]])
+    for _ in range(20):
+        near = ((data[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.array([np.round(data[near == i].mean(0), 6) if (near == i).any() else c[i] for i in range(4)])
+    assert np.allclose(centers, c, atol=2e-6)
+    got = {r.vec_id: r.cluster for r in done.collect()}
+    assert len(got) == 150 and [got[i] for i in range(150)] == ((data[:150, None] - c[None]) ** 2).sum(2).argmin(1).tolist()
+    empty, none = ML.lloyd_kmeans(df.drop("cluster").limit(0))
+    assert empty.collect() == [] and none == []
