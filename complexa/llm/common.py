@@ -65,6 +65,14 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
                       F.col(doc_id).isNull())
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that is no column of ``df`` (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from complexa.llm.common import WHITE_CLASS, row_key, work_table
+from complexa.llm.common import WHITE_CLASS, fresh_name, row_key, work_table
 
 #: A side of a join is broadcast up to this many (16-byte) rows; beyond it Spark shuffles.
 BROADCAST_ROWS = 500_000
@@ -78,6 +78,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, d
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that contain no test item."""
-    hit = contaminated(docs, items, n, num, den).select(F.col("rid").alias("__rid")).distinct()
+    rid = fresh_name(docs, "__rid")
+    hit = contaminated(docs, items, n, num, den).select(F.col("rid").alias(rid)).distinct()
     hit = _small(work_table(hit, "contaminated"))
-    return docs.withColumn("__rid", row_key()).join(hit, "__rid", "left_anti").select(*docs.columns)
+    return docs.withColumn(rid, row_key()).join(hit, rid, "left_anti").select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from complexa.llm.common import WHITE, _BYTE, inverse, powers, row_key, text_array, work_table
+from complexa.llm.common import WHITE, _BYTE, fresh_name, inverse, powers, row_key, text_array, work_table
 
 #: A cut falls where the top bits of a rolling hash over 32 bytes are zero (one place in 1,024).
 ROLL, CUT_BITS, MIN_CHUNK, MAX_CHUNK = 32, 10, 512, 8192
@@ -104,5 +104,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", row_key()).join(kept, "__rid", "left_semi").dropDuplicates(["__rid"]).select(*docs.columns)
+    rid = fresh_name(docs, "__rid")
+    kept = exact_groups(docs).filter("kept").select(F.col("rid").alias(rid))
+    return docs.withColumn(rid, row_key()).join(kept, rid, "left_semi").dropDuplicates([rid]).select(*docs.columns)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from complexa.llm.common import (Words, inside, list_array, mix, ragged_range, release, row_key, sequence_hashes, text_array, text_chunks,
+from complexa.llm.common import (Words, fresh_name, inside, list_array, mix, ragged_range, release, row_key, sequence_hashes, text_array, text_chunks,
                                  whole_hash, work_table)
 from complexa.llm.components import connected_components
 from complexa.llm.tiles import TILE_SCHEMA, Packer, packed_home, tiles_for, unpack
@@ -450,8 +450,9 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
 
 def ngram_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that stay: the smallest doc_id of each group, and every text without words (repeated rows once)."""
+    rid = fresh_name(docs, "__rid")
     groups = work_table(ngram_groups(docs, n, num, den), "groups")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
-    first = groups.filter("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("__rid"))
-    stay = first.unionByName(groups.filter("n_shingles = 0").select(F.col("rid").alias("__rid")))
-    return docs.withColumn("__rid", row_key()).join(stay, "__rid", "left_semi").dropDuplicates(["__rid"]).select(*docs.columns)
+    first = groups.filter("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.rid").alias(rid))
+    stay = first.unionByName(groups.filter("n_shingles = 0").select(F.col("rid").alias(rid)))
+    return docs.withColumn(rid, row_key()).join(stay, rid, "left_semi").dropDuplicates([rid]).select(*docs.columns)
