@@ -207,13 +207,14 @@ def flow_edges_of_programs(progs: DataFrame, doc: str = "doc_id", src: str = "sr
     """JOIN10, JOIN12 and JOIN13 on Java programs: (doc_id, name, idx, kind, parents), the definitions that reach each variable
     token through branches and loops, merged and sorted; see ``functions.dataflow``.  Arrow batches where the rows are: no
     shuffle.  A null text has no edges."""
-    import pandas as pd
+    import pyarrow as pa
 
-    from complexa.functions.dataflow import flow_edges as of_text
+    from complexa.functions.arrow import per_row
+    from complexa.functions.dataflow import flow_rows
 
-    kind = "array<struct<name:string,idx:int,kind:string,parents:array<int>>>"
-    edges = F.pandas_udf(lambda texts: pd.Series([[] if t is None else of_text(t) for t in texts], dtype=object), kind)
-    return progs.select(doc, edges(F.col(src)).alias("e")).select(doc, F.inline("e"))
+    kind = pa.list_(pa.struct([("name", pa.string()), ("idx", pa.int32()), ("kind", pa.string()), ("parents", pa.list_(pa.int32()))]))
+    edges = per_row(lambda t: [] if t is None else flow_rows(t), kind, "array<struct<name:string,idx:int,kind:string,parents:array<int>>>", F.col(src))
+    return progs.select(doc, edges.alias("e")).select(doc, F.inline("e"))
 
 
 def merge_edges(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
