@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from complexa.session import ensure_checkpoint_dir
 
 CHECKPOINT_EVERY = 4
+#: Characters of text whose tokens one task holds, so a task's memory does not grow with the table.
+TASK_CHARS = 4_000_000
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
@@ -177,7 +179,8 @@ def words(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     document and name) reuses that partitioning, so the data-flow operators have
     a single shuffle.
     """
-    d = docs.select(doc, text).repartition(doc)
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    d = docs.select(doc, text).repartition(max(8, -(-chars // TASK_CHARS)), doc)
     w = d.select(doc, F.posexplode(F.split(F.col(text), r"\s+")).alias("idx", "word")).filter(F.col("word") != "")
     return w.select(doc, "idx", "word", F.lower(F.regexp_replace("word", r"[^\p{L}\p{N}_]", "")).alias("name"),
                     F.col("word").rlike(r"[,.]$").alias("is_def")).filter(F.col("name") != "")
