@@ -5,7 +5,7 @@ PRJ5), renaming (PRJ21) and dead declarations (FLT5); for Python comments (PRJ4)
 renaming, unreachable lines (FLT4), unused assignments and unused functions (FLT6).
 A mutation whose result is blank or has unbalanced brackets fails, and the last good
 text stays.  Programs are mutated in Arrow batches where they are; nothing is
-shuffled.  (``quality.augment_job`` is the JVM-side job with three mutators.)
+shuffled.  (``quality.augment_job`` is the job with three mutators.)
 """
 
 from __future__ import annotations

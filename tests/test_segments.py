@@ -65,7 +65,13 @@ def test_every_mutation_counts_until_nothing_changes():
         for lang in ("java", "python", "c"):
             for n in range(1, 12):
                 assert segments.mutated(text, lang, n) == plain(text, lang, n)
-    assert segments.mutated(None, "java", 3) == (None, False) and segments.mutated("x", "java", None) == ("x", False)
+    assert segments.mutated(None, "java", 3) == (None, None) and segments.mutated("x", "java", None) == ("x", False)
+
+
+def test_null_texts_are_no_failures_and_python_ones_are_dropped(spark):
+    df = spark.createDataFrame([(1, "java", None), (2, "python", None), (3, "python", "x = 1\n")], "doc_id int, lang string, src string")
+    for keep, want in ((False, [(1, False), (3, False)]), (True, [(1, None), (2, None), (3, False)])):
+        assert sorted((r.doc_id, r.failed) for r in Q.augment_job(df, F.lit(2), keep_on_failure=keep).collect()) == want
 
 
 def test_a_rule_stands_once_in_the_plan(spark):
