@@ -334,41 +334,7 @@ def fea05_java_counts_v2(spark, sf):
     A method's weight is the number of call paths from main on which each call
     goes one breadth-first level deeper; every count is the weighted sum.
     """
-    p = _progs(spark, sf, "java").withColumn("src", T.remove_comments("src", "lang"))
-    t = p.select("doc_id", FE.segment_items("src", "lang").alias("items"))
-    decls = F.array_distinct(F.transform(F.filter("items", lambda x: x["is_header"]), lambda x: x["method"]))
-    t = t.withColumn("decls", decls).filter(F.array_contains("decls", "main"))
-    sites = F.flatten(F.transform(F.filter("items", lambda x: x["method"].isNotNull() & ~x["is_header"]), lambda x: F.transform(
-        F.filter(FE.calls_in(x["line"]), lambda c: F.array_contains("decls", c)), lambda c: F.struct(x["method"].alias("a"), c.alias("b")))))
-    t = t.withColumn("sites", sites)
-    one = F.array(F.struct(F.lit("main").alias("name"), F.lit(1).cast("long").alias("w")))
-
-    def level(acc, _):
-        hit = F.filter("sites", lambda e: F.array_contains(F.transform(acc["front"], lambda f: f["name"]), e["a"])
-                       & ~F.array_contains(F.transform(acc["seen"], lambda f: f["name"]), e["b"]))
-
-        def weight(n):
-            return F.aggregate(acc["front"], F.lit(0).cast("long"), lambda w, f: w + f["w"] * F.size(F.filter(
-                hit, lambda e: (e["a"] == f["name"]) & (e["b"] == n))))
-
-        nxt = F.transform(F.array_distinct(F.transform(hit, lambda e: e["b"])), lambda n: F.struct(n.alias("name"), weight(n).alias("w")))
-        return F.when(F.size(acc["front"]) == 0, acc).otherwise(F.struct(F.concat(acc["seen"], nxt).alias("seen"), nxt.alias("front")))
-
-    steps = F.sequence(F.lit(1), F.greatest(F.size("decls") - 1, F.lit(1)))
-    seen = F.aggregate(steps, F.struct(one.alias("seen"), one.alias("front")), level)["seen"]
-    t = t.withColumn("seen", seen)
-    t = t.withColumn("r", F.transform("seen", lambda m: F.struct(m["w"].alias("w"), FE.java_counts(F.array_join(
-        F.transform(F.filter("items", lambda x: x["method"] == m["name"]), lambda x: x["line"]), "\n"), 2).alias("c"))))
-    fields = ["n_if", "n_switch", "n_loop", "n_break", "n_priority", "n_sort", "n_hashset", "n_hashmap"]
-
-    def total(f):
-        return F.aggregate("r", F.lit(0).cast("long"), lambda acc, b: acc + b["w"] * b["c"][f]).cast("int").alias(f)
-
-    rec = F.size(F.array_distinct(F.transform(F.filter("sites", lambda e: e["a"] == e["b"]), lambda e: e["a"])))
-    return t.select("doc_id", *[total(f) for f in fields],
-                    F.aggregate("r", F.lit(0), lambda acc, b: F.greatest(acc, b["c"]["nested"])).cast("int").alias("nested"),
-                    total("n_vars"), F.aggregate("r", F.lit(0).cast("long"), lambda acc, b: acc + b["w"]).cast("int").alias("n_methods"),
-                    total("n_statements"), rec.cast("int").alias("n_recursive"))
+    return _progs(spark, sf, "java").select("doc_id", FE.level_counts("src").alias("c")).select("doc_id", F.inline("c"))
 
 
 # The loop-nesting fold in SQL: a recursive walk over the numbered tokens with the stacks as lists.
