@@ -49,14 +49,20 @@ def passes_gate(text: str) -> bool:
 
 
 def mutate_text(text: str | None, lang: str | None, n: int) -> tuple[str | None, bool]:
-    """(text after ``n`` mutations, did one fail).  A null text, and a language without mutators, stay as they are."""
-    failed, turns = False, MUTATORS.get(lang or "", [])
+    """(text after ``n`` mutations, did one fail).  A null text, and a language without mutators, stay as they are.
+
+    After a whole turn without a change every further mutation gives what it gave, so the loop ends.
+    """
+    failed, still, turns = False, 0, MUTATORS.get(lang or "", [])
     for i in range(n if text is not None and turns else 0):
         tried = turns[i % len(turns)](text)
         if passes_gate(tried):
+            still = still + 1 if tried == text else 0
             text = tried
         else:
-            failed = True
+            failed, still = True, still + 1
+        if still == len(turns):
+            break
     return text, failed
 
 

@@ -71,3 +71,11 @@ print("LEDGER", ledger["total"], ledger["failed"], spark.read.parquet(sys.argv[2
 def test_the_ledger_counts_retried_tasks_once(tmp_path):
     out = subprocess.run([sys.executable, "-c", RETRY, ROOT, str(tmp_path / "out")], capture_output=True, text=True, timeout=300)
     assert "LEDGER 50 10 50" in out.stdout, out.stderr[-2000:]
+
+
+def test_still_mutations_end_the_turns(monkeypatch):
+    tried = []
+    turns = [lambda t: tried.append(t) or t.replace("a", "b"), lambda t: tried.append(t) or t + "("]  # the second always fails
+    monkeypatch.setitem(A.MUTATORS, "java", turns)
+    assert A.mutate_text("a", "java", 1000) == ("b", True) and len(tried) == 3
+    assert A.mutate_text("a", "java", 1) == ("b", False)
