@@ -129,24 +129,24 @@ def rollup_tree(edges: DataFrame, values: DataFrame, root: DataFrame, keys: Sequ
 def closure(edges: DataFrame, keys: Sequence[str] = (), src: str = "caller", dst: str = "callee") -> DataFrame:
     """Distinct (*keys, node, below): every node of ``edges`` with itself and all that it reaches, on any graph.
 
-    Paths double in length with every round (a join of the pairs with themselves), so a
-    chain or cycle of n nodes takes about log2(n) rounds; a round's pairs are
-    checkpointed and only the rounds' counts reach the driver.  Null ends are ignored.
-    The pairs themselves are the output, as many as there are.
+    After a round all pairs up to distance k are known with their distance; those at distance k are joined with all
+    up to k, which gives those up to 2 k.  So a chain or cycle of n nodes takes about log2(n) rounds, and a pair is
+    found once for each node halfway, not for every node between.  A round's pairs are checkpointed.  Null ends are
+    ignored.  The pairs themselves are the output, as many as there are.
     """
     keys = list(keys)
     e = edges.select(*keys, F.col(src).alias("node"), F.col(dst).alias("below")).dropna(subset=["node", "below"])
     own = e.select(*keys, "node").unionByName(e.select(*keys, F.col("below").alias("node"))).withColumn("below", F.col("node"))
-    pairs = _ckpt(e.unionByName(own).distinct())
-    n = pairs.count()
+    key, k = [*keys, "node", "below"], 1
+    steps = e.withColumn("d", F.lit(1)).unionByName(own.withColumn("d", F.lit(0)))
+    pairs = _ckpt(steps.groupBy(key).agg(F.min("d").alias("d")))
     while True:
-        left = pairs.select(*keys, "node", F.col("below").alias("mid"))
-        right = pairs.select(*keys, F.col("node").alias("mid"), "below")
-        pairs = _ckpt(left.join(right, keys + ["mid"]).select(*keys, "node", "below").distinct())
-        more = pairs.count()
-        if more == n:
-            return pairs
-        n = more
+        far = pairs.filter(F.col("d") == k).select(*keys, "node", F.col("below").alias("mid"))
+        if far.isEmpty():  # nor is any pair farther
+            return pairs.select(key)
+        on = pairs.filter(F.col("d") > 0).select(*keys, F.col("node").alias("mid"), "below", (F.col("d") + k).alias("d"))
+        pairs = _ckpt(pairs.unionByName(far.join(on, [*keys, "mid"]).select(*key, "d")).groupBy(key).agg(F.min("d").alias("d")))
+        k *= 2
 
 
 def rollup_reachable(edges: DataFrame, values: DataFrame, keys: Sequence[str] = (), src: str = "caller",

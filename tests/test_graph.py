@@ -63,3 +63,15 @@ def test_shared_callees_and_cycles_count_once(spark):
     assert [got["g", n] for n in ("main", "a", "b", "c")] == [(1111, 1000), (1010, 1000), (1100, 1000), (1000, 1000)]
     assert {got["h", n] for n in "xyzr"} == {(7, 4)} and all(got["k", f"n{i}"] == (7, 7) for i in range(41))
     assert G.rollup_reachable(e.limit(0), v, ["doc"]).count() == 0
+
+
+def test_closure_keeps_distances_and_never_joins_all_pairs(spark, monkeypatch):
+    kept = []
+    checkpoint = G._ckpt
+    monkeypatch.setattr(G, "_ckpt", lambda df: kept.append(checkpoint(df)) or kept[-1])
+    edges = [(1, a, a + 1) for a in range(9)] + [(1, 0, 4), (1, 9, 7), (1, 9, 7), (2, 0, 0), (2, 3, None)]
+    got = {tuple(r) for r in G.closure(spark.createDataFrame(edges, "g int, caller int, callee int"), ["g"]).collect()}
+    want = {(1, a, b) for a in range(10) for b in range(a, 10)} | {(1, a, b) for a in (8, 9) for b in (7, 8, 9)} | {(2, 0, 0)}
+    assert got == want
+    far = {(r.node, r.below): r.d for r in kept[-1].filter("g = 1").collect()}  # of each pair, so that only those at distance k are joined
+    assert far[0, 4] == 1 and far[0, 9] == 6 and far[1, 9] == 8 and far[9, 8] == 2 and far[5, 5] == 0
