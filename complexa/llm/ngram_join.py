@@ -15,8 +15,9 @@ intersection of sorted arrays.
    frequent ones last), which sparse sets send too.  In small buckets all pairs
    are counted and must agree often enough; larger ones are joined by a star.
    Connected components of these edges are clusters of candidates.
-3. Verification.  Each set of a cluster of several goes once to the unit of
-   its cluster.  In a unit sets are compared with those of fitting size,
+3. Verification.  A second scan finds one row of each set of a cluster by a
+   bounded Bloom filter of row hashes, so that no other text leaves its task.
+   Each set of a cluster of several goes once to the unit of its cluster.  In a unit sets are compared with those of fitting size,
    vectorised over bitmaps of hashed bits: every bit that x has and y lacks is
    a member of x that y lacks, so |x| - popcount(bx & ~by) bounds the overlap.
    Pairs that pass are intersected exactly; pairs already connected are
@@ -56,6 +57,8 @@ CHARS_PER_TILE = 24_000_000
 AGREE, SMALL_BUCKET = 3, 32
 #: N-grams in this share of the sets are frequent; most of them that are told apart; n-grams counted at a time.
 FREQUENT, FREQUENT_MOST, COUNT_GRAMS = 5e-4, 1_000_000, 2_000_000
+#: Bits of a ``row_filter`` for each of its rows (at least), and its bits at most (32 MB; 16 million rows, beyond that it passes more others).
+FILTER_BITS, FILTER_MOST = 16, 1 << 28
 _U = np.uint64
 
 
@@ -353,11 +356,33 @@ def verified_links(members: DataFrame, num: int, den: int, labels: DataFrame | N
     return members.groupBy("unit").cogroup(labels.groupBy("of_unit")).applyInPandas(lambda part, named: check(part, named), "a long, b long")
 
 
-def gram_arrays(docs: DataFrame, n: int) -> DataFrame:
-    """set_id, n_shingles, grams (binary of sorted uint64) of every row."""
+def row_filter(rids: DataFrame, rows: int) -> np.ndarray:
+    """Bloom filter (bytes) of the column ``rid`` of about ``rows`` rows; each sets two bits, chosen by the halves of its hash."""
+    bits = min(FILTER_MOST, 1 << max(15, (FILTER_BITS * rows - 1).bit_length()))
+    halves = F.array(F.col("rid"), F.shiftrightunsigned("rid", 32))
+    at = rids.select(F.explode(halves).alias("at")).select((F.col("at").bitwiseAND(bits - 1) + 1).alias("at"))  # bitmaps count from 1
+    found = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in found.toLocalIterator():
+        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def passes(row_filter: np.ndarray, rids: np.ndarray) -> np.ndarray:
+    """True for every row of a ``row_filter``, and for few others."""
+    rids, mask = rids.view(np.uint64), _U(8 * len(row_filter) - 1)
+    got = np.ones(len(rids), bool)
+    for at in (rids & mask, rids >> _U(32) & mask):
+        got &= (row_filter[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
+    return got
+
+
+def gram_arrays(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
+    """set_id, n_shingles, grams (binary of sorted uint64) of the rows (rid, text) that pass the ``row_filter`` wanted."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(passes(wanted, batch.column("rid").to_numpy())))
             for _, _, data, rows in text_chunks(text_array(batch)):
                 sets = Sets(data, rows, n)
                 raw = sets.grams.astype("<u8").tobytes()
@@ -365,7 +390,7 @@ def gram_arrays(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sets.key), pa.array(sets.size), pa.array(packed, pa.binary())],
                                                  names=["set_id", "n_shingles", "grams"])
 
-    return docs.select("text").mapInArrow(scan, "set_id long, n_shingles long, grams binary")
+    return docs.select("rid", "text").mapInArrow(scan, "set_id long, n_shingles long, grams binary")
 
 
 def similar_sets(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -374,9 +399,9 @@ def similar_sets(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -
     if clusters.isEmpty():
         return clusters
     firsts = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("rid").alias("rid"))
-    wanted = firsts.join(clusters.withColumnRenamed("node", "set_id"), "set_id").select("rid", F.col("component").alias("cluster"))
-    texts = docs.select("rid", "text").join(wanted, "rid", "left_semi").select("text")
-    grams = gram_arrays(texts, n).dropDuplicates(["set_id"])
+    wanted = firsts.join(clusters.withColumnRenamed("node", "set_id"), "set_id").select("rid")
+    # texts are not shuffled to find those of clusters; the join with the clusters drops what the filter passes besides
+    grams = gram_arrays(docs, n, row_filter(wanted, clusters.count())).dropDuplicates(["set_id"])
     counts = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("sets_in"))
     placed = grams.join(clusters.join(counts, "component").select(F.col("node").alias("set_id"), F.col("component").alias("cluster"), "sets_in"),
                         "set_id")

@@ -134,6 +134,45 @@ def test_linked_sets_share_signatures(num, den):
             assert any(k == 2 for _, k in both) or max(sum(k == b for _, k in both) for b in (0, 1)) >= N.AGREE
 
 
+def test_texts_are_not_shuffled(documents, spark, monkeypatch):
+    """Only n-grams of candidates are exchanged, also when their list is too long to be broadcast."""
+    plans, work_table = {}, N.work_table
+
+    def seen(df, name):
+        plans[name] = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        return work_table(df, name)
+
+    monkeypatch.setattr(N, "work_table", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = list(enumerate(corpus(random.Random(4), 12, 5, (20, 80), 3)))
+        check(documents, rows, 4, 85, 100)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for name in ("grams", "links"):
+        exchanged = re.findall(r"\) Exchange.*\nInput \[\d+\]: \[(.*)\]", plans[name])
+        assert exchanged and not any(re.search(r"\btext#", x) for x in exchanged)
+
+
+@pytest.mark.parametrize("most", [1 << 28, 1 << 15])
+def test_row_filter_passes_every_row_of_it(spark, monkeypatch, most):
+    monkeypatch.setattr(N, "FILTER_MOST", most)
+    rids = np.random.default_rng(5).integers(-2**63, 2**63, 6000)
+    edge = np.array([0, -1, 1, -2**63, 2**63 - 1, 2**32 - 1, 2**32])
+    inside, others = np.concatenate([edge, rids[:3000]]), rids[3000:]
+    got = N.row_filter(spark.createDataFrame([(int(x),) for x in inside], "rid long"), len(inside))
+    assert len(got) * 8 <= most and N.passes(got, inside).all()
+    assert N.passes(got, others).mean() < (0.03 if most > 1 << 15 else 0.1)
+
+
+def test_full_row_filter_loses_nothing(documents, monkeypatch):
+    monkeypatch.setattr(N, "passes", lambda row_filter, rids: np.ones(len(rids), bool))
+    rng = random.Random(11)
+    texts = corpus(rng, 15, 5, (5, 60), 4) + ["alone here"]
+    check(documents, list(enumerate(texts + texts[:9])) + [(None, texts[0]), (3, texts[3])], 4, 85, 100)
+
+
 def test_bitmap_bound_never_excludes_a_link():
     rng = np.random.default_rng(4)
     for _ in range(30):
