@@ -67,6 +67,16 @@ def test_models_learn_separable_classes(spark):
         assert len(got) == 60 and (got.y_true == got.y_pred).mean() > 0.9, name
 
 
+def test_svm_predicts_in_a_session_that_has_observed(spark):
+    from pyspark.sql import Observation, functions as F
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    df = spark.createDataFrame([(i, i % 2, [4.0 * (i % 2), 1.0]) for i in range(24)], "vec_id long, label int, embedding array<double>")
+    got = ML.fit_predict("SVM", df, df, 2, 2).collect()
+    assert len(got) == 24 and all(r.y_true == r.y_pred for r in got)
+
+
 def test_pack_sequences_sparse_and_negative_keys(spark):
     keys = [-(10**12), -5, -1, 0, 3, 4, 70, 10**9, 10**15]
     texts = [(k, f"<{k}>" * 3) for k in keys]
