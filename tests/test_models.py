@@ -129,3 +129,31 @@ def test_lloyd_steps_equal_plain_numpy(spark):
     assert len(got) == 150 and [got[i] for i in range(150)] == ((data[:150, None] - c[None]) ** 2).sum(2).argmin(1).tolist()
     empty, none = ML.lloyd_kmeans(df.drop("cluster").limit(0))
     assert empty.collect() == [] and none == []
+
+
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+    both = threading.Barrier(2, timeout=20)
+
+    def fit(name, train, test, *_):
+        both.wait()  # a fold on its own would wait in vain
+        return test.selectExpr("vec_id AS test_id", "label AS y_true", "label AS y_pred")
+
+    monkeypatch.setattr(ML, "fit_predict", fit)
+    df = spark.createDataFrame([(i, i % 3, [1.0 * i]) for i in range(40)], "vec_id long, label int, embedding array<double>")
+    got = ML.kfold_train_eval(df, "any", 4, 1, 3).collect()
+    assert sorted(r.test_id for r in got) == list(range(40)) and {r.fold for r in got} == {0, 1, 2, 3} and {r.model for r in got} == {"any"}
+
+
+def test_linear_fits_of_few_rows_run_one_task_an_iteration(spark, monkeypatch):
+    seen = []
+
+    class Probe(ML.Pipeline):
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return super().fit(df)
+
+    monkeypatch.setattr(ML, "Pipeline", Probe)
+    df = spark.createDataFrame([(i, i % 2, [4.0 * (i % 2), 1.0]) for i in range(24)], "vec_id long, label int, embedding array<double>").repartition(6)
+    got = ML.fit_predict("LogisticRegression", df, df, 2, 2).collect()
+    assert seen == [1] and len(got) == 24 and all(r.y_true == r.y_pred for r in got)
