@@ -20,3 +20,10 @@ def test_resample_returns_the_texts_of_both_passes(spark):
     assert all(r.out == want[r.doc_id, r.n_mut] for r in got)
     assert max(r.n_mut for r in got if r.lang == "java") <= 5 and max(r.n_mut for r in base) <= 10 < max(r.n_mut for r in drawn)
     assert not any(r.failed and r.lang == "python" for r in got) and any(r.failed and r.lang == "java" for r in got)
+
+
+def test_draws_are_dealt_into_several_parts_a_core(spark):
+    p = spark.createDataFrame([(i, "java", JAVA) for i in range(40)], "doc_id int, lang string, src string")
+    a = Q.resample_augmented(p, 120, (1, 3), (1, 3))
+    drawn = a.filter(F.col("draw").isNotNull())
+    assert drawn.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism and drawn.count() == 80
